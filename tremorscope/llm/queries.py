@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import compression_lang, line_dedup, url_reputation
+from . import compression_lang, line_dedup, order_minhash, simhash, url_reputation
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_order_minhash(spark, sf_dir):
+    return order_minhash.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return compression_lang.digest(_table(spark, sf_dir, "documents"))
 
@@ -21,5 +29,5 @@ def op9_url_filter(spark, sf_dir):
     return url_reputation.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id, op8_line_dedup, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_order_minhash, op7_language_id, op8_line_dedup, op9_url_filter)}
 ORACLES = {"op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
