@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_lang, line_dedup, order_minhash, packing, simhash, url_reputation
+from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, simhash, url_reputation
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_trie(spark, sf_dir):
+    return ngram_trie.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.digest(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op9_url_filter(spark, sf_dir):
     return url_reputation.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op5_order_minhash, op7_language_id, op8_line_dedup, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op7_language_id, op8_line_dedup, op9_url_filter)}
 ORACLES = {"op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
