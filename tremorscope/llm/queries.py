@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, simhash, url_reputation
+from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, simhash, source_mixing, url_reputation
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op5_order_minhash(spark, sf_dir):
     return order_minhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark, sf_dir):
+    return source_mixing.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return compression_lang.digest(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op9_url_filter(spark, sf_dir):
     return url_reputation.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op7_language_id, op8_line_dedup, op9_url_filter)}
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter)}
+ORACLES = {"op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
