@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, simhash, source_mixing, url_reputation
+from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, passage_dedup, simhash, source_mixing, url_reputation
 
 
 def _table(spark, sf_dir, name):
@@ -41,5 +41,9 @@ def op9_url_filter(spark, sf_dir):
     return url_reputation.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter)}
+def op10_passage_dedup(spark, sf_dir):
+    return passage_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter, op10_passage_dedup)}
 ORACLES = {"op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
