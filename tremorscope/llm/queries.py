@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import compression_lang, line_dedup, ngram_trie, order_minhash, packing, passage_dedup, simhash, source_mixing, url_reputation
+from . import compression_lang, impact_search, line_dedup, ngram_trie, order_minhash, packing, passage_dedup, simhash, source_mixing, url_reputation
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_impact_search(spark, sf_dir):
+    return impact_search.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_passage_dedup(spark, sf_dir):
     return passage_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter, op10_passage_dedup)}
-ORACLES = {"op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_impact_search, op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter, op10_passage_dedup)}
+ORACLES = {"op1_impact_search": impact_search.ORACLE, "op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
