@@ -137,6 +137,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(pid, s): the hashes of the text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[xxhash.xxh3_64_intdigest(x) - 2**63 for x in set(shingles(t.as_py().encode().split()))] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["pid", "s"])
+
+    return texts.select("pid", "words").mapInArrow(run, "pid long, s array<long>")
+
+
 def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
     """Bucket members (key, pid) with their component so far, of buckets that hold several, and the bucket's extreme members."""
     found = components(edges, "passage-components")
@@ -150,10 +161,11 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, min_words: int, simila
 
     A bucket is a band key that several distinct paragraphs share. Its members
     are first checked against its smallest, then its largest member, which is
-    linear in its size and joins a group of near copies at once. Only members
-    of a bucket that are not yet in one component are then checked pair by
-    pair. No link is lost: a pair that goes unchecked is in one component
-    already.
+    linear in its size and joins a group of near copies at once. Members of a
+    bucket that are not in one component by then meet in a join on the key
+    whose condition holds their shingles' similarity, so that it puts out links
+    and no candidates. No link is lost: a pair that goes unchecked is in one
+    component already.
     """
     keys = distinct.select("pid", F.explode("bands").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("other")).where("first < other").select(F.col("key").alias("key_"), "first"), "passage-buckets")
@@ -171,8 +183,11 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, min_words: int, simila
     edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
     rest = stored(_labelled(met, edges), "passage-rest")
     if not rest.isEmpty():
-        a, b = rest.select("key", F.col("pid").alias("u"), F.col("label").alias("x")), rest.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"))
-        pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y"))).select("u", "v").distinct()
+        full = rest.join(_shingled(texts), "pid")
+        a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
+        sizes = F.size("s") + F.size("t")
+        alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
+        pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
         edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
     return components(edges, "passage-components")
 
