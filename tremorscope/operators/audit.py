@@ -97,7 +97,7 @@ def pairwise_standard_error(table: DataFrame, kind: str) -> DataFrame:
 
 @dataclass
 class Audit:
-    """What ``bootstrap_predictions`` found. Tables are lazy; ``predictions`` is kept for the summaries until ``release``."""
+    """What ``bootstrap_predictions`` found. Tables are lazy; the predictions are kept for the summaries until ``release``."""
 
     task: str
     prediction_method: str
@@ -107,6 +107,7 @@ class Audit:
     predictions: DataFrame
     case_stats: DataFrame
     classes: DataFrame | None
+    kept: DataFrame
     n_bootstrap: int
     n_cases: int
     n_resample_attempts: int
@@ -126,7 +127,7 @@ class Audit:
         return pairwise_standard_error(self.predictions, self.kind)
 
     def release(self) -> None:
-        self.predictions.unpersist()
+        self.kept.unpersist()
 
 
 def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task: str, n_bootstrap: int, prediction_method: str) -> None:
@@ -169,6 +170,24 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
     the fit to the rows as they are. Categorical draws with a single label are
     redrawn. Bad arguments and empty inputs raise ValueError.
     """
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
+    return audited(prepared, procedure, prediction_method)
+
+
+@dataclass
+class Prepared:
+    """Resamples that any number of procedures can be fitted to."""
+
+    weighted: DataFrame
+    cases: DataFrame
+    classes: DataFrame | None
+    task: str
+    n_bootstrap: int
+    n_cases: int
+    n_resample_attempts: int
+
+
+def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0) -> Prepared:
     _validated(train, cases, key, target, task, n_bootstrap, prediction_method)
     rows = train.withColumn("y", F.col(target).cast("double" if task == "continuous" else "string"))
     rows = numbered(rows, key, f"{seed}|rows")
@@ -180,12 +199,19 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
         weights, attempts = categorical_draws(rows, n, n_bootstrap, seed)
     else:
         weights = bootstrap_weights(train.sparkSession, n, n_bootstrap, seed)
-    model = procedure.fit(with_original(weights, rows))
+    classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
+    return Prepared(with_original(weights, rows), cases, classes, task, n_bootstrap, n_cases, attempts)
+
+
+def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -> Audit:
+    task, cases, classes = prepared.task, prepared.cases, prepared.classes
+    model = procedure.fit(prepared.weighted)
+    if isinstance(model, DataFrame):
+        model = model.persist()  # small: a few rows a draw, which several joins read
     scored = procedure.predict(model, cases)
     labels = scored.where("draw = 0").select("case_id", F.col("pred").alias("pred0"))
-    classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
     if prediction_method == "predict_proba":
-        draws = train.sparkSession.range(n_bootstrap + 1).select(F.col("id").cast("int").alias("draw"))
+        draws = cases.sparkSession.range(prepared.n_bootstrap + 1).select(F.col("id").cast("int").alias("draw"))
         full = aligned(procedure.predict_proba(model, cases), draws, cases, classes).persist()
         original = full.where("draw = 0").select("case_id", "class", F.col("p").alias("p0"))
         table, kind = full.where("draw > 0"), "vector"
@@ -195,7 +221,7 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
         labels = original = full.where("draw = 0").select("case_id", F.col("pred").alias("pred0"))
         table, kind = full.where("draw > 0"), "numeric" if task == "continuous" else "label"
         stats = numeric_case_stats(table, original) if kind == "numeric" else label_case_stats(table, original)
-    return Audit(task, prediction_method, kind, original, labels, table, stats, classes, n_bootstrap, n_cases, attempts)
+    return Audit(task, prediction_method, kind, original, labels, table, stats, classes, full, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts)
 
 
 def summary(case_stats: DataFrame, n_cases: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import score_by
 from ..sources.tables import require_columns, require_scalar
-from .audit import bootstrap_predictions, summarised
+from .audit import audited, prepare, summarised
 from .sampling import holdout_split, param_grid
 
 
@@ -36,6 +36,9 @@ def pareto_front(points: DataFrame, instability_key: str = "instability", order:
     return front.orderBy(F.desc("score"), order)
 
 
+POINTS = "config_id int, params map<string,string>, score double, instability double, instability_standard_error double, pairwise double, pairwise_standard_error double, mape double, mape_standard_error double, n_resample_attempts long, n_rejected_resamples long"
+
+
 @dataclass
 class Frontier:
     points: DataFrame
@@ -74,20 +77,21 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     else:
         require_columns(cases, "case_id", target)
     truth = cases.select("case_id", F.col(target).cast("double" if task == "continuous" else "string").alias("y"))
-    points, configs = None, param_grid(grid)
-    for config_id, params in enumerate(configs):
-        audit = bootstrap_predictions(train, cases, procedure_factory(**params), key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
-        score = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), [], task)
-        named = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))]) if params else F.create_map().cast("map<string,string>")
-        row = summarised(audit).crossJoin(F.broadcast(score)).select(
-            F.lit(config_id).alias("config_id"), named.alias("params"), "score",
-            F.col("pairwise_mean" if instability_metric == "pairwise" else "mape").alias("instability"),
-            F.col(f"{instability_metric}_standard_error").alias("instability_standard_error"),
-            F.col("pairwise_mean").alias("pairwise"), "pairwise_standard_error", "mape", "mape_standard_error", "n_resample_attempts", "n_rejected_resamples",
-        )
-        points = row if points is None else points.unionByName(row)
-    if points is None:
+    configs = param_grid(grid)
+    if not configs:
         raise ValueError("the grid is empty")
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
+    prepared.weighted = prepared.weighted.persist()
+    rows = []
+    for config_id, params in enumerate(configs):  # each a set of Spark jobs; a point is one row
+        audit = audited(prepared, procedure_factory(**params), prediction_method)
+        score = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), [], task)
+        r = summarised(audit).crossJoin(F.broadcast(score)).first()
+        instability, error = (r.pairwise_mean, r.pairwise_standard_error) if instability_metric == "pairwise" else (r.mape, r.mape_standard_error)
+        rows.append((config_id, {k: str(v) for k, v in params.items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
+        audit.release()
+    prepared.weighted.unpersist()
+    points = data.sparkSession.createDataFrame(rows, POINTS)
     return Frontier(points, pareto_front(points), len(configs) * (n_bootstrap + 1), time.perf_counter() - began, task, "accuracy" if task == "categorical" else "r2", instability_metric, prediction_method, source)
 
 
