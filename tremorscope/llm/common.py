@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorscope.sources.shared import shared_dir, stored
+
+__all__ = ["ascii_lower", "crc_bucket", "shared_dir", "stored"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,38 +19,3 @@ def ascii_lower(column):
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir. Only where that is unset (local
-    tests, one machine) a temporary folder is made and set.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tremorscope-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage so that a lost executor costs a reread, not a recompute,
-    and lets several later jobs reuse the rows. The table goes when the
-    application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tremorscope-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def only(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Just the named columns: extra ones, however named, take no part."""
-    return df.select(*[df[f"`{c}`"] for c in columns])

@@ -181,7 +181,7 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
     to be cut.
     """
     spark = docs.sparkSession
-    lanes = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # a third of all rests in one length then splits into tasks of the usual size
     pieces = stored(cut_pieces(docs, lanes, paths or tokenizer_paths(), capacity), "pieces")
     by_lane = pieces.groupBy("length", "lane").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))

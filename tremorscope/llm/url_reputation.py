@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 RULES = (
     ("block", "com", "/en/"),
@@ -60,10 +60,11 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     all units of that level. ``bound`` is the posterior mean less ``z``
     posterior standard deviations. Rows with a null host or bad don't count.
 
-    The first aggregation reduces to one row a host with map-side sums; what
-    follows works on those counts. Only one-row statistics are broadcast.
+    The first aggregation reduces to one row a host with map-side sums, which
+    are stored; what follows works on those counts alone. Only one-row statistics are broadcast.
     """
-    hosts = with_domains(outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+    counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = stored(with_domains(counted), "host-counts")
     every = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m0"))
     shrunk = (F.col("bad") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
 
