@@ -73,3 +73,21 @@ def test_odd_rows(spark):
     assert simhash.digest(docs.limit(0)).count() == 0
     kept = simhash.keep_one_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 5, 5]
+
+
+def test_near_copies_go_from_jaccard_08(spark):
+    """One of each pair of Jaccard 0.8 to 0.95 stays, and both of a pair just below; SimHashes within 2 bits miss them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want, far = [], set(), 0
+    for i in range(120):
+        base = [word() for _ in range(204)]  # 200 shingles
+        near = list(base)
+        for j in range(i % 6 + 1):  # each changed word costs five of them: Jaccard 0.951, 0.905, 0.860, 0.818, 0.778, 0.739
+            near[20 + 30 * j] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, "\n".join(near).upper())]
+        want |= {2 * i} if i % 6 < 4 else {2 * i, 2 * i + 1}
+        far += i % 6 < 4 and (simhash.simhash(rows[-1][1], 5) ^ simhash.simhash(rows[-2][1], 5)).bit_count() > 2
+    assert far > 60
+    kept = {r.doc_id for r in simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert want <= kept and len(kept - want) <= 1

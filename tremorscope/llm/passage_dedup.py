@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from math import ceil, log
 
 import numpy as np
@@ -48,6 +49,15 @@ def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[i
         start += len(line) + 1
 
 
+#: A text's units, as ``paragraphs`` gives them.
+Cut = Callable[[str | None], Iterator[tuple[int, int, int, list[bytes]]]]
+
+
+def whole(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """The whole text as one unit; null is empty."""
+    yield 0, 0, len(text or ""), (text or "").encode().lower().split()
+
+
 def shingles(words: list[bytes]) -> list[bytes]:
     return [b" ".join(w) for w in zip(*[words[i:] for i in range(WORDS)])] or [b" ".join(words)]
 
@@ -59,9 +69,9 @@ def jaccard(a: str, b: str) -> float:
 
 def band_keys(lists: list[list[bytes]]) -> np.ndarray:
     """One row a paragraph of BANDS keys, each of ROWS minima of its shingles."""
-    hashed = [[xxhash.xxh3_64_intdigest(s) for s in shingles(w)] for w in lists]
+    hashed = [np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(w)), dtype=np.uint64) for w in lists]
     starts = np.cumsum([0, *map(len, hashed)])
-    flat = np.fromiter((h for hs in hashed for h in hs), dtype=np.uint64, count=int(starts[-1]))
+    flat = np.concatenate(hashed)
     keys = np.empty((len(lists), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         key = np.full(len(lists), band + 1, dtype=np.uint64)
@@ -79,11 +89,12 @@ def _identity(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-SLICE = 2000
+#: Words that are banded at once.
+SLICE = 100_000
 
 
-def with_bands(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, h1, h2, bands) of every paragraph."""
+def with_bands(docs: DataFrame, cut: Cut) -> DataFrame:
+    """(doc_id, h1, h2, bands) of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(ids: list, lists: list) -> pa.RecordBatch:
@@ -93,29 +104,30 @@ def with_bands(docs: DataFrame, min_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), bands], names=["doc_id", "h1", "h2", "bands"])
 
         for batch in batches:
-            ids, lists = [], []
+            ids, lists, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for _, _, _, words in paragraphs(text.as_py(), min_words):
+                for _, _, _, words in cut(text.as_py()):
                     ids.append(doc_id)
                     lists.append(words)
-                    if len(ids) >= SLICE:
+                    held += len(words) + 1
+                    if held >= SLICE:
                         yield made(ids, lists)
-                        ids, lists = [], []
+                        ids, lists, held = [], [], 0
             if ids:
                 yield made(ids, lists)
 
     return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def located(docs: DataFrame, min_words: int, with_text: bool = False) -> DataFrame:
-    """(doc_id, pos, start, length, h1, h2[, words]) of every paragraph."""
+def located(docs: DataFrame, cut: Cut, with_text: bool = False) -> DataFrame:
+    """(doc_id, pos, start, length, h1, h2[, words]) of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (doc_id, pos, start, length, *_identity(words), *([b" ".join(words)] if with_text else []))
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                for pos, start, length, words in paragraphs(text.as_py(), min_words)
+                for pos, start, length, words in cut(text.as_py())
             ]
             if rows:
                 columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:6]]
@@ -156,10 +168,10 @@ def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(open_, rows["key"] == open_["key_"]).select("key", "pid", "label", "last")
 
 
-def near_paragraphs(distinct: DataFrame, docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """(node, component) over distinct paragraphs (pid, h1, h2, d, bands) that link to another.
+def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float) -> DataFrame:
+    """(node, component) over distinct units (pid, h1, h2, d, bands) of ``docs`` under ``cut`` that link to another.
 
-    A bucket is a band key that several distinct paragraphs share. Its members
+    A bucket is a band key that several distinct units share. Its members
     are first checked against its smallest, then its largest member, which is
     linear in its size and joins a group of near copies at once. Members of a
     bucket that are not in one component by then meet in a join on the key
@@ -171,7 +183,7 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, min_words: int, simila
     shared = stored(keys.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("other")).where("first < other").select(F.col("key").alias("key_"), "first"), "passage-buckets")
     met = stored(keys.join(shared, keys["key"] == shared["key_"]).select("key", "pid", "first"), "passage-members")
     members = stored(distinct.select("pid", F.col("h1").alias("m1"), F.col("h2").alias("m2"), "d").join(met.select("pid").distinct(), "pid", "left_semi"), "passage-candidates")
-    rows = located(docs, min_words, True)
+    rows = located(docs, cut, True)
     same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & (rows["doc_id"] == members["d"])
     texts = stored(rows.join(members, same).select("pid", "words").dropDuplicates(["pid"]), "passage-texts")
     pairs = met.where("pid != first").select(F.col("first").alias("u"), F.col("pid").alias("v")).distinct()
@@ -207,14 +219,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     a passage that a third of all documents hold is one row from there on.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    merged = with_bands(rows, min_words).groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("d_last"), F.first("bands").alias("bands"))
+    cut = partial(paragraphs, min_words=min_words)
+    merged = with_bands(rows, cut).groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("d_last"), F.first("bands").alias("bands"))
     distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "*"), "passages")
-    found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "bands"), rows, min_words, similarity)
+    found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "bands"), rows, cut, similarity)
     labelled = distinct.select("pid", "h1", "h2", "d", "d_last").join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", "d_last", F.coalesce("component", "pid").alias("label"))
     labelled = stored(labelled, "passage-labels")
     classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id")
     repeated = stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id"), "passage-classes")
-    places = located(rows, min_words)
+    places = located(rows, cut)
     return places.join(repeated, (places["h1"] == repeated["r1"]) & (places["h2"] == repeated["r2"])).select("doc_id", "pos", "start", "length", "component_id")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .passage_dedup import SIMILARITY, near_paragraphs, whole, with_bands
 
 BITS, MOST_BITS, SHINGLE = 64, 2, 3
 #: A key that more fingerprints share than this is not paired up; its members take the exact detour of ``_through_flips``.
@@ -216,12 +217,26 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, on five-word shingles.
+def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies.
 
-    Rows with a null doc_id go if a document has their fingerprint or a near
-    one, else they stay.
+    Two documents link if their sets of five-word shingles have a Jaccard
+    similarity of ``similarity`` or more; a group is what links join over any
+    number of steps. At 0.8 two 64-bit SimHashes differ in about ten bits, too
+    many to look up, so candidates come from MinHash bands that find such a
+    pair with probability 0.999, and each is checked on the shingles
+    themselves. Null and empty texts are one group; fewer than five words are
+    one shingle. Rows with a null doc_id stay and link nothing.
     """
-    found = near_duplicates(docs, words=5).select(F.col("doc_id").alias("d_"), "component_id")
-    lost = found.where("d_ is not null and d_ != component_id").select("d_").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    marks = stored(with_bands(rows, whole), "near-marks")
+    merged = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.first("bands").alias("bands"))
+    distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "*"), "near-distinct")
+    found = near_paragraphs(distinct, rows, whole, similarity)
+    labelled = stored(distinct.join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", F.coalesce("component", "pid").alias("label")), "near-labels")
+    least = labelled.groupBy("label").agg(F.min("d").alias("first_d")).withColumnRenamed("label", "label_")
+    kept = labelled.join(least, labelled["label"] == least["label_"]).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_d")
+    # equal on one key, checked on the other: AQE may split a text that a third of all rows share
+    same = (marks["h1"] == kept["k1"]) & (marks["h2"].bitwiseXOR(kept["k2"]) == 0)
+    lost = marks.join(kept, same).where("doc_id > first_d").select(F.col("doc_id").alias("d_")).distinct()
     return docs.join(lost, docs["doc_id"].cast("long") == lost["d_"], "left_anti")
