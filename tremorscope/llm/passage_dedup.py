@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that stand, alike or nearly so, in several documents."""
+"""Substring dedup: paragraphs that stand, alike or nearly so, in several documents, and runs of words that an earlier one holds."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .passage_runs import remove_repeated_runs, repeated_runs
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 64
 #: Paragraphs of fewer words are left alone: stock phrases, headings, licence lines.
@@ -239,18 +240,28 @@ def remove_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, simila
     return docs.join(gone, docs["doc_id"] == gone["d_"], "left").withColumn("text", text).select(*docs.columns)
 
 
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without repeated paragraphs, and then without the runs of 50 words or more that a document with a smaller doc_id still holds."""
+    return remove_repeated_runs(remove_repeated_passages(docs, min_words, similarity))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """A row per document: its class ids, how many of its paragraphs repeat, and the spans that go.
 
-    component_id is the smallest of component_ids, which are the smallest
-    doc_ids of its paragraphs' components; a document without any has its own
-    doc_id. A span goes if its component reaches a smaller doc_id.
+    component_ids are the smallest doc_ids of its paragraphs' components. A
+    span goes if its component reaches a smaller doc_id. passages are the runs
+    of 50 words or more, inside a line or over several, that stand in documents
+    with smaller doc_ids, in the whole text. component_id is the smallest of
+    component_ids and of the passages'; a document without any has its own
+    doc_id.
     """
     spans = F.struct("pos", "start", "length", "component_id")
     by_doc = repeated_passages(docs).groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(spans)).alias("all_"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left")
+    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("r_")).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias("runs_"))
+    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left").join(runs, ids["doc_id"] == runs["r_"], "left")
+    passages = F.coalesce("runs_", F.array().cast("array<struct<start:bigint,length:bigint,component_id:bigint>>"))
     all_ = F.coalesce("all_", F.array().cast("array<struct<pos:bigint,start:bigint,length:bigint,component_id:bigint>>"))
     removed = F.filter(all_, lambda s: s["component_id"] < F.col("doc_id"))
     kinds = F.array_sort(F.array_distinct(F.transform(all_, lambda s: s["component_id"])))
-    return joined.select("doc_id", F.coalesce(F.array_min(kinds), "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return joined.select("doc_id", F.coalesce(F.least(F.array_min(kinds), F.array_min(F.transform(passages, lambda s: s["component_id"]))), "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), passages.alias("passages"))
