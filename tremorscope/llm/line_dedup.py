@@ -26,8 +26,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     with a null doc_id count for nothing and lose nothing. Other columns pass; an
     incoming n_lines or n_dropped gives way.
 
-    Keys travel as two 64-bit hashes, so lines of any length shuffle as 16
-    bytes; hot keys are pre-aggregated by min, max and (only where more than
+    Keys travel as two 64-bit hashes, the second salted before the key, as a
+    salt after it would only hash the first anew. Lines of any length shuffle
+    as 16 bytes; hot keys are pre-aggregated by min, max and (only where more than
     two documents are asked for) a distinct count. The text itself is shuffled
     once, to meet the positions that it loses.
     """
@@ -36,7 +37,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
         .where("d is not null")
         .select("d", "pos", line_key(F.col("line")).alias("k"))
         .where(F.char_length("k") >= min_chars)
-        .select("d", "pos", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"))
+        .select("d", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"))
     )
     if min_docs == 2:
         found = lines.groupBy("h1", "h2").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d")).where("first_d < last_d")
