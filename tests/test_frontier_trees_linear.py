@@ -160,3 +160,101 @@ def test_plot_tables(spark):
     assert shown["scatter"].count() == 30 and shown["band"].count() == 5
     with pytest.raises(ValueError):
         ts.plot_prediction_instability(audit, class_label="a")
+
+
+def test_paths_on_any_node_numbers(spark):
+    """A right chain and a left chain numbered in preorder, and one whose numbers are arbitrary."""
+    made = "fit_id int, node_id int, left int, right int, feature int, threshold double, value double"
+    rows = []
+    for fit, ids in ((1, [0, 2, 4, 6]), (2, [0, 1000, 7, 50])):
+        leaves = [i + 1 for i in ids]
+        for k in range(3):
+            rows += [(fit, ids[k], leaves[k], ids[k + 1], 0, float(k), -1.0), (fit, leaves[k], -1, -1, -1, None, float(k))]
+        rows.append((fit, ids[3], -1, -1, -1, None, 9.0))
+    nodes = spark.createDataFrame(rows, made)
+    cases = spark.createDataFrame([(i, x) for i, x in enumerate((-1.0, 0.5, 1.5, 5.0, NAN, None))], "case_id long, x double")
+    got = {(r.fit_id, r.case_id): (r.path, r.value) for r in trees.routed(nodes, cases, ["x"]).collect()}
+    want = {0: ([0], 0.0), 1: ([0, 0], 1.0), 2: ([0, 0, 0], 2.0), 3: ([0, 0, 0], 9.0), 4: ([0, 0, 0], 9.0), 5: ([0, 0, 0], 9.0)}
+    assert got == {(f, c): x for f in (1, 2) for c, x in want.items()} and trees.depth_of(nodes) == 3
+    loop = spark.createDataFrame([(1, 0, 0, 0, 0, 0.0, 0.0)], made)
+    with pytest.raises(ValueError):
+        trees.depth_of(loop, most=5)
+
+
+class Nearest:
+    """Labels by the nearest class mean of x; a free random_state, as such objects have."""
+
+    def __init__(self):
+        self.random_state = None
+
+    def fit(self, x, y):
+        self.means_ = x["x"].groupby(y).mean().sort_index()
+        self.classes_ = list(self.means_.index)
+        return self
+
+    def predict(self, x):
+        return [min(self.classes_, key=lambda c: abs(v - self.means_[c])) for v in x["x"]]
+
+
+class WithShares(Nearest):
+    def predict_proba(self, x):
+        return [[1.0 if c == p else 0.0 for c in self.classes_] for p in self.predict(x)]
+
+
+def labelled(spark):
+    rng = random.Random(6)
+    rows = [(i, "low" if i % 2 else "high", rng.gauss(0 if i % 2 else 2, 1)) for i in range(120)]
+    return spark.createDataFrame(rows, "rid long, y string, x double")
+
+
+def test_label_objects_and_metric_fallback(spark):
+    from tremorscope.operators.procedures import Fitted
+
+    data = labelled(spark)
+    cases = data.where("rid >= 80").withColumnRenamed("rid", "case_id")
+    one = ts.bootstrap_instability(data.where("rid < 80"), cases, Fitted(Nearest, ["x"]), task="categorical", n_bootstrap=4).first()
+    assert 0 <= one.pairwise_mean < 0.5
+    for made, metric in ((Nearest, "disagreement"), (WithShares, "probability_mse")):
+        found = ts.RepresentativeEstimator(Fitted(made, ["x"]), n_candidates=3).fit(data)
+        assert found.proximity_metric_ == metric and found.score(cases) > 0.6
+        assert (found.validation_probabilities_ is None) == (made is Nearest)
+        assert {r.pred for r in found.predict(cases).collect()} == {"low", "high"}
+        found.release()
+    with pytest.raises(ValueError):
+        ts.RepresentativeEstimator(Fitted(Nearest, ["x"]), n_candidates=2, proximity_metric="probability_mse").fit(data)
+
+
+def test_nested_random_states_follow_seed_and_draw(spark):
+    from tremorscope.operators.procedures import seeded
+
+    class Outer:
+        def __init__(self):
+            self.params = {"random_state": None, "inner__random_state": None, "fixed__random_state": 3, "other": None}
+
+        def get_params(self, deep=True):
+            return dict(self.params)
+
+        def set_params(self, **new):
+            self.params |= new
+
+    a, b, c = (seeded(Outer(), s).params for s in (5, 5, 6))
+    assert a == b != c and a["fixed__random_state"] == 3 and a["other"] is None
+    assert None not in (a["random_state"], a["inner__random_state"]) and a["random_state"] != a["inner__random_state"]
+    assert seeded(Nearest(), 4).random_state == 4
+
+
+def test_default_tree_probabilities_and_its_nodes(spark):
+    data = labelled(spark)
+    found = ts.RepresentativeEstimator(n_candidates=2, seed=1).fit(data)
+    cases = data.withColumnRenamed("rid", "case_id")
+    assert found.proximity_metric_ == "probability_mse" and found.score(cases) > 0.7
+    sums = [r.p for r in found.predict_proba(cases).groupBy("case_id").agg(F.sum("p").alias("p")).collect()]
+    assert len(sums) == 120 and all(p == pytest.approx(1) for p in sums)
+    nodes = trees.nodes_of(found, 4, spark)
+    assert {r.fit_id for r in nodes.collect()} == {4} and nodes.where("feature = 0").count() > 0
+    values = trees.routed(nodes, cases, ["x"]).join(found.predict(cases), "case_id").select("value", "pred").distinct().collect()
+    assert {(r.value, r.pred) for r in values} == {(0.0, "high"), (1.0, "low")}
+    with pytest.raises(TypeError):
+        trees.nodes_of(Ols("x"), 0, spark)
+    price = ts.RepresentativeEstimator(task="regression", n_candidates=2).fit(data.select("rid", F.col("x").alias("y"), F.length("y").cast("double").alias("k")))
+    assert price.proximity_metric_ == "rmse" and price.candidate_scores_.count() == 2

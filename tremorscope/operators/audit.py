@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import NAN, exact_quantile
+from ..sources.shared import dropped, stored
 from ..sources.tables import require_columns, require_scalar
 from .sampling import bootstrap_weights, numbered, usable_draws, with_original
 
@@ -18,18 +21,23 @@ ONE_STEP_CASES = 1_000_000
 # Statistics of any table (draw, case_id, pred) or (draw, case_id, class, p); originals hold pred0 or p0.
 
 
-def numeric_case_stats(predictions: DataFrame, original: DataFrame) -> DataFrame:
+#: All of them take ``by``, further columns that tell apart several tables in one, as the configurations of a grid are; results hold them too.
+
+
+def numeric_case_stats(predictions: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(case_id, per_point, pairwise, mape): variance over draws, twice that, and the mean absolute move from the original prediction."""
-    joined = predictions.join(original, "case_id")
-    return joined.groupBy("case_id").agg(F.var_samp("pred").alias("per_point"), F.avg(F.abs(F.col("pred") - F.col("pred0"))).alias("mape")).select("case_id", "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
+    keys = [*by, "case_id"]
+    joined = predictions.join(original, keys)
+    return joined.groupBy(*keys).agg(F.var_samp("pred").alias("per_point"), F.avg(F.abs(F.col("pred") - F.col("pred0"))).alias("mape")).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
 
 
-def label_case_stats(predictions: DataFrame, original: DataFrame) -> DataFrame:
+def label_case_stats(predictions: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Labels are names: per_point is the share of draws off the modal label, pairwise the share of draw pairs that differ, mape the share off the original."""
-    counts = predictions.groupBy("case_id", "pred").agg(F.count("*").alias("n")).join(original, "case_id")
+    keys = [*by, "case_id"]
+    counts = predictions.groupBy(*keys, "pred").agg(F.count("*").alias("n")).join(original, keys)
     n, total = F.col("n"), F.sum("n")
     off = F.sum(F.when(F.col("pred") != F.col("pred0"), n).otherwise(0))
-    return counts.groupBy("case_id").agg((1 - F.max("n") / total).alias("per_point"), (1 - F.sum(n * (n - 1)) / (total * (total - 1))).alias("pairwise"), (off / total).alias("mape"))
+    return counts.groupBy(*keys).agg((1 - F.max("n") / total).alias("per_point"), (1 - F.sum(n * (n - 1)) / (total * (total - 1))).alias("pairwise"), (off / total).alias("mape"))
 
 
 def aligned(probabilities: DataFrame, draws: DataFrame, cases: DataFrame, classes: DataFrame) -> DataFrame:
@@ -46,34 +54,38 @@ def aligned(probabilities: DataFrame, draws: DataFrame, cases: DataFrame, classe
     return grid.join(probabilities, ["draw", "case_id", "class"], "left").select("draw", "case_id", "class", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
-def vector_case_stats(probabilities: DataFrame, original: DataFrame) -> DataFrame:
+def vector_case_stats(probabilities: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Variances are summed over classes; the absolute move is averaged over them."""
-    by_class = probabilities.join(original, ["case_id", "class"]).groupBy("case_id", "class").agg(F.var_samp("p").alias("v"), F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
-    return by_class.groupBy("case_id").agg(F.sum("v").alias("per_point"), F.avg("m").alias("mape")).select("case_id", "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
+    keys = [*by, "case_id"]
+    by_class = probabilities.join(original, [*keys, "class"]).groupBy(*keys, "class").agg(F.var_samp("p").alias("v"), F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
+    return by_class.groupBy(*keys).agg(F.sum("v").alias("per_point"), F.avg("m").alias("mape")).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
+
 
+CASE_STATS = {"numeric": numeric_case_stats, "label": label_case_stats, "vector": vector_case_stats}
 
-def draw_mape(table: DataFrame, original: DataFrame, kind: str) -> DataFrame:
+
+def draw_mape(table: DataFrame, original: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """(draw, m): each draw's mean move from the original, over cases (and classes)."""
     if kind == "vector":
-        return table.join(original, ["case_id", "class"]).groupBy("draw").agg(F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
+        return table.join(original, [*by, "case_id", "class"]).groupBy(*by, "draw").agg(F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
     move = F.abs(F.col("pred") - F.col("pred0")) if kind == "numeric" else F.when(F.col("pred") != F.col("pred0"), 1.0).otherwise(0.0)
-    return table.join(original, "case_id").groupBy("draw").agg(F.avg(move).alias("m"))
+    return table.join(original, [*by, "case_id"]).groupBy(*by, "draw").agg(F.avg(move).alias("m"))
 
 
-def standard_error(samples: DataFrame, column: str = "m") -> DataFrame:
+def standard_error(samples: DataFrame, column: str = "m", by: Sequence[str] = ()) -> DataFrame:
     """One row: standard deviation over the root of the count; NaN under two rows."""
     n = F.count(column)
-    return samples.agg(F.when(n < 2, F.lit(NAN)).otherwise(F.stddev_samp(column) / F.sqrt(n)).alias("standard_error"))
+    return samples.groupBy(*by).agg(F.when(n < 2, F.lit(NAN)).otherwise(F.stddev_samp(column) / F.sqrt(n)).alias("standard_error"))
 
 
-def _jackknife(rows: DataFrame) -> DataFrame:
+def _jackknife(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows (draw, r), r a draw's summed distance to all draws, to the error of the mean over all pairs."""
     b = F.count("*")
     pairs = (b - 1) * (b - 2) / 2.0
-    return rows.agg(F.when(b < 3, F.lit(NAN)).otherwise(F.sqrt((b - 1) * F.var_pop("r")) / F.nullif(pairs, F.lit(0.0))).alias("standard_error"))
+    return rows.groupBy(*by).agg(F.when(b < 3, F.lit(NAN)).otherwise(F.sqrt((b - 1) * F.var_pop("r")) / F.nullif(pairs, F.lit(0.0))).alias("standard_error"))
 
 
-def pairwise_standard_error(table: DataFrame, kind: str) -> DataFrame:
+def pairwise_standard_error(table: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """One row: the delete-one jackknife error of the mean pairwise distance, in time linear in draws.
 
     A draw's summed squared distance to all others follows from the case's sums
@@ -82,22 +94,22 @@ def pairwise_standard_error(table: DataFrame, kind: str) -> DataFrame:
     window holds the draws of one case.
     """
     if kind == "label":
-        n = F.count("*").over(Window.partitionBy("case_id"))
-        alike = F.count("*").over(Window.partitionBy("case_id", "pred"))
-        return _jackknife(table.select("draw", (n - alike).alias("d")).groupBy("draw").agg(F.avg("d").alias("r")))
-    keys, value = (["case_id", "class"], F.col("p")) if kind == "vector" else (["case_id"], F.col("pred"))
+        n = F.count("*").over(Window.partitionBy(*by, "case_id"))
+        alike = F.count("*").over(Window.partitionBy(*by, "case_id", "pred"))
+        return _jackknife(table.select(*by, "draw", (n - alike).alias("d")).groupBy(*by, "draw").agg(F.avg("d").alias("r")), by)
+    keys, value = ([*by, "case_id", "class"], F.col("p")) if kind == "vector" else ([*by, "case_id"], F.col("pred"))
     case = Window.partitionBy(*keys)
     z = table.withColumn("z", value - F.avg(value).over(case))
     b, s1, s2 = F.count("*").over(case), F.sum("z").over(case), F.sum(F.col("z") * F.col("z")).over(case)
-    d = z.select("draw", "case_id", (b * F.col("z") * F.col("z") + s2 - 2 * F.col("z") * s1).alias("d"))
+    d = z.select(*by, "draw", "case_id", (b * F.col("z") * F.col("z") + s2 - 2 * F.col("z") * s1).alias("d"))
     if kind == "vector":
-        d = d.groupBy("draw", "case_id").agg(F.sum("d").alias("d"))
-    return _jackknife(d.groupBy("draw").agg(F.avg("d").alias("r")))
+        d = d.groupBy(*by, "draw", "case_id").agg(F.sum("d").alias("d"))
+    return _jackknife(d.groupBy(*by, "draw").agg(F.avg("d").alias("r")), by)
 
 
 @dataclass
 class Audit:
-    """What ``bootstrap_predictions`` found. Tables are lazy; the predictions are kept for the summaries until ``release``."""
+    """What ``bootstrap_predictions`` found. Statistics are lazy; the predictions are a table in the shared folder until ``release``."""
 
     task: str
     prediction_method: str
@@ -127,7 +139,7 @@ class Audit:
         return pairwise_standard_error(self.predictions, self.kind)
 
     def release(self) -> None:
-        self.kept.unpersist()
+        dropped(self.kept)
 
 
 def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task: str, n_bootstrap: int, prediction_method: str) -> None:
@@ -190,7 +202,7 @@ class Prepared:
 def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0) -> Prepared:
     _validated(train, cases, key, target, task, n_bootstrap, prediction_method)
     rows = train.withColumn("y", F.col(target).cast("double" if task == "continuous" else "string"))
-    rows = numbered(rows, key, f"{seed}|rows")
+    rows, cases = stored(numbered(rows, key, f"{seed}|rows"), "audit-rows"), stored(cases, "audit-cases")
     n, n_cases = rows.count(), cases.count()
     if not n or not n_cases:
         raise ValueError("training rows and cases must not be empty")
@@ -204,33 +216,51 @@ def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str
 
 
 def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -> Audit:
+    audit, _ = audited_all(prepared, {0: procedure}, prediction_method)
+    drop = lambda df: df.drop("config_id")
+    audit.original, audit.original_labels, audit.predictions, audit.case_stats = map(drop, (audit.original, audit.original_labels, audit.predictions, audit.case_stats))
+    return audit
+
+
+CONFIG = ("config_id",)
+
+
+def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_method: str = "predict") -> tuple[Audit, DataFrame]:
+    """An audit whose tables hold ``config_id``, and its summary, a row a configuration: all procedures in one plan."""
     task, cases, classes = prepared.task, prepared.cases, prepared.classes
-    model = procedure.fit(prepared.weighted)
-    if isinstance(model, DataFrame):
-        model = model.persist()  # small: a few rows a draw, which several joins read
-    scored = procedure.predict(model, cases)
-    labels = scored.where("draw = 0").select("case_id", F.col("pred").alias("pred0"))
+    parts, labelled = [], []
+    for config_id, procedure in procedures.items():
+        model = procedure.fit(prepared.weighted)
+        if isinstance(model, DataFrame):
+            model = stored(model, "audit-models")  # a few rows a draw, which several joins read
+        mark = lambda df, i=config_id: df.withColumn("config_id", F.lit(i))
+        if prediction_method == "predict_proba":
+            first = model.where("draw = 0") if isinstance(model, DataFrame) else {0: model[0]}
+            labelled.append(mark(procedure.predict(first, cases).select("case_id", F.col("pred").alias("pred0"))))
+            draws = cases.sparkSession.range(prepared.n_bootstrap + 1).select(F.col("id").cast("int").alias("draw"))
+            parts.append(mark(aligned(procedure.predict_proba(model, cases), draws, cases, classes)))
+        else:
+            parts.append(mark(procedure.predict(model, cases).select("draw", "case_id", "pred")))
+    full = stored(reduce(DataFrame.unionByName, parts), "audit-predictions")
+    table = full.where("draw > 0")
     if prediction_method == "predict_proba":
-        draws = cases.sparkSession.range(prepared.n_bootstrap + 1).select(F.col("id").cast("int").alias("draw"))
-        full = aligned(procedure.predict_proba(model, cases), draws, cases, classes).persist()
-        original = full.where("draw = 0").select("case_id", "class", F.col("p").alias("p0"))
-        table, kind = full.where("draw > 0"), "vector"
-        stats = vector_case_stats(table, original)
+        original, labels, kind = full.where("draw = 0").select(*CONFIG, "case_id", "class", F.col("p").alias("p0")), reduce(DataFrame.unionByName, labelled), "vector"
     else:
-        full = scored.select("draw", "case_id", "pred").persist()
-        labels = original = full.where("draw = 0").select("case_id", F.col("pred").alias("pred0"))
-        table, kind = full.where("draw > 0"), "numeric" if task == "continuous" else "label"
-        stats = numeric_case_stats(table, original) if kind == "numeric" else label_case_stats(table, original)
-    return Audit(task, prediction_method, kind, original, labels, table, stats, classes, full, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts)
-
-
-def summary(case_stats: DataFrame, n_cases: int) -> DataFrame:
-    """One row: mean, 90th percentile and maximum of per_point; mean mape and pairwise."""
-    if n_cases <= ONE_STEP_CASES:
-        p90: Column = F.percentile("per_point", F.lit(0.9))
+        labels = original = full.where("draw = 0").select(*CONFIG, "case_id", F.col("pred").alias("pred0"))
+        kind = "numeric" if task == "continuous" else "label"
+    audit = Audit(task, prediction_method, kind, original, labels, table, CASE_STATS[kind](table, original, CONFIG), classes, full, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts)
+    return audit, summarised(audit, CONFIG)
+
+
+def summary(case_stats: DataFrame, n_cases: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row: mean, 90th percentile and maximum of per_point; mean mape and pairwise. With ``by`` there is no percentile."""
+    if by:
+        p90: list[Column] = []
+    elif n_cases <= ONE_STEP_CASES:
+        p90 = [F.percentile("per_point", F.lit(0.9)).alias("instability_p90")]
     else:
-        p90 = F.first(F.lit(exact_quantile(case_stats, "per_point", 0.9)))
-    return case_stats.agg(F.avg("per_point").alias("instability_mean"), p90.alias("instability_p90"), F.max("per_point").alias("instability_max"), F.avg("mape").alias("mape"), F.avg("pairwise").alias("pairwise_mean"))
+        p90 = [F.first(F.lit(exact_quantile(case_stats, "per_point", 0.9))).alias("instability_p90")]
+    return case_stats.groupBy(*by).agg(F.avg("per_point").alias("instability_mean"), *p90, F.max("per_point").alias("instability_max"), F.avg("mape").alias("mape"), F.avg("pairwise").alias("pairwise_mean"))
 
 
 def bootstrap_instability(train: DataFrame, cases: DataFrame, procedure, **options) -> DataFrame:
@@ -239,9 +269,11 @@ def bootstrap_instability(train: DataFrame, cases: DataFrame, procedure, **optio
     return summarised(audit)
 
 
-def summarised(audit: Audit) -> DataFrame:
-    mape = audit.mape_standard_error().withColumnRenamed("standard_error", "mape_standard_error")
-    pairwise = audit.pairwise_standard_error().withColumnRenamed("standard_error", "pairwise_standard_error")
-    one = summary(audit.case_stats, audit.n_cases).crossJoin(F.broadcast(mape)).crossJoin(F.broadcast(pairwise))
+def summarised(audit: Audit, by: Sequence[str] = ()) -> DataFrame:
+    mape = standard_error(draw_mape(audit.predictions, audit.original, audit.kind, by), by=by).withColumnRenamed("standard_error", "mape_standard_error")
+    pairwise = pairwise_standard_error(audit.predictions, audit.kind, by).withColumnRenamed("standard_error", "pairwise_standard_error")
+    one = summary(audit.case_stats, audit.n_cases, by)
+    one = one.join(mape, list(by)).join(pairwise, list(by)) if by else one.crossJoin(F.broadcast(mape)).crossJoin(F.broadcast(pairwise))
     counters = {"n_fit_attempts": audit.n_fit_attempts, "n_resample_attempts": audit.n_resample_attempts, "n_rejected_resamples": audit.n_rejected_resamples}
-    return one.select("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error", *[F.lit(v).cast("long").alias(k) for k, v in counters.items()])
+    numbers = [c for c in ("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error") if c in one.columns]
+    return one.select(*by, *numbers, *[F.lit(v).cast("long").alias(k) for k, v in counters.items()])

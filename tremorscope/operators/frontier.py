@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import score_by
+from ..sources.shared import stored
 from ..sources.tables import require_columns, require_scalar
-from .audit import audited, prepare, summarised
+from .audit import audited_all, prepare
 from .sampling import holdout_split, param_grid
 
 
@@ -72,7 +73,7 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     began, source = time.perf_counter(), "supplied"
     train = data
     if cases is None:
-        split = holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None)
+        split = stored(holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None), "frontier-split")
         train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), "holdout"
     else:
         require_columns(cases, "case_id", target)
@@ -81,16 +82,15 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     if not configs:
         raise ValueError("the grid is empty")
     prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
-    prepared.weighted = prepared.weighted.persist()
+    weighted = prepared.weighted = prepared.weighted.persist()  # every configuration is fitted to it
+    audit, found = audited_all(prepared, {i: procedure_factory(**params) for i, params in enumerate(configs)}, prediction_method)
+    scores = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task)
     rows = []
-    for config_id, params in enumerate(configs):  # each a set of Spark jobs; a point is one row
-        audit = audited(prepared, procedure_factory(**params), prediction_method)
-        score = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), [], task)
-        r = summarised(audit).crossJoin(F.broadcast(score)).first()
+    for r in found.join(scores, "config_id").orderBy("config_id").collect():  # a row a configuration
         instability, error = (r.pairwise_mean, r.pairwise_standard_error) if instability_metric == "pairwise" else (r.mape, r.mape_standard_error)
-        rows.append((config_id, {k: str(v) for k, v in params.items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
-        audit.release()
-    prepared.weighted.unpersist()
+        rows.append((r.config_id, {k: str(v) for k, v in configs[r.config_id].items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
+    audit.release()
+    weighted.unpersist()
     points = data.sparkSession.createDataFrame(rows, POINTS)
     return Frontier(points, pareto_front(points), len(configs) * (n_bootstrap + 1), time.perf_counter() - began, task, "accuracy" if task == "categorical" else "r2", instability_metric, prediction_method, source)
 
@@ -102,5 +102,5 @@ def within_of_best(points: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 
 def most_stable(points: DataFrame, instability_key: str = "instability") -> DataFrame:
-    """The row of least instability, ties to the higher score."""
-    return points.orderBy(instability_key, F.desc("score")).limit(1)
+    """The row of least instability, ties to the higher score, then the smaller config_id."""
+    return points.orderBy(instability_key, F.desc("score"), "config_id").limit(1)

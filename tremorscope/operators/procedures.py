@@ -9,10 +9,11 @@ copy, and what is fitted is far smaller than the data.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,42 +106,72 @@ class ClassShares:
         return self._own(cases).join(model, F.col("own") == F.col("group")).select("draw", "case_id", "class", "p")
 
 
+def seeded(model, seed: int):
+    """``model`` with its own and nested random states, those that are None, set from ``seed``: parameters named random_state, or ending in __random_state."""
+    params = model.get_params(deep=True) if hasattr(model, "get_params") else vars(model) if hasattr(model, "__dict__") else {}
+    free = {k: (seed + i) % 2**31 for i, k in enumerate(sorted(params)) if (k == "random_state" or k.endswith("__random_state")) and params[k] is None}
+    if free and hasattr(model, "set_params"):
+        model.set_params(**free)
+    else:
+        for k, v in free.items():
+            setattr(model, k, v)
+    return model
+
+
+#: Cases that one fitted object scores at once.
+BLOCK_CASES = 50_000
+
+
 class Fitted:
     """Any Python object with fit(X, y) and predict(X), and perhaps predict_proba(X) and classes_.
 
     Each draw's rows go to one task as a pandas frame, rows repeated as drawn:
-    what such an object asks for. It must fit a task's memory. Fitted objects
-    are pickled, one row a draw, and meet the cases batch by batch.
+    what such an object asks for. It must fit a task's memory. A free
+    random_state of the object, or of a part of it, follows ``seed`` and the
+    draw. Fitted objects are pickled by value, so that classes of scripts and
+    notebooks work; each meets the cases in blocks, once a block. For a string
+    target predictions are strings.
     """
 
-    def __init__(self, factory: Callable[[], object], features: list[str]):
-        self.factory, self.features = factory, features
+    def __init__(self, factory: Callable[[], object], features: list[str], seed: int = 0):
+        self.factory, self.features, self.seed, self.kind = factory, features, seed, "double"
 
     def fit(self, weighted: DataFrame) -> DataFrame:
-        factory, features = self.factory, self.features
+        factory, features, seed = self.factory, self.features, self.seed
+        self.kind = "string" if weighted.schema["y"].dataType.simpleString() == "string" else "double"
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            draw = int(pdf["draw"].iloc[0])
             rows = pdf.loc[pdf.index.repeat(pdf["w"])].reset_index(drop=True)
-            model = factory()
+            model = seeded(factory(), zlib.crc32(f"{seed}|{draw}".encode()) % 2**31)
             fitted = model.fit(rows[features], rows["y"])
-            return pd.DataFrame({"draw": [pdf["draw"].iloc[0]], "object": [pickle.dumps(model if fitted is None else fitted)]})
+            fitted = model if fitted is None else fitted
+            return pd.DataFrame({"draw": [draw], "object": [cloudpickle.dumps(fitted)], "has_probabilities": [hasattr(fitted, "predict_proba")]})
 
-        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, "draw int, object binary")
+        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, "draw int, object binary, has_probabilities boolean")
+
+    def gives_probabilities(self, model: DataFrame) -> bool:
+        """Whether every fitted object has predict_proba."""
+        return bool(model.agg(F.min("has_probabilities")).first()[0])
 
     def _scored(self, model: DataFrame, cases: DataFrame, schema: str, give: Callable) -> DataFrame:
         features = self.features
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def run(objects: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            if not len(objects) or not len(part):
+                return pd.DataFrame({n: [] for n in names})
+            return give(int(objects["draw"].iloc[0]), cloudpickle.loads(objects["object"].iloc[0]), part, features)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known: dict[int, object] = {}
-            for frame in frames:
-                for draw, part in frame.groupby("draw"):
-                    if draw not in known:
-                        known[draw] = pickle.loads(part["object"].iloc[0])
-                    yield give(int(draw), known[draw], part, features)
+        blocks = 1 + cases.count() // BLOCK_CASES
+        block = F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int")
+        spread = cases.select("case_id", *features, block.alias("at_")).crossJoin(F.broadcast(model.select(F.col("draw").alias("of_"))))
+        dealt = model.select("draw", "object", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        return dealt.groupBy("draw", "block").cogroup(spread.groupBy("of_", "at_")).applyInPandas(run, schema)
 
-        return each_draw(cases.select("case_id", *features), model).mapInPandas(run, schema)
+    def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
+        kind = self.kind
 
-    def predict(self, model: DataFrame, cases: DataFrame, kind: str = "double") -> DataFrame:
         def give(draw, fitted, part, features):
             pred = pd.Series(fitted.predict(part[features])).astype(float if kind == "double" else str)
             return pd.DataFrame({"draw": draw, "case_id": part["case_id"].to_numpy(), "pred": pred.to_numpy()})
@@ -158,32 +189,56 @@ class Fitted:
 
 
 class SparkMl:
-    """A pyspark.ml Estimator or Pipeline on ``features``, refitted draw by draw with ``w`` as its weights where it takes any.
+    """A pyspark.ml Estimator on ``features``, refitted draw by draw with ``w`` as its weights where it takes any.
 
-    The loop over draws is on the driver, the rows of each fit are not. Labels
-    must be indexed beforehand, by one indexer for all draws.
+    The loop over draws is on the driver, the rows of each fit are not. String
+    targets are indexed in the order of all draws' labels (``most_labels`` at
+    most, which the driver holds) and come back as strings. An estimator with a
+    seed parameter gets one of ``seed`` and the draw.
     """
 
-    def __init__(self, estimator, features: list[str]):
-        self.estimator, self.features = estimator, features
+    def __init__(self, estimator, features: list[str], seed: int = 0, most_labels: int = 10_000):
+        self.estimator, self.features, self.seed, self.most_labels, self.labels = estimator, features, seed, most_labels, None
 
     def fit(self, weighted: DataFrame) -> dict[int, object]:
         from pyspark.ml.feature import VectorAssembler
 
-        self.assembler = VectorAssembler(inputCols=self.features, outputCol="features_")
+        self.labels = None
+        if weighted.schema["y"].dataType.simpleString() == "string":
+            self.labels = sorted(r.y for r in weighted.select("y").distinct().limit(self.most_labels + 1).collect())
+            if len(self.labels) > self.most_labels:
+                raise ValueError(f"more than {self.most_labels} labels")
+            numbers = F.create_map(*[x for i, label in enumerate(self.labels) for x in (F.lit(label), F.lit(float(i)))])
+            weighted = weighted.withColumn("y", numbers[F.col("y")])
+        self.assembler = VectorAssembler(inputCols=self.features, outputCol="features_", handleInvalid="keep")
         rows = self.assembler.transform(weighted.withColumn("w", F.col("w").cast("double"))).persist()
-        params = {p.name: v for p, v in ((self.estimator.getParam("featuresCol"), "features_"), (self.estimator.getParam("labelCol"), "y"))}
-        if self.estimator.hasParam("weightCol"):
-            params["weightCol"] = "w"
-        estimator = self.estimator.copy({self.estimator.getParam(k): v for k, v in params.items()})
-        draws = sorted(r.draw for r in rows.select("draw").distinct().collect())
-        fitted = {d: estimator.fit(rows.where(F.col("draw") == d)) for d in draws}
+        params = {"featuresCol": "features_", "labelCol": "y"} | ({"weightCol": "w"} if self.estimator.hasParam("weightCol") else {})
+        fitted = {}
+        for draw in sorted(r.draw for r in rows.select("draw").distinct().collect()):
+            own = params | ({"seed": zlib.crc32(f"{self.seed}|{draw}".encode())} if self.estimator.hasParam("seed") else {})
+            fitted[draw] = self.estimator.copy({self.estimator.getParam(k): v for k, v in own.items()}).fit(rows.where(F.col("draw") == draw))
         rows.unpersist()
         return fitted
 
-    def predict(self, model: dict[int, object], cases: DataFrame) -> DataFrame:
+    def gives_probabilities(self, model: dict[int, object]) -> bool:
+        return all(m.hasParam("probabilityCol") for m in model.values())
+
+    def _transformed(self, model: dict[int, object], cases: DataFrame, what: Callable[[DataFrame], DataFrame]) -> DataFrame:
         ready, out = self.assembler.transform(cases), None
         for draw, fitted in model.items():
-            part = fitted.transform(ready).select(F.lit(draw).alias("draw"), "case_id", F.col("prediction").alias("pred"))
+            part = what(fitted.transform(ready).withColumn("draw", F.lit(draw)))
             out = part if out is None else out.unionByName(part)
         return out
+
+    def predict(self, model: dict[int, object], cases: DataFrame) -> DataFrame:
+        names = F.array(*[F.lit(x) for x in self.labels]) if self.labels else None
+        pred = F.get(names, F.col("prediction").cast("int")) if self.labels else F.col("prediction")
+        return self._transformed(model, cases, lambda rows: rows.select("draw", "case_id", pred.alias("pred")))
+
+    def predict_proba(self, model: dict[int, object], cases: DataFrame) -> DataFrame:
+        """(draw, case_id, class, p); labels that a draw never saw have no row."""
+        from pyspark.ml.functions import vector_to_array
+
+        names = F.array(*[F.lit(x) for x in self.labels])
+        each = lambda rows: rows.select("draw", "case_id", F.posexplode(vector_to_array("probability")).alias("at", "p")).select("draw", "case_id", F.get(names, F.col("at")).alias("class"), "p")
+        return self._transformed(model, cases, each)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import score_by
 from ..sources.tables import require_columns
 from .audit import aligned
+from .procedures import SparkMl
 from .sampling import bootstrap_weights, holdout_split, numbered, stratified_weights, with_original
 
 REGRESSION, CLASSIFICATION = ("auto", "rmse", "mae", "correlation"), ("auto", "disagreement", "probability_mse")
@@ -82,9 +83,11 @@ class RepresentativeEstimator:
     validation_predictions_, validation_probabilities_, proximity_metric_,
     n_validation_samples_, classes_, and the fitted table of all candidates in
     model_. Tables are DataFrames by draw, which counts candidates from 1.
+    Without a procedure the candidates are pyspark.ml decision trees on all
+    columns but key and target. ``release`` drops what fit keeps in memory.
     """
 
-    def __init__(self, procedure, task: str = "classification", n_candidates: int = 20, proximity_metric: str = "auto", validation_fraction: float = 0.2, bootstrap_candidates: bool = True, seed: int = 0):
+    def __init__(self, procedure=None, task: str = "classification", n_candidates: int = 20, proximity_metric: str = "auto", validation_fraction: float = 0.2, bootstrap_candidates: bool = True, seed: int = 0):
         self.procedure, self.task, self.n_candidates = procedure, task, n_candidates
         self.proximity_metric, self.validation_fraction = proximity_metric, validation_fraction
         self.bootstrap_candidates, self.seed = bootstrap_candidates, seed
@@ -110,6 +113,7 @@ class RepresentativeEstimator:
 
     def fit(self, data: DataFrame, key: str = "rid", target: str = "y") -> RepresentativeEstimator:
         self._check()
+        self.procedure_ = self.procedure
         require_columns(data, key, target)
         labels = self.task == "classification"
         data = data.withColumn("y", F.col(target).cast("string" if labels else "double"))
@@ -121,19 +125,21 @@ class RepresentativeEstimator:
         split = holdout_split(data, key, self.validation_fraction, f"{self.seed}|split", "y" if labels else None)
         train, cases = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id")
         weighted = self._weighted(train, key, labels)
-        self.model_ = self.procedure.fit(weighted)
+        if self.procedure is None:
+            self.procedure_ = self._default_tree()
+        self.model_ = self.procedure_.fit(weighted)
         self.model_ = self.model_.where("draw > 0").persist() if isinstance(self.model_, DataFrame) else {k: v for k, v in self.model_.items() if k}
         truth = cases.select("case_id", "y")
-        self.validation_predictions_ = self.procedure.predict(self.model_, cases)
+        self.validation_predictions_ = self.procedure_.predict(self.model_, cases)
         self.n_validation_samples_ = cases.count()
-        has = labels and hasattr(self.procedure, "predict_proba")
+        has = labels and self._gives_probabilities()
         self.proximity_metric_ = self._metric(has)
         spark = data.sparkSession
         self.validation_probabilities_ = None
         if has:
             draws = spark.range(1, self.n_candidates + 1).select(F.col("id").cast("int").alias("draw"))
             classes = spark.createDataFrame([(c,) for c in self.classes_], "class string")
-            self.validation_probabilities_ = aligned(self.procedure.predict_proba(self.model_, cases), draws, cases, classes)
+            self.validation_probabilities_ = aligned(self.procedure_.predict_proba(self.model_, cases), draws, cases, classes)
         table = self.validation_probabilities_ if self.proximity_metric_ == "probability_mse" else self.validation_predictions_
         self.candidate_performance_scores_ = score_by(self.validation_predictions_.join(truth, "case_id"), ["draw"], "categorical" if labels else "continuous")
         self.ensemble_predictions_ = centroid(table, self.proximity_metric_)
@@ -152,11 +158,26 @@ class RepresentativeEstimator:
         weights = stratified_weights(spark, sizes, self.n_candidates, self.seed)
         return rows.join(weights.withColumnRenamed("stratum", "y"), ["y", "idx"])
 
+    def _gives_probabilities(self) -> bool:
+        """Whether every candidate gives probabilities: the fitted ones are asked where the procedure can tell."""
+        ask = getattr(self.procedure_, "gives_probabilities", None)
+        return hasattr(self.procedure_, "predict_proba") and (ask is None or ask(self.model_))
+
+    def _default_tree(self) -> SparkMl:
+        from pyspark.ml.classification import DecisionTreeClassifier
+        from pyspark.ml.regression import DecisionTreeRegressor
+
+        return SparkMl(DecisionTreeClassifier() if self.task == "classification" else DecisionTreeRegressor(), self.features_, self.seed)
+
     def get_selected_estimator(self):
         """The selected candidate's fitted rows."""
         draw = self.selected_index_ + 1
         return self.model_.where(F.col("draw") == draw) if isinstance(self.model_, DataFrame) else {draw: self.model_[draw]}
 
+    def release(self) -> None:
+        if isinstance(self.model_, DataFrame):
+            self.model_.unpersist()
+
     def _ready(self, cases: DataFrame) -> None:
         if not hasattr(self, "model_"):
             raise ValueError("fit comes first")
@@ -164,16 +185,16 @@ class RepresentativeEstimator:
 
     def predict(self, cases: DataFrame) -> DataFrame:
         self._ready(cases)
-        return self.procedure.predict(self.get_selected_estimator(), cases).drop("draw")
+        return self.procedure_.predict(self.get_selected_estimator(), cases).drop("draw")
 
     def predict_proba(self, cases: DataFrame) -> DataFrame:
         self._ready(cases)
-        if not hasattr(self.procedure, "predict_proba"):
-            raise AttributeError("the procedure gives no probabilities")
+        if not self._gives_probabilities():
+            raise AttributeError("the candidates give no probabilities")
         spark = cases.sparkSession
         classes = spark.createDataFrame([(c,) for c in self.classes_], "class string")
         one = spark.createDataFrame([(self.selected_index_ + 1,)], "draw int")
-        return aligned(self.procedure.predict_proba(self.get_selected_estimator(), cases), one, cases, classes).drop("draw")
+        return aligned(self.procedure_.predict_proba(self.get_selected_estimator(), cases), one, cases, classes).drop("draw")
 
     def score(self, cases: DataFrame, target: str = "y", weight: str | None = None) -> float:
         truth = cases.select("case_id", F.col(target).cast("string" if self.task == "classification" else "double").alias("y"), *([weight] if weight else []))

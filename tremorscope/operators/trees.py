@@ -1,7 +1,8 @@
 """Trees as tables, grown level by level for all draws at once, and how alike they are.
 
 A node table has rows (fit_id, node_id, left, right, feature, threshold,
-value). Node 0 is the root; feature is -1 at a leaf.
+value). Node 0 is the root; all other numbers are free, each fit's own; feature
+is -1 at a leaf.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODES = "fit_id int, node_id int, left int, right int, feature int, threshold double, value double"
+MOST_DEPTH = 200
 
 
 def grow_trees(weighted: DataFrame, features: list[str], thresholds: dict[str, list[float]], depth: int) -> DataFrame:
@@ -72,18 +74,32 @@ class RegressionTree:
 
 
 def nodes_of(model, fit_id: int, spark) -> DataFrame:
-    """The node table of a fitted pyspark.ml tree model, NaN to the right as that library does."""
-    rows: list[tuple] = []
+    """The node table of a fitted pyspark.ml tree model, or of the one a ``RepresentativeEstimator`` selected; NaN goes right as in that library.
 
-    def walk(node, at: int) -> None:
-        inner = node.subtreeDepth() > 0
-        rows.append((fit_id, at, 2 * at + 1 if inner else -1, 2 * at + 2 if inner else -1, node.split().featureIndex() if inner else -1, float(node.split().threshold()) if inner else None, float(node.prediction())))
+    Nodes are numbered as a walk, left before right, meets them. Anything that
+    has no tree raises TypeError.
+    """
+    if hasattr(model, "get_selected_estimator"):
+        chosen = model.get_selected_estimator()
+        if isinstance(chosen, DataFrame) and {"node_id", "left", "right", "feature"} <= set(chosen.columns):
+            return chosen.select(F.lit(fit_id).alias("fit_id"), *[x.split()[0] for x in NODES.split(", ")[1:]])
+        model = next(iter(chosen.values())) if isinstance(chosen, dict) else chosen
+    model = model.stages[-1] if hasattr(model, "stages") else model
+    if not hasattr(model, "_call_java") or not hasattr(model, "toDebugString") or hasattr(model, "trees"):
+        raise TypeError(f"a {type(model).__name__} is not a single tree")
+    rows: list[list] = []
+
+    def walk(node) -> int:
+        at, inner = len(rows), node.subtreeDepth() > 0
+        rows.append([fit_id, at, -1, -1, -1, None, float(node.prediction())])
         if inner:
-            walk(node.leftChild(), 2 * at + 1)
-            walk(node.rightChild(), 2 * at + 2)
+            rows[at][4:6] = [node.split().featureIndex(), float(node.split().threshold())]
+            rows[at][2] = walk(node.leftChild())
+            rows[at][3] = walk(node.rightChild())
+        return at
 
-    walk(model._call_java("rootNode"), 0)
-    return spark.createDataFrame(rows, NODES)
+    walk(model._call_java("rootNode"))
+    return spark.createDataFrame([tuple(r) for r in rows], NODES)
 
 
 def _fits(nodes: DataFrame) -> DataFrame:
@@ -106,20 +122,34 @@ def split_features(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
     return splits(nodes, max_depth).groupBy("fit_id", "feature").agg(F.count("*").alias("n"))
 
 
-def routed(nodes: DataFrame, cases: DataFrame, features: list[str], max_depth: int = 30) -> DataFrame:
-    """(fit_id, case_id, path, value): the features tested on each case's way to its leaf.
+def depth_of(nodes: DataFrame, most: int = MOST_DEPTH) -> int:
+    """How many splits the longest way from a root passes; a way of over ``most`` (a loop, maybe) raises ValueError."""
+    inner = nodes.where("feature >= 0").select("fit_id", "node_id", "left", "right").persist()
+    level, depth = inner.where("node_id = 0"), 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError(f"a tree is over {most} splits deep")
+        children = level.select("fit_id", F.explode(F.array("left", "right")).alias("node_id"))
+        level = children.join(inner, ["fit_id", "node_id"])
+    inner.unpersist()
+    return depth
+
+
+def routed(nodes: DataFrame, cases: DataFrame, features: list[str]) -> DataFrame:
+    """(fit_id, case_id, path, value): the features tested on each case's way to its leaf, however nodes are numbered.
 
-    One join a level with the nodes, of which there are few; levels follow the
-    deepest node there is. A missing value goes right.
+    One join a level with the nodes, of which there are few; there are as many
+    levels as the deepest tree has. A missing value goes right.
     """
-    deepest = nodes.agg(F.max("node_id")).first()[0] or 0
-    levels = min(max_depth, (int(deepest) + 1).bit_length() - 1)
+    levels = depth_of(nodes)
     table = F.broadcast(nodes.select("fit_id", F.col("node_id").alias("at"), "left", "right", "feature", "threshold", "value"))
     rows = cases.select("case_id", F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(F.broadcast(nodes.where("node_id = 0").select("fit_id")))
     rows = rows.withColumns({"at": F.lit(0), "path": F.array().cast("array<int>")})
     for _ in range(levels):
         x = F.element_at("x", F.greatest(F.col("feature"), F.lit(0)) + 1)
-        step = F.when(F.col("feature") < 0, F.col("at")).when(x <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        goes_left = F.coalesce(~F.isnan(x) & (x <= F.col("threshold")), F.lit(False))
+        step = F.when(F.col("feature") < 0, F.col("at")).when(goes_left, F.col("left")).otherwise(F.col("right"))
         path = F.when(F.col("feature") < 0, F.col("path")).otherwise(F.array_append("path", F.col("feature")))
         rows = rows.join(table, ["fit_id", "at"]).select("fit_id", "case_id", "x", step.alias("at"), path.alias("path"))
     return rows.join(table, ["fit_id", "at"]).select("fit_id", "case_id", "path", "value")

@@ -12,6 +12,7 @@ from ..operators import linear, plotdata, representative, sampling, trees
 from ..operators.audit import aligned, bootstrap_predictions, summarised
 from ..operators.frontier import most_stable, pareto_front, stability_frontier, within_of_best
 from ..operators.procedures import ClassShares, Constant, GroupMean, Ols
+from ..sources.shared import stored
 from ..sources.tables import order_cases, table
 from .oracles import DRAWS, ORACLES, PENALTIES, SEED, STRENGTHS, TEST, THRESHOLDS
 
@@ -25,7 +26,7 @@ def _round(df: DataFrame, names, places: int = 6) -> DataFrame:
 
 def _sides(spark: SparkSession, folder: str, target: str = "y") -> tuple[DataFrame, DataFrame]:
     """Training rows and held-out cases of the orders, with ``y`` the price or the status."""
-    split = sampling.holdout_split(order_cases(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None)
+    split = stored(sampling.holdout_split(order_cases(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None), "split")
     if target == "label":
         split = split.drop("y").withColumnRenamed("label", "y")
     return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed("rid", "case_id")
@@ -50,7 +51,7 @@ def _labels(spark, folder, method="predict"):
 
 def _weighted(spark, folder, target="y"):
     train, _ = _sides(spark, folder, target)
-    rows = sampling.numbered(train, "rid", f"{SEED}|rows")
+    rows = stored(sampling.numbered(train, "rid", f"{SEED}|rows"), "rows")
     return sampling.with_original(sampling.bootstrap_weights(spark, rows.count(), DRAWS, SEED), rows)
 
 
@@ -285,7 +286,7 @@ def gram_matrix(spark, folder):
 def _linear(spark, folder, **options):
     design, cases = _design(spark, folder)
     found = linear.linear_instability(design, cases, ["one", "x"], **options)
-    return _round(found.select("case_id", "variance", "s2", "s1", "centered_mad"), ["variance", "s2", "s1", "centered_mad"], 9)
+    return _round(found.select("case_id", "variance", "s2", "s1", "centered_mad"), ["variance", "s2", "s1", "centered_mad"], 8)
 
 
 def linear_instability(spark, folder):

@@ -138,7 +138,7 @@ POOL = f"{NUMERIC}, {_ols()}, pool AS (SELECT draw, case_id, pred FROM ols WHERE
 LABEL_POOL = f"{LABELS}, {SHARES}, pool AS (SELECT draw, case_id, pred FROM preds WHERE draw > 0), centres AS (SELECT case_id, pred AS centre FROM (SELECT case_id, pred, count(*) AS n FROM pool GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pred) = 1)"
 DESIGN = f"{CASES}, {_split()}, held AS (SELECT rid AS case_id, x FROM split WHERE is_test), design AS (SELECT x, y FROM split WHERE NOT is_test), g AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, n * sxx - sx * sx AS det FROM design)"
 ONE = f"{DESIGN}, fitted AS (SELECT n, sxx, sqrt(sxx) AS d, sxy / sxx AS coef, (SELECT sqrt(sum((y - x * (SELECT sxy / sxx FROM g)) * (y - x * (SELECT sxy / sxx FROM g))) / (count(*) - 1)) FROM design) AS sigma FROM g), s AS (SELECT n, d, coef, sigma, sxx * greatest(coef * coef - sigma * sigma / sxx, 0) AS strength FROM fitted)"
-_LINEAR = f"round(v, 9) AS variance, round(2 * v, 9) AS s2, round({PAIRWISE} * sqrt(v), 9) AS s1, round({CENTERED_MAD} * sqrt(v), 9) AS centered_mad"
+_LINEAR = f"round(v, 8) AS variance, round(2 * v, 8) AS s2, round({PAIRWISE} * sqrt(v), 8) AS s1, round({CENTERED_MAD} * sqrt(v), 8) AS centered_mad"
 SHOWN = f"{NUMERIC}, {_ols()}, {_numeric_stats('ols')}"
 REGIONS = f"""small AS (SELECT r_regionkey AS rid, (r_regionkey = 0)::INT::VARCHAR AS y, (r_regionkey % 3)::VARCHAR AS k, row_number() OVER (ORDER BY md5('{SEED}|rows|' || r_regionkey), r_regionkey) - 1 AS idx FROM region),
 tries AS (SELECT attempt, ('0x' || substr(md5('{SEED}|' || attempt || '|' || slot), 1, 13))::BIGINT % n AS idx, count(*) AS w

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (local tests, one machine) a temporary folder is made and set."""
+    """The session's spark.checkpoint.dir; only where that is unset, on one machine, a temporary folder is made and set. A cluster without it raises RuntimeError."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tremorscope-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -27,6 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremorscope-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where, system = _place(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table that ``stored`` made; nothing may read it from then on. Other DataFrames are left alone."""
+    if path := getattr(df, "stored_at", None):
+        where, system = _place(df.sparkSession, path)
+        system.delete(where, True)
