@@ -40,6 +40,20 @@ def displayed(audit, class_label: str | None = None) -> tuple[DataFrame, DataFra
     return audit.original.select("case_id", F.col("pred0").alias("x")), audit.predictions.select("draw", "case_id", F.col("pred").alias("value")), True
 
 
+#: How faint a dot may be and how strong, and how many full dots' worth of ink a plot gets.
+FAINTEST, STRONGEST, INK = 0.02, 0.35, 3000.0
+
+
+def opacity(n_points: int) -> float:
+    """How strong to draw each of so many dots, that the middle of the cloud keeps its shape."""
+    return min(max(INK / max(n_points, 1), FAINTEST), STRONGEST)
+
+
+def described(params):
+    """A map of parameters as text, 'k=v, ...' by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+
+
 def scatter(original: DataFrame, predictions: DataFrame, max_points: int = 400, seed: int = 0) -> DataFrame:
     """(case_id, draw, x, y): each refit's prediction over the original one, for at most ``max_points`` cases."""
     shown = display_sample(original, "case_id", max_points, seed)
@@ -77,9 +91,12 @@ def mape_bins(original: DataFrame, case_stats: DataFrame, n_bins: int = 20) -> D
 
 
 def plot_prediction_instability(audit, max_points: int = 400, seed: int = 0, with_band: bool = True, n_bins: int = 25, class_label: str | None = None) -> dict[str, DataFrame]:
-    """The tables of the instability plot: scatter, limits and, on a numeric axis, the band."""
+    """The tables of the instability plot: scatter, limits, how to draw it (dot opacity, axis texts) and, on a numeric axis, the band."""
     original, predictions, numeric = displayed(audit, class_label)
-    out = {"scatter": scatter(original, predictions, max_points, seed), "limits": limits(original, predictions)}
+    dots = min(max_points, audit.n_cases) * audit.n_bootstrap
+    axis = f"probability of {class_label}" if class_label is not None else "prediction" if numeric else "predicted label"
+    style = original.sparkSession.createDataFrame([(opacity(dots), f"{axis}, original fit", f"{axis}, refits")], "opacity double, x_label string, y_label string")
+    out = {"scatter": scatter(original, predictions, max_points, seed), "limits": limits(original, predictions), "style": style}
     return out | ({"band": band(original, predictions, n_bins)} if with_band and numeric else {})
 
 
@@ -89,13 +106,13 @@ def plot_mape_by_prediction(audit, n_bins: int = 20, class_label: str | None = N
 
 
 def plot_stability_frontier(families: dict[str, DataFrame], metric: str = "instability") -> DataFrame:
-    """All families' points by rising metric, with is_frontier found anew, within the family, for the metric shown."""
+    """All families' points by rising metric, with is_frontier found anew, within the family, for the metric shown, and their parameters as a label (null where there are none)."""
     if metric not in ("instability", "pairwise", "mape"):
         raise ValueError("metric must be 'instability', 'pairwise' or 'mape'")
     out = None
     for family, points in families.items():
         require_columns(points, "config_id", "score", metric)
         kept = undominated(points, metric).select("config_id", F.lit(True).alias("is_frontier"))
-        part = points.join(kept, "config_id", "left").select(F.lit(family).alias("family"), "config_id", "score", F.col(metric).alias("value"), F.coalesce("is_frontier", F.lit(False)).alias("is_frontier"))
+        part = points.join(kept, "config_id", "left").select(F.lit(family).alias("family"), "config_id", "score", F.col(metric).alias("value"), F.coalesce("is_frontier", F.lit(False)).alias("is_frontier"), (described("params") if "params" in points.columns else F.lit(None).cast("string")).alias("label"))
         out = part if out is None else out.unionByName(part)
     return out.orderBy("value", "family", "config_id")

@@ -269,6 +269,44 @@ def feature_paths(spark, folder):
     return paths.select("fit_id", "case_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+def feature_paths_preorder(spark, folder):
+    """Paths on the same trees with nodes numbered in preorder: numbers must not matter."""
+    _, cases = _sides(spark, folder)
+    anew = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.get(F.array(*[F.lit(i) for i in (0, 1, 4, 2, 3, 5, 6)]), F.col(c))).cast("int").alias(c)
+    nodes = _trees(spark, folder).select("fit_id", anew("node_id"), anew("left"), anew("right"), "feature", "threshold", "value")
+    paths = trees.split_feature_paths(nodes, cases, FEATURES)
+    return paths.select("fit_id", "case_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+def representative_estimator_fit(spark, folder):
+    """The selector itself: each candidate's distance to the centroid on the held-out rows, and which one it keeps."""
+    found = representative.RepresentativeEstimator(Ols("x"), "regression", DRAWS, "rmse", TEST, seed=SEED).fit(order_cases(spark, folder).select("rid", "y", "x"))
+    return _round(found.candidate_scores_.withColumn("selected", F.col("draw") == found.selected_index_ + 1), ["score"])
+
+
+def frontier_points_holdout(spark, folder):
+    """A frontier that holds out its own cases."""
+    found = stability_frontier(lambda penalty: Ols("x", penalty), {"penalty": list(PENALTIES)}, order_cases(spark, folder).drop("label"), n_bootstrap=DRAWS, test_size=TEST, seed=SEED)
+    return _shown(found.points)
+
+
+def linear_summary(spark, folder):
+    design, cases = _design(spark, folder)
+    means = linear.linear_summary(linear.linear_instability(design, cases, ["one", "x"], sigma=2.0))
+    return _round(means, means.columns, 8)
+
+
+def shrinkage_two_columns(spark, folder):
+    """Coefficients of two columns at right angles, under each way to tell the signal."""
+    design, _ = _design(spark, folder)
+    middle = design.agg(F.avg("x")).first()[0]
+    design = stored(design.select("one", (F.col("x") - middle).alias("c"), "y"), "design")
+    rows = []
+    for signal, options in (("pooled", {}), ("per_direction", {"signal": "per_direction"}), ("beta", {"beta": [1.0, 2.0]})):
+        rows += [(signal, i, float(c)) for i, c in enumerate(linear.shrinkage_coefficients(design, ["one", "c"], "y", mu=500.0, **options))]
+    return spark.createDataFrame(rows, "signal string, i int, coefficient double").select("signal", "i", F.round("coefficient", 6).alias("coefficient"))
+
+
 def path_agreement(spark, folder):
     _, cases = _sides(spark, folder)
     return _round(trees.path_agreement(_trees(spark, folder), cases, FEATURES), ["path_agreement"])
@@ -333,6 +371,10 @@ def plot_mape_bins(spark, folder):
     return _round(plotdata.mape_bins(original, audit.case_stats), ["centre", "mean", "p90"])
 
 
+def plot_mape_overall(spark, folder):
+    return _round(plotdata.plot_mape_by_prediction(_ols(spark, folder))["overall"], ["mean"])
+
+
 def _vectors(spark, folder):
     return _labels(spark, folder, "predict_proba")
 
@@ -344,6 +386,7 @@ _FUNCTIONS = [
     param_grid, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,
     feature_paths, path_agreement, gram_matrix, linear_instability, linear_instability_hc0, shrinkage_coefficients, linear_frontier, plot_scatter, plot_limits, plot_band, plot_mape_bins,
+    feature_paths_preorder, representative_estimator_fit, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {

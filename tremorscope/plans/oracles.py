@@ -194,7 +194,7 @@ ORACLES = {
     "pareto_front_mape": _with(f"{_points('mape')}, {_front()}", f"SELECT {_POINT_COLUMNS} FROM front"),
     "frontier_two_families": _with(f"{_points(means=True)}, {_front()}", f"SELECT {_POINT_COLUMNS} FROM front"),
     "constrained_choice": _with(_points(), f"SELECT {_POINT_COLUMNS} FROM points WHERE score >= (SELECT max(score) FROM points) - 0.02 ORDER BY instability, score DESC LIMIT 1"),
-    "plot_frontier": _with(f"{_points()}, {_front('mape')}", "SELECT 'ridge' AS family, config_id, round(score, 6) AS score, round(mape, 6) AS value, config_id IN (SELECT config_id FROM front) AS is_frontier FROM points"),
+    "plot_frontier": _with(f"{_points()}, {_front('mape')}", "SELECT 'ridge' AS family, config_id, round(score, 6) AS score, round(mape, 6) AS value, config_id IN (SELECT config_id FROM front) AS is_frontier, 'penalty=' || CASE config_id " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PENALTIES)) + " END AS label FROM points"),
     "r2_score": _with(f"{NUMERIC}, {_ols()}, j AS (SELECT draw, pred, y, avg(y) OVER (PARTITION BY draw) AS m FROM ols JOIN held USING (case_id))", "SELECT draw, round(1 - sum((y - pred) * (y - pred)) / sum((y - m) * (y - m)), 6) AS score FROM j GROUP BY draw"),
     "weighted_r2": _with(f"{NUMERIC}, {_ols()}, j AS (SELECT draw, pred, y, z + 1 AS k, sum((z + 1) * y) OVER (PARTITION BY draw) / sum(z + 1) OVER (PARTITION BY draw) AS m FROM ols JOIN held USING (case_id))", "SELECT draw, round(1 - sum(k * (y - pred) * (y - pred)) / sum(k * (y - m) * (y - m)), 6) AS score FROM j GROUP BY draw"),
     "accuracy_score": _with(f"{LABELS}, {SHARES}", "SELECT draw, round(avg((pred = y)::INT), 6) AS score FROM preds JOIN held USING (case_id) GROUP BY draw"),
@@ -241,4 +241,22 @@ ORACLES = {
         f"{SHOWN}, shown AS (SELECT s.case_id, o.pred AS x, s.mape FROM stats s JOIN ols o ON o.draw = 0 AND o.case_id = s.case_id), {_bins(20, 'binned', 'shown')}",
         "SELECT bin::INT AS bin, round(avg(x), 6) AS centre, round(avg(mape), 6) AS mean, round(quantile_cont(mape, 0.9), 6) AS p90 FROM binned GROUP BY bin",
     ),
+    "feature_paths_preorder": _with(f"{TREES}, {PATHS}", "SELECT fit_id, case_id, path FROM paths"),
+    "representative_estimator_fit": _with(
+        f"{POOL}, scores AS (SELECT draw, sqrt(avg((pred - centre) * (pred - centre))) AS score FROM pool JOIN centres USING (case_id) GROUP BY draw)",
+        "SELECT draw, round(score, 6) AS score, draw = (SELECT draw FROM scores ORDER BY score, draw LIMIT 1) AS selected FROM scores",
+    ),
+    "frontier_points_holdout": _with(_points(), f"SELECT {_POINT_COLUMNS} FROM points"),
+    "linear_summary": _with(
+        f"{DESIGN}, v AS (SELECT 4 * (sxx - 2 * x * sx + n * x * x) / det AS v FROM held, g)",
+        f"SELECT round(avg(v), 8) AS variance_mean, round(avg({PAIRWISE} * sqrt(v)), 8) AS s1_mean, round(avg({CENTERED_MAD} * sqrt(v)), 8) AS centered_mad_mean FROM v",
+    ),
+    "shrinkage_two_columns": _with(
+        f"""{DESIGN}, centred AS (SELECT x - (SELECT avg(x) FROM design) AS c, y FROM design), k AS (SELECT count(*)::DOUBLE AS n, sum(c * c) AS scc, sum(c * y) AS scy, sum(y) AS sy FROM centred),
+        line AS (SELECT n, scc, sy / n AS a, scy / scc AS b, (SELECT sum((y - (SELECT sy / n FROM k) - (SELECT scy / scc FROM k) * c) * (y - (SELECT sy / n FROM k) - (SELECT scy / scc FROM k) * c)) FROM centred) / (n - 2) AS noise FROM k),
+        directions AS (SELECT 0 AS i, a AS coef, n AS d2, noise, 1.0::DOUBLE AS beta FROM line UNION ALL SELECT 1, b, scc, noise, 2.0 FROM line), raw AS (SELECT *, coef * coef - noise / d2 AS r FROM directions),
+        signals AS (SELECT 'pooled' AS signal, i, coef, d2, noise, greatest((SELECT avg(r) FROM raw), 0) AS theta FROM raw UNION ALL SELECT 'per_direction', i, coef, d2, noise, greatest(r, 0) FROM raw UNION ALL SELECT 'beta', i, coef, d2, noise, beta * beta FROM raw)""",
+        "SELECT signal, i::INT AS i, round(coef * d2 * theta / (d2 * theta + 500 * noise), 6) AS coefficient FROM signals",
+    ),
+    "plot_mape_overall": _with(SHOWN, "SELECT round(avg(mape), 6) AS mean FROM stats"),
 }
