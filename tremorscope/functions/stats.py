@@ -70,21 +70,60 @@ def exact_quantile(df: DataFrame, column: str, q: float, small: int = 100_000) -
     return part.a + (part.b - part.a) * (at - first)
 
 
-def ranked(df: DataFrame, column: str, tie: str, name: str = "rank", buckets: int = 64) -> DataFrame:
-    """Adds the 0-based global rank by (column, tie) without sorting everything in one task.
+#: Rows that a rank bucket should hold, and the most buckets, whose edges the driver holds.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 10_000
 
-    Approximate quantiles cut the values into buckets; a row's rank is the
-    number of rows in earlier buckets plus its place in its own.
+
+def ranked(df: DataFrame, column: str, tie: str, name: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds the 0-based global rank by (column, tie), both numbers, without sorting everything in one task.
+
+    Approximate quantiles cut the values into buckets, more of them the more
+    rows there are; a value so common that it fills buckets is cut further by
+    quantiles of the tie. A row's rank is the number of rows in earlier buckets
+    plus its place in its own.
     """
-    cuts = sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    spots = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    placed = df.withColumn("bucket_", F.size(F.filter(spots, lambda c: c <= F.col(column))))
-    sizes = placed.groupBy("bucket_").agg(F.count("*").alias("n_"))
+    n = min(MOST_BUCKETS, 8 + df.count() // bucket_rows)
+    at = [i / n for i in range(1, n)]
+    cuts, ties = df.approxQuantile([column, tie], at, 0.25 / n)
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    table = lambda values: F.array(*[F.lit(float(c)) for c in sorted(set(values))]) if values else F.array().cast("array<double>")
+    upto = lambda values, x: F.size(F.filter(table(values), lambda c: c <= F.col(x)))
+    inner = F.when(F.array_contains(table(heavy), F.col(column).cast("double")), upto(ties, tie)).otherwise(n) if heavy else F.lit(0)
+    placed = df.withColumn("bucket_", upto(cuts, column) * (n + 1) + inner)
+    sizes = placed.groupBy("bucket_").agg(F.count("*").alias("n_"))  # as many rows as buckets
     offsets = sizes.select(F.col("bucket_").alias("b_"), (F.sum("n_").over(Window.partitionBy(F.lit(0)).orderBy("bucket_")) - F.col("n_")).alias("before_"))
     local = F.row_number().over(Window.partitionBy("bucket_").orderBy(column, tie)) - 1
     return placed.withColumn("local_", local).join(F.broadcast(offsets), F.col("bucket_") == F.col("b_")).select(*df.columns, (F.col("before_") + F.col("local_")).alias(name))
 
 
+def quantiles_by(df: DataFrame, key: str, column: str, wanted: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(key, a column for each of ``wanted``): linearly interpolated quantiles of a few groups, however large, exact.
+
+    Mergeable approximate quantiles bracket each wanted rank; only values inside
+    the bracket, about one in ``accuracy`` / 4 of a group's, are gathered and
+    sorted. Nulls don't count.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k_"), F.col(column).cast("double").alias("v_"))
+    slack = 2.0 / accuracy
+    ends = [F.percentile_approx("v_", [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"e{i}") for i, q in enumerate(wanted.values())]
+    brackets = rows.groupBy("k_").agg(F.count("*").alias("n_"), *ends).withColumnRenamed("k_", "b_")  # a row a group
+    joined = rows.join(F.broadcast(brackets), F.col("k_") == F.col("b_"))
+    parts = []
+    for i, q in enumerate(wanted.values()):
+        # the ranks wanted are inside, or the bracket is opened to the smallest or largest value
+        low = F.when(F.col("n_") * slack < 2, F.lit(float("-inf"))).otherwise(F.get(f"e{i}", F.lit(0)))
+        high = F.when(F.col("n_") * slack < 2, F.lit(float("inf"))).otherwise(F.get(f"e{i}", F.lit(1)))
+        parts += [F.count_if(F.col("v_") < low).alias(f"under{i}"), F.array_sort(F.collect_list(F.when((F.col("v_") >= low) & (F.col("v_") <= high), F.col("v_")))).alias(f"in{i}")]
+    found = joined.groupBy("k_", "n_").agg(*parts)
+    out = []
+    for i, (name, q) in enumerate(wanted.items()):
+        at = (F.col("n_") - 1) * F.lit(q)
+        spot = (F.floor(at) - F.col(f"under{i}")).cast("int")
+        a, b = F.get(f"in{i}", spot), F.coalesce(F.get(f"in{i}", spot + 1), F.get(f"in{i}", spot))
+        out.append((a + (b - a) * (at - F.floor(at))).alias(name))
+    return found.select(F.col("k_").alias(key), *out)
+
+
 def equal_bins(rank: Column, n: int, k: int) -> Column:
     """The bin of a 0-based rank when n rows fill k bins of equal count, the first n mod k one larger."""
     k = max(1, min(k, n))

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import equal_bins, ranked
+from ..functions.stats import equal_bins, quantiles_by, ranked
 from ..sources.tables import require_columns
 from .frontier import undominated
 from .sampling import display_sample
 
 
+MOST_CLASSES = 10_000
+
+
 def class_codes(classes: DataFrame) -> dict[str, int]:
-    """Labels to axis positions, in sorted order."""
-    return {c: i for i, c in enumerate(sorted(r[0] for r in classes.select("class").collect()))}
+    """Labels to axis positions, in sorted order; more than MOST_CLASSES raise ValueError."""
+    found = sorted(r[0] for r in classes.select("class").limit(MOST_CLASSES + 1).collect())
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return {c: i for i, c in enumerate(found)}
 
 
 def displayed(audit, class_label: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
@@ -67,7 +73,7 @@ def band(original: DataFrame, predictions: DataFrame, n_bins: int = 25) -> DataF
         return original.sparkSession.createDataFrame([], "bin int, centre double, lower double, upper double")
     binned = ranked(original, "x", "case_id").select("case_id", "x", equal_bins(F.col("rank"), n, n_bins).alias("bin"))
     centres = binned.groupBy("bin").agg(F.avg("x").alias("centre"))
-    edges = predictions.join(binned, "case_id").groupBy("bin").agg(F.percentile("value", F.lit(0.05)).alias("lower"), F.percentile("value", F.lit(0.95)).alias("upper"))
+    edges = quantiles_by(predictions.join(binned, "case_id"), "bin", "value", {"lower": 0.05, "upper": 0.95})
     return centres.join(edges, "bin").select("bin", "centre", "lower", "upper")
 
 
@@ -87,7 +93,8 @@ def mape_bins(original: DataFrame, case_stats: DataFrame, n_bins: int = 20) -> D
         binned = joined.withColumn("bin", spots[F.col("x")])
     else:
         binned = ranked(joined, "x", "case_id").withColumn("bin", equal_bins(F.col("rank"), joined.count(), n_bins))
-    return binned.groupBy("bin").agg(F.avg("x").alias("centre"), F.avg("mape").alias("mean"), F.percentile("mape", F.lit(0.9)).alias("p90"))
+    means = binned.groupBy("bin").agg(F.avg("x").alias("centre"), F.avg("mape").alias("mean"))
+    return means.join(quantiles_by(binned, "bin", "mape", {"p90": 0.9}), "bin").select("bin", "centre", "mean", "p90")
 
 
 def plot_prediction_instability(audit, max_points: int = 400, seed: int = 0, with_band: bool = True, n_bins: int = 25, class_label: str | None = None) -> dict[str, DataFrame]:
