@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremorscope.sources.shared import shared_dir, stored
+from tremorscope.sources.shared import dropped, shared_dir, stored
 
-__all__ = ["ascii_lower", "crc_bucket", "shared_dir", "stored"]
+__all__ = ["ascii_lower", "crc_bucket", "dropped", "free_name", "shared_dir", "stored"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,3 +19,11 @@ def ascii_lower(column):
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def free_name(name: str, *tables) -> str:
+    """``name``, with underscores after it until none of the tables has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
