@@ -66,7 +66,7 @@ def test_language_held_out_accuracy(spark):
 
 def test_urls(spark):
     urls = ["http://A.B.example.com/en/7?x", "https://example.com/en/8", "ftp://x.net/de/1", "http://example.net/de/8", "http://notexample.net/de/8", "http://m.org/es/#a", "http://m.org", "no scheme", None, "HTTP://Ü.com/EN/1", "http://example.net?de/8", "://h.com/en/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'y' as rule", "1 as n", "2 as bad")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'y' as rule", "1 as n", "2 as bad", "3 as rate", "4 as bound", "5 as fit", "6 as p_")
     none = spark.createDataFrame([], "page_id long, bad int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in ur.judge_pages(pages, none).collect()}
     assert got[0] == ("a.b.example.com", "/en/7", "example.com/en/7", "allow")
@@ -87,3 +87,106 @@ def test_reputation_shrinks(spark):
     assert got["bad.site.com"].bound > 0.5 > got["good.site.com"].rate
     assert got["new.spam.net"].rate > got["lone.fine.org"].rate  # its domain lends it its own record
     assert got["lone.fine.org"].bound < 0.25 and all(0 <= r.rate <= 1 and r.bound <= r.rate for r in got.values())
+    assert got["x.org"].n == 0 and got["x.org"].rate < 0.1  # its suffix is nearly clean
+
+
+def reputation_oracle(rows, z):
+    """{host: (rate, bound)} in plain Python; every host has two labels or more and a suffix of one."""
+    hosts = {}
+    for host, bad in rows:
+        n, b = hosts.setdefault(host, [0, 0])
+        hosts[host] = [n + (bad is not None), b + (bad or 0)]
+
+    def strength(units):
+        units = [(n, b, m) for n, b, m in units if n]
+        excess = max(sum(n * (b / n - m) ** 2 for n, b, m in units) - sum(m * (1 - m) for _, _, m in units), 0)
+        s = sum((n - 1) * m * (1 - m) for n, _, m in units) / excess - 1 if excess > 0 else 1000
+        return min(max(s, 1), 1000)
+
+    def level(units):
+        s = strength(units.values())
+        return {k: (b + s * m) / (n + s) for k, (n, b, m) in units.items()}, s
+
+    def summed(cut, means):
+        out = {}
+        for h, (n, b) in hosts.items():
+            key = ".".join(h.split(".")[-cut:])
+            have = out.get(key, (0, 0))
+            out[key] = (have[0] + n, have[1] + b)
+        return {k: (n, b, means(k)) for k, (n, b) in out.items()}
+
+    total = sum(n for n, _ in hosts.values())
+    m0 = (sum(b for _, b in hosts.values()) + 0.5) / (total + 1)
+    suffixes, _ = level(summed(1, lambda k: m0))
+    domains, _ = level(summed(2, lambda k: suffixes[k.split(".")[-1]]))
+    units = {h: (n, b, domains[".".join(h.split(".")[-2:])]) for h, (n, b) in hosts.items()}
+    rates, s = level(units)
+    return {h: (r, r - z * (r * (1 - r) / (units[h][0] + s + 1)) ** 0.5) for h, r in rates.items()}
+
+
+def test_reputation_against_plain_python(spark):
+    rng = random.Random(4)
+    rows = []
+    for h in range(120):
+        host = f"h{h}.d{h % 13}.{rng.choice(('com', 'net', 'zz'))}"
+        odds = 0.9 if host.endswith("zz") else 0.1 + 0.05 * (h % 13)
+        rows += [(host, int(rng.random() < odds)) for _ in range(rng.choice((1, 3, 40)))] if h % 4 else [(host, None)]
+    got = {r.host: (r.rate, r.bound) for r in ur.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    want = reputation_oracle(rows, ur.Z)
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for h in want for a, b in zip(got[h], want[h], strict=True))
+
+
+def test_unlabelled_hosts_follow_the_names_above(spark):
+    """A new host of a domain, and a new domain of a suffix, that are all bad are blocked; elsewhere they are allowed."""
+    urls = [f"http://h{i % 50}.spam{i % 5}.zz/a" for i in range(200)] + [f"http://h{i % 50}.fine.com/a" for i in range(200)] + ["http://new.spam1.zz/", "http://a.fresh.zz/", "http://new.fine.com/", "http://a.fresh.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in ur.judge_pages(pages, outcomes).collect()}
+    assert [got[i] for i in (400, 401, 402, 403)] == ["block", "block", "allow", "allow"]
+    suffixes = {r.suffix for r in ur.with_domains(spark.createDataFrame([("a.b.pvt.k12",)], "host string"), ["pvt.k12"]).collect()}
+    assert suffixes == {"pvt.k12"}
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    common, docs = "a line that is common", []
+    docs += [(1, common), (5, f"x\n{common}\nz"), (5, "first line of all\nunique second line kept\nthird line of all")]
+    many = "\n".join([common, "own"] * 20000)
+    docs += [(9, many)]
+    got = {(r.doc_id, r.text, r.n_dropped) for r in ld.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as t", "2 as lost_pos")).collect()}
+    assert got == {(1, common, 0), (5, "x\nz", 1), (*docs[2], 0), (9, "\n".join(["own"] * 20000), 20000)}
+
+
+def test_languages_against_a_fresh_coder_a_piece(spark):
+    """Verdicts and margins again, with one new compressor for each piece and language; dictionaries against middles cut by hand."""
+    import zstandard
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(LANGS[x]) for _ in range(rng.choice((3, 40, 900)))), x) for i in range(90) for x in [rng.choice(sorted(LANGS))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = cl.learn(docs)
+    for lang, content in dictionaries:
+        middles = []
+        for _, text, x in rows:
+            if x == lang:
+                start = max(0, len(text) // 2 - 512 - 1)
+                middles.append(cl.letters(text[start : start + 1024]))
+        assert len(content.decode()) == sum(map(len, middles)) + len(middles) - 1 and all(m in content.decode() for m in middles)
+    counts = {lang: sum(x == lang for _, _, x in rows) for lang, _ in dictionaries}
+    assert [lang for lang, _ in dictionaries] == sorted(counts, key=lambda x: (-counts[x], x))
+
+    def judged(text):
+        clean = "".join(c if c.isalpha() else " " for c in text.lower())
+        clean = " ".join(clean.split(" ")) if "  " not in clean else cl.letters(text)
+        sizes = []
+        for _, content in dictionaries:
+            d = zstandard.ZstdCompressionDict(b" " * 8 + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(clean[i : i + 1536].encode())) for i in range(0, len(clean), 1536)))
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        rest = min(s for i, s in enumerate(sizes) if i != best)
+        return dictionaries[best][0], (rest - sizes[best]) / rest
+
+    texts = {i: text for i, text, _ in rows} | {500: "der the eau 12 und, ing", 501: "x" * 5000, 502: "the ing and " * 700}
+    got = cl.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), dictionaries).collect()
+    for r in got:
+        lang, margin = judged(texts[r.doc_id])
+        assert (r.lang_pred, r.rejected) == (lang, margin < 0.004) and abs(r.score - margin) < 1e-12

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, free_name, stored
 
 RULES = (
     ("block", "com", "/en/"),
@@ -16,7 +16,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
+#: Default suffixes of two labels under which names are registered, as a caller without a fuller list gets them; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br")
 Z, BLOCK_OVER, MIN_STRENGTH, MAX_STRENGTH = 1.645, 0.25, 1.0, 1000.0
 
@@ -28,11 +28,11 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": ascii_lower(F.regexp_extract(text, pattern, 1)), "path": F.regexp_extract(text, pattern, 2)})
 
 
-def with_domains(hosts: DataFrame) -> DataFrame:
-    """Adds ``suffix`` and ``domain`` (registered name: the suffix and one label more)."""
+def with_domains(hosts: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """Adds ``suffix`` and ``domain`` (registered name: the suffix and one label more); ``suffixes`` lists those of two labels, any other suffix is the last label."""
     two = F.substring_index("host", ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index("host", ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index("host", ".", -3)).otherwise(two)
+    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index("host", ".", -1))
+    domain = F.when(two.isin(*suffixes), F.substring_index("host", ".", -3)).otherwise(two)
     return hosts.withColumns({"suffix": suffix, "domain": domain})
 
 
@@ -51,21 +51,25 @@ def _strength(units: DataFrame, mean: str) -> DataFrame:
     return row.select(F.least(F.greatest(F.coalesce(s, F.lit(MAX_STRENGTH)), F.lit(MIN_STRENGTH)), F.lit(MAX_STRENGTH)).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, n, bad, rate, bound) from rows (host, bad 0/1), every host once.
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, n, bad, rate, bound) from rows (host, bad 0/1 or null), every host once.
 
     Beta-binomial shrinkage down the name: the suffix's rate is drawn towards
     the global rate, the domain's towards its suffix's, the host's towards its
     domain's, each with a prior strength that the method of moments finds from
-    all units of that level. ``bound`` is the posterior mean less ``z``
-    posterior standard deviations. Rows with a null host or bad don't count.
+    all units of that level with outcomes. A host without any gets its prior:
+    the domain's posterior mean, thus the suffix's or the global one where the
+    names above have none either. ``bound`` is the posterior mean less ``z``
+    posterior standard deviations, a normal bound and not a beta quantile. Rows
+    with a null host don't count; a null bad only names the host. No outcomes
+    at all: rate and bound are null.
 
     The first aggregation reduces to one row a host with map-side sums, which
     are stored; what follows works on those counts alone. Only one-row statistics are broadcast.
     """
-    counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = stored(with_domains(counted), "host-counts")
-    every = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m0"))
+    counted = outcomes.where("host is not null").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = stored(with_domains(counted, suffixes), "host-counts")
+    every = hosts.agg(F.when(F.sum("n") > 0, (F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("m0"))
     shrunk = (F.col("bad") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
 
     def level(units: DataFrame) -> DataFrame:
@@ -89,21 +93,28 @@ def longest_rule(host, path, rules: Sequence[tuple[str, str, str]] = RULES):
     return F.try_element_at(fits, F.lit(1))
 
 
-def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_over: float = BLOCK_OVER) -> DataFrame:
+def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_over: float = BLOCK_OVER, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and the host's rate and bound.
 
     ``outcomes`` holds (page_id, bad 0/1); several rows of a page all count,
     nulls don't. A page without a fitting rule is blocked where its host's
-    bound is over ``block_over``; a host without outcomes takes no part and is
-    allowed. Pages of an empty table give an empty result.
+    bound is over ``block_over``; a host without outcomes is judged by its
+    domain, its suffix or the global rate; with no outcomes at all
+    everything is allowed. Null urls share the empty host. Pages
+    of an empty table give an empty result. Incoming columns of the added names
+    give way.
     """
-    named = with_host_and_path(pages)
-    seen = named.where("page_id is not null").select("page_id", "host").join(outcomes.where("bad is not null").select("page_id", "bad"), "page_id").select("host", "bad")
-    scores = host_reputation(seen).select("host", "rate", "bound")
-    rule = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = named.withColumn("fit", rule).join(scores, "host", "left")
+    added = ("host", "path", "rule", "verdict", "rate", "bound")
+    kept = [c for c in pages.columns if c.lower() not in added]
+    fit = free_name("fit", pages)
+    named = with_host_and_path(pages.select(*[f"`{c}`" for c in kept]))
+    judged_ = outcomes.where("bad is not null").select(F.col("page_id").alias("p_"), "bad")
+    ids = named.select(F.col("page_id").alias("q_"), "host")
+    seen = ids.join(judged_, ids["q_"] == judged_["p_"], "left").select("host", "bad")
+    scores = host_reputation(seen, suffixes=suffixes).select("host", "rate", "bound")
+    judged = named.withColumn(fit, longest_rule(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")
     by_method = F.when(F.col("bound") > block_over, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*[pages[f"`{c}`"] for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.action"), by_method).alias("verdict"), "rate", "bound")
+    return judged.select(*[named[f"`{c}`"] for c in kept], "host", "path", F.col(f"{fit}.rule").alias("rule"), F.coalesce(F.col(f"{fit}.action"), by_method).alias("verdict"), "rate", "bound")
 
 
 def labelled_outcomes(labels: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def _level(name: str, source: str) -> str:
     return f"""{name} AS (
   SELECT u.*, least(greatest(coalesce(CASE WHEN t.e > 0 THEN t.room / nullif(t.e, 0.0) - 1 ELSE {MAX_STRENGTH} END, {MAX_STRENGTH}), {MIN_STRENGTH}), {MAX_STRENGTH}) AS strength
   FROM {source} u, (SELECT greatest(sum(n * (bad / n - mean) * (bad / n - mean)) - sum(mean * (1 - mean)), 0.0) AS e,
-                           sum((n - 1) * mean * (1 - mean)) AS room FROM {source}) t
+                           sum((n - 1) * mean * (1 - mean)) AS room FROM {source} WHERE n > 0) t
 )"""
 
 
@@ -136,9 +147,9 @@ WITH named AS (
   FROM pages
 ), seen AS (
   SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END AS bad
-  FROM named JOIN labels ON page_id = doc_id
+  FROM named LEFT JOIN labels ON page_id = doc_id
 ), counted AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM seen WHERE bad IS NOT NULL GROUP BY host
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM seen GROUP BY host
 ), parts AS (
   SELECT *, string_split(host, '.') AS p FROM counted
 ), hosts AS (
@@ -147,7 +158,7 @@ WITH named AS (
          CASE WHEN two THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain
   FROM parts
 ), s0 AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM hosts) AS mean FROM hosts GROUP BY suffix
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1.0) END FROM hosts) AS mean FROM hosts GROUP BY suffix
 ), {_level("s1", "s0")}, d0 AS (
   SELECT d.domain, d.n, d.bad, (s1.bad + s1.strength * s1.mean) / (s1.n + s1.strength) AS mean
   FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix, domain) d JOIN s1 USING (suffix)
