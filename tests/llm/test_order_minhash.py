@@ -51,3 +51,38 @@ def test_odd_rows(spark):
     one = omh.digest(docs.where("doc_id = 9")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert omh.digest(docs.limit(0)).count() == 0
+
+
+def mixed(x):
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 32
+
+
+def signature(data):
+    """The fingerprint in plain integers: number the k-mers' occurrences, take each order's smallest, put them back in text order, hash the tuple."""
+    if not data:
+        return "0" * 8 * 16
+    data = data.ljust(8, b"\0")
+    step, seen, marks = 0x9E3779B97F4A7C15, {}, []
+    for i in range(len(data) - 7):
+        kmer = data[i : i + 8]
+        n = seen[kmer] = seen.get(kmer, -1) + 1
+        mark = mixed(int.from_bytes(kmer, "little"))
+        marks.append(mixed((mark + n * step) % 2**64) if n else mark)
+    out = ""
+    for r in range(16):
+        xor, odd = mixed((r + 1) * step % 2**64), mixed((r + 17) * step % 2**64) | 1
+        least = sorted(range(len(marks)), key=lambda i: ((marks[i] ^ xor) * odd % 2**64, i))[:2]
+        joined = 0
+        for i in sorted(least):
+            joined = mixed((joined * 0x94D049BB133111EB + marks[i] + step) % 2**64)
+        out += f"{joined >> 32:08x}"
+    return out
+
+
+def test_signature_against_plain_integers():
+    rng = random.Random(9)
+    texts = [b"a", b"ab" * 3, b"abcdefgh", b"abcdefghi", b"a" * 60, "é😀x".encode() * 9, *(bytes(rng.choice(b"ab \n") for _ in range(rng.choice((5, 40, 400)))) for _ in range(30)), b"the same words again " * 4000]
+    for text in texts:
+        assert omh.fingerprint(text) == signature(text)
