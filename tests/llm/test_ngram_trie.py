@@ -23,6 +23,7 @@ class Brute:
             if doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2:
                 t = words_of(text)
                 self.c1.update(t)
+                self.c2[None][t[0]] += 1
                 for i in range(1, len(t)):
                     self.c2[t[i - 1]][t[i]] += 1
                     self.c3[(t[i - 2] if i > 1 else None, t[i - 1])][t[i]] += 1
@@ -42,7 +43,7 @@ class Brute:
 
     def row(self, doc_id, text):
         t = words_of(text)
-        score = math.log10(self.p1(t[0])) + sum(math.log10(self.p(t[i - 2] if i > 1 else None, t[i - 1], t[i])) for i in range(1, len(t)))
+        score = math.log10(self.mixed(self.c2.get(None), t[0], self.p1(t[0]))) + sum(math.log10(self.p(t[i - 2] if i > 1 else None, t[i - 1], t[i])) for i in range(1, len(t)))
         return len(t), sum(self.c1[w] > 0 for w in t), self.n, sum(math.log10(self.p1(w)) for w in t), score
 
 
@@ -67,17 +68,36 @@ def test_scores_match_brute_force(spark, monkeypatch, batch_bytes):
     assert lm.digest(docs.limit(0)).count() == 0
 
 
-def test_common_words_split_and_stay_below_one(spark, monkeypatch):
-    """Split contexts still give each next word a share, and the shares sum to at most 1."""
-    monkeypatch.setattr(lm, "CLASS_TOKENS", 40)
+def test_split_words_score_as_whole_ones(spark, monkeypatch):
+    """However words are split over shards, the scores are the same; the shares of a context sum to at most 1."""
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(("the", "the", "a", "b", "c")) for _ in range(50))) for i in range(60)]
-    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
-    more = [i for i in range(held, held + 200) if zlib.crc32(str(i).encode()) % 7 == 2][:6]
-    texts = dict(zip(more, ["a the", "a the the", "a the a", "a the b", "a the c", "a the zzz"], strict=True))
-    docs = spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string")
-    score = {texts[r.doc_id]: r.score for r in lm.digest(docs).collect() if r.doc_id in texts}
-    assert len(score) == 6 and all(math.isfinite(x) for x in score.values())
+    vocab = ("the", "the", "the", "a", "b", "c", *(f"w{i}" for i in range(40)))
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((0, 1, 50))))) for i in range(90)]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    following = sorted({"", *vocab, "zzz"})
+    texts = {d: f"a the {w}".strip() for d, w in zip(held, following, strict=False)} | {d: f"zzz the {w}".strip() for d, w in zip(held[60:], following, strict=False)}
+    docs = spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 400)
+    whole = {r.doc_id: r.score for r in lm.digest(docs).collect()}
+    for piece, shard in ((40, 10**6), (10, 150)):
+        monkeypatch.setattr(lm, "PIECE_TOKENS", piece)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
+        monkeypatch.setattr(lm, "WORD_SHARD_CHARS", 800)
+        split = {r.doc_id: r.score for r in lm.digest(docs).collect()}
+        assert split.keys() == whole.keys() and all(abs(split[d] - whole[d]) < 1e-9 for d in whole)
+    brute = Brute(rows)
+    for u, ids in (("a", held), ("zzz", held[60:])):
+        n = len(following)
+        shares = [10 ** (whole[d] - whole[ids[0]]) for d in ids[:n]]  # against the end of the text
+        assert sum(brute.p(u, "the", w or "\n") for w in following) <= 1 + 1e-9 and all(x > 0 for x in shares)
+
+
+def test_steps_round_trip():
+    rng = np.random.default_rng(4)
+    x, y, z = (rng.integers(0, 5, 300) for _ in range(3))
+    o = np.lexsort((z, y, x))
+    got = lm._unstepped(*(a.astype(np.int64) for a in lm._steps(x[o], y[o], z[o])))
+    assert all((a == b).all() for a, b in zip(got, (x[o], y[o], z[o]), strict=True))
 
 
 def test_held_out_gains_on_repeated_phrases(spark):
@@ -90,7 +110,12 @@ def test_held_out_gains_on_repeated_phrases(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(3)
-    for n, top in ((0, 1), (1, 0), (7, 5), (1000, 10**9), (5000, 100), (3, 2**50)):
-        values = np.sort(rng.integers(0, top + 1, n))
-        n_, bits, data = lm.EliasFano.coded(values)
-        assert lm.EliasFano(n_, bits, np.frombuffer(data, dtype=np.uint8)).decoded().tolist() == values.tolist()
+    for n, top in ((0, 1), (1, 0), (7, 5), (1000, 10**9), (5000, 100), (3, 2**50), (8, 7)):
+        values = np.unique(rng.integers(0, top + 1, n))
+        n = len(values)
+        coded = lm.EliasFano(*(x if isinstance(x, int) else np.frombuffer(x, dtype=np.uint8) for x in lm.EliasFano.coded(values)))
+        assert coded.get(np.arange(n)).tolist() == values.tolist()
+        asked = np.concatenate([values, rng.integers(0, top + 3, 200)])
+        for first, end in ((0, n), (n // 3, n // 2)):
+            want = [next((i for i in np.flatnonzero(values == x) if first <= i < end), -1) for x in asked]
+            assert coded.find(asked, np.full(len(asked), first), np.full(len(asked), end)).tolist() == want
