@@ -9,7 +9,7 @@ def test_bands_reach_the_recall():
     assert pd_.tuned_bands(0.9, 0.99, 32)[1] > 1
 
 
-def brute(docs, min_words=20):
+def brute(docs, min_words=51):
     """{doc_id: ((component, removed positions))} from all pairs of paragraphs."""
     items = [(d, pos, words) for d, text in docs for pos, _, _, words in pd_.paragraphs(text, min_words)]
     sets = [set(pd_.shingles(w)) for _, _, w in items]
@@ -43,14 +43,14 @@ def sample(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
     line = lambda n: [word() for _ in range(n)]
-    bases = [line(60) for _ in range(6)]
+    bases = [line(70) for _ in range(6)]
     docs = []
     for d in range(120):
-        lines = [line(rng.choice((3, 25, 40))) for _ in range(rng.randint(0, 3))]
+        lines = [line(rng.choice((3, 25, 50, 60))) for _ in range(rng.randint(0, 3))]
         for _ in range(rng.randint(0, 2)):
             near = list(rng.choice(bases))
-            for _ in range(rng.choice((0, 0, 1, 2, 4))):  # a changed word costs up to five of 56 shingles
-                near[rng.randrange(60)] = word()
+            for _ in range(rng.choice((0, 0, 1, 2, 4))):  # a changed word costs up to five of 66 shingles
+                near[rng.randrange(70)] = word()
             lines.insert(0, near)
         docs.append((d * 3, "\n".join(" ".join(x) for x in lines)))
     return docs
@@ -58,7 +58,7 @@ def sample(seed):
 
 def test_matches_brute_force(spark):
     docs = sample(1) + [(1000, None), (1001, ""), (1002, "W " * 3000), (1003, "w " * 3000), (1004, "short line\nshort line")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as pos", "2 as pid").repartition(4)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as pos", "2 as pid", "3 as d_", "4 as gone_").repartition(4)
     want = brute(docs)
     got = {r.doc_id: (set(r.component_ids), {s.pos for s in r.removed}) for r in pd_.digest(frame).collect()}
     assert got == want
@@ -75,3 +75,19 @@ def test_empty(spark):
     assert pd_.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = pd_.digest(spark.createDataFrame([(None, "x " * 30), (None, "x " * 30)], "doc_id long, text string")).collect()
     assert [r.n_repeated for r in one] == [0, 0]
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    rng = random.Random(3)
+    long_line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(60))
+    a, b, c = long_line(), long_line(), long_line()
+    docs = [(1, a), (5, f"x\n{a}\nz"), (5, f"y\n{b}\n{c}")]
+    got = {(r.doc_id, r.text) for r in pd_.remove_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {docs[0], (5, "x\nz"), docs[2]}
+
+
+def test_jaccard_and_shingles_by_hand():
+    words = [str(i).encode() for i in range(55)]
+    changed = [*words[:30], b"x", *words[31:]]
+    assert len(pd_.shingles(words)) == 51 and pd_.shingles([b"a"]) == [b"a"]
+    assert pd_.jaccard(b" ".join(words).decode(), b" ".join(changed).decode()) == 46 / 56

@@ -6,7 +6,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def brute(docs):
-    """{(doc_id, text): [(start, end)]} of the stretches whose every 25 words in turn stand in an earlier document."""
+    """{(doc_id, text): [(start, end)]} of the stretches whose every 51 words on end stand in an earlier document."""
     words = {}
     for d, text in docs:
         at, found = 0, []
@@ -17,17 +17,17 @@ def brute(docs):
         words[d, text] = found
     first = {}
     for (d, _), found in words.items():
-        for i in range(len(found) - 24):
-            g = tuple(w for w, _, _ in found[i : i + 25])
+        for i in range(len(found) - 50):
+            g = tuple(w for w, _, _ in found[i : i + 51])
             first[g] = min(d, first.get(g, d))
     out = {}
     for (d, text), found in words.items():
-        hit = [first[tuple(w for w, _, _ in found[i : i + 25])] < d for i in range(len(found) - 24)] + [False]
+        hit = [first[tuple(w for w, _, _ in found[i : i + 51])] < d for i in range(len(found) - 50)] + [False]
         start = 0
         for i, x in enumerate(hit):
             if not x:
-                if i - start >= 26:
-                    out.setdefault((d, text), []).append((found[start][1], found[i + 23][2]))
+                if i > start:
+                    out.setdefault((d, text), []).append((found[start][1], found[i + 49][2]))
                 start = i + 1
     return out
 
@@ -39,7 +39,7 @@ def sample():
     for d, words in enumerate(held):
         docs.append((d, " ".join(words)))
     for d in range(12, 60):
-        size, words = rng.choice((30, 49, 50, 51, 69, 120)), held[d % 12]
+        size, words = rng.choice((30, 50, 51, 52, 69, 120)), held[d % 12]
         at = rng.randrange(len(words) - size + 1)
         part = line(rng.randrange(150)) + words[at : at + size] + line(rng.randrange(150))
         if d % 3:  # one long line, or lines of under 20 words
@@ -51,13 +51,23 @@ def sample():
 
 def test_passages_in_long_lines_and_over_short_lines(spark):
     docs = sample()
+    docs += [(200 + i, docs[20 + i % 4][1]) for i in range(12)]  # copies of whole texts
     want = {d: spans for (d, _), spans in brute(docs).items()}
-    assert len(want) > 25
-    frame = spark.createDataFrame([*docs, (100, None), (None, docs[0][1])], SCHEMA).selectExpr("*", "1 as t", "2 as start").repartition(4)
+    assert len(want) > 30
+    frame = spark.createDataFrame([*docs, (100, None), (None, docs[0][1])], SCHEMA).selectExpr("*", "1 as t", "2 as start", "3 as what", "4 as n_").repartition(4)
     rows = {r.doc_id: r for r in pd_.digest(frame).collect()}
     assert {d: [(s.start, s.start + s.length) for s in r.passages] for d, r in rows.items() if r.passages} == want
-    for d, _ in docs:
-        assert rows[d].component_id == (d % 12 if d in want else rows[d].component_id)
+    holders = {}
+    for d, text in docs:
+        parts = text.encode().lower().split()
+        for i in range(len(parts) - 50):
+            holders.setdefault(tuple(parts[i : i + 51]), set()).add(d)
+    classes = {d: d for d, _ in docs}
+    for _ in range(5):  # the smallest doc_id spreads over shared windows
+        for held in holders.values():
+            least = min(classes[d] for d in held)
+            classes |= dict.fromkeys(held, least)
+    assert {d: rows[d].component_id for d, _ in docs} == classes
     texts = {d: t for d, t in docs}
     cut = pd_.remove_repeats(frame)
     assert cut.columns == frame.columns
@@ -71,6 +81,16 @@ def test_rows_of_one_id_and_repeats_inside_one(spark):
     rng = random.Random(7)
     base = [str(rng.randrange(10**6)) for _ in range(60)]
     docs = [(1, " ".join(base)), (1, " ".join(base + base)), (2, "x " + "\n".join(base) + " y"), (2, "z\n" + " ".join(base)), (2, "w"), (3, "v " * 500), (4, "u " + "v " * 60)]
-    got = {(r.doc_id, r.text) for r in pd_.remove_repeated_runs(spark.createDataFrame(docs, SCHEMA)).collect()}
+    got = {(r.doc_id, r.text) for r in pd_.remove_repeated_runs(spark.createDataFrame([*docs, docs[3]], SCHEMA)).collect()}
     assert got == {*docs[:2], (2, "x  y"), (2, "z\n"), (2, "w"), docs[5], (4, "u  ")}
     assert pd_.repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_size_changes_the_window_rule(spark):
+    """50 words on end are no passage and 51 are, at any place of the line breaks."""
+    rng = random.Random(8)
+    for n in (50, 51):
+        base = [str(rng.randrange(10**6)) for _ in range(n)]
+        docs = [(i, "\n".join([f"a{i} " * i, " ".join(base[: i + 3]), *base[i + 3 :], f"b{i}"])) for i in range(6)]
+        got = pd_.digest(spark.createDataFrame(docs, SCHEMA)).collect()
+        assert {r.component_id for r in got} == ({0} if n == 51 else set(range(6)))

@@ -10,7 +10,8 @@ from .common import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    # c is u, but not to the planner: both sides are dealt anew, so that AQE may split the edges of a node that a third of all have
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("c"), F.least("u", "m").alias("m"))
     return both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -20,6 +21,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 
+def contracted(edges: DataFrame, name: str, rounds: int = 1) -> DataFrame:
+    """(node, component) after a few rounds: nodes with equal components are connected, but connected nodes may still differ."""
+    current = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    for _ in range(rounds):
+        current = stored(_small_star(_large_star(current)), name)
+    up = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return up.union(current.select(F.col("v").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component) of each node in ``edges`` (u, v); component is the smallest node reachable.
 

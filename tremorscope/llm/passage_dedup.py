@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -12,31 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .components import components
-from .passage_runs import remove_repeated_runs, repeated_runs
+from .common import free_name, stored
+from .components import components, contracted
+from .minhash import BANDS, RUN, SIMILARITY, band_keys, jaccard, shingles, tuned_bands, words_of
+from .passage_runs import repeated_runs
 
-WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 64
+__all__ = ["band_keys", "digest", "jaccard", "paragraphs", "remove_repeats", "repeated_passages", "repeated_runs", "shingles", "tuned_bands"]
 #: Paragraphs of fewer words are left alone: stock phrases, headings, licence lines.
-MIN_WORDS = 20
-
-
-def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, and then the fewest bands, that find a pair of the wanted similarity with the wanted probability by ``most`` hashes."""
-    best = None
-    for rows in range(1, most + 1):
-        p = similarity**rows
-        bands = 1 if p >= recall else ceil(log(1 - recall) / log(1 - p))
-        if bands * rows <= most:
-            best = (bands, rows)
-    if best is None:
-        raise ValueError("no banding reaches this recall with so few hashes")
-    return best
-
-
-BANDS, ROWS = tuned_bands()
-_RANDOM = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
-_XOR, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+MIN_WORDS = RUN
 
 
 def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -44,7 +26,7 @@ def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[i
     start = 0
     for pos, line in enumerate((text or "").split("\n")):
         if len(line) >= 2 * min_words - 1:
-            words = line.encode().lower().split()
+            words = words_of(line)
             if len(words) >= min_words:
                 yield pos, start, len(line), words
         start += len(line) + 1
@@ -56,35 +38,10 @@ Cut = Callable[[str | None], Iterator[tuple[int, int, int, list[bytes]]]]
 
 def whole(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """The whole text as one unit; null is empty."""
-    yield 0, 0, len(text or ""), (text or "").encode().lower().split()
-
-
-def shingles(words: list[bytes]) -> list[bytes]:
-    return [b" ".join(w) for w in zip(*[words[i:] for i in range(WORDS)])] or [b" ".join(words)]
-
+    yield 0, 0, len(text or ""), words_of(text)
 
-def jaccard(a: str, b: str) -> float:
-    x, y = set(shingles(a.encode().split())), set(shingles(b.encode().split()))
-    return len(x & y) / len(x | y)
 
-
-def band_keys(lists: list[list[bytes]]) -> np.ndarray:
-    """One row a paragraph of BANDS keys, each of ROWS minima of its shingles."""
-    hashed = [np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(w)), dtype=np.uint64) for w in lists]
-    starts = np.cumsum([0, *map(len, hashed)])
-    flat = np.concatenate(hashed)
-    keys = np.empty((len(lists), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lists), band + 1, dtype=np.uint64)
-        for j in range(band * ROWS, (band + 1) * ROWS):
-            low = np.minimum.reduceat((flat ^ _XOR[j]) * _ODD[j], starts[:-1])
-            key = (key ^ (low ^ (low >> np.uint64(31)))) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        keys[:, band] = key
-    return keys
-
-
-def _identity(words: list[bytes]) -> tuple[int, int]:
+def identity(words: list[bytes]) -> tuple[int, int]:
     """Two signed 64-bit halves of a 128-bit hash of the words."""
     h = xxhash.xxh3_128_digest(b" ".join(words))
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
@@ -100,7 +57,7 @@ def with_bands(docs: DataFrame, cut: Cut) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(ids: list, lists: list) -> pa.RecordBatch:
             keys = band_keys(lists).view(np.int64)
-            both = [_identity(w) for w in lists]
+            both = [identity(w) for w in lists]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), bands], names=["doc_id", "h1", "h2", "bands"])
 
@@ -120,22 +77,35 @@ def with_bands(docs: DataFrame, cut: Cut) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
+#: Words that a batch of located units holds.
+LOCATED_WORDS = 500_000
+
+
 def located(docs: DataFrame, cut: Cut, with_text: bool = False) -> DataFrame:
-    """(doc_id, pos, start, length, h1, h2[, words]) of every unit."""
+    """(doc_id, t, pos, start, length, h1, h2[, words]) of every unit; t is the XXH64 of the row's text."""
+    names = ["doc_id", "t", "pos", "start", "length", "h1", "h2", *(["words"] if with_text else [])]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], *[pa.array([x.decode() for x in c], pa.string()) for c in columns[7:]]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            rows = [
-                (doc_id, pos, start, length, *_identity(words), *([b" ".join(words)] if with_text else []))
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                for pos, start, length, words in cut(text.as_py())
-            ]
-            if rows:
-                columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:6]]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array([r[6].decode() for r in rows], pa.string())] if with_text else [])], names=names)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                t = xxhash.xxh64_intdigest((text or "").encode(), 42)
+                t -= (t >> 63) << 64
+                for pos, start, length, words in cut(text):
+                    rows.append((doc_id, t, pos, start, length, *identity(words), *([b" ".join(words)] if with_text else [])))
+                    held += len(words)
+                    if held >= LOCATED_WORDS:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
 
-    names = ["doc_id", "pos", "start", "length", "h1", "h2", *(["words"] if with_text else [])]
-    return docs.mapInArrow(run, "doc_id long, pos long, start long, length long, h1 long, h2 long" + (", words string" if with_text else ""))
+    return docs.mapInArrow(run, "doc_id long, t long, pos long, start long, length long, h1 long, h2 long" + (", words string" if with_text else ""))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -161,16 +131,15 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.select("pid", "words").mapInArrow(run, "pid long, s array<long>")
 
 
-def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bucket members (key, pid) with their component so far, of buckets that hold several, and the bucket's extreme members."""
-    found = components(edges, "passage-components")
+def _labelled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members (key, pid) with their component in ``found``, of buckets that hold several, and the bucket's last member."""
     rows = met.join(found, met["pid"] == found["node"], "left").select("key", "pid", F.coalesce("component", "pid").alias("label"))
     open_ = stored(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("pid").alias("last")).where("lo < hi").select(F.col("key").alias("key_"), "last"), "passage-open")
     return rows.join(open_, rows["key"] == open_["key_"]).select("key", "pid", "label", "last")
 
 
-def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float) -> DataFrame:
-    """(node, component) over distinct units (pid, h1, h2, d, bands) of ``docs`` under ``cut`` that link to another.
+def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float, also: DataFrame | None = None) -> DataFrame:
+    """(node, component) over distinct units (pid, h1, h2, d, bands) of ``docs`` under ``cut`` that link to another; ``also`` holds further pairs (u, v) to check.
 
     A bucket is a band key that several distinct units share. Its members
     are first checked against its smallest, then its largest member, which is
@@ -183,18 +152,22 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     keys = distinct.select("pid", F.explode("bands").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("other")).where("first < other").select(F.col("key").alias("key_"), "first"), "passage-buckets")
     met = stored(keys.join(shared, keys["key"] == shared["key_"]).select("key", "pid", "first"), "passage-members")
-    members = stored(distinct.select("pid", F.col("h1").alias("m1"), F.col("h2").alias("m2"), "d").join(met.select("pid").distinct(), "pid", "left_semi"), "passage-candidates")
+    pairs = met.where("pid != first").select(F.col("first").alias("u"), F.col("pid").alias("v"))
+    wanted = met.select("pid")
+    if also is not None:
+        pairs, wanted = pairs.union(also.select("u", "v")), wanted.union(also.select("u")).union(also.select("v"))
+    members = stored(distinct.select("pid", F.col("h1").alias("m1"), F.col("h2").alias("m2"), "d").join(wanted.distinct(), "pid", "left_semi"), "passage-candidates")
     rows = located(docs, cut, True)
-    same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & (rows["doc_id"] == members["d"])
+    same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & rows["doc_id"].eqNullSafe(members["d"])
     texts = stored(rows.join(members, same).select("pid", "words").dropDuplicates(["pid"]), "passage-texts")
-    pairs = met.where("pid != first").select(F.col("first").alias("u"), F.col("pid").alias("v")).distinct()
-    edges = stored(_verified(pairs, texts, similarity), "passage-edges")
-    rest = stored(_labelled(met, edges), "passage-rest")
+    edges = stored(_verified(pairs.distinct(), texts, similarity), "passage-edges")
+    rest = stored(_labelled(met, contracted(edges, "passage-stars")), "passage-rest")
     if rest.isEmpty():
         return components(edges, "passage-components")
     pairs = rest.where("pid != last").select(F.col("pid").alias("u"), F.col("last").alias("v")).distinct()
     edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
-    rest = stored(_labelled(met, edges), "passage-rest")
+    found = components(edges, "passage-components")
+    rest = stored(_labelled(met, found), "passage-rest")
     if not rest.isEmpty():
         full = rest.join(_shingled(texts), "pid")
         a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
@@ -202,22 +175,24 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
         alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
         pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
         edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
-    return components(edges, "passage-components")
+        found = components(edges, "passage-components")
+    return found
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, pos, start, length, component_id) of each paragraph that stands in two documents or more.
-
-    A paragraph is a line of ``min_words`` words or more. Two paragraphs link
-    if their sets of five-word shingles have a Jaccard similarity of
-    ``similarity`` or more; component_id is the smallest doc_id that holds any
-    paragraph linked to it over any number of steps. Positions and starts count
-    from 0, in lines and code points. Repeats inside one document alone don't
-    count. Null text has no paragraphs; rows with a null doc_id take no part;
-    rows that share a doc_id are one document. Empty tables give no rows.
-
-    Copies of a paragraph are merged by a 128-bit hash before anything else, so
-    a passage that a third of all documents hold is one row from there on.
+    """(doc_id, t, pos, start, length, component_id) of each line that stands, alike or nearly so, in two documents or more.
+
+    Lines of ``min_words`` words or more count. Two lines link if their sets of
+    five-word shingles have a Jaccard similarity of ``similarity`` or more;
+    component_id is the smallest doc_id that holds any line linked to it over
+    any number of steps. Positions and starts count from 0, in lines and code
+    points. Repeats inside one document alone don't count. Null text has no
+    lines; rows with a null doc_id take no part; rows that share a doc_id are
+    one document, and t, the XXH64 of a row's text, tells them apart. Empty
+    tables give no rows.
+
+    Copies of a line are merged by a 128-bit hash before anything else, so
+    a line that a third of all documents hold is one row from there on.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     cut = partial(paragraphs, min_words=min_words)
@@ -229,39 +204,83 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id")
     repeated = stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id"), "passage-classes")
     places = located(rows, cut)
-    return places.join(repeated, (places["h1"] == repeated["r1"]) & (places["h2"] == repeated["r2"])).select("doc_id", "pos", "start", "length", "component_id")
+    # equal on one half of the hash, checked on the other: AQE may split a line that a third of all rows hold
+    return places.join(repeated, (places["h1"] == repeated["r1"]) & (places["h2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "t", "pos", "start", "length", "component_id")
+
+
+def _cut(docs: DataFrame, gone: DataFrame, kept: Callable[[str, list], str]) -> DataFrame:
+    """``docs`` whose texts give way to ``kept(text, what)`` where ``gone`` (d_, t_, what) has a row for the doc_id and the text; all else as it is."""
+    name = free_name("what", docs)
+    same = (docs["doc_id"].cast("long") == gone["d_"]) & (F.xxhash64(docs["text"]) == gone["t_"])
+    joined = docs.join(gone, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], gone["what"].alias(name))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost = batch.column(len(docs_names)).to_pylist()
+            if any(lost):
+                texts = [kept(t, w) if w else t for t, w in zip(batch.column(at).to_pylist(), lost, strict=True)]
+                columns = [batch.column(i) for i in range(len(docs_names))]
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+            else:
+                yield batch.select(range(len(docs_names)))
+
+    docs_names = docs.columns
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _without_lines(text: str, lost: list[int]) -> str:
+    gone = set(lost)
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
+def _without_spans(text: str, lost: list) -> str:
+    parts, at = [], 0
+    for start, length in sorted((s["start"], s["length"]) for s in lost):
+        parts.append(text[at:start])
+        at = max(at, start + length)
+    return "".join([*parts, text[at:]])
 
 
 def remove_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the paragraphs that a document with a smaller doc_id holds, alike or nearly so. Null text stays null."""
-    gone = repeated_passages(docs, min_words, similarity).where("doc_id > component_id").groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set(F.col("pos").cast("int")).alias("gone_"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone_"), i))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return docs.join(gone, docs["doc_id"] == gone["d_"], "left").withColumn("text", text).select(*docs.columns)
+    """``docs`` without the lines that a document with a smaller doc_id holds, alike or nearly so. Null text stays null."""
+    gone = repeated_passages(docs, min_words, similarity).where("doc_id > component_id").groupBy(F.col("doc_id").alias("d_"), F.col("t").alias("t_")).agg(F.collect_set("pos").alias("what"))
+    return _cut(docs, gone, _without_lines)
+
+
+def remove_repeated_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` without the runs of words that a document with a smaller doc_id holds. Null text stays null."""
+    gone = repeated_runs(docs).groupBy(F.col("doc_id").alias("d_"), F.col("t").alias("t_")).agg(F.collect_set(F.struct("start", "length")).alias("what"))
+    return _cut(docs, gone, _without_spans)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without repeated paragraphs, and then without the runs of 50 words or more that a document with a smaller doc_id still holds."""
-    return remove_repeated_runs(remove_repeated_passages(docs, min_words, similarity))
+    """``docs`` without lines that an earlier document holds, alike or nearly so, and then without the runs of RUN words or more that a document with a smaller doc_id still holds."""
+    return remove_repeated_runs(stored(remove_repeated_passages(docs, min_words, similarity), "passages-cut"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """A row per document: its class ids, how many of its paragraphs repeat, and the spans that go.
-
-    component_ids are the smallest doc_ids of its paragraphs' components. A
-    span goes if its component reaches a smaller doc_id. passages are the runs
-    of 50 words or more, inside a line or over several, that stand in documents
-    with smaller doc_ids, in the whole text. component_id is the smallest of
-    component_ids and of the passages'; a document without any has its own
-    doc_id.
+    """A row per document: its class, its passages' class ids, how many of its lines repeat, and the spans that go.
+
+    A document's component_id is the smallest doc_id that it reaches over
+    documents that share a passage: a line of RUN words or more, alike or nearly
+    so, or RUN words on end anywhere. One that shares none has its own doc_id; a
+    null doc_id has null. component_ids are the smallest doc_ids of the
+    components of its lines; ``removed`` are those lines whose component reaches
+    a smaller doc_id. ``passages`` are the runs of RUN words or more, inside a
+    line or over several, that stand in documents with smaller doc_ids.
     """
-    spans = F.struct("pos", "start", "length", "component_id")
-    by_doc = repeated_passages(docs).groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(spans)).alias("all_"))
+    lines = stored(repeated_passages(docs), "passage-lines")
+    runs = stored(repeated_runs(docs), "passage-runs")
+    edge = lambda rows: rows.where("doc_id > component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    classes = components(edge(lines).union(edge(runs)), "passage-documents").withColumnsRenamed({"node": "n_", "component": "class_"})
+    by_doc = lines.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(F.struct("pos", "start", "length", "component_id"))).alias("all_"))
+    by_run = runs.groupBy(F.col("doc_id").alias("r_")).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias("runs_"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("r_")).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias("runs_"))
-    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left").join(runs, ids["doc_id"] == runs["r_"], "left")
+    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left").join(by_run, ids["doc_id"] == by_run["r_"], "left").join(classes, ids["doc_id"] == classes["n_"], "left")
     passages = F.coalesce("runs_", F.array().cast("array<struct<start:bigint,length:bigint,component_id:bigint>>"))
     all_ = F.coalesce("all_", F.array().cast("array<struct<pos:bigint,start:bigint,length:bigint,component_id:bigint>>"))
     removed = F.filter(all_, lambda s: s["component_id"] < F.col("doc_id"))
     kinds = F.array_sort(F.array_distinct(F.transform(all_, lambda s: s["component_id"])))
-    return joined.select("doc_id", F.coalesce(F.least(F.array_min(kinds), F.array_min(F.transform(passages, lambda s: s["component_id"]))), "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), passages.alias("passages"))
+    return joined.select("doc_id", F.coalesce("class_", "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), passages.alias("passages"))

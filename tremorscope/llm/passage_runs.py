@@ -1,133 +1,106 @@
-"""Runs of words that stand in an earlier document, wherever lines begin and end."""
+"""Paragraphs of 51 words on end that an earlier document holds, wherever lines begin and end."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .minhash import RUN, window_hashes, window_keys, word_hashes, words_of
 
-#: A run has RUN words or more. Words a gram, and grams a window: each run of GRAM + WINDOW - 1 words holds a whole window.
-RUN, GRAM = 50, 25
-WINDOW = RUN - GRAM + 1
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
+def word_spans(text: str) -> np.ndarray:
+    """(start, end) of each word in code points; words lie between ASCII white space."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    blank = np.ones(len(codes) + 2, dtype=bool)
+    blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    return np.flatnonzero(blank[1:] != blank[:-1]).reshape(-1, 2)
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(doc_id, t, t2, key): the distinct band keys of each row's windows."""
 
-def grams(text: str | None) -> np.ndarray:
-    """The hash of the GRAM words from each word on; words are split at ASCII white space, A-Z lower-cased. Fewer than RUN words: none."""
-    words = text.encode().lower().split() if text else []
-    if len(words) < RUN:
-        return np.empty(0, dtype=np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashed * _powers(_BASE, len(words)), dtype=np.uint64)])
-    out = (sums[GRAM:] - sums[:-GRAM]) * _powers(_UNBASE, len(words) - GRAM + 1)
-    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        out = (out ^ (out >> np.uint64(shift))) * np.uint64(odd)
-    return out ^ (out >> np.uint64(31))
-
-
-def _sliding(a: np.ndarray, width: int, least) -> np.ndarray:
-    """``least`` over each ``width`` neighbours, by doubling."""
-    size = 1
-    while 2 * size <= width:
-        a, size = least(a[:-size], a[size:]), 2 * size
-    return least(a[: len(a) - (width - size)], a[width - size :]) if width > size else a
-
-
-def anchors(marks: np.ndarray) -> np.ndarray:
-    """Where a gram is the smallest of some window of WINDOW grams: a choice that depends on the window's words alone."""
-    if not len(marks):
-        return np.empty(0, dtype=np.int64)
-    low = np.pad(_sliding(marks, WINDOW, np.minimum), WINDOW - 1)
-    return np.flatnonzero(marks == _sliding(low, WINDOW, np.maximum))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(window_keys(word_hashes(words_of(x.as_py())))) for x in batch.column(3)]
+            at = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(at)) for i in range(3)], pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())], names=["doc_id", "t", "t2", "key"])
 
+    return rows.mapInArrow(run, "doc_id long, t long, t2 long, key long")
 
-def _anchored(docs: DataFrame) -> DataFrame:
-    """(doc_id, h): each row's distinct anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1):
-                marks = grams(text.as_py())
-                found.append(np.unique(marks[anchors(marks)]))
-            ids = np.repeat(np.asarray(batch.column(0)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
+#: Windows that a batch of ``_windows`` holds.
+SLICE = 1 << 16
 
-    return docs.mapInArrow(run, "doc_id long, h long")
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, g1, g2, pos, start, end) of the windows whose key is among the row's ``shared`` ones; a copy of another text gives one row, its whole span, with g1 null.
 
-def _near_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, g, pos, start, end) of the grams within a window of the row's ``repeated`` anchors; t tells apart texts of one doc_id."""
+    g1 hashes all words, g2 is a short piece of the key: 80 bits tell windows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, t, text, repeated in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
-                marks = grams(text)
-                at = anchors(marks)
-                at = at[np.isin(marks[at].view(np.int64), repeated.values.to_numpy())]
-                reach = np.zeros(len(marks) + 1, dtype=np.int64)
-                np.add.at(reach, np.maximum(at - WINDOW, 0), 1)
-                np.add.at(reach, np.minimum(at + WINDOW + 1, len(marks)), -1)
-                pos = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
-                spans = np.array([x.span() for x in _WORD.finditer(text)], dtype=np.int64)
-                for i in range(0, len(pos), 1 << 16):
-                    p = pos[i : i + (1 << 16)]
-                    columns = [np.full(len(p), doc_id), np.full(len(p), t), marks[p].view(np.int64), p, spans[p, 0], spans[p + GRAM - 1, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "t", "g", "pos", "start", "end"])
-
-    return docs.mapInArrow(run, "doc_id long, t long, g long, pos long, start long, end long")
+            for doc_id, tag, text, copy, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                text = text.as_py()
+                spans = word_spans(text)
+                if copy:
+                    found = [np.array([x]) for x in (0, 0, 0, spans[0, 0], spans[-1, 1])]
+                else:
+                    hashed = word_hashes(words_of(text))
+                    keys = window_keys(hashed)
+                    pos = np.flatnonzero(np.isin(keys.view(np.int64), shared.values.to_numpy()))
+                    found = [window_hashes(hashed)[pos].view(np.int64), keys[pos].view(np.int64) >> 48, pos, spans[pos, 0], spans[pos + RUN - 1, 1]]
+                for i in range(0, len(found[0]), SLICE):
+                    part = [x[i : i + SLICE] for x in found]
+                    n = len(part[0])
+                    g1 = pa.nulls(n, pa.int64()) if copy else pa.array(part[0], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, tag), pa.int64()), g1, *[pa.array(x, pa.int64()) for x in part[1:]]], names=["doc_id", "tag", "g1", "g2", "pos", "start", "end"])
+
+    return rows.mapInArrow(run, "doc_id long, tag long, g1 long, g2 long, pos long, start long, end long")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, t, start, length, component_id) of each run of RUN words or more that stands in documents with a smaller doc_id.
 
-    Line breaks count as any white space. A run is the longest stretch in which
-    each GRAM words in turn stand in a document with a smaller doc_id;
-    component_id is the smallest such doc_id over the stretch. Starts and
-    lengths are in code points. Repeats inside one document don't count. Null
-    text has no runs; rows with a null doc_id take no part; rows that share a
-    doc_id are one document, and t, the XXH64 of a row's text, tells them apart.
-
-    Winnowing loses none: two documents that share RUN words share all words of
-    a window, thus its smallest gram. Those anchors, about one in 13 words, are
-    counted by hash with map-side combining; only texts that hold a shared one
-    are read again, and only grams near it compared.
+    Every RUN words on end are a paragraph here, so a passage keeps its
+    paragraphs whatever stands around it; line breaks count as any white space.
+    A run is the longest stretch of which each paragraph stands, word for word,
+    in a document with a smaller doc_id; component_id is the smallest such
+    doc_id over the stretch, or for a copy of a whole text its first holder. Starts and lengths are in code points. Repeats
+    inside one document don't count. Null text has no runs; rows with a null
+    doc_id take no part; rows that share a doc_id are one document, and t, the
+    XXH64 of a row's text, tells them apart. Empty tables give no rows.
+
+    Paragraphs collide by their MinHash over five-word shingles, on which equal
+    ones always agree and neighbours mostly do, so a text has one key to about
+    24 words. Keys are counted with map-side combining. Only texts that hold a
+    shared key are read again, and only their paragraphs under shared keys
+    compared, by a hash of all their words beside the key, again by counting.
+    Equal texts count as one from there on. No pairs are formed.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").where("doc_id is not null and text is not null")
-    marked = stored(_anchored(rows.select("doc_id", "text")), "run-anchors")
-    shared = marked.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("h_"))
-    by_doc = stored(marked.join(shared, marked["h"] == shared["h_"]).groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set("h").alias("repeated")), "run-documents")
-    near = stored(_near_anchors(rows.join(by_doc, rows["doc_id"] == by_doc["d_"]).select("doc_id", "t", "text", "repeated")).distinct(), "run-grams")
-    first = near.groupBy("g").agg(F.min("doc_id").alias("first_d"), F.max("doc_id").alias("hi")).where("first_d < hi").select(F.col("g").alias("g_"), "first_d")
-    held = near.join(first, near["g"] == first["g_"]).where("doc_id > first_d")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("pos"))
-    runs = held.withColumn("island", island).groupBy("doc_id", "t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_d").alias("component_id"), F.count("*").alias("n"))
-    return runs.where(F.col("n") >= WINDOW).select("doc_id", "t", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
-
-
-def remove_repeated_runs(docs: DataFrame) -> DataFrame:
-    """``docs`` without the runs of words that a document with a smaller doc_id holds. Null text stays null."""
-    gone = repeated_runs(docs).groupBy(F.col("doc_id").alias("d_"), F.col("t").alias("t_")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("gone_"))
-    cut = lambda a, size: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, size))
-    end = lambda s: (s["start"] + s["length"]).cast("int")
-    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(cut(a, s["start"].cast("int") - a["at"]).alias("kept"), F.greatest(a["at"], end(s)).alias("at"))
-    kept = F.aggregate("gone_", begin, step, lambda a: cut(a, F.char_length("text")))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept)
-    same = (docs["doc_id"].cast("long") == gone["d_"]) & (F.xxhash64(docs["text"]) == gone["t_"])
-    return docs.join(gone, same, "left").withColumn("text", text).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("doc_id is not null and text is not null")
+    marked = stored(_keyed(rows), "run-keys")
+    shared = marked.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"))
+    by_doc = stored(marked.join(shared, marked["key"] == shared["key_"]).groupBy("doc_id", "t", "t2").agg(F.collect_set("key").alias("shared")), "run-documents")
+    texts = by_doc.groupBy("t", "t2").agg(F.min("doc_id").alias("rep")).select(F.col("t").alias("rt"), F.col("t2").alias("rt2"), "rep")
+    # equal on one hash, checked on the other: AQE may split a text that a third of all rows share
+    marks = by_doc.join(texts, (by_doc["t"] == texts["rt"]) & (by_doc["t2"].bitwiseXOR(texts["rt2"]) == 0)).select("doc_id", "t", "rep", (F.col("doc_id") > F.col("rep")).alias("copy"), "shared")
+    several = by_doc.groupBy(F.col("doc_id").alias("s_")).agg(F.count("*").alias("n")).where("n > 1").select("s_")
+    # texts are told apart by a tag, which is 0, and so takes no room, unless a doc_id has several
+    marks = marks.join(several, marks["doc_id"] == several["s_"], "left").select(F.col("doc_id").alias("d_"), F.col("t").alias("t_"), F.when(F.col("s_").isNull(), F.lit(0).cast("long")).otherwise(F.col("t")).alias("tag"), "rep", "copy", F.when(F.col("copy"), F.array().cast("array<long>")).otherwise(F.col("shared")).alias("shared"))
+    marks = stored(marks, "run-marks")
+    asked = rows.join(marks, (rows["doc_id"] == marks["d_"]) & (rows["t"] == marks["t_"])).select("doc_id", "tag", "text", "copy", "shared")
+    made = stored(_windows(asked), "run-windows")
+    near = made.where("g1 is not null")
+    first = stored(near.groupBy("g1", "g2").agg(F.min("doc_id").alias("first_d"), F.max("doc_id").alias("hi")).where("first_d < hi").select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first_d"), "run-firsts")
+    held = near.join(first, (near["g1"] == first["f1"]) & (near["g2"].bitwiseXOR(first["f2"]) == 0)).where("doc_id > first_d").select("doc_id", "tag", "pos", "start", "end", "first_d")
+    island = F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "tag").orderBy("pos"))
+    runs = held.withColumn("island", island).groupBy("doc_id", "tag", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_d").alias("first"))
+    copies = made.where("g1 is null").select("doc_id", "tag", F.lit(0).cast("long").alias("island"), "start", "end", F.lit(None).cast("long").alias("first")).distinct()
+    spans = runs.union(copies).join(marks.select("d_", "t_", F.col("tag").alias("g_"), "rep"), (F.col("doc_id") == F.col("d_")) & (F.col("tag") == F.col("g_"))).select("doc_id", F.col("t_").alias("t"), "start", "end", F.coalesce("first", "rep").alias("component_id"))
+    return spans.select("doc_id", "t", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
