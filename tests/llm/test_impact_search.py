@@ -21,7 +21,6 @@ def test_index_is_exact():
 
 def test_query_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 40)
-    monkeypatch.setattr(search, "CHUNK", 2)
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(220)]
     rows += [(1000 + i, [0.5] * 6) for i in range(60)] + [(300, None), (350, [math.nan] * 6), (401, [None] * 6), (402, [math.inf] * 6), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (None, [1.0] * 6), (7, rows[7][1])]
@@ -38,3 +37,11 @@ def test_query_against_brute_force(spark, monkeypatch):
                 want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert {q: sorted(x) for q, x in got.items()} == want
     assert search.digest(frame.limit(0)).count() == 0
+
+
+def test_components_too_large_for_scores_raise(spark):
+    import pytest
+
+    frame = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large for 64-bit scores"):
+        search.digest(frame).collect()

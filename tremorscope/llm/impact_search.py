@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCALE, TOP = 256, 5
-#: Rows a block of the index, queries a chunk, value bits that quantised impacts drop, and the factor from one round's least impact to the next's.
-BLOCK, CHUNK, SHIFT, FALL = 8192, 256, 2, 0.4
+#: Rows a block of the index, value bits that quantised impacts drop, and the factor from one round's least impact to the next's.
+BLOCK, SHIFT, FALL = 32768, 2, 0.4
 
 
 def quantised_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, dim, data): floor(256 x) of each component as 64-bit integers; rows that take no part are left out."""
+    """(vec_id, dim, data): floor(256 x) of each component as 64-bit integers; rows that take no part are left out.
+
+    Components so large that an inner product with a like vector might not fit
+    64 bits raise ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -26,6 +30,8 @@ def quantised_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "em
                     continue
                 values = np.asarray(x.values).astype(np.float64)
                 if np.isfinite(values).all():
+                    if len(values) and len(values) * (SCALE * np.abs(values).max() + 1) ** 2 >= 2.0**62:
+                        raise ValueError(f"vector {i}: components too large for 64-bit scores")
                     out.append((i, len(values), np.floor(SCALE * values).astype("<i8").tobytes()))
             if out:
                 a, b, c = zip(*out, strict=True)
@@ -44,9 +50,9 @@ class ImpactIndex:
         up = np.argsort(levels, axis=0, kind="stable")
         sorted_levels = np.take_along_axis(levels, up, axis=0)
         # two postings lists a dimension, by falling gain over the worst value: for weights above and below 0
-        self.posts = [(np.ascontiguousarray(up[::-1, d]), np.ascontiguousarray(up[:, d])) for d in range(vectors.shape[1])]
+        self.posts = [(np.ascontiguousarray(up[::-1, d].astype(np.int32)), np.ascontiguousarray(up[:, d].astype(np.int32))) for d in range(vectors.shape[1])]
         self.gains = [(np.ascontiguousarray(sorted_levels[::-1, d] - self.low[d]), np.ascontiguousarray(self.high[d] - sorted_levels[:, d])) for d in range(vectors.shape[1])]
-        self.falling = [(-g, -h) for g, h in self.gains]
+        self.falling = [(-g, -h) for g, h in self.gains]  # as searchsorted wants them
 
     def search(self, query_id: int, query: np.ndarray, k: int = TOP) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but the query's own, ties to smaller ids.
@@ -100,33 +106,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     repeated queries of one id the smallest vector is asked. A query without
     candidates has no rows.
 
-    Rows are dealt into blocks and queries into chunks by hashes of their ids,
-    so that no vector however common fills a block; each pair of them is a task
-    of bounded size, whose k best a query are merged by rank.
+    Rows are dealt into blocks by a hash of their id, so that no vector however
+    common fills a block, and go to their block once; queries go to every
+    block. A task builds a block's index from its rows, which come first, and
+    then answers the queries as they stream by. The k best a query and block are
+    merged by rank.
     """
     data = quantised_vectors(rows)
     asked = quantised_vectors(queries).groupBy("vec_id", "dim").agg(F.min("data").alias("data"))
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("dim", "data")).alias("x")).select("vec_id", "x.dim", "x.data")
-    blocks, chunks = max(1, -(-rows.count() // BLOCK)), max(1, -(-queries.count() // CHUNK))
-    cells = data.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    dealt = asked.withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.asarray(table.column("vec_id"))
-        return ids, np.frombuffer(b"".join(table.column("data").to_pylist()), dtype="<i8").reshape(len(ids), dim)
-
-    def cell(some: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if some.num_rows and wanted.num_rows:
-            dim = wanted.column("dim")[0].as_py()
-            index = ImpactIndex(*matrix(some, dim))
-            for query_id, query in zip(*matrix(wanted, dim), strict=True):
-                ids, scores = index.search(int(query_id), query, k)
-                out.extend((int(query_id), int(i), int(s)) for i, s in zip(ids, scores, strict=True))
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = cells.groupBy("b", "c", "dim").cogroup(dealt.groupBy("b", "c", "dim")).applyInArrow(cell, "query_id long, vec_id long, score long")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    dealt = data.select(block.alias("b"), "dim", F.lit(False).alias("asks"), "vec_id", "data")
+    dealt = dealt.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "dim", F.lit(True), "vec_id", "data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for b, dim, asks, vec_id, vector in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if (b, dim) != at:
+                    at, held, index = (b, dim), [], None
+                if not asks:
+                    held.append((vec_id, vector))
+                elif held:
+                    if index is None:
+                        ids, vectors = zip(*held, strict=True)
+                        index = ImpactIndex(np.array(ids), np.frombuffer(b"".join(vectors), dtype="<i8").reshape(len(ids), dim))
+                    found, scores = index.search(vec_id, np.frombuffer(vector, dtype="<i8"), k)
+                    out.extend((vec_id, int(i), int(s)) for i, s in zip(found, scores, strict=True))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    found = dealt.repartition("b").sortWithinPartitions("b", "dim", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
