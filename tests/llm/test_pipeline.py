@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tremorscope.llm import compression_lang, simhash, source_mixing
+from tremorscope.llm import compression_lang, source_mixing
 from tremorscope.llm.packing import Encoder, tokenizer_paths
 
 from .test_native import LANGS, line_oracle
@@ -44,14 +44,15 @@ def test_stages_and_whole(spark, folder):
     assert {300, 301} <= rejected and {r.doc_id for r in rows[0]} == {r.doc_id for r in source.collect()} - rejected
     want = line_oracle([(r.doc_id, r.text) for r in rows[0]])
     assert {r.doc_id: r.text for r in rows[1]} == {d: x[2] for d, x in want.items()} and all(r.n_chars == len(r.text) for r in rows[1])
-    marks = {r.doc_id: simhash.simhash(r.text, 5) for r in rows[1]}
-    root = {d: d for d in marks}
-    for _ in marks:
-        for a in marks:
-            for b in marks:
-                if (marks[a] ^ marks[b]).bit_count() <= 2 and root[a] != root[b]:
+    words = {r.doc_id: r.text.lower().split() for r in rows[1]}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
-        if all(root[a] == root[root[a]] for a in marks):
+        if all(root[a] == root[root[a]] for a in sets):
             break
     assert sorted(r.doc_id for r in rows[2]) == sorted(set(root.values()))
     drawn = source_mixing.mix_sources(steps[2]).groupBy("doc_id").count().collect()

@@ -72,7 +72,11 @@ def test_odd_rows(spark):
     assert got == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5)]
     assert simhash.digest(docs.limit(0)).count() == 0
     kept = simhash.keep_one_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 5, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5]
+    clash = docs.selectExpr("*", "1 as t", "2 as id", "3 as h1", "4 as n").union(docs.selectExpr("*", "5", "6", "7", "8").where("doc_id is null"))
+    left = simhash.keep_one_each(clash)
+    assert left.columns == clash.columns and sorted((r.doc_id or 0, (r.text or "")[:2]) for r in left.collect()) == [(0, "zz"), (1, "a "), (3, ""), (5, "q ")]
+    assert simhash.keep_one_each(docs.limit(0)).count() == 0
 
 
 def test_near_copies_go_from_jaccard_08(spark):

@@ -12,9 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 from .components import components
-from .passage_dedup import SIMILARITY, near_paragraphs, whole, with_bands
+from .minhash import BANDS, SIMILARITY, WORDS, band_keys, words_of
+from .passage_dedup import SLICE, identity, near_paragraphs, whole
 
 BITS, MOST_BITS, SHINGLE = 64, 2, 3
 #: A key that more fingerprints share than this is not paired up; its members take the exact detour of ``_through_flips``.
@@ -147,7 +148,7 @@ def plan(fps: DataFrame, most: int = MOST_BITS) -> list[tuple[list[int], int]]:
     return best[1]
 
 
-def _through_flips(fps: DataFrame, most: int) -> DataFrame:
+def _through_flips(fps: DataFrame) -> DataFrame:
     """Edges that connect just what lies within 2 bits, from rows (fp, rep), with no pairing.
 
     Two fingerprints are within 2 bits if and only if both are within 1 bit of
@@ -155,23 +156,21 @@ def _through_flips(fps: DataFrame, most: int) -> DataFrame:
     senders at most, all within 2 bits of each other, and they are hung on the
     smallest.
     """
-    if most != 2:
-        raise ValueError("only a distance of 2 has this detour")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(BITS)])
     sent = fps.select("rep", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("x"))
     met = sent.groupBy("x").agg(F.min("rep").alias("v"), F.collect_list("rep").alias("all")).where(F.size("all") > 1)
     return met.select(F.explode("all").alias("u"), "v").where("u != v").distinct()
 
 
-def links(fps: DataFrame, most: int = MOST_BITS, hot_key: int = HOT_KEY) -> DataFrame:
-    """Edges (u, v) between reps of rows (fp, rep), fp distinct, that join exactly what chains of links within ``most`` bits join.
+def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """Edges (u, v) between reps of rows (fp, rep), fp distinct, that join exactly what chains of links within MOST_BITS bits join.
 
     Fingerprints are indexed by each part's value and looked up by every value
     within the part's threshold; candidates are checked on all bits. Keys with
     over ``hot_key`` members are not paired: whoever touches such a key links
     by ``_through_flips``, which is exact and linear.
     """
-    found = [(i, part, t) for i, (part, t) in enumerate(plan(fps, most)) if t >= 0]
+    found = [(i, part, t) for i, (part, t) in enumerate(plan(fps)) if t >= 0]
     index = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(part))).alias("x")) for i, part, _ in found])).alias("k")).select("fp", "rep", "k.i", "k.x")
     asked = []
     for i, part, t in found:
@@ -186,13 +185,13 @@ def links(fps: DataFrame, most: int = MOST_BITS, hot_key: int = HOT_KEY) -> Data
     touch = stored(probe.join(hot, ["i", "x"], "left_semi").select("fp", "rep").union(index.join(hot, ["i", "x"], "left_semi").select("fp", "rep")).distinct(), "hot-marks")
     a, b = probe.join(hot, ["i", "x"], "left_anti"), index.join(hot, ["i", "x"], "left_anti")
     b = b.select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), F.col("i").alias("i2"), F.col("x").alias("x2"))
-    close = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most)
+    close = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MOST_BITS)
     pairs = a.join(b, (a["i"] == b["i2"]) & (a["x"] == b["x2"]) & close).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
-    return pairs.union(_through_flips(touch, most))
+    return pairs.union(_through_flips(touch))
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST_BITS, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): documents linked, over any number of steps, by fingerprints within ``most`` bits.
+def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id): documents linked, over any number of steps, by fingerprints within MOST_BITS bits.
 
     component_id is the smallest doc_id of the component. Equal fingerprints
     always link, so the search runs on distinct ones, and copies are never
@@ -203,7 +202,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, words: int = SHINGLE
     """
     marks = stored(with_simhash(docs, words), "simhash")
     distinct = stored(marks.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = components(links(distinct, most), "simhash-components")
+    found = components(links(distinct), "simhash-components")
     root = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     # a hint and one plain key on either side: AQE may split a fingerprint that a third of all rows share
     return marks.join(root, marks["fp"] == root["fp_"], "left").select("doc_id", "fp", "component_id")
@@ -217,26 +216,66 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def _near_marks(rows: DataFrame) -> DataFrame:
+    """(doc_id, t, t2, h1, h2, bands, fp) of each row (doc_id, t, t2, text): the whole text's identity, MinHash bands and five-word SimHash."""
+
+    def made(part: pa.RecordBatch, texts: list, lists: list) -> pa.RecordBatch:
+        keys = band_keys(lists)
+        both = [identity(w) for w in lists]
+        marks = np.array([simhash(x, WORDS) for x in texts], dtype=np.uint64).view(np.int64)
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).reshape(-1)))
+        return pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), bands, pa.array(marks)], names=["doc_id", "t", "t2", "h1", "h2", "bands", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, texts, lists, held = 0, [], [], 0
+            for i, text in enumerate(batch.column(3)):
+                texts.append(text.as_py())
+                lists.append(words_of(texts[-1]))
+                held += len(lists[-1]) + 1
+                if held >= SLICE or i + 1 == batch.num_rows:  # bounded scratch
+                    yield made(batch.slice(start, i + 1 - start), texts, lists)
+                    start, texts, lists, held = i + 1, [], [], 0
+
+    return rows.mapInArrow(run, "doc_id long, t long, t2 long, h1 long, h2 long, bands array<long>, fp long")
+
+
 def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies.
+    """One row of ``docs`` of each group of near copies: that of the smallest doc_id.
 
     Two documents link if their sets of five-word shingles have a Jaccard
     similarity of ``similarity`` or more; a group is what links join over any
-    number of steps. At 0.8 two 64-bit SimHashes differ in about ten bits, too
-    many to look up, so candidates come from MinHash bands that find such a
-    pair with probability 0.999, and each is checked on the shingles
-    themselves. Null and empty texts are one group; fewer than five words are
-    one shingle. Rows with a null doc_id stay and link nothing.
+    number of steps. Candidates are the texts whose five-word SimHashes are
+    within MOST_BITS bits, found as in ``links``. At 0.8 two 64-bit SimHashes
+    differ in about ten bits, too many to look up, so texts that share a MinHash
+    band, tuned to find such a pair with probability 0.999, are candidates as
+    well. Each is checked on the shingles themselves. Null and empty texts are
+    one group; fewer than five words are one shingle. Rows with a null doc_id
+    belong to groups like others and stay only where no row of the group has an
+    id; of rows with equal doc_id and text one stays.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marks = stored(with_bands(rows, whole), "near-marks")
-    merged = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.first("bands").alias("bands"))
+    shown = {x: free_name(x, docs) for x in ("t", "t2", "id")}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    marks = stored(_near_marks(rows), "near-marks")
+    merged = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "*"), "near-distinct")
-    found = near_paragraphs(distinct, rows, whole, similarity)
-    labelled = stored(distinct.join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", F.coalesce("component", "pid").alias("label")), "near-labels")
-    least = labelled.groupBy("label").agg(F.min("d").alias("first_d")).withColumnRenamed("label", "label_")
-    kept = labelled.join(least, labelled["label"] == least["label_"]).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_d")
-    # equal on one key, checked on the other: AQE may split a text that a third of all rows share
-    same = (marks["h1"] == kept["k1"]) & (marks["h2"].bitwiseXOR(kept["k2"]) == 0)
-    lost = marks.join(kept, same).where("doc_id > first_d").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["d_"], "left_anti")
+    fps = stored(distinct.groupBy("fp").agg(F.min("pid").alias("rep")), "near-fingerprints")
+    alike = distinct.join(fps.select(F.col("fp").alias("fp_"), "rep"), distinct["fp"] == F.col("fp_")).where("pid != rep").select(F.col("rep").alias("u"), F.col("pid").alias("v"))
+    near = stored(links(fps).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(alike).distinct(), "near-simhash-links")
+    found = near_paragraphs(distinct, rows.select("doc_id", "text"), whole, similarity, near)
+    labelled = stored(distinct.select("pid", "h1", "h2").join(found, distinct["pid"] == found["node"], "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "pid").alias("label")), "near-labels")
+    choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "t2")
+    texts = marks.groupBy("h1", "h2", "doc_id", "t", "t2").agg(F.count("*").alias("n"))
+    texts = texts.join(labelled, (texts["h1"] == labelled["k1"]) & (texts["h2"].bitwiseXOR(labelled["k2"]) == 0))
+    kept = texts.groupBy("label").agg(F.min_by(F.struct("doc_id", "t", "t2", "n"), choice).alias("x")).select(F.col("x.doc_id").alias("c_id"), F.col("x.t").alias("c1"), F.col("x.t2").alias("c2"), F.col("x.n").alias("n"))
+    kept = stored(kept, "near-kept")
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(*names, F.xxhash64("text").alias(shown["t"]), F.xxhash64(F.lit(1), "text").alias(shown["t2"]), F.col("doc_id").cast("long").alias(shown["id"]))
+    meets = lambda x: (keyed[shown["t"]] == x["c1"]) & (keyed[shown["t2"]].bitwiseXOR(x["c2"]) == 0) & keyed[shown["id"]].eqNullSafe(x["c_id"])
+    single, several = kept.where("n = 1"), kept.where("n > 1")
+    once = keyed.join(single, meets(single), "left_semi").select(*names)
+    if several.isEmpty():
+        return once
+    again = keyed.join(several, meets(several), "left_semi")
+    one = again.groupBy(shown["t"], shown["t2"], shown["id"]).agg(F.first(F.struct(*names)).alias("row_")).select("row_.*")
+    return once.union(one)
