@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_lang, impact_search, line_dedup, ngram_trie, order_minhash, packing, passage_dedup, secret_scan, simhash, source_mixing, token_alignment, url_reputation
+from . import compression_lang, impact_search, line_dedup, ngram_trie, order_minhash, packing, passage_dedup, phrase_mining, secret_scan, simhash, source_mixing, token_alignment, url_reputation
 
 
 def _table(spark, sf_dir, name):
@@ -49,6 +49,10 @@ def op10_passage_dedup(spark, sf_dir):
     return passage_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark, sf_dir):
+    return phrase_mining.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scan(spark, sf_dir):
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op13_token_alignment(spark, sf_dir):
     return token_alignment.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_search, op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter, op10_passage_dedup, op12_secret_scan, op13_token_alignment)}
-ORACLES = {"op1_impact_search": impact_search.ORACLE, "op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_impact_search, op2_simhash, op3_ngram_trie, op4_packing, op5_order_minhash, op6_source_mixing, op7_language_id, op8_line_dedup, op9_url_filter, op10_passage_dedup, op11_phrase_mining, op12_secret_scan, op13_token_alignment)}
+ORACLES = {"op1_impact_search": impact_search.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE, "op6_source_mixing": source_mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_reputation.ORACLE}
