@@ -155,7 +155,7 @@ def test_frontier(spark):
     data, cases = table(spark, n=80)
     got = ts.stability_frontier(lambda strength: GroupMean("g", strength), {"strength": [0.0, 10.0]}, data, cases=cases, n_bootstrap=4)
     points = got.points.collect()
-    assert got.n_fits == 10 and [p.config_id for p in points] == [0, 1] and got.evaluation_source == "supplied"
+    assert got.n_fits == 10 and [p.config_id for p in points] == [0, 1] and got.evaluation_source == "user_supplied_validation_data"
     assert points[1].instability < points[0].instability
     with pytest.raises(ValueError):
         ts.stability_frontier(lambda: Mean(), {}, data, instability_metric="rmse")

@@ -12,10 +12,11 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import NAN, exact_quantile
 from ..sources.shared import dropped, stored
-from ..sources.tables import require_columns, require_scalar
+from ..sources.tables import checked, require_columns, require_numeric, require_scalar
 from .sampling import bootstrap_weights, numbered, usable_draws, with_original
 
 ONE_STEP_CASES = 1_000_000
+TASKS, METHODS = ("continuous", "categorical"), ("predict", "predict_proba")
 
 
 # Statistics of any table (draw, case_id, pred) or (draw, case_id, class, p); originals hold pred0 or p0.
@@ -142,18 +143,25 @@ class Audit:
         dropped(self.kept)
 
 
+def demand(*rules: tuple[bool, str]) -> None:
+    """Raises ValueError with the text of the first rule that doesn't hold."""
+    for holds, text in rules:
+        if not holds:
+            raise ValueError(text)
+
+
 def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task: str, n_bootstrap: int, prediction_method: str) -> None:
-    if task not in ("continuous", "categorical"):
-        raise ValueError("task must be 'continuous' or 'categorical'")
-    if n_bootstrap < 2:
-        raise ValueError("n_bootstrap must be at least 2")
-    if prediction_method not in ("predict", "predict_proba"):
-        raise ValueError("prediction_method must be 'predict' or 'predict_proba'")
-    if prediction_method == "predict_proba" and task != "categorical":
-        raise ValueError("probabilities need a categorical target")
+    demand(
+        (task in TASKS, f"no such task: {task!r}"),
+        (n_bootstrap > 1, f"a spread needs two refits, not {n_bootstrap}"),
+        (prediction_method in METHODS, f"no such prediction method: {prediction_method!r}"),
+        (prediction_method == "predict" or task == "categorical", "a continuous target has no class probabilities"),
+    )
     require_columns(train, key, target)
     require_columns(cases, "case_id")
     require_scalar(train, target)
+    if task == "continuous":
+        require_numeric(train, target)
 
 
 def categorical_draws(train: DataFrame, n: int, n_bootstrap: int, seed: int) -> tuple[DataFrame, int]:
@@ -180,9 +188,12 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
     seed, draw and key alone, so every procedure and configuration sees the
     same ones. All draws are fitted in one aggregation keyed by draw; draw 0 is
     the fit to the rows as they are. Categorical draws with a single label are
-    redrawn. Bad arguments and empty inputs raise ValueError.
+    redrawn. Bad arguments and empty inputs raise ValueError, as do targets and
+    keys that are null or NaN, infinite targets, and features of ``procedure.finite``
+    that aren't finite, in training rows or cases; one aggregate a table looks
+    for all of it.
     """
-    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=getattr(procedure, "finite", ()))
     return audited(prepared, procedure, prediction_method)
 
 
@@ -199,13 +210,16 @@ class Prepared:
     n_resample_attempts: int
 
 
-def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0) -> Prepared:
+def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0, finite: Sequence[str] = ()) -> Prepared:
     _validated(train, cases, key, target, task, n_bootstrap, prediction_method)
+    require_numeric(train, *finite)
+    require_numeric(cases, *finite)
+    if task == "categorical" and train.schema[target].dataType.typeName() in ("float", "double"):
+        train = train.withColumn(target, F.nanvl(target, F.lit(None)))
     rows = train.withColumn("y", F.col(target).cast("double" if task == "continuous" else "string"))
     rows, cases = stored(numbered(rows, key, f"{seed}|rows"), "audit-rows"), stored(cases, "audit-cases")
-    n, n_cases = rows.count(), cases.count()
-    if not n or not n_cases:
-        raise ValueError("training rows and cases must not be empty")
+    n = checked(rows, "training rows", [*(["y"] if task == "continuous" else []), *finite], [key, "y"])
+    n_cases = checked(cases, "cases", finite, ["case_id"])
     attempts = n_bootstrap
     if task == "categorical":
         weights, attempts = categorical_draws(rows, n, n_bootstrap, seed)

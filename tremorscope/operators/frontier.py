@@ -13,10 +13,13 @@ from pyspark.sql.window import Window
 from ..functions.stats import score_by
 from ..sources.shared import stored
 from ..sources.tables import require_columns, require_scalar
-from .audit import audited_all, prepare
+from .audit import TASKS, audited_all, demand, prepare
 from .sampling import holdout_split, param_grid
 
 
+METRICS = ("pairwise", "mape")
+
+
 def undominated(points: DataFrame, instability_key: str = "instability") -> DataFrame:
     """Rows that no other row beats: at least its score and at most its instability, one of them strictly.
 
@@ -62,28 +65,24 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     Without ``cases`` (case_id, y, features), a share of ``data`` is held out,
     by class for labels. All configurations share split and resamples.
     """
-    if task not in ("continuous", "categorical"):
-        raise ValueError("task must be 'continuous' or 'categorical'")
-    if n_bootstrap < 2:
-        raise ValueError("n_bootstrap must be at least 2")
-    if instability_metric not in ("pairwise", "mape"):
-        raise ValueError("instability_metric must be 'pairwise' or 'mape'")
+    demand((task in TASKS, f"no such task: {task!r}"), (n_bootstrap > 1, f"a spread needs two refits, not {n_bootstrap}"), (instability_metric in METRICS, f"no such instability metric: {instability_metric!r}"))
     require_columns(data, key, target)
     require_scalar(data, target)
-    began, source = time.perf_counter(), "supplied"
+    began, source = time.perf_counter(), "user_supplied_validation_data"
     train = data
     if cases is None:
         split = stored(holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None), "frontier-split")
-        train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), "holdout"
+        train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), "internal_validation_split"
     else:
         require_columns(cases, "case_id", target)
     truth = cases.select("case_id", F.col(target).cast("double" if task == "continuous" else "string").alias("y"))
     configs = param_grid(grid)
-    if not configs:
-        raise ValueError("the grid is empty")
-    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed)
+    demand((bool(configs), "a grid without configurations"))
+    procedures = {i: procedure_factory(**params) for i, params in enumerate(configs)}
+    finite = sorted({c for p in procedures.values() for c in getattr(p, "finite", ())})
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite)
     weighted = prepared.weighted = prepared.weighted.persist()  # every configuration is fitted to it
-    audit, found = audited_all(prepared, {i: procedure_factory(**params) for i, params in enumerate(configs)}, prediction_method)
+    audit, found = audited_all(prepared, procedures, prediction_method)
     scores = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task)
     rows = []
     for r in found.join(scores, "config_id").orderBy("config_id").collect():  # a row a configuration

@@ -4,16 +4,20 @@ A procedure has ``fit(weighted)``, from rows (draw, w, y, features) to a table
 with a row or a few a draw, and ``predict(model, cases)``, to (draw, case_id,
 pred). Those for labels may have ``predict_proba``, to (draw, case_id, class,
 p). Fits are weighted aggregates by draw: a repeated row is a weight, never a
-copy, and what is fitted is far smaller than the data.
+copy, and what is fitted is far smaller than the data. ``finite``, if there is
+one, names the columns that must hold finite numbers; audits check them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,25 +41,30 @@ class Constant:
         return each_draw(cases, model).select("draw", "case_id", F.lit(self.value).alias("pred"))
 
 
+def known_weight():
+    """A row's weight, if its y is known."""
+    return F.when(F.col("y").isNotNull(), F.col("w"))
+
+
 class Mean:
-    """The weighted mean of y."""
+    """The weighted mean of y; rows without y don't count."""
 
     def fit(self, weighted: DataFrame) -> DataFrame:
-        return weighted.groupBy("draw").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("pred"))
+        return weighted.groupBy("draw").agg((F.sum(F.col("w") * F.col("y")) / F.sum(known_weight())).alias("pred"))
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", "pred")
 
 
 class GroupMean:
-    """The weighted mean of y in the case's group, drawn to the draw's mean by ``strength`` pseudo-rows; unseen groups get that mean."""
+    """The weighted mean of y in the case's group, drawn to the draw's mean by ``strength`` pseudo-rows; unseen groups get that mean. Rows without y don't count."""
 
     def __init__(self, column: str, strength: float = 0.0):
         self.column, self.strength = column, strength
 
     def fit(self, weighted: DataFrame) -> DataFrame:
         sums = (F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
-        groups = weighted.groupBy("draw", F.col(self.column).alias("group")).agg(*sums)
+        groups = weighted.where("y is not null").groupBy("draw", F.col(self.column).alias("group")).agg(*sums)
         over = Window.partitionBy("draw")
         overall = F.sum("s").over(over) / F.sum("n").over(over)
         return groups.select("draw", "group", ((F.col("s") + self.strength * overall) / (F.col("n") + self.strength)).alias("value"), overall.alias("overall"))
@@ -67,20 +76,107 @@ class GroupMean:
         return spread.join(groups, (F.col("draw") == F.col("d_")) & (F.col("own") == F.col("group")), "left").select("draw", "case_id", F.coalesce("value", "overall").alias("pred"))
 
 
+#: Rows that a task gathers before it reduces them, and groups in which a draw's triangles meet first.
+GATHERED, MEETINGS = 1 << 16, 32
+
+
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The square R factor of a QR factorisation, filled up with zeros where there are few rows."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((rows.shape[1] - len(r), rows.shape[1]))])
+
+
+def shrunk_slopes(r: np.ndarray, penalty: float) -> np.ndarray:
+    """Slopes of the last column on those between it and the first, a column of ones, from their R factor.
+
+    The block behind the first row is the factor of the centred columns, so a
+    large offset costs no digits. A column without spread gets no slope;
+    columns that depend on one another share theirs, of least norm.
+    """
+    inner, right = r[1:-1, 1:-1], r[1:-1, -1]
+    spread = np.linalg.norm(inner, axis=0)
+    live = spread > 1e-13 * np.linalg.norm(r[:, 1:-1], axis=0)
+    out = np.zeros(len(right))
+    if live.any():
+        scaled = inner[:, live] / spread[live]
+        held = np.diag(np.sqrt(penalty) / spread[live])
+        out[live] = np.linalg.lstsq(np.vstack([scaled, held]), np.append(right, np.zeros(len(held))), rcond=1e-12)[0] / spread[live]
+    return out
+
+
 class Ols:
-    """Least squares of y on one feature, with a ridge ``penalty`` on the slope."""
+    """Least squares of y on one feature or several, with a ridge ``penalty`` on the slopes.
+
+    Each task keeps one triangle a draw, the R factor of its weighted rows;
+    triangles of a draw meet in groups, then in one row. Sums of squares are
+    never formed, so offsets and near-collinear features keep their digits.
+    What moves is (features + 2)^2 numbers a draw and task. Rows with a null or
+    NaN in y or a feature don't count. The model has a row a draw: the level
+    at the features' centre, the centre and the slopes.
+    """
 
-    def __init__(self, feature: str = "x", penalty: float = 0.0):
-        self.feature, self.penalty = feature, penalty
+    def __init__(self, feature: str | Sequence[str] = "x", penalty: float = 0.0):
+        self.features, self.penalty = [feature] if isinstance(feature, str) else list(feature), penalty
+        self.finite = self.features
+        if not self.features or not 0 <= penalty < float("inf"):
+            raise ValueError("least squares takes a feature at least and a finite penalty from 0")
 
     def fit(self, weighted: DataFrame) -> DataFrame:
-        w, x, y = F.col("w"), F.col(self.feature), F.col("y")
-        sums = weighted.groupBy("draw").agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
-        slope = F.coalesce(F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") + self.penalty), F.lit(0.0))
-        return sums.withColumn("slope", slope).select("draw", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
+        penalty, width = self.penalty, len(self.features) + 2
+        names = ["draw", "at", "r"]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            waiting, size = [], 0
+
+            def reduced() -> None:
+                draws, rows = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                order = np.argsort(draws, kind="stable")
+                draws, rows = draws[order], rows[order]
+                starts = np.flatnonzero(np.append(True, draws[1:] != draws[:-1]))
+                for low, high in zip(starts, np.append(starts[1:], len(draws)), strict=True):
+                    before = found.get(int(draws[low]), np.zeros((0, width)))
+                    found[int(draws[low])] = triangle(np.vstack([before, rows[low:high]]))
+
+            for batch in batches:
+                values = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]])
+                waiting.append((batch.column(0).to_numpy(), values * np.sqrt(batch.column(1).to_numpy())[:, None]))
+                size += len(values)
+                if size >= GATHERED:
+                    reduced()
+                    waiting, size = [], 0
+            if size:
+                reduced()
+            if found:
+                at = TaskContext.get().partitionId() % MEETINGS
+                yield table([(draw, at, r.tobytes()) for draw, r in found.items()])
+
+        def met(parts: pa.Table) -> np.ndarray:
+            return triangle(np.vstack([np.frombuffer(r).reshape(width, width) for r in parts.column("r").to_pylist()]))
+
+        def together(parts: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([table([(parts.column("draw")[0].as_py(), parts.column("at")[0].as_py(), met(parts).tobytes())])])
+
+        def solved(parts: pa.Table) -> pa.Table:
+            r = met(parts)
+            mean = r[0, 1:] / r[0, 0]
+            cells = (parts.column("draw")[:1].to_pylist(), [mean[-1]], [mean[:-1].tolist()], [shrunk_slopes(r, penalty).tolist()])
+            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["draw", "level", "centre", "slope"])
+
+        numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*self.features, "y"])]
+        known = [F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}") for i in range(len(numbers))]
+        rows = weighted.select("draw", F.col("w").cast("double"), *numbers).where(reduce(lambda a, b: a & b, known))
+        parts = rows.mapInArrow(local, "draw int, at int, r binary").groupBy("draw", "at").applyInArrow(together, "draw int, at int, r binary")
+        return parts.groupBy("draw").applyInArrow(solved, "draw int, level double, centre array<double>, slope array<double>")
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        return each_draw(cases, model).select("draw", "case_id", (F.col("intercept") + F.col("slope") * F.col(self.feature)).alias("pred"))
+        steps = [(F.col(c).cast("double") - F.get("centre", F.lit(i))) * F.get("slope", F.lit(i)) for i, c in enumerate(self.features)]
+        return each_draw(cases, model).select("draw", "case_id", reduce(lambda a, b: a + b, steps, F.col("level")).alias("pred"))
 
 
 class ClassShares:

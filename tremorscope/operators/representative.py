@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import score_by
-from ..sources.tables import require_columns
-from .audit import aligned
+from ..sources.tables import checked, require_columns, require_scalar
+from .audit import aligned, demand
 from .procedures import SparkMl
 from .sampling import bootstrap_weights, holdout_split, numbered, stratified_weights, with_original
 
@@ -93,16 +93,14 @@ class RepresentativeEstimator:
         self.bootstrap_candidates, self.seed = bootstrap_candidates, seed
 
     def _check(self) -> None:
-        if self.task not in ("classification", "regression"):
-            raise ValueError("task must be 'classification' or 'regression'")
-        if isinstance(self.n_candidates, bool) or not isinstance(self.n_candidates, int) or self.n_candidates < 1:
-            raise ValueError("n_candidates must be a positive integer")
-        if not isinstance(self.validation_fraction, float) or not 0 < self.validation_fraction < 1:
-            raise ValueError("validation_fraction must be strictly between 0 and 1")
-        if self.proximity_metric not in (REGRESSION if self.task == "regression" else CLASSIFICATION):
-            raise ValueError(f"proximity_metric {self.proximity_metric!r} does not fit {self.task}")
-        if not isinstance(self.bootstrap_candidates, bool):
-            raise ValueError("bootstrap_candidates must be a bool")
+        count, share = self.n_candidates, self.validation_fraction
+        demand(
+            (self.task in ("classification", "regression"), f"no such task: {self.task!r}"),
+            (isinstance(count, int) and not isinstance(count, bool) and count > 0, f"no number of candidates: {count!r}"),
+            (isinstance(share, float) and 0 < share < 1, f"no share to validate on: {share!r}"),
+            (self.proximity_metric in (REGRESSION if self.task == "regression" else CLASSIFICATION), f"no proximity metric of {self.task}: {self.proximity_metric!r}"),
+            (isinstance(self.bootstrap_candidates, bool), f"bootstrap_candidates is True or False, not {self.bootstrap_candidates!r}"),
+        )
 
     def _metric(self, has_probabilities: bool) -> str:
         if self.proximity_metric == "probability_mse" and not has_probabilities:
@@ -115,7 +113,10 @@ class RepresentativeEstimator:
         self._check()
         self.procedure_ = self.procedure
         require_columns(data, key, target)
+        require_scalar(data, target)
         labels = self.task == "classification"
+        finite = list(getattr(self.procedure, "finite", ()))
+        checked(data, "rows", [*([] if labels else [target]), *finite], [key, target])
         data = data.withColumn("y", F.col(target).cast("string" if labels else "double"))
         self.features_ = [c for c in data.columns if c not in (key, target, "y")]
         if labels:

@@ -13,7 +13,7 @@ from ..operators.audit import aligned, bootstrap_predictions, summarised
 from ..operators.frontier import most_stable, pareto_front, stability_frontier, within_of_best
 from ..operators.procedures import ClassShares, Constant, GroupMean, Ols
 from ..sources.shared import stored
-from ..sources.tables import order_cases, table
+from ..sources.tables import line_cases, order_cases, table
 from .oracles import DRAWS, ORACLES, PENALTIES, SEED, STRENGTHS, TEST, THRESHOLDS
 
 FEATURES = ["x", "z"]
@@ -24,9 +24,9 @@ def _round(df: DataFrame, names, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-def _sides(spark: SparkSession, folder: str, target: str = "y") -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, folder: str, target: str = "y", source: Callable = order_cases) -> tuple[DataFrame, DataFrame]:
     """Training rows and held-out cases of the orders, with ``y`` the price or the status."""
-    split = stored(sampling.holdout_split(order_cases(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None), "split")
+    split = stored(sampling.holdout_split(source(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None), "split")
     if target == "label":
         split = split.drop("y").withColumnRenamed("label", "y")
     return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed("rid", "case_id")
@@ -114,6 +114,12 @@ def bootstrap_instability_probabilities(spark, folder):
     return _summary(_labels(spark, folder, "predict_proba"), 9)
 
 
+def bootstrap_instability_lines(spark, folder):
+    """The audit of a fit on three features."""
+    train, cases = _sides(spark, folder, source=line_cases)
+    return _summary(bootstrap_predictions(train, cases, Ols(["x", "z", "g"]), n_bootstrap=DRAWS, seed=SEED), 8)
+
+
 def mape_standard_error(spark, folder):
     return _round(_ols(spark, folder).mape_standard_error(), ["standard_error"])
 
@@ -381,7 +387,7 @@ def _vectors(spark, folder):
 
 _FUNCTIONS = [
     pairs_bootstrap_weights, stratified_bootstrap_weights, holdout_split, stratified_holdout_split, distinct_classes, original_fit_ols, bootstrap_predictions_ols,
-    bootstrap_instability_ols, bootstrap_instability_constant, bootstrap_instability_group_mean, bootstrap_instability_labels, bootstrap_instability_probabilities,
+    bootstrap_instability_ols, bootstrap_instability_constant, bootstrap_instability_group_mean, bootstrap_instability_labels, bootstrap_instability_probabilities, bootstrap_instability_lines,
     mape_standard_error, pairwise_jackknife_numeric, pairwise_jackknife_labels, pairwise_jackknife_vector, one_class_rejections, redraw_accounting, class_alignment,
     param_grid, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,

@@ -11,6 +11,9 @@ NUMBER = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
 
 CASES = "cases AS (SELECT o_orderkey AS rid, o_totalprice / 1000 AS y, c_acctbal / 1000 AS x, (o_custkey % 97)::DOUBLE / 10.0::DOUBLE AS z, o_orderpriority AS g, o_orderstatus AS label FROM orders JOIN customer ON o_custkey = c_custkey)"
 
+LINES = """cases AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag)) AS rid,
+  l_extendedprice / 1000 AS y, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS z, l_tax::DOUBLE AS g, l_returnflag AS label FROM lineitem)"""
+
 
 def _split(strata: str = "") -> str:
     part = f"PARTITION BY {strata} " if strata else ""
@@ -28,13 +31,25 @@ weights AS (
 
 
 NUMERIC = f"{CASES}, {_split()}, {_sides('y')}"
+LINE_SIDES = f"{LINES}, {_split()}, {_sides('y')}"
 LABELS = f"{CASES}, {_split('label')}, {_sides('label')}"
 
 
 def _ols(name: str = "ols", penalty: float = 0.0) -> str:
-    return f"""{name}_sums AS (SELECT draw, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM weighted GROUP BY draw),
-{name}_model AS (SELECT draw, (sxy - sx * sy / n) / (sxx - sx * sx / n + {penalty}::DOUBLE) AS slope, (sy - slope * sx) / n AS intercept FROM {name}_sums),
-{name} AS (SELECT draw, case_id, intercept + slope * x AS pred FROM {name}_model, held)"""
+    return f"""{name}_means AS (SELECT draw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM weighted GROUP BY draw),
+{name}_model AS (SELECT draw, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (y - my)) / (sum(w * (x - mx) * (x - mx)) + {penalty}::DOUBLE) AS slope FROM weighted JOIN {name}_means USING (draw) GROUP BY draw),
+{name} AS (SELECT draw, case_id, my + slope * (x - mx) AS pred FROM {name}_model, held)"""
+
+
+#: Least squares on x, z and g, by the cofactors of the centred products.
+OLS_THREE = """ols_means AS (SELECT draw, sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz, sum(w * g) / sum(w) AS mg, sum(w * y) / sum(w) AS my FROM weighted GROUP BY draw),
+ols_centred AS (SELECT draw, w, x - mx AS x, z - mz AS z, g - mg AS g, y - my AS y FROM weighted JOIN ols_means USING (draw)),
+ols_products AS (SELECT draw, sum(w * x * x) AS xx, sum(w * x * z) AS xz, sum(w * x * g) AS xg, sum(w * z * z) AS zz, sum(w * z * g) AS zg, sum(w * g * g) AS gg, sum(w * x * y) AS xy, sum(w * z * y) AS zy, sum(w * g * y) AS gy FROM ols_centred GROUP BY draw),
+ols_model AS (SELECT draw, xx * (zz * gg - zg * zg) - xz * (xz * gg - zg * xg) + xg * (xz * zg - zz * xg) AS det,
+  ((zz * gg - zg * zg) * xy + (xg * zg - xz * gg) * zy + (xz * zg - xg * zz) * gy) / det AS bx,
+  ((xg * zg - xz * gg) * xy + (xx * gg - xg * xg) * zy + (xz * xg - xx * zg) * gy) / det AS bz,
+  ((xz * zg - xg * zz) * xy + (xz * xg - xx * zg) * zy + (xx * zz - xz * xz) * gy) / det AS bg FROM ols_products),
+ols AS (SELECT draw, case_id, my + bx * (x - mx) + bz * (z - mz) + bg * (g - mg) AS pred FROM ols_model JOIN ols_means USING (draw), held)"""
 
 
 def _group_mean(name: str = "gm", strength: float = 0.0) -> str:
@@ -173,6 +188,7 @@ ORACLES = {
     "bootstrap_instability_group_mean": _with(f"{NUMERIC}, {_group_mean()}, {_numeric_stats('gm')}, {NUMERIC_PAIRS}", _summary()),
     "bootstrap_instability_labels": _with(f"{LABELS}, {SHARES}, {LABEL_STATS}, {LABEL_PAIRS}", _summary()),
     "bootstrap_instability_probabilities": _with(f"{LABELS}, {SHARES}, {VECTOR_STATS}, {VECTOR_PAIRS}", _summary(9)),
+    "bootstrap_instability_lines": _with(f"{LINE_SIDES}, {OLS_THREE}, {_numeric_stats('ols')}, {NUMERIC_PAIRS}", _summary(8)),
     "mape_standard_error": _with(SHOWN, f"SELECT round({MAPE_SE}, 6) AS standard_error"),
     "pairwise_jackknife_numeric": _with(f"{SHOWN}, {NUMERIC_PAIRS}", "SELECT round(standard_error, 6) AS standard_error FROM pair_se"),
     "pairwise_jackknife_labels": _with(f"{LABELS}, {SHARES}, {LABEL_STATS}, {LABEL_PAIRS}", "SELECT round(standard_error, 6) AS standard_error FROM pair_se"),
