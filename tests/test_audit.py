@@ -172,3 +172,93 @@ def test_quantiles_by_group_and_ranks_of_common_values(spark):
     got = {r.id: r["rank"] for r in ranked(table, "v", "id", bucket_rows=100).collect()}
     assert [got[i] for i in sorted(got, key=lambda i: (values[i], i))] == list(range(3000))
     assert ranked(table.limit(0), "v", "id").count() == 0
+
+
+def exchanges(df):
+    """Shuffles of the plan as it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return [line for line in final.splitlines() if " Exchange " in line or "- Exchange" in line], final
+
+
+def test_summary_moves_predictions_once_and_makes_no_grid(spark):
+    train, cases = table(spark)
+    for procedure, options in ((Ols("x"), {}), (ClassShares("g"), {"task": "categorical", "prediction_method": "predict_proba", "target": "g"})):
+        audit = ts.bootstrap_predictions(train, cases, procedure, n_bootstrap=4, seed=1, **options)
+        found, plan = exchanges(au.summarised(audit))
+        assert len(found) == 2 or len(found) == 3 and "SinglePartition" in plan, found  # by case, by draw (and the one row)
+        assert sum("case_id" in line for line in found) == 1 and "Join" not in plan and "CartesianProduct" not in plan
+        audit.release()
+
+
+def test_probabilities_by_hand(spark):
+    rng = np.random.default_rng(6)
+    cube = rng.random((6, 5, 4)) * (rng.random((6, 5, 4)) < 0.6)  # draw 0 is the original; no row is a 0
+    cube[:, 4] = 0.0  # a case of which nothing is known
+    rows = [(d, c, "wxyz"[k], float(cube[d, c, k])) for d in range(6) for c in range(5) for k in range(4) if cube[d, c, k]] + [(-1, c, "w", 0.0) for c in range(5)]
+    full = spark.createDataFrame(rows, "draw int, case_id long, class string, p double").repartition(3)
+    found = au.case_rows(full, "vector", (), 5, 4)
+    refits, first = cube[1:], cube[0]
+    for r in au.case_stats(found).collect():
+        assert r.per_point == pytest.approx(refits[:, r.case_id].var(axis=0, ddof=1).sum(), abs=1e-12)
+        assert r.mape == pytest.approx(np.abs(refits[:, r.case_id] - first[r.case_id]).mean(), abs=1e-12)
+    draws = {r.draw: r for r in au.draw_rows(found).collect()}
+    for d in range(5):
+        assert draws[d + 1].m == pytest.approx(np.abs(refits[d] - first).mean())
+        assert draws[d + 1].r == pytest.approx(np.mean([sum(((refits[d, c] - refits[e, c]) ** 2).sum() for e in range(5)) for c in range(5)]))
+
+
+class Twice:
+    """Gives one class two times, and has no classes_ of its own kind."""
+
+    classes_ = ("a", "a")
+
+    def fit(self, X, y):
+        return self
+
+    def predict(self, X):
+        return ["a"] * len(X)
+
+    def predict_proba(self, X):
+        return [[0.5, 0.5]] * len(X)
+
+
+class Nothing:
+    def fit(self, X, y):
+        return self
+
+    def predict(self, X):
+        return ["a"] * len(X)
+
+
+class Unnamed(Nothing):
+    def predict_proba(self, X):
+        return [[1.0]] * len(X)
+
+
+def test_objects_without_proper_probabilities(spark):
+    train, cases = table(spark)
+    options = {"task": "categorical", "prediction_method": "predict_proba", "target": "g", "n_bootstrap": 2}
+    for kind, words in ((Twice, "more than once: a, a"), (Nothing, "no class probabilities"), (Unnamed, "classes_")):
+        with pytest.raises(ValueError, match=words):
+            ts.bootstrap_predictions(train, cases, Fitted(kind, ["x"]), **options)
+    with pytest.raises(ValueError, match="no class probabilities"):
+        ts.bootstrap_predictions(train, cases, Mean(), **options)
+    given = spark.createDataFrame([(1, 0, "a", 0.5), (1, 0, "a", 0.5)], "draw int, case_id long, class string, p double")
+    with pytest.raises(ValueError, match="2 times"):
+        au.aligned(given, given.select("draw").distinct(), cases, given.select("class").distinct())
+
+
+def test_release_leaves_nothing(spark):
+    import os
+
+    from tremorscope.sources.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    train, cases = table(spark)
+    ts.bootstrap_predictions(train, cases, Ols("x"), n_bootstrap=2).release()
+    ts.bootstrap_instability(train, cases, Mean(), n_bootstrap=2).collect()
+    ts.stability_frontier(lambda penalty: Ols("x", penalty), {"penalty": [0.0, 1.0]}, train, n_bootstrap=2)
+    assert set(os.listdir(folder)) <= before

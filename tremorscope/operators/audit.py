@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,111 +19,172 @@ ONE_STEP_CASES = 1_000_000
 TASKS, METHODS = ("continuous", "categorical"), ("predict", "predict_proba")
 
 
-# Statistics of any table (draw, case_id, pred) or (draw, case_id, class, p); originals hold pred0 or p0.
+# Statistics of any prediction table (draw, case_id, pred) or (draw, case_id, class, p), draw 0 being the original fit.
 
 
 #: All of them take ``by``, further columns that tell apart several tables in one, as the configurations of a grid are; results hold them too.
 
 
-def numeric_case_stats(predictions: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(case_id, per_point, pairwise, mape): variance over draws, twice that, and the mean absolute move from the original prediction."""
+def _over(array, part):
+    """Sum of part(x) over an array column."""
+    return F.aggregate(array, F.lit(0.0), lambda s, x: s + part(x))
+
+
+def _numeric_cases(full: DataFrame, keys: list[str]) -> DataFrame:
+    refit = F.when(F.col("draw") > 0, F.col("pred"))
+    cells = F.collect_list(F.when(F.col("draw") > 0, F.struct("draw", "pred")))
+    row = full.groupBy(*keys).agg(F.count(refit).alias("b"), F.avg(refit).alias("mean"), F.var_samp(refit).alias("per_point"), F.max(F.when(F.col("draw") == 0, F.col("pred"))).alias("pred0"), cells.alias("cells"))
+    row = row.withColumn("s2", _over("cells", lambda x: F.pow(x["pred"] - F.col("mean"), F.lit(2)))).withColumn("s1", _over("cells", lambda x: x["pred"] - F.col("mean")))
+    z = lambda x: x["pred"] - F.col("mean")
+    each = F.transform("cells", lambda x: F.struct(x["draw"].alias("draw"), F.abs(x["pred"] - F.col("pred0")).alias("move"), (F.col("b") * z(x) * z(x) + F.col("s2") - 2 * z(x) * F.col("s1")).alias("d")))
+    return row.withColumn("each", each).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), (_over("each", lambda x: x["move"]) / F.col("b")).alias("mape"), F.lit(0.0).alias("move0"), F.lit(0.0).alias("d0"), "each")
+
+
+def _label_cases(full: DataFrame, keys: list[str]) -> DataFrame:
+    drawn = F.col("draw") > 0
+    # dealt by case once; both groupings then find their rows where they are
+    alike = full.repartition(*keys).groupBy(*keys, "pred").agg(F.count_if(drawn).alias("n"), F.collect_list(F.when(drawn, F.col("draw"))).alias("draws"), F.max(~drawn).alias("first"))
+    n = F.col("n")
+    row = alike.groupBy(*keys).agg(F.sum("n").alias("b"), F.max("n").alias("most"), F.sum(n * (n - 1)).alias("same"), F.sum(F.when(F.col("first"), n).otherwise(0)).alias("kept"), F.collect_list(F.struct("n", "first", "draws")).alias("cells"))
+    b = F.col("b")
+    each = F.flatten(F.transform("cells", lambda c: F.transform(c["draws"], lambda d: F.struct(d.alias("draw"), F.when(c["first"], 0.0).otherwise(1.0).alias("move"), (b - c["n"]).cast("double").alias("d")))))
+    return row.select(*keys, (1 - F.col("most") / b).alias("per_point"), (1 - F.try_divide(F.col("same"), b * (b - 1))).alias("pairwise"), (1 - F.col("kept") / b).alias("mape"), F.lit(0.0).alias("move0"), F.lit(0.0).alias("d0"), each.alias("each"))
+
+
+def _vector_cases(full: DataFrame, keys: list[str], n_draws: int, n_classes: int) -> DataFrame:
+    """Only classes that some fit knows for a case have rows; one that a draw lacks is a probability of 0, which enters by the number of draws."""
+    drawn, b = F.col("draw") > 0, float(n_draws)
+    p = F.when(drawn, F.col("p"))
+    one = full.repartition(*keys).groupBy(*keys, "class").agg(F.count(p).alias("n"), (F.coalesce(F.sum(p), F.lit(0.0)) / b).alias("m"), F.coalesce(F.max(F.when(~drawn, F.col("p"))), F.lit(0.0)).alias("p0"), F.collect_list(F.when(drawn, F.struct("draw", "p"))).alias("cells"))
+    lacking = b - F.col("n")
+    one = one.withColumn("s2", _over("cells", lambda x: F.pow(x["p"] - F.col("m"), F.lit(2))) + lacking * F.col("m") * F.col("m")).withColumn("moved", _over("cells", lambda x: F.abs(x["p"] - F.col("p0"))) + lacking * F.abs("p0"))
+    # against a draw without the class
+    more = F.transform("cells", lambda x: F.struct(x["draw"].alias("draw"), ((F.abs(x["p"] - F.col("p0")) - F.abs("p0")) / n_classes).alias("move"), (b * x["p"] * (x["p"] - 2 * F.col("m"))).alias("d")))
+    row = one.groupBy(*keys).agg(F.sum("s2").alias("s2"), F.sum("moved").alias("moved"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.sum(F.abs("p0")).alias("unmoved"), F.flatten(F.collect_list(more)).alias("each"))
+    v = F.col("s2") / (b - 1) if n_draws > 1 else F.lit(None).cast("double")
+    return row.select(*keys, v.alias("per_point"), (2 * v).alias("pairwise"), (F.col("moved") / (b * n_classes)).alias("mape"), (F.col("unmoved") / n_classes).alias("move0"), (b * F.col("m2") + F.col("s2")).alias("d0"), "each")
+
+
+def case_rows(full: DataFrame, kind: str, by: Sequence[str] = (), n_draws: int | None = None, n_classes: int | None = None) -> DataFrame:
+    """A row a case, from one exchange of the prediction table.
+
+    per_point, pairwise and mape are the case's statistics. For numbers:
+    variance over draws, twice that, and the mean absolute move from the
+    original. Labels are names: the share of draws off the modal label, the
+    share of draw pairs that differ, the share off the original. For
+    probabilities variances are summed over classes, and the absolute move is
+    averaged over all ``n_classes``. ``each`` holds, by draw, the move and the
+    summed distance to all draws, over move0 and d0: squared for numbers and
+    probabilities (they are centred first, so large offsets don't cancel),
+    disagreement for labels; no pair of draws is formed. A case's draws bound
+    the row.
+    """
     keys = [*by, "case_id"]
-    joined = predictions.join(original, keys)
-    return joined.groupBy(*keys).agg(F.var_samp("pred").alias("per_point"), F.avg(F.abs(F.col("pred") - F.col("pred0"))).alias("mape")).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
+    if kind == "numeric":
+        return _numeric_cases(full, keys)
+    if kind == "label":
+        return _label_cases(full, keys)
+    if n_draws is None:
+        n_draws = full.where("draw > 0").select("draw").distinct().count()
+    if n_classes is None:
+        n_classes = full.select("class").distinct().count()
+    return _vector_cases(full, keys, n_draws, n_classes)
 
 
-def label_case_stats(predictions: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Labels are names: per_point is the share of draws off the modal label, pairwise the share of draw pairs that differ, mape the share off the original."""
-    keys = [*by, "case_id"]
-    counts = predictions.groupBy(*keys, "pred").agg(F.count("*").alias("n")).join(original, keys)
-    n, total = F.col("n"), F.sum("n")
-    off = F.sum(F.when(F.col("pred") != F.col("pred0"), n).otherwise(0))
-    return counts.groupBy(*keys).agg((1 - F.max("n") / total).alias("per_point"), (1 - F.sum(n * (n - 1)) / (total * (total - 1))).alias("pairwise"), (off / total).alias("mape"))
+def case_stats(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return rows.select(*by, "case_id", "per_point", "pairwise", "mape")
 
 
-def aligned(probabilities: DataFrame, draws: DataFrame, cases: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every (draw, case_id, class), with 0.0 where a draw never saw the class. An unknown class raises.
+def draw_rows(rows: DataFrame, by: Sequence[str] = (), percentile: bool = False) -> DataFrame:
+    """(draw, m, r, and the cases' overall numbers on each row): a draw's mean move and mean summed distance, from ``case_rows``.
 
-    The grid is what the statistics are defined on: a missing class is a
-    probability of 0, not a missing row. Draws and classes are few; cases are
-    not moved.
+    A case is exploded to its draws beside one element, draw 0, for the case
+    itself, so that cases and draws are added up in one aggregation.
     """
-    unknown = probabilities.select("class").distinct().join(classes, "class", "left_anti").limit(1).collect()
-    if unknown:
-        raise ValueError(f"a model knows the class {unknown[0][0]!r}, which the reference classes lack")
-    grid = cases.select("case_id").crossJoin(F.broadcast(draws.select("draw"))).crossJoin(F.broadcast(classes.select("class")))
-    return grid.join(probabilities, ["draw", "case_id", "class"], "left").select("draw", "case_id", "class", F.coalesce("p", F.lit(0.0)).alias("p"))
-
-
-def vector_case_stats(probabilities: DataFrame, original: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Variances are summed over classes; the absolute move is averaged over them."""
-    keys = [*by, "case_id"]
-    by_class = probabilities.join(original, [*keys, "class"]).groupBy(*keys, "class").agg(F.var_samp("p").alias("v"), F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
-    return by_class.groupBy(*keys).agg(F.sum("v").alias("per_point"), F.avg("m").alias("mape")).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), "mape")
-
-
-CASE_STATS = {"numeric": numeric_case_stats, "label": label_case_stats, "vector": vector_case_stats}
-
-
-def draw_mape(table: DataFrame, original: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
-    """(draw, m): each draw's mean move from the original, over cases (and classes)."""
-    if kind == "vector":
-        return table.join(original, [*by, "case_id", "class"]).groupBy(*by, "draw").agg(F.avg(F.abs(F.col("p") - F.col("p0"))).alias("m"))
-    move = F.abs(F.col("pred") - F.col("pred0")) if kind == "numeric" else F.when(F.col("pred") != F.col("pred0"), 1.0).otherwise(0.0)
-    return table.join(original, [*by, "case_id"]).groupBy(*by, "draw").agg(F.avg(move).alias("m"))
+    marker = F.array(F.struct(F.lit(0).alias("draw"), F.col("move0").alias("move"), F.col("d0").alias("d")))
+    cells = rows.select(*by, "per_point", "pairwise", "mape", F.explode(F.concat(marker, "each")).alias("e"))
+    own = lambda name: F.when(F.col("e.draw") == 0, F.col(name))
+    overall = {"instability_mean": F.avg(own("per_point")), "instability_max": F.max(own("per_point")), "mape": F.avg(own("mape")), "pairwise_mean": F.avg(own("pairwise"))}
+    if percentile:
+        overall["instability_p90"] = F.percentile(own("per_point"), F.lit(0.9))
+    sums = cells.groupBy(*by, F.col("e.draw").alias("draw")).agg(F.count("*").alias("n"), F.sum("e.move").alias("move"), F.sum("e.d").alias("d"), *[v.alias(k) for k, v in overall.items()])
+    table = Window.partitionBy(*(by or [F.lit(0)]))  # a row a draw
+    base = lambda name: F.max(F.when(F.col("draw") == 0, F.col(name))).over(table)
+    m, r = (base("move") + F.col("move")) / base("n"), (base("d") + F.col("d")) / base("n")
+    return sums.select(*by, "draw", m.alias("m"), r.alias("r"), *[base(k).alias(k) for k in overall]).where("draw > 0")
 
 
 def standard_error(samples: DataFrame, column: str = "m", by: Sequence[str] = ()) -> DataFrame:
     """One row: standard deviation over the root of the count; NaN under two rows."""
+    return samples.groupBy(*by).agg(_spread(column).alias("standard_error"))
+
+
+def _spread(column: str):
     n = F.count(column)
-    return samples.groupBy(*by).agg(F.when(n < 2, F.lit(NAN)).otherwise(F.stddev_samp(column) / F.sqrt(n)).alias("standard_error"))
+    return F.when(n < 2, F.lit(NAN)).otherwise(F.stddev_samp(column) / F.sqrt(n))
 
 
-def _jackknife(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows (draw, r), r a draw's summed distance to all draws, to the error of the mean over all pairs."""
+def _jackknife():
+    """Of rows r, a draw's summed distance to all draws: the error of the mean over all pairs, leaving out one draw at a time."""
     b = F.count("*")
     pairs = (b - 1) * (b - 2) / 2.0
-    return rows.groupBy(*by).agg(F.when(b < 3, F.lit(NAN)).otherwise(F.sqrt((b - 1) * F.var_pop("r")) / F.nullif(pairs, F.lit(0.0))).alias("standard_error"))
+    return F.when(b < 3, F.lit(NAN)).otherwise(F.sqrt((b - 1) * F.var_pop("r")) / F.nullif(pairs, F.lit(0.0)))
 
 
 def pairwise_standard_error(table: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row: the delete-one jackknife error of the mean pairwise distance, in time linear in draws.
+    """One row: the delete-one jackknife error of the mean pairwise distance of all draws in ``table``, in time linear in draws."""
+    refits = table.withColumn("draw", F.col("draw") + 1)  # none of them is the original
+    return draw_rows(case_rows(refits, kind, by), by).groupBy(*by).agg(_jackknife().alias("standard_error"))
+
+
+def aligned(probabilities: DataFrame, draws: DataFrame, cases: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every (draw, case_id, class), with 0.0 where a draw never saw the class, for those who want the whole grid. Classes are checked as by ``require_classes``."""
+    require_classes(probabilities, classes)
+    return gridded(probabilities, draws, cases, classes)
+
+
+def gridded(probabilities: DataFrame, draws: DataFrame, cases: DataFrame, classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    keys = [*by, "draw", "case_id", "class"]
+    grid = cases.select("case_id").crossJoin(F.broadcast(draws.select(*by, "draw"))).crossJoin(F.broadcast(classes.select("class")))
+    return grid.join(probabilities, keys, "left").select(*keys, F.coalesce("p", F.lit(0.0)).alias("p"))
 
-    A draw's summed squared distance to all others follows from the case's sums
-    (predictions are centred first, so large offsets don't cancel), and its
-    summed disagreement from the label counts; no pair of draws is formed. A
-    window holds the draws of one case.
+
+def require_classes(probabilities: DataFrame, classes: DataFrame, by: Sequence[str] = ()) -> None:
+    """Raises ValueError if a model names a class that the reference classes lack, or one class twice.
+
+    Classes are a model's, so twice shows on any case; the first one of each draw is looked at.
     """
-    if kind == "label":
-        n = F.count("*").over(Window.partitionBy(*by, "case_id"))
-        alike = F.count("*").over(Window.partitionBy(*by, "case_id", "pred"))
-        return _jackknife(table.select(*by, "draw", (n - alike).alias("d")).groupBy(*by, "draw").agg(F.avg("d").alias("r")), by)
-    keys, value = ([*by, "case_id", "class"], F.col("p")) if kind == "vector" else ([*by, "case_id"], F.col("pred"))
-    case = Window.partitionBy(*keys)
-    z = table.withColumn("z", value - F.avg(value).over(case))
-    b, s1, s2 = F.count("*").over(case), F.sum("z").over(case), F.sum(F.col("z") * F.col("z")).over(case)
-    d = z.select(*by, "draw", "case_id", (b * F.col("z") * F.col("z") + s2 - 2 * F.col("z") * s1).alias("d"))
-    if kind == "vector":
-        d = d.groupBy(*by, "draw", "case_id").agg(F.sum("d").alias("d"))
-    return _jackknife(d.groupBy(*by, "draw").agg(F.avg("d").alias("r")), by)
+    unknown = probabilities.select("class").distinct().join(classes, "class", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"a model knows the class {unknown[0][0]!r}, which the reference classes lack")
+    first = probabilities.groupBy(*by, "draw").agg(F.min("case_id").alias("case_id"))
+    again = probabilities.join(F.broadcast(first), [*by, "draw", "case_id"]).groupBy(*by, "draw", "class").count().where("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"a model gives the class {again[0]['class']!r} {again[0]['count']} times")
 
 
 @dataclass
 class Audit:
-    """What ``bootstrap_predictions`` found. Statistics are lazy; the predictions are a table in the shared folder until ``release``."""
+    """What ``bootstrap_predictions`` found. Statistics are lazy; the prediction table, with draw 0 for the original fit, and what it was made from are in the shared folder until ``release``.
+
+    Of probabilities the kept table holds the classes that a draw knows, and
+    under draw -1 a zero for each case; ``predictions`` and ``original`` fill in
+    zeros for the other classes.
+    """
 
     task: str
     prediction_method: str
     kind: str
-    original: DataFrame
     original_labels: DataFrame
-    predictions: DataFrame
-    case_stats: DataFrame
-    classes: DataFrame | None
     kept: DataFrame
+    cases: DataFrame
+    classes: DataFrame | None
+    n_classes: int | None
     n_bootstrap: int
     n_cases: int
     n_resample_attempts: int
+    by: tuple[str, ...] = ()
+    tables: list[DataFrame] = field(default_factory=list)
 
     @property
     def n_rejected_resamples(self) -> int:
@@ -133,14 +194,40 @@ class Audit:
     def n_fit_attempts(self) -> int:
         return 1 + self.n_bootstrap
 
+    def _side(self, first: int, last: int) -> DataFrame:
+        if self.kind != "vector":
+            return self.kept.where(F.col("draw").between(first, last))
+        draws = self.kept.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("draw"))
+        if self.by:
+            draws = draws.crossJoin(self.kept.select(*self.by).distinct())
+        return gridded(self.kept, draws, self.cases, self.classes, self.by)
+
+    @property
+    def predictions(self) -> DataFrame:
+        return self._side(1, self.n_bootstrap)
+
+    @property
+    def original(self) -> DataFrame:
+        return self._side(0, 0).drop("draw").withColumnRenamed("p" if self.kind == "vector" else "pred", "p0" if self.kind == "vector" else "pred0")
+
+    @property
+    def case_rows(self) -> DataFrame:
+        return case_rows(self.kept, self.kind, self.by, self.n_bootstrap, self.n_classes)
+
+    @property
+    def case_stats(self) -> DataFrame:
+        return case_stats(self.case_rows, self.by)
+
     def mape_standard_error(self) -> DataFrame:
-        return standard_error(draw_mape(self.predictions, self.original, self.kind))
+        return standard_error(draw_rows(self.case_rows, self.by), by=self.by)
 
     def pairwise_standard_error(self) -> DataFrame:
-        return pairwise_standard_error(self.predictions, self.kind)
+        return draw_rows(self.case_rows, self.by).groupBy(*self.by).agg(_jackknife().alias("standard_error"))
 
     def release(self) -> None:
-        dropped(self.kept)
+        """Delete every table that the audit wrote."""
+        for table in self.tables:
+            dropped(table)
 
 
 def demand(*rules: tuple[bool, str]) -> None:
@@ -193,6 +280,8 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
     that aren't finite, in training rows or cases; one aggregate a table looks
     for all of it.
     """
+    if prediction_method == "predict_proba":
+        require_probabilities(procedure)
     prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=getattr(procedure, "finite", ()))
     return audited(prepared, procedure, prediction_method)
 
@@ -208,6 +297,7 @@ class Prepared:
     n_bootstrap: int
     n_cases: int
     n_resample_attempts: int
+    tables: list[DataFrame]
 
 
 def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0, finite: Sequence[str] = ()) -> Prepared:
@@ -226,68 +316,75 @@ def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str
     else:
         weights = bootstrap_weights(train.sparkSession, n, n_bootstrap, seed)
     classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
-    return Prepared(with_original(weights, rows), cases, classes, task, n_bootstrap, n_cases, attempts)
+    return Prepared(with_original(weights, rows), cases, classes, task, n_bootstrap, n_cases, attempts, [rows, cases])
 
 
 def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -> Audit:
-    audit, _ = audited_all(prepared, {0: procedure}, prediction_method)
-    drop = lambda df: df.drop("config_id")
-    audit.original, audit.original_labels, audit.predictions, audit.case_stats = map(drop, (audit.original, audit.original_labels, audit.predictions, audit.case_stats))
-    return audit
+    return audited_all(prepared, {0: procedure}, prediction_method, ())
 
 
 CONFIG = ("config_id",)
 
 
-def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_method: str = "predict") -> tuple[Audit, DataFrame]:
-    """An audit whose tables hold ``config_id``, and its summary, a row a configuration: all procedures in one plan."""
-    task, cases, classes = prepared.task, prepared.cases, prepared.classes
+def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_method: str = "predict", by: tuple[str, ...] = CONFIG) -> Audit:
+    """An audit whose tables hold ``config_id``, if ``by`` has it: all procedures in one prediction table."""
+    task, cases, classes, tables = prepared.task, prepared.cases, prepared.classes, list(prepared.tables)
     parts, labelled = [], []
+    mark = lambda df, i: df.withColumn("config_id", F.lit(i)) if by else df
     for config_id, procedure in procedures.items():
         model = procedure.fit(prepared.weighted)
         if isinstance(model, DataFrame):
             model = stored(model, "audit-models")  # a few rows a draw, which several joins read
-        mark = lambda df, i=config_id: df.withColumn("config_id", F.lit(i))
+            tables.append(model)
         if prediction_method == "predict_proba":
+            require_probabilities(procedure, model)
             first = model.where("draw = 0") if isinstance(model, DataFrame) else {0: model[0]}
-            labelled.append(mark(procedure.predict(first, cases).select("case_id", F.col("pred").alias("pred0"))))
-            draws = cases.sparkSession.range(prepared.n_bootstrap + 1).select(F.col("id").cast("int").alias("draw"))
-            parts.append(mark(aligned(procedure.predict_proba(model, cases), draws, cases, classes)))
+            labelled.append(mark(procedure.predict(first, cases).select("case_id", F.col("pred").alias("pred0")), config_id))
+            parts.append(mark(procedure.predict_proba(model, cases).select("draw", "case_id", "class", "p"), config_id))
         else:
-            parts.append(mark(procedure.predict(model, cases).select("draw", "case_id", "pred")))
+            parts.append(mark(procedure.predict(model, cases).select("draw", "case_id", "pred"), config_id))
+    if prediction_method == "predict_proba":
+        classes = stored(classes, "audit-classes")
+        tables.append(classes)
+        n_classes, least = classes.agg(F.count("*"), F.min("class")).first()
+        # a case of which no fit knows any class is a case all the same
+        parts += [mark(cases.select(F.lit(-1).alias("draw"), "case_id", F.lit(least).alias("class"), F.lit(0.0).alias("p")), i) for i in procedures]
     full = stored(reduce(DataFrame.unionByName, parts), "audit-predictions")
-    table = full.where("draw > 0")
+    tables.append(full)
     if prediction_method == "predict_proba":
-        original, labels, kind = full.where("draw = 0").select(*CONFIG, "case_id", "class", F.col("p").alias("p0")), reduce(DataFrame.unionByName, labelled), "vector"
-    else:
-        labels = original = full.where("draw = 0").select(*CONFIG, "case_id", F.col("pred").alias("pred0"))
-        kind = "numeric" if task == "continuous" else "label"
-    audit = Audit(task, prediction_method, kind, original, labels, table, CASE_STATS[kind](table, original, CONFIG), classes, full, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts)
-    return audit, summarised(audit, CONFIG)
-
-
-def summary(case_stats: DataFrame, n_cases: int, by: Sequence[str] = ()) -> DataFrame:
-    """One row: mean, 90th percentile and maximum of per_point; mean mape and pairwise. With ``by`` there is no percentile."""
-    if by:
-        p90: list[Column] = []
-    elif n_cases <= ONE_STEP_CASES:
-        p90 = [F.percentile("per_point", F.lit(0.9)).alias("instability_p90")]
+        require_classes(full, classes, by)
+        labels, kind = reduce(DataFrame.unionByName, labelled), "vector"
     else:
-        p90 = [F.first(F.lit(exact_quantile(case_stats, "per_point", 0.9))).alias("instability_p90")]
-    return case_stats.groupBy(*by).agg(F.avg("per_point").alias("instability_mean"), *p90, F.max("per_point").alias("instability_max"), F.avg("mape").alias("mape"), F.avg("pairwise").alias("pairwise_mean"))
+        labels = full.where("draw = 0").select(*by, "case_id", F.col("pred").alias("pred0"))
+        kind, n_classes = "numeric" if task == "continuous" else "label", None
+    return Audit(task, prediction_method, kind, labels, full, cases, classes, n_classes, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts, by, tables)
 
 
-def bootstrap_instability(train: DataFrame, cases: DataFrame, procedure, **options) -> DataFrame:
-    """One row of ten numbers; options as for ``bootstrap_predictions``."""
-    audit = bootstrap_predictions(train, cases, procedure, **options)
-    return summarised(audit)
+def require_probabilities(procedure, model=None) -> None:
+    """Raises ValueError for a procedure, or fitted models, without class probabilities."""
+    ask = getattr(procedure, "gives_probabilities", None)
+    if not hasattr(procedure, "predict_proba") or (ask is not None and model is not None and not ask(model)):
+        raise ValueError(f"{type(procedure).__name__} gives no class probabilities, which prediction_method='predict_proba' asks for")
 
 
-def summarised(audit: Audit, by: Sequence[str] = ()) -> DataFrame:
-    mape = standard_error(draw_mape(audit.predictions, audit.original, audit.kind, by), by=by).withColumnRenamed("standard_error", "mape_standard_error")
-    pairwise = pairwise_standard_error(audit.predictions, audit.kind, by).withColumnRenamed("standard_error", "pairwise_standard_error")
-    one = summary(audit.case_stats, audit.n_cases, by)
-    one = one.join(mape, list(by)).join(pairwise, list(by)) if by else one.crossJoin(F.broadcast(mape)).crossJoin(F.broadcast(pairwise))
+def bootstrap_instability(train: DataFrame, cases: DataFrame, procedure, **options) -> DataFrame:
+    """One row of ten numbers; options as for ``bootstrap_predictions``. What the audit wrote is deleted."""
+    audit = bootstrap_predictions(train, cases, procedure, **options)
+    row = summarised(audit)
+    out = train.sparkSession.createDataFrame(row.collect(), row.schema)
+    audit.release()
+    return out
+
+
+def summarised(audit: Audit) -> DataFrame:
+    """A row (a configuration): mean, 90th percentile and maximum of per_point, mean mape and pairwise with their errors, counters. With configurations there is no percentile."""
+    by, rows = audit.by, audit.case_rows
+    exact = not by and audit.n_cases <= ONE_STEP_CASES
+    draws = draw_rows(rows, by, exact)
+    taken = {k: F.max(k) for k in ("instability_mean", "instability_max", "mape", "pairwise_mean")}
+    if not by:
+        taken["instability_p90"] = F.max("instability_p90") if exact else F.first(F.lit(exact_quantile(case_stats(rows), "per_point", 0.9)))
+    one = draws.groupBy(*by).agg(*[v.alias(k) for k, v in taken.items()], _spread("m").alias("mape_standard_error"), _jackknife().alias("pairwise_standard_error"))
     counters = {"n_fit_attempts": audit.n_fit_attempts, "n_resample_attempts": audit.n_resample_attempts, "n_rejected_resamples": audit.n_rejected_resamples}
     numbers = [c for c in ("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error") if c in one.columns]
     return one.select(*by, *numbers, *[F.lit(v).cast("long").alias(k) for k, v in counters.items()])

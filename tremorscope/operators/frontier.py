@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import score_by
-from ..sources.shared import stored
+from ..sources.shared import dropped, stored
 from ..sources.tables import require_columns, require_scalar
-from .audit import TASKS, audited_all, demand, prepare
+from .audit import TASKS, audited_all, demand, prepare, require_probabilities, summarised
 from .sampling import holdout_split, param_grid
 
 
 METRICS = ("pairwise", "mape")
+SUPPLIED, HELD_OUT = "user_supplied_validation_data", "internal_validation_split"
 
 
 def undominated(points: DataFrame, instability_key: str = "instability") -> DataFrame:
@@ -68,21 +69,25 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     demand((task in TASKS, f"no such task: {task!r}"), (n_bootstrap > 1, f"a spread needs two refits, not {n_bootstrap}"), (instability_metric in METRICS, f"no such instability metric: {instability_metric!r}"))
     require_columns(data, key, target)
     require_scalar(data, target)
-    began, source = time.perf_counter(), "user_supplied_validation_data"
+    began, source = time.perf_counter(), SUPPLIED
     train = data
     if cases is None:
         split = stored(holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None), "frontier-split")
-        train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), "internal_validation_split"
+        train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), HELD_OUT
     else:
         require_columns(cases, "case_id", target)
     truth = cases.select("case_id", F.col(target).cast("double" if task == "continuous" else "string").alias("y"))
     configs = param_grid(grid)
     demand((bool(configs), "a grid without configurations"))
     procedures = {i: procedure_factory(**params) for i, params in enumerate(configs)}
+    if prediction_method == "predict_proba":
+        for p in procedures.values():
+            require_probabilities(p)
     finite = sorted({c for p in procedures.values() for c in getattr(p, "finite", ())})
     prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite)
     weighted = prepared.weighted = prepared.weighted.persist()  # every configuration is fitted to it
-    audit, found = audited_all(prepared, procedures, prediction_method)
+    audit = audited_all(prepared, procedures, prediction_method)
+    found = summarised(audit)
     scores = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task)
     rows = []
     for r in found.join(scores, "config_id").orderBy("config_id").collect():  # a row a configuration
@@ -90,6 +95,8 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
         rows.append((r.config_id, {k: str(v) for k, v in configs[r.config_id].items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
     audit.release()
     weighted.unpersist()
+    if source != SUPPLIED:
+        dropped(split)
     points = data.sparkSession.createDataFrame(rows, POINTS)
     return Frontier(points, pareto_front(points), len(configs) * (n_bootstrap + 1), time.perf_counter() - began, task, "accuracy" if task == "categorical" else "r2", instability_metric, prediction_method, source)
 

@@ -242,13 +242,18 @@ class Fitted:
             model = seeded(factory(), zlib.crc32(f"{seed}|{draw}".encode()) % 2**31)
             fitted = model.fit(rows[features], rows["y"])
             fitted = model if fitted is None else fitted
-            return pd.DataFrame({"draw": [draw], "object": [cloudpickle.dumps(fitted)], "has_probabilities": [hasattr(fitted, "predict_proba")]})
+            return pd.DataFrame({"draw": [draw], "object": [cloudpickle.dumps(fitted)], "has_probabilities": [hasattr(fitted, "predict_proba")], "classes": [[str(c) for c in classes] if (classes := getattr(fitted, "classes_", None)) is not None else None]})
 
-        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, "draw int, object binary, has_probabilities boolean")
+        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, "draw int, object binary, has_probabilities boolean, classes array<string>")
 
     def gives_probabilities(self, model: DataFrame) -> bool:
-        """Whether every fitted object has predict_proba."""
-        return bool(model.agg(F.min("has_probabilities")).first()[0])
+        """Whether every fitted object has predict_proba. One that has it, but doesn't say its classes, or names one twice, raises ValueError."""
+        has, named, again = model.agg(F.min("has_probabilities"), F.min(F.col("classes").isNotNull()), F.max(F.when(F.size("classes") > F.size(F.array_distinct("classes")), F.array_join("classes", ", ")))).first()
+        if has and not named:
+            raise ValueError("an object with predict_proba needs classes_")
+        if has and again:
+            raise ValueError(f"an object gives a class more than once: {again}")
+        return bool(has)
 
     def _scored(self, model: DataFrame, cases: DataFrame, schema: str, give: Callable) -> DataFrame:
         features = self.features
