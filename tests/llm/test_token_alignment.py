@@ -1,6 +1,7 @@
 """The alignment against the definitions, token by token, with both tokenizers' own libraries."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -117,3 +118,12 @@ def test_pair_counts_cover_all_documents(spark):
                 if max(s, t) < min(e, f):
                     want[a[i], b[j]] += n
     assert counts == want
+
+
+def test_words_one_by_one_as_whole_texts():
+    pair, draw = token_alignment.Pair(token_alignment.tokenizer_paths(), token_alignment.piece_model_path()), random.Random(4)
+    assert pair.by_word
+    parts = ["the", " ", " ", "  ", "é☃", "\n", "\t", "x", "ation", "12", "▁", "<0x41>", "'s", "\x00", "　", "ﬁ", " " * 5]
+    for _ in range(2000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 25)))
+        assert pair.piece_ids(text).tolist() == B.encode(text)
