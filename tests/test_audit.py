@@ -145,7 +145,7 @@ def test_quantiles_ranks_and_scores(spark):
     for q in (0.0, 0.37, 0.9, 1.0):
         assert exact_quantile(df, "v", q, small=100) == pytest.approx(np.percentile(values, 100 * q))
     assert math.isnan(exact_quantile(df.limit(0), "v", 0.5))
-    got = [r.case_id for r in ranked(df, "v", "case_id", bucket_rows=9).orderBy("rank").collect()]
+    got = [r.case_id for r in ranked(df, "v", "case_id", rows=90).orderBy("rank").collect()]
     assert got == [int(i) for i in np.lexsort((np.arange(3000), values))]
     flat = spark.createDataFrame([(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.0, 0.0), (2, 1.0, 1.0)], "k int, y double, pred double")
     assert {r.k: r.score for r in r2_by(flat, ["k"]).collect()} == {1: 1.0, 2: 0.0}
@@ -169,7 +169,7 @@ def test_quantiles_by_group_and_ranks_of_common_values(spark):
         assert [r.a, r.b, r.c] == pytest.approx(np.percentile(groups[r.g], [5, 50, 95]).tolist(), abs=1e-12)
     values = [float(x) for x in rng.choice([1.0, 1.0, 1.0, 2.0, 5.0, *range(10, 30)], 3000)]
     table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(4)
-    got = {r.id: r["rank"] for r in ranked(table, "v", "id", bucket_rows=100).collect()}
+    got = {r.id: r["rank"] for r in ranked(table, "v", "id", rows=100).collect()}
     assert [got[i] for i in sorted(got, key=lambda i: (values[i], i))] == list(range(3000))
     assert ranked(table.limit(0), "v", "id").count() == 0
 

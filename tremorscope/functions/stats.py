@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+
 #: Mean absolute difference of two Gaussian draws, and of one from its mean, in standard deviations.
 PAIRWISE, CENTERED_MAD = 2 / sqrt(pi), sqrt(2 / pi)
 NAN = float("nan")
@@ -70,58 +72,64 @@ def exact_quantile(df: DataFrame, column: str, q: float, small: int = 100_000) -
     return part.a + (part.b - part.a) * (at - first)
 
 
-#: Rows that a rank bucket should hold, and the most buckets, whose edges the driver holds.
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 10_000
+#: Rows that a range should hold.
+RANGE_ROWS = 200_000
+
+
+def in_ranges(df: DataFrame, *order: Column, rows: int = RANGE_ROWS, part: str = "part_") -> DataFrame:
+    """``df`` dealt into ranges of ``order``, about ``rows`` each, and written so; ``part`` numbers the ranges in that order.
+
+    Rows that are equal in ``order`` share a range. The edges are Spark's own
+    sample; the plan doesn't grow with the data. What fits one range isn't
+    written: there are no edges to hold on to.
+    """
+    parts = 1 + df.count() // rows
+    if parts == 1:
+        return df.withColumn(part, F.lit(0))
+    return stored(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranges")
 
 
-def ranked(df: DataFrame, column: str, tie: str, name: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds the 0-based global rank by (column, tie), both numbers, without sorting everything in one task.
+def ranked(df: DataFrame, column: str, tie: str, name: str = "rank", rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds the 0-based global rank by (column, tie) without sorting everything in one task.
 
-    Approximate quantiles cut the values into buckets, more of them the more
-    rows there are; a value so common that it fills buckets is cut further by
-    quantiles of the tie. A row's rank is the number of rows in earlier buckets
-    plus its place in its own.
+    A row's rank is the number of rows in earlier ranges plus its place in its
+    own; a common value is spread over ranges by the tie. The counts, a row a
+    range, are what is broadcast.
     """
-    n = min(MOST_BUCKETS, 8 + df.count() // bucket_rows)
-    at = [i / n for i in range(1, n)]
-    cuts, ties = df.approxQuantile([column, tie], at, 0.25 / n)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
-    table = lambda values: F.array(*[F.lit(float(c)) for c in sorted(set(values))]) if values else F.array().cast("array<double>")
-    upto = lambda values, x: F.size(F.filter(table(values), lambda c: c <= F.col(x)))
-    inner = F.when(F.array_contains(table(heavy), F.col(column).cast("double")), upto(ties, tie)).otherwise(n) if heavy else F.lit(0)
-    placed = df.withColumn("bucket_", upto(cuts, column) * (n + 1) + inner)
-    sizes = placed.groupBy("bucket_").agg(F.count("*").alias("n_"))  # as many rows as buckets
-    offsets = sizes.select(F.col("bucket_").alias("b_"), (F.sum("n_").over(Window.partitionBy(F.lit(0)).orderBy("bucket_")) - F.col("n_")).alias("before_"))
-    local = F.row_number().over(Window.partitionBy("bucket_").orderBy(column, tie)) - 1
-    return placed.withColumn("local_", local).join(F.broadcast(offsets), F.col("bucket_") == F.col("b_")).select(*df.columns, (F.col("before_") + F.col("local_")).alias(name))
+    placed = in_ranges(df, F.col(column).asc(), F.col(tie).asc(), rows=rows)
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(F.lit(0)).orderBy("part_")) - F.col("n_")
+    offsets = counts.select(F.col("part_").alias("of_"), before.alias("before_"))
+    local = F.row_number().over(Window.partitionBy("part_").orderBy(column, tie)) - 1
+    return placed.withColumn("local_", local).join(F.broadcast(offsets), F.col("part_") == F.col("of_")).select(*df.columns, (F.col("before_") + F.col("local_")).alias(name))
 
 
 def quantiles_by(df: DataFrame, key: str, column: str, wanted: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(key, a column for each of ``wanted``): linearly interpolated quantiles of a few groups, however large, exact.
 
-    Mergeable approximate quantiles bracket each wanted rank; only values inside
-    the bracket, about one in ``accuracy`` / 4 of a group's, are gathered and
-    sorted. Nulls don't count.
+    Mergeable approximate quantiles bracket each wanted rank. Values under the
+    bracket are only counted; those inside, about one in ``accuracy`` / 4 of a
+    group's, are counted by value, so a common one is a single row, and put in
+    order with running counts. Nulls don't count.
     """
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k_"), F.col(column).cast("double").alias("v_"))
-    slack = 2.0 / accuracy
-    ends = [F.percentile_approx("v_", [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"e{i}") for i, q in enumerate(wanted.values())]
+    slack, shares = 2.0 / accuracy, list(wanted.values())
+    ends = [F.percentile_approx("v_", [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"e{i}") for i, q in enumerate(shares)]
     brackets = rows.groupBy("k_").agg(F.count("*").alias("n_"), *ends).withColumnRenamed("k_", "b_")  # a row a group
     joined = rows.join(F.broadcast(brackets), F.col("k_") == F.col("b_"))
-    parts = []
-    for i, q in enumerate(wanted.values()):
-        # the ranks wanted are inside, or the bracket is opened to the smallest or largest value
-        low = F.when(F.col("n_") * slack < 2, F.lit(float("-inf"))).otherwise(F.get(f"e{i}", F.lit(0)))
-        high = F.when(F.col("n_") * slack < 2, F.lit(float("inf"))).otherwise(F.get(f"e{i}", F.lit(1)))
-        parts += [F.count_if(F.col("v_") < low).alias(f"under{i}"), F.array_sort(F.collect_list(F.when((F.col("v_") >= low) & (F.col("v_") <= high), F.col("v_")))).alias(f"in{i}")]
-    found = joined.groupBy("k_", "n_").agg(*parts)
-    out = []
-    for i, (name, q) in enumerate(wanted.items()):
-        at = (F.col("n_") - 1) * F.lit(q)
-        spot = (F.floor(at) - F.col(f"under{i}")).cast("int")
-        a, b = F.get(f"in{i}", spot), F.coalesce(F.get(f"in{i}", spot + 1), F.get(f"in{i}", spot))
-        out.append((a + (b - a) * (at - F.floor(at))).alias(name))
-    return found.select(F.col("k_").alias(key), *out)
+    few = F.col("n_") * slack < 2  # then the bracket is opened to all values
+    cells = []
+    for i in range(len(shares)):
+        low, high = (F.when(few, F.lit(edge)).otherwise(F.get(f"e{i}", F.lit(j))) for j, edge in ((0, float("-inf")), (1, float("inf"))))
+        cells.append(F.when(F.col("v_") <= high, F.struct(F.lit(i).alias("i"), F.when(F.col("v_") >= low, F.col("v_")).alias("v"))))
+    each = joined.select("k_", "n_", F.explode(F.array_compact(F.array(*cells))).alias("x"))
+    pairs = each.groupBy("k_", "n_", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k_", "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.col("n_") - 1) * F.element_at(F.array(*[F.lit(q) for q in shares]), F.col("i") + 1)
+    holds = lambda rank: F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("v")))
+    spots = pairs.withColumns({"upto": upto, "at": at}).groupBy("k_", "i").agg(holds(F.floor("at")).alias("a"), holds(F.floor("at") + 1).alias("b"), F.max(F.col("at") - F.floor("at")).alias("share"))
+    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("share")
+    return spots.groupBy(F.col("k_").alias(key)).agg(*[F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(wanted)])
 
 
 def equal_bins(rank: Column, n: int, k: int) -> Column:

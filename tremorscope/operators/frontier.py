@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import score_by
+from ..functions.stats import RANGE_ROWS, in_ranges, score_by
 from ..sources.shared import dropped, stored
 from ..sources.tables import require_columns, require_scalar
 from .audit import TASKS, audited_all, demand, prepare, require_probabilities, summarised
@@ -21,16 +24,52 @@ METRICS = ("pairwise", "mape")
 SUPPLIED, HELD_OUT = "user_supplied_validation_data", "internal_validation_split"
 
 
-def undominated(points: DataFrame, instability_key: str = "instability") -> DataFrame:
+def _skyline(score: np.ndarray, instability: np.ndarray) -> np.ndarray:
+    """Places of the points that no other one beats, equal ones all."""
+    if not len(score):
+        return np.zeros(0, dtype=np.int64)
+    order = np.lexsort((instability, -score))
+    s, i = score[order], instability[order]
+    new = np.append(True, s[1:] != s[:-1])
+    least = i[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the least of the same score
+    higher = np.append(np.inf, np.minimum.accumulate(i)[:-1])[np.flatnonzero(new)[np.cumsum(new) - 1]]  # and of all higher scores
+    return order[(i == least) & ((i < higher) | (s == s[0]))]
+
+
+def undominated(points: DataFrame, instability_key: str = "instability", rows: int = RANGE_ROWS) -> DataFrame:
     """Rows that no other row beats: at least its score and at most its instability, one of them strictly.
 
-    A NaN neither beats nor is beaten. Only the distinct pairs of numbers are
-    compared, as a small broadcast: a grid has few.
+    A NaN or null neither beats nor is beaten. Each task keeps the pairs of
+    numbers that none of its own beats. What is left is dealt into ranges by
+    falling score; a range's least instability is passed on to the ranges
+    behind it, and inside each a running least decides. So no two points are
+    compared one by one, and no range holds more than its share however many
+    points are undominated.
     """
-    i, j = F.col(instability_key), F.col("i_")
-    others = points.select(F.col("score").alias("s_"), i.alias("i_")).where(~F.isnan("s_") & ~F.isnan("i_")).distinct()
-    beats = (F.col("s_") >= F.col("score")) & (j <= i) & ((F.col("s_") > F.col("score")) | (j < i)) & ~F.isnan("score") & ~F.isnan(i)
-    return points.join(F.broadcast(others), beats, "left_anti")
+    score, i = F.col("score").cast("double"), F.col(instability_key).cast("double")
+    known = score.isNotNull() & i.isNotNull() & ~F.isnan(score) & ~F.isnan(i)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, waiting, size = np.zeros((2, 0)), [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(np.stack([c.to_numpy() for c in batch.columns]))
+                size += batch.num_rows
+            if batch is None or size > max(1 << 16, left.shape[1]):
+                left = np.hstack([left, *waiting])
+                left, waiting, size = np.unique(left[:, _skyline(*left)], axis=1), [], 0
+        if left.size:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in left], names=["s_", "i_"])
+
+    pairs = points.where(known).select(score.alias("s_"), i.alias("i_")).mapInArrow(local, "s_ double, i_ double").groupBy("s_").agg(F.min("i_").alias("i_"))
+    placed = in_ranges(pairs, F.desc("s_"), rows=rows)
+    least = placed.groupBy("part_").agg(F.min("i_").alias("least_"))  # a row a range
+    before = least.select(F.col("part_").alias("of_"), F.min("least_").over(Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)).alias("before_"))
+    inside = F.min("i_").over(Window.partitionBy("part_").orderBy(F.desc("s_")).rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("inside_", inside).join(F.broadcast(before), F.col("part_") == F.col("of_"))
+    higher = F.least("inside_", "before_")  # null where nothing scores more
+    best = joined.where(higher.isNull() | (F.col("i_") < higher)).select("s_", "i_")
+    return points.where(known).join(best, (score == F.col("s_")) & (i == F.col("i_")), "left_semi").unionByName(points.where(~F.coalesce(known, F.lit(False))))
 
 
 def pareto_front(points: DataFrame, instability_key: str = "instability", order: str = "config_id") -> DataFrame:

@@ -351,6 +351,21 @@ def linear_frontier(spark, folder):
     return _round(_round(found.select("mu", "risk_optimal", "bias2", "variance", "risk", "s2", "s1", "sigma"), ["bias2", "variance", "risk", "s2", "s1", "sigma"]), ["mu"], 8)
 
 
+def linear_frontier_two_columns(spark, folder):
+    """A frontier of two columns that aren't at right angles."""
+    found = linear.linear_frontier(_design(spark, folder)[0], ["one", "x"], "y", n_points=6, mu_max=100.0)
+    return _round(_round(found.select("mu", "risk_optimal", "bias2", "variance", "risk", "s2", "s1", "sigma"), ["bias2", "variance", "risk", "s2", "s1", "sigma"]), ["mu"], 8)
+
+
+def linear_frontier_embeddings(spark, folder):
+    """A frontier of 63 columns: how the first component of a vector follows from the others."""
+    vectors = table(spark, folder, "embeddings").select("embedding").where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    names = [f"e{i}" for i in range(64)]
+    design = stored(vectors.where(F.size("embedding") == len(names)).select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), "vectors")
+    found = linear.linear_frontier(design, names[1:], names[0])
+    return _round(found.select("mu", "risk_optimal", "bias2", "variance", "risk", "s2", "s1", "sigma"), ["mu", "bias2", "variance", "risk", "s2", "s1", "sigma"], 8)
+
+
 def _plot(spark, folder):
     audit = _ols(spark, folder)
     original, predictions, _ = plotdata.displayed(audit)
@@ -392,7 +407,7 @@ _FUNCTIONS = [
     param_grid, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,
     feature_paths, path_agreement, gram_matrix, linear_instability, linear_instability_hc0, shrinkage_coefficients, linear_frontier, plot_scatter, plot_limits, plot_band, plot_mape_bins,
-    feature_paths_preorder, representative_estimator_fit, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall,
+    feature_paths_preorder, representative_estimator_fit, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall, linear_frontier_two_columns, linear_frontier_embeddings,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {

@@ -274,5 +274,17 @@ ORACLES = {
         signals AS (SELECT 'pooled' AS signal, i, coef, d2, noise, greatest((SELECT avg(r) FROM raw), 0) AS theta FROM raw UNION ALL SELECT 'per_direction', i, coef, d2, noise, greatest(r, 0) FROM raw UNION ALL SELECT 'beta', i, coef, d2, noise, beta * beta FROM raw)""",
         "SELECT signal, i::INT AS i, round(coef * d2 * theta / (d2 * theta + 500 * noise), 6) AS coefficient FROM signals",
     ),
+    "linear_frontier_two_columns": _with(
+        f"""{DESIGN}, line AS (SELECT *, (n * sxy - sx * sy) / det AS b1, (sxx * sy - sx * sxy) / det AS b0, (n + sxx) / 2 AS mid, sqrt((n - sxx) * (n - sxx) / 4 + sx * sx) AS half FROM g),
+        noise AS (SELECT sum((y - b0 - b1 * x) * (y - b0 - b1 * x)) / (any_value(n) - 2) AS s2 FROM design, line),
+        ways AS (SELECT k, n, s2, l, p / sqrt(p * p + q * q) AS p, q / sqrt(p * p + q * q) AS q, (p * b0 + q * b1) / sqrt(p * p + q * q) AS coef FROM (SELECT 1 AS k, mid + half AS l, sx AS p, mid + half - n AS q, * FROM line UNION ALL SELECT 2, det / (mid + half), sx, det / (mid + half) - n, * FROM line), noise),
+        signal AS (SELECT *, l * (SELECT greatest(avg(coef * coef - s2 / l), 0) FROM ways) AS energy FROM ways),
+        mus AS (SELECT 0::DOUBLE AS mu, false AS risk_optimal UNION ALL SELECT 100 * pow(10, -6 + 6 * i / 4::DOUBLE), false FROM unnest(generate_series(0, 4)) AS t(i) UNION ALL SELECT 1, true),
+        f AS (SELECT mu, risk_optimal, CASE WHEN mu = 0 THEN (energy > 0)::INT ELSE energy / (energy + mu * s2) END AS kept, signal.* FROM mus, signal),
+        turned AS (SELECT mu, risk_optimal, sqrt(sum(kept * kept * (p + q * x) * (p + q * x) / l)) AS u FROM f, (SELECT row_number() OVER () AS row, x FROM design) GROUP BY mu, risk_optimal, row),
+        lengths AS (SELECT mu, risk_optimal, avg(u) AS u FROM turned GROUP BY mu, risk_optimal),
+        costs AS (SELECT mu, risk_optimal, sum((1 - kept) * (1 - kept) * energy / n) AS bias2, sum(kept * kept * s2 / n) AS variance, sqrt(any_value(s2)) AS sigma FROM f GROUP BY mu, risk_optimal)""",
+        f"SELECT round(mu, 8) AS mu, risk_optimal, round(bias2, 6) AS bias2, round(variance, 6) AS variance, round(bias2 + variance, 6) AS risk, round(2 * variance, 6) AS s2, round({PAIRWISE} * sigma * u, 6) AS s1, round(sigma, 6) AS sigma FROM costs JOIN lengths USING (mu, risk_optimal)",
+    ),
     "plot_mape_overall": _with(SHOWN, "SELECT round(avg(mape), 6) AS mean FROM stats"),
 }
