@@ -258,3 +258,40 @@ def test_default_tree_probabilities_and_its_nodes(spark):
         trees.nodes_of(Ols("x"), 0, spark)
     price = ts.RepresentativeEstimator(task="regression", n_candidates=2).fit(data.select("rid", F.col("x").alias("y"), F.length("y").cast("double").alias("k")))
     assert price.proximity_metric_ == "rmse" and price.candidate_scores_.count() == 2
+
+
+def test_routing_joins_no_cases_and_refuses_broken_trees(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    x = rng.normal(size=(300, 3))
+    x[rng.random((300, 3)) < 0.1] = np.nan
+    for fit in range(12):  # random trees on free numbers
+        numbers, todo, made = iter(rng.permutation(10_000)[1:] + 1), [(0, 0)], {}
+        while todo:
+            node, depth = todo.pop()
+            if depth < 5 and rng.random() < 0.8:
+                a, b = int(next(numbers)), int(next(numbers))
+                made[node] = (a, b, int(rng.integers(3)), float(rng.normal()), 0.0)
+                todo += [(a, depth + 1), (b, depth + 1)]
+            else:
+                made[node] = (-1, -1, -1, None, float(rng.normal()))
+        rows += [(fit, n, *v) for n, v in made.items()]
+        for case in range(300):
+            node, path = 0, []
+            while made[node][2] >= 0:
+                a, b, f, t, _ = made[node]
+                path.append(f)
+                node = a if x[case, f] <= t else b
+            want[fit, f"c{case}"] = (path, made[node][4])
+    nodes = spark.createDataFrame(rows, trees.NODES)
+    cases = spark.createDataFrame([(f"c{i}", *map(float, r)) for i, r in enumerate(x)], "case_id string, a double, b double, c double").repartition(4)
+    for limit in (10**6, 40):
+        monkeypatch.setattr(trees, "FOREST_NODES", limit)
+        found = trees.routed(nodes, cases, ["a", "b", "c"])
+        assert {(r.fit_id, r.case_id): (r.path, r.value) for r in found.collect()} == want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert trees.routed(nodes.limit(0), cases, ["a", "b", "c"]).count() == 0
+    twice, lost, rootless = [*rows, rows[0]], [r for r in rows if r[:2] != (0, rows[0][2])], [r for r in rows if r[:2] != (3, 0)]
+    for broken in (twice, lost, rootless):
+        with pytest.raises(ValueError):
+            trees.routed(spark.createDataFrame(broken, trees.NODES), cases, ["a", "b", "c"])

@@ -7,8 +7,15 @@ is -1 at a leaf.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODES = "fit_id int, node_id int, left int, right int, feature int, threshold double, value double"
 MOST_DEPTH = 200
@@ -122,37 +129,114 @@ def split_features(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
     return splits(nodes, max_depth).groupBy("fit_id", "feature").agg(F.count("*").alias("n"))
 
 
-def depth_of(nodes: DataFrame, most: int = MOST_DEPTH) -> int:
-    """How many splits the longest way from a root passes; a way of over ``most`` (a loop, maybe) raises ValueError."""
-    inner = nodes.where("feature >= 0").select("fit_id", "node_id", "left", "right").persist()
-    level, depth = inner.where("node_id = 0"), 0
-    while not level.isEmpty():
+@dataclass
+class Forest:
+    """Fits as arrays: of each node its children's places (its own at a leaf), feature (-1 at a leaf), threshold, value and the features tested on the way to it."""
+
+    fits: np.ndarray
+    roots: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+    paths: pa.Array
+    depth: int
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """(cases x fits): the leaf of each case in each fit. A missing value goes right."""
+        at = np.tile(self.roots, (len(x), 1))
+        rows = np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            feature = self.feature[at]
+            goes_left = x[rows, np.maximum(feature, 0)] <= self.threshold[at]  # false for NaN
+            at = np.where(goes_left, self.left[at], self.right[at])
+        return at
+
+
+def forest(nodes: pd.DataFrame, most: int = MOST_DEPTH) -> Forest:
+    """The arrays of a node table. A fit without a root, a node given twice, a child that isn't there, or a way of over ``most`` splits (a loop, maybe) raises ValueError."""
+    nodes = nodes.sort_values(["fit_id", "node_id"], kind="stable").reset_index(drop=True)
+    fit, feature = nodes["fit_id"].to_numpy(), nodes["feature"].to_numpy(dtype=np.int64)
+    places = pd.MultiIndex.from_arrays([fit, nodes["node_id"].to_numpy()])
+    if places.has_duplicates:
+        raise ValueError("a fit has two nodes of one number")
+    place = lambda fits, ids: places.get_indexer(pd.MultiIndex.from_arrays([fits, ids]))
+    fits, inner = np.unique(fit), feature >= 0
+    roots = place(fits, np.zeros(len(fits), dtype=np.int64))
+    sides = []
+    for side in ("left", "right"):
+        to = np.arange(len(nodes))
+        to[inner] = place(fit[inner], nodes[side].to_numpy()[inner])
+        sides.append(to)
+    if (roots < 0).any() or any((to < 0).any() for to in sides):
+        raise ValueError("a fit lacks its root, or a node its child")
+    paths: list[list[int]] = [[] for _ in range(len(nodes))]
+    level, depth = roots[inner[roots]], 0
+    while len(level):
         depth += 1
         if depth > most:
             raise ValueError(f"a tree is over {most} splits deep")
-        children = level.select("fit_id", F.explode(F.array("left", "right")).alias("node_id"))
-        level = children.join(inner, ["fit_id", "node_id"])
-    inner.unpersist()
-    return depth
+        for n in level.tolist():
+            for to in sides:
+                paths[to[n]] = [*paths[n], int(feature[n])]
+        below = np.concatenate([to[level] for to in sides])
+        level = below[inner[below]]
+    numbers = [nodes[c].to_numpy(dtype=float, na_value=np.nan) for c in ("threshold", "value")]
+    return Forest(fits, roots, *sides, feature, *numbers, pa.array(paths, pa.list_(pa.int32())), depth)
+
+
+def depth_of(nodes: DataFrame, most: int = MOST_DEPTH) -> int:
+    """How many splits the longest way from a root passes; a way of over ``most`` raises ValueError."""
+    return max((forest(nodes.where(F.col("fit_id").isin(fits)).toPandas(), most).depth for fits in _groups(nodes) if fits), default=0)
+
+
+#: Nodes that are compiled, and go to the tasks, at once.
+FOREST_NODES = 1_000_000
+
+
+def _groups(nodes: DataFrame) -> list[list[int]]:
+    """Fits in groups of about FOREST_NODES nodes; the driver sees a row a fit."""
+    out, size = [[]], 0
+    for fit, n in sorted(tuple(r) for r in nodes.groupBy("fit_id").count().collect()):
+        if out[-1] and size + n > FOREST_NODES:
+            out.append([])
+            size = 0
+        out[-1].append(fit)
+        size += n
+    return out
 
 
 def routed(nodes: DataFrame, cases: DataFrame, features: list[str]) -> DataFrame:
     """(fit_id, case_id, path, value): the features tested on each case's way to its leaf, however nodes are numbered.
 
-    One join a level with the nodes, of which there are few; there are as many
-    levels as the deepest tree has. A missing value goes right.
+    Fits are compiled to arrays, and each batch of cases walks down all of them
+    at once, where it is: no case row is joined or shuffled. Paths belong to
+    leaves and are looked up there. Very many nodes are taken in groups of
+    fits, a scan of the cases each. A missing value goes right.
     """
-    levels = depth_of(nodes)
-    table = F.broadcast(nodes.select("fit_id", F.col("node_id").alias("at"), "left", "right", "feature", "threshold", "value"))
-    rows = cases.select("case_id", F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(F.broadcast(nodes.where("node_id = 0").select("fit_id")))
-    rows = rows.withColumns({"at": F.lit(0), "path": F.array().cast("array<int>")})
-    for _ in range(levels):
-        x = F.element_at("x", F.greatest(F.col("feature"), F.lit(0)) + 1)
-        goes_left = F.coalesce(~F.isnan(x) & (x <= F.col("threshold")), F.lit(False))
-        step = F.when(F.col("feature") < 0, F.col("at")).when(goes_left, F.col("left")).otherwise(F.col("right"))
-        path = F.when(F.col("feature") < 0, F.col("path")).otherwise(F.array_append("path", F.col("feature")))
-        rows = rows.join(table, ["fit_id", "at"]).select("fit_id", "case_id", "x", step.alias("at"), path.alias("path"))
-    return rows.join(table, ["fit_id", "at"]).select("fit_id", "case_id", "path", "value")
+    names = ["fit_id", "case_id", "path", "value"]
+    schema = T.StructType([T.StructField("fit_id", T.IntegerType()), T.StructField("case_id", cases.schema["case_id"].dataType), T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("value", T.DoubleType())])
+    rows = cases.select("case_id", *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+    out = None
+    for fits in _groups(nodes):
+        chosen = nodes.where(F.col("fit_id").isin(fits)) if fits else nodes
+        held = cases.sparkSession.sparkContext.broadcast(forest(chosen.select("fit_id", "node_id", "left", "right", "feature", "threshold", "value").toPandas()))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            trees = held.value
+            step = max(1, (1 << 18) // max(1, len(trees.fits)))
+            for whole in batches:
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
+                    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+                    at = trees.leaves(x).reshape(-1)
+                    case = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(trees.fits))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(trees.fits, len(x)), pa.int32()), case, trees.paths.take(pa.array(at)), pa.array(trees.value[at], from_pandas=True)], names=names)
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def split_feature_paths(nodes: DataFrame, cases: DataFrame, features: list[str]) -> DataFrame:
