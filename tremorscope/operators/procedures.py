@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 
@@ -76,10 +79,58 @@ class GroupMean:
         return spread.join(groups, (F.col("draw") == F.col("d_")) & (F.col("own") == F.col("group")), "left").select("draw", "case_id", F.coalesce("value", "overall").alias("pred"))
 
 
-#: Rows that a task gathers before it reduces them, and groups in which a draw's triangles meet first.
+#: Rows that a task gathers before it adds them to states, and groups in which a draw's states meet first.
 GATHERED, MEETINGS = 1 << 16, 32
 
 
+def merged(weighted: DataFrame, columns: Sequence[str], protocol, finish: Callable[[object], dict], schema: str) -> DataFrame:
+    """(draw, ``schema``): of each draw, what ``finish`` makes of its rows' state.
+
+    ``protocol`` has start() to a state, update(state, X, y, w) and
+    merge(state, other) to the next one; X is a pandas frame of the columns, w
+    the weights. A task keeps a state a draw, whatever its rows; states of a
+    draw meet in groups, then in one row, so nothing but states moves, and no
+    task holds a resample.
+    """
+    columns = list(columns)
+    states = "draw int, at int, state binary"
+
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("draw", pa.int32()), ("at", pa.int32()), ("state", pa.binary())))})
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting, size = {}, [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                size += batch.num_rows
+            if waiting and (batch is None or size >= GATHERED):
+                rows = pa.Table.from_batches(waiting).to_pandas().sort_values("draw", kind="stable")
+                draws = rows["draw"].to_numpy()
+                cuts = np.flatnonzero(np.append(True, draws[1:] != draws[:-1])).tolist()
+                for low, high in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+                    part, draw = rows.iloc[low:high], int(draws[low])
+                    state = found[draw] if draw in found else protocol.start()
+                    found[draw] = protocol.update(state, part[columns], part["y"], part["w"].to_numpy())
+                waiting, size = [], 0
+        at = TaskContext.get().partitionId() % MEETINGS
+        yield from table([(draw, at, cloudpickle.dumps(state)) for draw, state in found.items()]).to_batches()
+
+    def met(parts: pa.Table):
+        return reduce(protocol.merge, map(cloudpickle.loads, parts.column("state").to_pylist()))
+
+    def together(parts: pa.Table) -> pa.Table:
+        return table([(parts.column("draw")[0].as_py(), parts.column("at")[0].as_py(), cloudpickle.dumps(met(parts)))])
+
+    def finished(parts: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([{"draw": parts.column("draw")[0].as_py()} | finish(met(parts))], schema=arrow)
+
+    out = T._parse_datatype_string(f"draw int, {schema}")
+    arrow = to_arrow_schema(out)
+    rows = weighted.select("draw", "w", "y", *columns).mapInArrow(local, states)
+    return rows.groupBy("draw", "at").applyInArrow(together, states).groupBy("draw").applyInArrow(finished, out)
+
+
 def triangle(rows: np.ndarray) -> np.ndarray:
     """The square R factor of a QR factorisation, filled up with zeros where there are few rows."""
     r = np.linalg.qr(rows, mode="r")
@@ -104,15 +155,29 @@ def shrunk_slopes(r: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+class Triangles:
+    """States of a least-squares fit: the R factor of the weighted rows of [1, X, y]."""
+
+    def start(self) -> np.ndarray | None:
+        return None
+
+    def update(self, state, x: pd.DataFrame, y: pd.Series, w: np.ndarray):
+        rows = np.column_stack([np.ones(len(y)), x.to_numpy(dtype=float), y.to_numpy(dtype=float)]) * np.sqrt(w.astype(float))[:, None]
+        return triangle(rows if state is None else np.vstack([state, rows]))
+
+    def merge(self, state: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return triangle(np.vstack([state, other]))
+
+
 class Ols:
     """Least squares of y on one feature or several, with a ridge ``penalty`` on the slopes.
 
-    Each task keeps one triangle a draw, the R factor of its weighted rows;
-    triangles of a draw meet in groups, then in one row. Sums of squares are
-    never formed, so offsets and near-collinear features keep their digits.
-    What moves is (features + 2)^2 numbers a draw and task. Rows with a null or
-    NaN in y or a feature don't count. The model has a row a draw: the level
-    at the features' centre, the centre and the slopes.
+    Each task keeps one triangle a draw, the R factor of its weighted rows,
+    and triangles merge. Sums of squares are never formed, so offsets and
+    near-collinear features keep their digits. What moves is
+    (features + 2)^2 numbers a draw and task. Rows with a null or NaN in y or a
+    feature don't count. The model has a row a draw: the level at the features'
+    centre, the centre and the slopes.
     """
 
     def __init__(self, feature: str | Sequence[str] = "x", penalty: float = 0.0):
@@ -122,57 +187,15 @@ class Ols:
             raise ValueError("least squares takes a feature at least and a finite penalty from 0")
 
     def fit(self, weighted: DataFrame) -> DataFrame:
-        penalty, width = self.penalty, len(self.features) + 2
-        names = ["draw", "at", "r"]
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[int, np.ndarray] = {}
-            waiting, size = [], 0
-
-            def reduced() -> None:
-                draws, rows = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                order = np.argsort(draws, kind="stable")
-                draws, rows = draws[order], rows[order]
-                starts = np.flatnonzero(np.append(True, draws[1:] != draws[:-1]))
-                for low, high in zip(starts, np.append(starts[1:], len(draws)), strict=True):
-                    before = found.get(int(draws[low]), np.zeros((0, width)))
-                    found[int(draws[low])] = triangle(np.vstack([before, rows[low:high]]))
-
-            for batch in batches:
-                values = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]])
-                waiting.append((batch.column(0).to_numpy(), values * np.sqrt(batch.column(1).to_numpy())[:, None]))
-                size += len(values)
-                if size >= GATHERED:
-                    reduced()
-                    waiting, size = [], 0
-            if size:
-                reduced()
-            if found:
-                at = TaskContext.get().partitionId() % MEETINGS
-                yield table([(draw, at, r.tobytes()) for draw, r in found.items()])
-
-        def met(parts: pa.Table) -> np.ndarray:
-            return triangle(np.vstack([np.frombuffer(r).reshape(width, width) for r in parts.column("r").to_pylist()]))
-
-        def together(parts: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([table([(parts.column("draw")[0].as_py(), parts.column("at")[0].as_py(), met(parts).tobytes())])])
-
-        def solved(parts: pa.Table) -> pa.Table:
-            r = met(parts)
+        penalty = self.penalty
+
+        def solved(r: np.ndarray) -> dict:
             mean = r[0, 1:] / r[0, 0]
-            cells = (parts.column("draw")[:1].to_pylist(), [mean[-1]], [mean[:-1].tolist()], [shrunk_slopes(r, penalty).tolist()])
-            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["draw", "level", "centre", "slope"])
+            return {"level": float(mean[-1]), "centre": mean[:-1].tolist(), "slope": shrunk_slopes(r, penalty).tolist()}
 
-        numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*self.features, "y"])]
-        known = [F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}") for i in range(len(numbers))]
-        rows = weighted.select("draw", F.col("w").cast("double"), *numbers).where(reduce(lambda a, b: a & b, known))
-        parts = rows.mapInArrow(local, "draw int, at int, r binary").groupBy("draw", "at").applyInArrow(together, "draw int, at int, r binary")
-        return parts.groupBy("draw").applyInArrow(solved, "draw int, level double, centre array<double>, slope array<double>")
+        rows = weighted.select("draw", "w", *[F.col(c).cast("double").alias(c) for c in [*self.features, "y"]])
+        known = [F.col(c).isNotNull() & ~F.isnan(c) for c in [*self.features, "y"]]
+        return merged(rows.where(reduce(lambda a, b: a & b, known)), self.features, Triangles(), solved, "level double, centre array<double>, slope array<double>")
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         steps = [(F.col(c).cast("double") - F.get("centre", F.lit(i))) * F.get("slope", F.lit(i)) for i, c in enumerate(self.features)]
@@ -214,37 +237,26 @@ def seeded(model, seed: int):
     return model
 
 
-#: Cases that one fitted object scores at once.
-BLOCK_CASES = 50_000
+#: Bytes of pickled objects that go to the tasks at once.
+OBJECT_BYTES = 64 << 20
+OBJECTS = "object binary, has_probabilities boolean, classes array<string>"
 
 
-class Fitted:
-    """Any Python object with fit(X, y) and predict(X), and perhaps predict_proba(X) and classes_.
-
-    Each draw's rows go to one task as a pandas frame, rows repeated as drawn:
-    what such an object asks for. It must fit a task's memory. A free
-    random_state of the object, or of a part of it, follows ``seed`` and the
-    draw. Fitted objects are pickled by value, so that classes of scripts and
-    notebooks work; each meets the cases in blocks, once a block. For a string
-    target predictions are strings.
-    """
+def as_row(fitted) -> dict:
+    classes = getattr(fitted, "classes_", None)
+    return {"object": cloudpickle.dumps(fitted), "has_probabilities": hasattr(fitted, "predict_proba"), "classes": None if classes is None else [str(c) for c in classes]}
 
-    def __init__(self, factory: Callable[[], object], features: list[str], seed: int = 0):
-        self.factory, self.features, self.seed, self.kind = factory, features, seed, "double"
 
-    def fit(self, weighted: DataFrame) -> DataFrame:
-        factory, features, seed = self.factory, self.features, self.seed
-        self.kind = "string" if weighted.schema["y"].dataType.simpleString() == "string" else "double"
+class _Objects:
+    """Predictions of fitted Python objects, a row (draw, object, has_probabilities, classes) a draw.
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            draw = int(pdf["draw"].iloc[0])
-            rows = pdf.loc[pdf.index.repeat(pdf["w"])].reset_index(drop=True)
-            model = seeded(factory(), zlib.crc32(f"{seed}|{draw}".encode()) % 2**31)
-            fitted = model.fit(rows[features], rows["y"])
-            fitted = model if fitted is None else fitted
-            return pd.DataFrame({"draw": [draw], "object": [cloudpickle.dumps(fitted)], "has_probabilities": [hasattr(fitted, "predict_proba")], "classes": [[str(c) for c in classes] if (classes := getattr(fitted, "classes_", None)) is not None else None]})
+    Objects go to where the cases are, some MB of them at a time, so that no
+    case is shuffled or copied before it is scored; each group of objects is one
+    scan of the cases. For a string target predictions are strings.
+    """
 
-        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, "draw int, object binary, has_probabilities boolean, classes array<string>")
+    features: list[str]
+    kind = "double"
 
     def gives_probabilities(self, model: DataFrame) -> bool:
         """Whether every fitted object has predict_proba. One that has it, but doesn't say its classes, or names one twice, raises ValueError."""
@@ -255,38 +267,124 @@ class Fitted:
             raise ValueError(f"an object gives a class more than once: {again}")
         return bool(has)
 
-    def _scored(self, model: DataFrame, cases: DataFrame, schema: str, give: Callable) -> DataFrame:
-        features = self.features
-        names = [x.split()[0] for x in schema.split(", ")]
-
-        def run(objects: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-            if not len(objects) or not len(part):
-                return pd.DataFrame({n: [] for n in names})
-            return give(int(objects["draw"].iloc[0]), cloudpickle.loads(objects["object"].iloc[0]), part, features)
-
-        blocks = 1 + cases.count() // BLOCK_CASES
-        block = F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int")
-        spread = cases.select("case_id", *features, block.alias("at_")).crossJoin(F.broadcast(model.select(F.col("draw").alias("of_"))))
-        dealt = model.select("draw", "object", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        return dealt.groupBy("draw", "block").cogroup(spread.groupBy("of_", "at_")).applyInPandas(run, schema)
+    def _scored(self, model: DataFrame, cases: DataFrame, more: list[T.StructField], give: Callable) -> DataFrame:
+        features, names = self.features, ["draw", "case_id", *[f.name for f in more]]
+        schema = T.StructType([T.StructField("draw", T.IntegerType()), cases.schema["case_id"], *more])
+        groups, size = [[]], 0
+        for draw, n in sorted(tuple(r) for r in model.select("draw", F.length("object")).collect()):
+            if groups[-1] and size + n > OBJECT_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append(draw)
+            size += n
+        out = None
+        for draws in groups:
+            held = cases.sparkSession.sparkContext.broadcast([(r.draw, bytes(r.object)) for r in model.where(F.col("draw").isin(draws)).select("draw", "object").collect()])
+
+            def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+                fitted = [(draw, cloudpickle.loads(x)) for draw, x in held.value]
+                for frame in frames:
+                    for draw, one in fitted if len(frame) else ():
+                        yield give(one, frame[features]).assign(draw=draw, case_id=lambda x, ids=frame["case_id"].to_numpy(): np.repeat(ids, len(x) // len(ids)))[names]
+
+            part = cases.select("case_id", *[c for c in features if c != "case_id"]).mapInPandas(run, schema)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        kind = self.kind
+        text = self.kind == "string"
 
-        def give(draw, fitted, part, features):
-            pred = pd.Series(fitted.predict(part[features])).astype(float if kind == "double" else str)
-            return pd.DataFrame({"draw": draw, "case_id": part["case_id"].to_numpy(), "pred": pred.to_numpy()})
+        def give(fitted, x: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"pred": pd.Series(np.asarray(fitted.predict(x))).astype(str if text else float).to_numpy()})
 
-        return self._scored(model, cases, f"draw int, case_id long, pred {kind}", give)
+        return self._scored(model, cases, [T.StructField("pred", T.StringType() if text else T.DoubleType())], give)
 
     def predict_proba(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        def give(draw, fitted, part, features):
-            p = pd.DataFrame(fitted.predict_proba(part[features]), columns=[str(c) for c in fitted.classes_])
-            p["case_id"] = part["case_id"].to_numpy()
-            long = p.melt("case_id", var_name="class", value_name="p")
-            return long.assign(draw=draw)[["draw", "case_id", "class", "p"]]
+        def give(fitted, x: pd.DataFrame) -> pd.DataFrame:
+            p = np.asarray(fitted.predict_proba(x), dtype=float)
+            return pd.DataFrame({"class": np.tile([str(c) for c in fitted.classes_], len(x)), "p": p.reshape(-1)})
+
+        return self._scored(model, cases, [T.StructField("class", T.StringType()), T.StructField("p", T.DoubleType())], give)
+
+    def _told(self, weighted: DataFrame) -> None:
+        self.kind = "string" if weighted.schema["y"].dataType.simpleString() == "string" else "double"
+
+
+class Merging(_Objects):
+    """Any Python model whose fit is a state that merges, on tables of any size.
+
+    ``protocol`` has start(), update(state, X, y, w), merge(state, other), as
+    for ``merged``, and finish(state) to an object with predict(X) and perhaps
+    predict_proba(X) and classes_. X holds ``features`` in a pandas frame; those
+    in ``finite`` are checked by audits.
+    """
+
+    def __init__(self, protocol, features: list[str], finite: Sequence[str] = ()):
+        self.protocol, self.features, self.finite = protocol, list(features), list(finite)
+        if lacking := [n for n in ("start", "update", "merge", "finish") if not callable(getattr(protocol, n, None))]:
+            raise ValueError(f"the protocol lacks {', '.join(lacking)}")
+
+    def fit(self, weighted: DataFrame) -> DataFrame:
+        protocol = self.protocol
+        self._told(weighted)
+        return merged(weighted, self.features, protocol, lambda state: as_row(protocol.finish(state)), OBJECTS)
+
+
+class StepMeans:
+    """A model for ``Merging``: the mean of y in each step of ``width`` of one feature, and the mean of all in steps without rows. The state is a dict of (weight, sum) by step."""
+
+    def __init__(self, width: float):
+        self.width = width
+
+    def _steps(self, x: pd.DataFrame) -> np.ndarray:
+        return np.floor(x.iloc[:, 0].to_numpy(dtype=float) / self.width)
+
+    def start(self) -> dict:
+        return {}
+
+    def update(self, state: dict, x: pd.DataFrame, y: pd.Series, w: np.ndarray) -> dict:
+        steps, at = np.unique(self._steps(x), return_inverse=True)
+        sums = zip(steps.tolist(), np.bincount(at, w).tolist(), np.bincount(at, w * y.to_numpy(dtype=float)).tolist(), strict=True)
+        return self.merge(state, {k: (n, s) for k, n, s in sums})
+
+    def merge(self, state: dict, other: dict) -> dict:
+        return state | {k: (state.get(k, (0.0, 0.0))[0] + n, state.get(k, (0.0, 0.0))[1] + s) for k, (n, s) in other.items()}
+
+    def finish(self, state: dict) -> StepMeans:
+        n, s = (sum(x[i] for x in state.values()) for i in (0, 1))
+        fitted = StepMeans(self.width)
+        fitted.means, fitted.overall = {k: b / a for k, (a, b) in state.items()}, s / n
+        return fitted
+
+    def predict(self, x: pd.DataFrame) -> list[float]:
+        return [self.means.get(k, self.overall) for k in self._steps(x).tolist()]
+
+
+class Fitted(_Objects):
+    """Any Python object with fit(X, y) and predict(X), and perhaps predict_proba(X) and classes_, on small tables.
+
+    Each draw's rows go to one task as a pandas frame, rows repeated as drawn:
+    what such an object asks for. It must fit a task's memory; where it may not,
+    use ``Merging`` or ``SparkMl``. A free random_state of the object, or of a
+    part of it, follows ``seed`` and the draw. Fitted objects are pickled by
+    value, so that classes of scripts and notebooks work.
+    """
+
+    def __init__(self, factory: Callable[[], object], features: list[str], seed: int = 0):
+        self.factory, self.features, self.seed = factory, features, seed
+
+    def fit(self, weighted: DataFrame) -> DataFrame:
+        factory, features, seed = self.factory, self.features, self.seed
+        self._told(weighted)
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            draw = int(pdf["draw"].iloc[0])
+            rows = pdf.loc[pdf.index.repeat(pdf["w"])].reset_index(drop=True)
+            model = seeded(factory(), zlib.crc32(f"{seed}|{draw}".encode()) % 2**31)
+            fitted = model.fit(rows[features], rows["y"])
+            return pd.DataFrame([{"draw": draw} | as_row(model if fitted is None else fitted)])
 
-        return self._scored(model, cases, "draw int, case_id long, class string, p double", give)
+        return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, f"draw int, {OBJECTS}")
 
 
 class SparkMl:

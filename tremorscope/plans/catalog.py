@@ -11,7 +11,7 @@ from ..functions.stats import accuracy_by, r2_by
 from ..operators import linear, plotdata, representative, sampling, trees
 from ..operators.audit import aligned, bootstrap_predictions, summarised
 from ..operators.frontier import most_stable, pareto_front, stability_frontier, within_of_best
-from ..operators.procedures import ClassShares, Constant, GroupMean, Ols
+from ..operators.procedures import ClassShares, Constant, GroupMean, Merging, Ols, StepMeans
 from ..sources.shared import stored
 from ..sources.tables import line_cases, order_cases, table
 from .oracles import DRAWS, ORACLES, PENALTIES, SEED, STRENGTHS, TEST, THRESHOLDS
@@ -120,6 +120,12 @@ def bootstrap_instability_lines(spark, folder):
     return _summary(bootstrap_predictions(train, cases, Ols(["x", "z", "g"]), n_bootstrap=DRAWS, seed=SEED), 8)
 
 
+def bootstrap_instability_merged(spark, folder):
+    """The audit of a Python model that merges: mean prices by steps of ten in quantity."""
+    train, cases = _sides(spark, folder, source=line_cases)
+    return _summary(bootstrap_predictions(train, cases, Merging(StepMeans(10.0), ["x"], ["x"]), n_bootstrap=DRAWS, seed=SEED), 8)
+
+
 def mape_standard_error(spark, folder):
     return _round(_ols(spark, folder).mape_standard_error(), ["standard_error"])
 
@@ -402,7 +408,7 @@ def _vectors(spark, folder):
 
 _FUNCTIONS = [
     pairs_bootstrap_weights, stratified_bootstrap_weights, holdout_split, stratified_holdout_split, distinct_classes, original_fit_ols, bootstrap_predictions_ols,
-    bootstrap_instability_ols, bootstrap_instability_constant, bootstrap_instability_group_mean, bootstrap_instability_labels, bootstrap_instability_probabilities, bootstrap_instability_lines,
+    bootstrap_instability_ols, bootstrap_instability_constant, bootstrap_instability_group_mean, bootstrap_instability_labels, bootstrap_instability_probabilities, bootstrap_instability_lines, bootstrap_instability_merged,
     mape_standard_error, pairwise_jackknife_numeric, pairwise_jackknife_labels, pairwise_jackknife_vector, one_class_rejections, redraw_accounting, class_alignment,
     param_grid, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,

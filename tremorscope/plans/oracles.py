@@ -189,6 +189,10 @@ ORACLES = {
     "bootstrap_instability_labels": _with(f"{LABELS}, {SHARES}, {LABEL_STATS}, {LABEL_PAIRS}", _summary()),
     "bootstrap_instability_probabilities": _with(f"{LABELS}, {SHARES}, {VECTOR_STATS}, {VECTOR_PAIRS}", _summary(9)),
     "bootstrap_instability_lines": _with(f"{LINE_SIDES}, {OLS_THREE}, {_numeric_stats('ols')}, {NUMERIC_PAIRS}", _summary(8)),
+    "bootstrap_instability_merged": _with(
+        f"{LINE_SIDES}, steps AS (SELECT draw, floor(x / 10) AS step, sum(w * y) / sum(w) AS m FROM weighted GROUP BY ALL), overall AS (SELECT draw, sum(w * y) / sum(w) AS m FROM weighted GROUP BY draw), means AS (SELECT o.draw, case_id, coalesce(s.m, o.m) AS pred FROM held CROSS JOIN overall o LEFT JOIN steps s ON s.draw = o.draw AND s.step = floor(held.x / 10)), {_numeric_stats('means')}, {NUMERIC_PAIRS}",
+        _summary(8),
+    ),
     "mape_standard_error": _with(SHOWN, f"SELECT round({MAPE_SE}, 6) AS standard_error"),
     "pairwise_jackknife_numeric": _with(f"{SHOWN}, {NUMERIC_PAIRS}", "SELECT round(standard_error, 6) AS standard_error FROM pair_se"),
     "pairwise_jackknife_labels": _with(f"{LABELS}, {SHARES}, {LABEL_STATS}, {LABEL_PAIRS}", "SELECT round(standard_error, 6) AS standard_error FROM pair_se"),
