@@ -262,3 +262,30 @@ def test_release_leaves_nothing(spark):
     ts.bootstrap_instability(train, cases, Mean(), n_bootstrap=2).collect()
     ts.stability_frontier(lambda penalty: Ols("x", penalty), {"penalty": [0.0, 1.0]}, train, n_bootstrap=2)
     assert set(os.listdir(folder)) <= before
+
+
+def test_resamples_are_exact_and_drawn_beside_the_rows(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("rid"), (F.col("id") % 3).cast("string").alias("y"), F.array("id").alias("more"), F.col("id").alias("idx")).repartition(5)
+    assert sampling.bucket_rows(n) == 47 and sampling.bucket_rows(10**9) == sampling.BUCKET_ROWS and sampling.bucket_rows(3) == 1
+    weights = {(r.draw, r.idx): r.w for r in sampling.bootstrap_weights(spark, n, 4, 9).collect()}
+    drawn = sampling.resampled(rows, {None: n}, range(1, 5), 9)
+    assert {(r.draw, r.idx): r.w for r in drawn.collect()} == weights
+    assert all(r.more == [r.rid] and r.rid == r.idx for r in drawn.limit(50).collect())
+    for draw in range(1, 5):
+        w = np.zeros(n)
+        for (d, i), x in weights.items():
+            w[i] += x * (d == draw)
+        assert w.sum() == n and abs((w == 0).mean() - math.exp(-1)) < 0.03 and w.max() < 10
+        halves = w.reshape(2, -1).sum(axis=1)
+        assert abs(halves[0] - n / 2) < 4 * math.sqrt(n) / 2
+    # attempts may be any; a draw is its attempt's, under a new number
+    other = {(r.draw, r.idx): r.w for r in sampling.resampled(rows, {None: n}, [2, 4], 9).collect()}
+    assert other == {({2: 1, 4: 2}[d], i): w for (d, i), w in weights.items() if d in (2, 4)}
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("FlatMapCoGroups", "")
+    strata = sampling.numbered(rows.drop("idx"), "rid", 1, "y")
+    sizes = {"0": 1000, "1": 1000, "2": 1000}
+    by_stratum = {(r.draw, r.stratum, r.idx): r.w for r in sampling.stratified_weights(spark, sizes, 2, 3).collect()}
+    assert {(r.draw, r.y, r.idx): r.w for r in sampling.resampled(strata, sizes, range(1, 3), 3, "y").collect()} == by_stratum
+    assert {(d, s): sum(w for (e, t, _), w in by_stratum.items() if (d, s) == (e, t)) for d in (1, 2) for s in sizes} == {(d, s): 1000 for d in (1, 2) for s in sizes}

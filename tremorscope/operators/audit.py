@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.stats import NAN, exact_quantile
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_numeric, require_scalar
-from .sampling import bootstrap_weights, numbered, usable_draws, with_original
+from .sampling import first_usable, numbered, resampled, with_original
 
 ONE_STEP_CASES = 1_000_000
 TASKS, METHODS = ("continuous", "categorical"), ("predict", "predict_proba")
@@ -251,20 +251,17 @@ def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task:
         require_numeric(train, target)
 
 
-def categorical_draws(train: DataFrame, n: int, n_bootstrap: int, seed: int) -> tuple[DataFrame, int]:
-    """((draw, idx, w), attempts used): draws with one label only are passed over, up to a cap."""
-    spark = train.sparkSession
+def usable_attempts(rows: DataFrame, n: int, n_bootstrap: int, seed: int) -> list[int]:
+    """The first attempts whose draws hold two labels or more; those with one label only are passed over, up to a cap."""
     cap = n_bootstrap + max(100, 10 * n_bootstrap)
     tried = min(cap, n_bootstrap + 10)
     while True:
-        weights = bootstrap_weights(spark, n, tried, seed)
-        chosen = usable_draws(weights, train, "y", n_bootstrap)
-        got = chosen.agg(F.count("*").alias("n"), F.max("attempt").alias("last")).first()
-        if got.n == n_bootstrap:
-            draws = chosen.select(F.col("draw").alias("new"), F.col("attempt").alias("draw"))
-            return weights.join(F.broadcast(draws), "draw").select(F.col("new").alias("draw"), "idx", "w"), int(got["last"])
+        drawn = resampled(rows.select("idx", "y"), {None: n}, range(1, tried + 1), seed)
+        found = sorted(r.attempt for r in first_usable(drawn, "y", n_bootstrap).collect())  # a row a draw
+        if len(found) == n_bootstrap:
+            return found
         if tried == cap:
-            raise ValueError(f"only {got.n} of {n_bootstrap} resamples held two classes in {cap} attempts")
+            raise ValueError(f"only {len(found)} of {n_bootstrap} resamples held two classes in {cap} attempts")
         tried = min(cap, 2 * tried)
 
 
@@ -310,13 +307,10 @@ def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str
     rows, cases = stored(numbered(rows, key, f"{seed}|rows"), "audit-rows"), stored(cases, "audit-cases")
     n = checked(rows, "training rows", [*(["y"] if task == "continuous" else []), *finite], [key, "y"])
     n_cases = checked(cases, "cases", finite, ["case_id"])
-    attempts = n_bootstrap
-    if task == "categorical":
-        weights, attempts = categorical_draws(rows, n, n_bootstrap, seed)
-    else:
-        weights = bootstrap_weights(train.sparkSession, n, n_bootstrap, seed)
+    attempts = usable_attempts(rows, n, n_bootstrap, seed) if task == "categorical" else range(1, n_bootstrap + 1)
+    drawn = resampled(rows, {None: n}, attempts, seed)
     classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
-    return Prepared(with_original(weights, rows), cases, classes, task, n_bootstrap, n_cases, attempts, [rows, cases])
+    return Prepared(with_original(drawn, rows), cases, classes, task, n_bootstrap, n_cases, attempts[-1], [rows, cases])
 
 
 def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -> Audit:

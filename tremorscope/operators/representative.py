@@ -9,7 +9,7 @@ from ..functions.stats import score_by
 from ..sources.tables import checked, require_columns, require_scalar
 from .audit import aligned, demand
 from .procedures import SparkMl
-from .sampling import bootstrap_weights, holdout_split, numbered, stratified_weights, with_original
+from .sampling import holdout_split, numbered, resampled
 
 REGRESSION, CLASSIFICATION = ("auto", "rmse", "mae", "correlation"), ("auto", "disagreement", "probability_mse")
 
@@ -153,11 +153,11 @@ class RepresentativeEstimator:
         if not self.bootstrap_candidates:
             return train.crossJoin(F.broadcast(draws)).withColumn("w", F.lit(1).cast("long"))
         rows = numbered(train, key, f"{self.seed}|rows", "y" if labels else None)
+        draws = range(1, self.n_candidates + 1)
         if not labels:
-            return with_original(bootstrap_weights(spark, rows.count(), self.n_candidates, self.seed), rows).where("draw > 0")
+            return resampled(rows, {None: rows.count()}, draws, self.seed)
         sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-        weights = stratified_weights(spark, sizes, self.n_candidates, self.seed)
-        return rows.join(weights.withColumnRenamed("stratum", "y"), ["y", "idx"])
+        return resampled(rows, sizes, draws, self.seed, "y")
 
     def _gives_probabilities(self) -> bool:
         """Whether every candidate gives probabilities: the fitted ones are asked where the procedure can tell."""

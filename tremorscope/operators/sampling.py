@@ -6,10 +6,15 @@ executor, and any other SQL engine, gets the same one.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BUCKET_DIGITS = 3
@@ -55,33 +60,95 @@ def holdout_split(rows: DataFrame, key: str, test_size: float, seed: int | str,
     return placed.join(sizes, placed[strata].eqNullSafe(sizes["s_"])).select(*rows.columns, (F.col("place_") < F.col("size_")).alias("is_test"))
 
 
-def bootstrap_weights(spark: SparkSession, n: int, n_draws: int, seed: int | str, first: int = 1) -> DataFrame:
+#: Rows of a bucket at most; a table has 64 buckets or more, if it has so many rows.
+BUCKET_ROWS, LEAST_BUCKETS = 2000, 64
+
+
+def bucket_rows(n: int) -> int:
+    return max(1, min(BUCKET_ROWS, -(-n // LEAST_BUCKETS)))
+
+
+def _bucket_counts(spark: SparkSession, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str) -> DataFrame:
+    """(draw, attempt, stratum, bucket, c, size): how many of a draw's slots fall on each bucket of rows, and the bucket's rows. The stratum None is the table as a whole.
+
+    Slots come from a range, already in even partitions, and are counted where
+    they are: what is shuffled is a number a draw and bucket.
+    """
+    names, starts, total = sorted(sizes, key=str), [], 0
+    for s in names:
+        starts.append(total)
+        total += sizes[s]
+    slots = spark.range(total * len(attempts)).select((F.floor(F.col("id") / total) + 1).cast("int").alias("draw"), F.pmod("id", F.lit(total)).alias("at"))
+    slots = slots.withColumn("attempt", F.element_at(F.array(*[F.lit(int(a)) for a in attempts]), F.col("draw")))
+    which = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("at"))) if len(names) > 1 else F.lit(1)
+    table = F.array(*[F.struct(F.lit(s).cast("string").alias("stratum"), F.lit(a).cast("long").alias("start"), F.lit(sizes[s]).cast("long").alias("n"), F.lit(bucket_rows(sizes[s])).cast("long").alias("m")) for s, a in zip(names, starts, strict=True)])
+    placed = slots.withColumn("k", F.element_at(table, which)).select("draw", "attempt", "k.stratum", "k.n", "k.m", (F.col("at") - F.col("k.start")).alias("slot"))
+    parts = ["attempt", "stratum", "slot"] if names != [None] else ["attempt", "slot"]
+    bucket = F.floor(F.pmod(hash_number(seed, *parts), F.col("n")) / F.col("m")).cast("long")
+    return placed.groupBy("draw", "attempt", "stratum", bucket.alias("bucket"), F.least("m", F.col("n") - bucket * F.col("m")).alias("size"), "m").agg(F.count("*").alias("c"))
+
+
+def _weights(counts: DataFrame, seed: int | str, stratified: bool) -> DataFrame:
+    """(draw, stratum, idx, w): a bucket's slots are dealt over its rows where the bucket is."""
+    slots = counts.repartition("stratum", "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("c").cast("int") - 1)).alias("j"))
+    parts = ["attempt", "stratum", "bucket", "j"] if stratified else ["attempt", "bucket", "j"]
+    idx = F.col("bucket") * F.col("m") + F.pmod(hash_number(seed, *parts), F.col("size"))
+    return slots.groupBy("stratum", "bucket", "draw", idx.alias("idx")).agg(F.count("*").alias("w")).select("draw", "stratum", "idx", "w")
+
+
+def bootstrap_weights(spark: SparkSession, n: int, n_draws: int, seed: int | str) -> DataFrame:
     """(draw, idx, w): how often each of n numbered rows is drawn in n draws with replacement, draw by draw.
 
-    Slots come from a range, already in even partitions; only indices are
-    shuffled, and rows join later by index.
+    A draw's n slots fall on buckets of rows on end, and a bucket's slots on its
+    rows, each by a hash: an exact n of n.
     """
-    slots = spark.range(n * n_draws).select((F.floor(F.col("id") / n) + first).cast("int").alias("draw"), F.pmod("id", F.lit(n)).alias("slot"))
-    return slots.select("draw", F.pmod(hash_number(seed, "draw", "slot"), F.lit(n)).alias("idx")).groupBy("draw", "idx").agg(F.count("*").alias("w"))
+    return _weights(_bucket_counts(spark, {None: n}, range(1, n_draws + 1), seed), seed, False).select("draw", "idx", "w")
 
 
 def stratified_weights(spark: SparkSession, sizes: dict[str, int], n_draws: int, seed: int | str) -> DataFrame:
     """(draw, stratum, idx, w): each stratum redrawn to its own size; idx numbers rows within the stratum."""
-    names, starts, total = sorted(sizes), [], 0
-    for s in names:
-        starts.append(total)
-        total += sizes[s]
-    slots = spark.range(total * n_draws).select((F.floor(F.col("id") / total) + 1).cast("int").alias("draw"), F.pmod("id", F.lit(total)).alias("at"))
-    which = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("at")))
-    table = F.array(*[F.struct(F.lit(s).alias("stratum"), F.lit(a).alias("start"), F.lit(sizes[s]).alias("size")) for s, a in zip(names, starts, strict=True)])
-    placed = slots.withColumn("k", F.element_at(table, which)).select("draw", "k.stratum", "k.size", (F.col("at") - F.col("k.start")).alias("slot"))
-    return placed.select("draw", "stratum", F.pmod(hash_number(seed, "draw", "stratum", "slot"), F.col("size")).alias("idx")).groupBy("draw", "stratum", "idx").agg(F.count("*").alias("w"))
+    return _weights(_bucket_counts(spark, sizes, range(1, n_draws + 1), seed), seed, True)
+
 
+def resampled(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str, strata: str | None = None) -> DataFrame:
+    """(draw, w, columns of rows): the drawn rows of each of ``attempts``, which become draws 1, 2, ..., with their multiplicity, as by ``bootstrap_weights``.
 
-def with_original(weights: DataFrame, train: DataFrame) -> DataFrame:
-    """(draw, w, columns of train): every draw's rows with their multiplicity; draw 0 is each row once."""
-    drawn = train.join(weights, "idx").select("draw", "w", *train.columns)
-    return train.select(F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"), *train.columns).unionByName(drawn)
+    ``rows`` carry ``idx`` (within ``strata``). A bucket's rows meet the
+    bucket's counts, a number a draw, and are drawn there: no slot and no row
+    number is shuffled, and rows move once for all draws. A task holds a bucket
+    of some thousand rows and its draws at a time.
+    """
+    stratified = strata is not None
+    m = {s: bucket_rows(n) for s, n in sizes.items()}
+    if stratified:
+        per = F.element_at(F.map_from_arrays(F.array(*[F.lit(s) for s in m]), F.array(*[F.lit(x) for x in m.values()])), F.col(strata))
+    else:
+        per = F.lit(m[None])
+    placed = rows.select("*", (F.col(strata) if stratified else F.lit(None).cast("string")).alias("stratum_"), F.floor(F.col("idx") / per).cast("long").alias("bucket_"))
+    counts = _bucket_counts(rows.sparkSession, sizes, attempts, seed).select("draw", "attempt", "stratum", "bucket", "c", "size", "m")
+    names, text = rows.columns, str(seed)
+
+    def drawn(table: pa.Table, counts: pa.Table) -> pa.Table:
+        place = np.argsort(table.column("idx").to_numpy()) if table.num_rows else np.zeros(0, dtype=np.int64)
+        at, draws, weights = [], [], []
+        for c in counts.to_pylist():
+            head = "|".join([text, str(c["attempt"]), *([c["stratum"]] if stratified else []), str(c["bucket"]), ""])
+            hits = [int(hashlib.md5(f"{head}{j}".encode()).hexdigest()[:13], 16) % c["size"] for j in range(c["c"])]
+            found, times = np.unique(hits, return_counts=True)
+            at.append(place[found])
+            draws.append(np.full(len(found), c["draw"]))
+            weights.append(times)
+        at, draws, weights = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (at, draws, weights))
+        taken = table.select(names).take(pa.array(at.astype(np.int64)))
+        return pa.Table.from_arrays([pa.array(draws, pa.int32()), pa.array(weights, pa.int64()), *taken.columns], names=["draw", "w", *names])
+
+    schema = T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("w", T.LongType()), *rows.schema.fields])
+    return placed.groupBy("stratum_", "bucket_").cogroup(counts.groupBy("stratum", "bucket")).applyInArrow(drawn, schema)
+
+
+def with_original(drawn: DataFrame, rows: DataFrame) -> DataFrame:
+    """(draw, w, columns of rows): every draw's rows with their multiplicity; draw 0 is each row once."""
+    return rows.select(F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"), *rows.columns).unionByName(drawn)
 
 
 def classes_per_draw(weighted: DataFrame, target: str = "y") -> DataFrame:
@@ -95,7 +162,12 @@ def usable_draws(weights: DataFrame, train: DataFrame, target: str, n_draws: int
     ``weights`` holds attempts under ``draw``. There is one row an attempt, and
     attempts are capped, so the window is small whatever the data.
     """
-    held = weights.join(train.select("idx", target), "idx").groupBy("draw").agg(F.count_distinct(target).alias("n_classes"))
+    return first_usable(weights.join(train.select("idx", target), "idx"), target, n_draws)
+
+
+def first_usable(drawn: DataFrame, target: str, n_draws: int) -> DataFrame:
+    """The same from drawn rows (draw, target)."""
+    held = drawn.groupBy("draw").agg(F.count_distinct(target).alias("n_classes"))
     good = held.where("n_classes > 1").select(F.col("draw").alias("attempt"))
     return good.select(F.row_number().over(Window.orderBy("attempt")).alias("draw"), "attempt").where(F.col("draw") <= n_draws)
 

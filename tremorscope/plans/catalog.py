@@ -52,7 +52,7 @@ def _labels(spark, folder, method="predict"):
 def _weighted(spark, folder, target="y"):
     train, _ = _sides(spark, folder, target)
     rows = stored(sampling.numbered(train, "rid", f"{SEED}|rows"), "rows")
-    return sampling.with_original(sampling.bootstrap_weights(spark, rows.count(), DRAWS, SEED), rows)
+    return sampling.with_original(sampling.resampled(rows, {None: rows.count()}, range(1, DRAWS + 1), SEED), rows)
 
 
 def _summary(audit, places=6):

@@ -7,6 +7,7 @@ from ..functions.stats import CENTERED_MAD, PAIRWISE
 SEED, DRAWS, TEST = 7, 8, 0.3
 PENALTIES, STRENGTHS = (0.0, 1000.0, 10000.0, 100000.0, 1000000.0), (0.0, 50.0, 500.0)
 THRESHOLDS = {"x": (0.0, 2.0, 4.0, 6.0, 8.0), "z": (2.0, 4.0, 6.0, 8.0)}
+BUCKET = "greatest(1, least(2000, (count(*) + 63) // 64))"
 NUMBER = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
 
 CASES = "cases AS (SELECT o_orderkey AS rid, o_totalprice / 1000 AS y, c_acctbal / 1000 AS x, (o_custkey % 97)::DOUBLE / 10.0::DOUBLE AS z, o_orderpriority AS g, o_orderstatus AS label FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -24,9 +25,12 @@ def _sides(target: str) -> str:
     keep = "rid, y, x, z, g, label" if target == "y" else "rid, label AS y, x, z, g"
     return f"""held AS (SELECT rid AS case_id, {keep.split(', ', 1)[1]} FROM split WHERE is_test),
 train AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|rows|' || rid), rid) - 1 AS idx FROM (SELECT {keep} FROM split WHERE NOT is_test)),
-weights AS (
-  SELECT draw::INT AS draw, {NUMBER.format(f"'{SEED}|' || draw || '|' || slot")} % n AS idx, count(*) AS w
-  FROM (SELECT count(*) AS n FROM train), unnest(generate_series(1, {DRAWS})) AS d(draw), unnest(generate_series(0, n - 1)) AS s(slot) GROUP BY ALL
+buckets AS (
+  SELECT draw::INT AS draw, n, m, {NUMBER.format(f"'{SEED}|' || draw || '|' || slot")} % n // m AS bucket, count(*) AS c
+  FROM (SELECT count(*) AS n, {BUCKET} AS m FROM train), unnest(generate_series(1, {DRAWS})) AS d(draw), unnest(generate_series(0, n - 1)) AS s(slot) GROUP BY ALL
+), weights AS (
+  SELECT draw, bucket * m + {NUMBER.format(f"'{SEED}|' || draw || '|' || bucket || '|' || j")} % least(m, n - bucket * m) AS idx, count(*) AS w
+  FROM buckets, unnest(generate_series(0, c - 1)) AS t(j) GROUP BY ALL
 ), weighted AS (SELECT 0 AS draw, 1 AS w, train.* FROM train UNION ALL SELECT draw, w, train.* FROM weights JOIN train USING (idx))"""
 
 
@@ -173,7 +177,10 @@ ORACLES = {
     "pairs_bootstrap_weights": _with(NUMERIC, "SELECT draw, idx, w FROM weights"),
     "stratified_bootstrap_weights": _with(
         CASES,
-        f"SELECT draw::INT AS draw, label AS stratum, {NUMBER.format(f"'{SEED}|' || draw || '|' || label || '|' || slot")} % n AS idx, count(*) AS w FROM (SELECT label, count(*) AS n FROM cases GROUP BY label), unnest(generate_series(1, {DRAWS})) AS d(draw), unnest(generate_series(0, n - 1)) AS s(slot) GROUP BY ALL",
+        f"""SELECT draw, stratum, bucket * m + {NUMBER.format(f"'{SEED}|' || draw || '|' || stratum || '|' || bucket || '|' || j")} % least(m, n - bucket * m) AS idx, count(*) AS w FROM (
+          SELECT draw::INT AS draw, label AS stratum, n, m, {NUMBER.format(f"'{SEED}|' || draw || '|' || label || '|' || slot")} % n // m AS bucket, count(*) AS c
+          FROM (SELECT label, count(*) AS n, {BUCKET} AS m FROM cases GROUP BY label), unnest(generate_series(1, {DRAWS})) AS d(draw), unnest(generate_series(0, n - 1)) AS s(slot) GROUP BY ALL
+        ), unnest(generate_series(0, c - 1)) AS t(j) GROUP BY ALL""",
     ),
     "holdout_split": _with(f"{CASES}, {_split()}", "SELECT rid, is_test FROM split"),
     "stratified_holdout_split": _with(f"{CASES}, {_split('label')}", "SELECT rid, label, is_test FROM split"),
