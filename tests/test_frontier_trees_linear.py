@@ -295,3 +295,35 @@ def test_routing_joins_no_cases_and_refuses_broken_trees(spark, monkeypatch):
     for broken in (twice, lost, rootless):
         with pytest.raises(ValueError):
             trees.routed(spark.createDataFrame(broken, trees.NODES), cases, ["a", "b", "c"])
+
+
+def test_default_tree_takes_text_columns(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc"), rng.random()) for i in range(120)]
+    data = spark.createDataFrame([(i, k, v, {"a": 0.0, "b": 10.0, "c": -10.0}[k] + v) for i, k, v in rows], "rid long, kind string, value double, y double")
+    found = ts.RepresentativeEstimator(None, "regression", 3, seed=1).fit(data)
+    assert found.features_ == ["kind", "value"]
+    asked = spark.createDataFrame([(0, "a", 0.5), (1, "b", 0.5), (2, "c", 0.5), (3, "never", 0.5), (4, None, 0.5)], "case_id long, kind string, value double")
+    got = {r.case_id: r.pred for r in found.predict(asked).collect()}
+    assert abs(got[0]) < 2 and abs(got[1] - 10) < 2 and abs(got[2] + 10) < 2 and {3, 4} <= set(got)
+    # the candidates' predictions are a table that several uses read
+    assert "Exchange" not in found.validation_predictions_._jdf.queryExecution().executedPlan().toString() and found.validation_predictions_.count() == 3 * found.n_validation_samples_
+    found.release()
+
+
+def test_axis_texts(spark):
+    rows = [(i, "ab"[i % 2], float(i % 5)) for i in range(40)]
+    train, cases = spark.createDataFrame(rows, "rid long, y string, x double"), spark.createDataFrame(rows[:10], "case_id long, y string, x double")
+    from tremorscope.operators.plotdata import frontier_axes
+    from tremorscope.operators.procedures import ClassShares
+
+    labels = ts.bootstrap_predictions(train, cases, ClassShares(), task="categorical", n_bootstrap=2)
+    chances = ts.bootstrap_predictions(train, cases, ClassShares(), task="categorical", prediction_method="predict_proba", n_bootstrap=2)
+    style = ts.plot_mape_by_prediction(labels)["style"].first()
+    assert style.x_label == "predicted label, original fit" and "another label" in style.y_label
+    assert ts.plot_mape_by_prediction(chances, class_label="a")["style"].first().x_label == "probability of a, original fit"
+    assert "mean absolute move" in frontier_axes("mape")["x_label"] and "accuracy" in frontier_axes("pairwise", "accuracy")["y_label"]
+    with pytest.raises(ValueError):
+        frontier_axes("rmse")
+    labels.release()
+    chances.release()

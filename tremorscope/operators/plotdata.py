@@ -101,15 +101,22 @@ def plot_prediction_instability(audit, max_points: int = 400, seed: int = 0, wit
     """The tables of the instability plot: scatter, limits, how to draw it (dot opacity, axis texts) and, on a numeric axis, the band."""
     original, predictions, numeric = displayed(audit, class_label)
     dots = min(max_points, audit.n_cases) * audit.n_bootstrap
-    axis = f"probability of {class_label}" if class_label is not None else "prediction" if numeric else "predicted label"
+    axis = axis_text(class_label, numeric)
     style = original.sparkSession.createDataFrame([(opacity(dots), f"{axis}, original fit", f"{axis}, refits")], "opacity double, x_label string, y_label string")
     out = {"scatter": scatter(original, predictions, max_points, seed), "limits": limits(original, predictions), "style": style}
     return out | ({"band": band(original, predictions, n_bins)} if with_band and numeric else {})
 
 
+def axis_text(class_label: str | None, numeric: bool) -> str:
+    return f"probability of {class_label}" if class_label is not None else "prediction" if numeric else "predicted label"
+
+
 def plot_mape_by_prediction(audit, n_bins: int = 20, class_label: str | None = None) -> dict[str, DataFrame]:
-    original, _, _ = displayed(audit, class_label)
-    return {"bins": mape_bins(original, audit.case_stats, n_bins), "overall": audit.case_stats.agg(F.avg("mape").alias("mean"))}
+    """The tables of the plot of moves over predictions: bins, the overall mean, and the axis texts."""
+    original, _, numeric = displayed(audit, class_label)
+    moved = "share of refits with another label" if audit.kind == "label" else "mean absolute move of refits"
+    style = original.sparkSession.createDataFrame([(f"{axis_text(class_label, numeric)}, original fit", moved)], "x_label string, y_label string")
+    return {"bins": mape_bins(original, audit.case_stats, n_bins), "style": style, "overall": audit.case_stats.agg(F.avg("mape").alias("mean"))}
 
 
 def plot_stability_frontier(families: dict[str, DataFrame], metric: str = "instability") -> DataFrame:
@@ -123,3 +130,12 @@ def plot_stability_frontier(families: dict[str, DataFrame], metric: str = "insta
         part = points.join(kept, "config_id", "left").select(F.lit(family).alias("family"), "config_id", "score", F.col(metric).alias("value"), F.coalesce("is_frontier", F.lit(False)).alias("is_frontier"), (described("params") if "params" in points.columns else F.lit(None).cast("string")).alias("label"))
         out = part if out is None else out.unionByName(part)
     return out.orderBy("value", "family", "config_id")
+
+
+def frontier_axes(metric: str = "instability", score_name: str = "r2") -> dict[str, str]:
+    """The axis texts of ``plot_stability_frontier``: what moves, and the score, of which more is better."""
+    names = {"instability": "instability", "pairwise": "pairwise instability", "mape": "mean absolute move"}
+    scores = {"r2": "R2 of the original fit", "accuracy": "accuracy of the original fit"}
+    if metric not in names or score_name not in scores:
+        raise ValueError(f"no axis for {metric!r} and {score_name!r}")
+    return {"x_label": f"{names[metric]} (less is steadier)", "y_label": scores[score_name]}

@@ -387,12 +387,22 @@ class Fitted(_Objects):
         return weighted.select("draw", "w", "y", *features).groupBy("draw").applyInPandas(one, f"draw int, {OBJECTS}")
 
 
+def is_text(rows: DataFrame, name: str) -> bool:
+    return rows.schema[name].dataType.typeName() in ("string", "char", "varchar")
+
+
+def numbered_values(name: str, values: list[str]):
+    """The place of a string column's value among ``values``; null for others."""
+    return F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(float(i)))])[F.col(name)] if values else F.lit(None).cast("double")
+
+
 class SparkMl:
     """A pyspark.ml Estimator on ``features``, refitted draw by draw with ``w`` as its weights where it takes any.
 
     The loop over draws is on the driver, the rows of each fit are not. String
     targets are indexed in the order of all draws' labels (``most_labels`` at
-    most, which the driver holds) and come back as strings. An estimator with a
+    most, which the driver holds) and come back as strings. String features are
+    numbered alike; a value that no draw held is NaN, as a missing one is. An estimator with a
     seed parameter gets one of ``seed`` and the draw.
     """
 
@@ -403,12 +413,11 @@ class SparkMl:
         from pyspark.ml.feature import VectorAssembler
 
         self.labels = None
-        if weighted.schema["y"].dataType.simpleString() == "string":
-            self.labels = sorted(r.y for r in weighted.select("y").distinct().limit(self.most_labels + 1).collect())
-            if len(self.labels) > self.most_labels:
-                raise ValueError(f"more than {self.most_labels} labels")
-            numbers = F.create_map(*[x for i, label in enumerate(self.labels) for x in (F.lit(label), F.lit(float(i)))])
-            weighted = weighted.withColumn("y", numbers[F.col("y")])
+        if is_text(weighted, "y"):
+            self.labels = self._values(weighted, "y")
+            weighted = weighted.withColumn("y", numbered_values("y", self.labels))
+        self.texts = {c: self._values(weighted, c) for c in self.features if is_text(weighted, c)}
+        weighted = self._numbers(weighted)
         self.assembler = VectorAssembler(inputCols=self.features, outputCol="features_", handleInvalid="keep")
         rows = self.assembler.transform(weighted.withColumn("w", F.col("w").cast("double"))).persist()
         params = {"featuresCol": "features_", "labelCol": "y"} | ({"weightCol": "w"} if self.estimator.hasParam("weightCol") else {})
@@ -419,11 +428,20 @@ class SparkMl:
         rows.unpersist()
         return fitted
 
+    def _values(self, rows: DataFrame, name: str) -> list[str]:
+        found = sorted(r[0] for r in rows.select(name).where(F.col(name).isNotNull()).distinct().limit(self.most_labels + 1).collect())
+        if len(found) > self.most_labels:
+            raise ValueError(f"{name} has more than {self.most_labels} labels")
+        return found
+
+    def _numbers(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.coalesce(numbered_values(c, values), F.lit(float("nan"))) for c, values in self.texts.items()})
+
     def gives_probabilities(self, model: dict[int, object]) -> bool:
         return all(m.hasParam("probabilityCol") for m in model.values())
 
     def _transformed(self, model: dict[int, object], cases: DataFrame, what: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        ready, out = self.assembler.transform(cases), None
+        ready, out = self.assembler.transform(self._numbers(cases)), None
         for draw, fitted in model.items():
             part = what(fitted.transform(ready).withColumn("draw", F.lit(draw)))
             out = part if out is None else out.unionByName(part)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import score_by
+from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_scalar
 from .audit import aligned, demand
 from .procedures import SparkMl
@@ -84,7 +85,9 @@ class RepresentativeEstimator:
     n_validation_samples_, classes_, and the fitted table of all candidates in
     model_. Tables are DataFrames by draw, which counts candidates from 1.
     Without a procedure the candidates are pyspark.ml decision trees on all
-    columns but key and target. ``release`` drops what fit keeps in memory.
+    columns but key and target. The split and the
+    candidates' validation tables are written once; ``release`` drops them and
+    what fit keeps in memory.
     """
 
     def __init__(self, procedure=None, task: str = "classification", n_candidates: int = 20, proximity_metric: str = "auto", validation_fraction: float = 0.2, bootstrap_candidates: bool = True, seed: int = 0):
@@ -123,7 +126,7 @@ class RepresentativeEstimator:
             self.classes_ = sorted(r.y for r in data.select("y").distinct().limit(10_001).collect())
             if not 2 <= len(self.classes_) <= 10_000:
                 raise ValueError("a classification target needs 2 to 10000 classes")
-        split = holdout_split(data, key, self.validation_fraction, f"{self.seed}|split", "y" if labels else None)
+        split = self._split = stored(holdout_split(data, key, self.validation_fraction, f"{self.seed}|split", "y" if labels else None), "selector-split")
         train, cases = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id")
         weighted = self._weighted(train, key, labels)
         if self.procedure is None:
@@ -131,7 +134,7 @@ class RepresentativeEstimator:
         self.model_ = self.procedure_.fit(weighted)
         self.model_ = self.model_.where("draw > 0").persist() if isinstance(self.model_, DataFrame) else {k: v for k, v in self.model_.items() if k}
         truth = cases.select("case_id", "y")
-        self.validation_predictions_ = self.procedure_.predict(self.model_, cases)
+        self.validation_predictions_ = stored(self.procedure_.predict(self.model_, cases), "selector-predictions")
         self.n_validation_samples_ = cases.count()
         has = labels and self._gives_probabilities()
         self.proximity_metric_ = self._metric(has)
@@ -140,7 +143,7 @@ class RepresentativeEstimator:
         if has:
             draws = spark.range(1, self.n_candidates + 1).select(F.col("id").cast("int").alias("draw"))
             classes = spark.createDataFrame([(c,) for c in self.classes_], "class string")
-            self.validation_probabilities_ = aligned(self.procedure_.predict_proba(self.model_, cases), draws, cases, classes)
+            self.validation_probabilities_ = stored(aligned(self.procedure_.predict_proba(self.model_, cases), draws, cases, classes), "selector-probabilities")
         table = self.validation_probabilities_ if self.proximity_metric_ == "probability_mse" else self.validation_predictions_
         self.candidate_performance_scores_ = score_by(self.validation_predictions_.join(truth, "case_id"), ["draw"], "categorical" if labels else "continuous")
         self.ensemble_predictions_ = centroid(table, self.proximity_metric_)
@@ -178,6 +181,9 @@ class RepresentativeEstimator:
     def release(self) -> None:
         if isinstance(self.model_, DataFrame):
             self.model_.unpersist()
+        for table in (self._split, self.validation_predictions_, self.validation_probabilities_):
+            if table is not None:
+                dropped(table)
 
     def _ready(self, cases: DataFrame) -> None:
         if not hasattr(self, "model_"):

@@ -14,7 +14,7 @@ from ..operators.frontier import most_stable, pareto_front, stability_frontier,
 from ..operators.procedures import ClassShares, Constant, GroupMean, Merging, Ols, StepMeans
 from ..sources.shared import stored
 from ..sources.tables import line_cases, order_cases, table
-from .oracles import DRAWS, ORACLES, PENALTIES, SEED, STRENGTHS, TEST, THRESHOLDS
+from .oracles import DRAWS, LABEL_COLUMNS, ORACLES, PENALTIES, SEED, STRENGTHS, TEST, THRESHOLDS
 
 FEATURES = ["x", "z"]
 POINT = ("score", "instability", "instability_standard_error", "pairwise", "pairwise_standard_error", "mape", "mape_standard_error")
@@ -167,8 +167,17 @@ def class_alignment(spark, folder):
 
 
 def param_grid(spark, folder):
-    grid = sampling.param_grid({"alpha": [1, 2], "penalty": [0, 10, 100]})
-    return spark.createDataFrame([(i, x["alpha"], x["penalty"]) for i, x in enumerate(grid)], "config_id int, alpha int, penalty int")
+    """All regions with all market segments, as a grid would try them."""
+    values = lambda name, column: [r[0] for r in table(spark, folder, name).select(column).distinct().orderBy(column).collect()]
+    grid = sampling.param_grid({"segment": values("customer", "c_mktsegment"), "region": values("region", "r_name")})
+    return spark.createDataFrame([(i, x["region"], x["segment"]) for i, x in enumerate(grid)], "config_id int, region string, segment string")
+
+
+def frontier_points_labels(spark, folder):
+    """A frontier of label procedures, by accuracy."""
+    train, cases = _sides(spark, folder, "label")
+    found = stability_frontier(ClassShares, {"column": list(LABEL_COLUMNS)}, train, "categorical", cases=cases, n_bootstrap=DRAWS, seed=SEED)
+    return _shown(found.points)
 
 
 def _frontier(spark, folder, metric="pairwise", family="ridge"):
@@ -410,7 +419,7 @@ _FUNCTIONS = [
     pairs_bootstrap_weights, stratified_bootstrap_weights, holdout_split, stratified_holdout_split, distinct_classes, original_fit_ols, bootstrap_predictions_ols,
     bootstrap_instability_ols, bootstrap_instability_constant, bootstrap_instability_group_mean, bootstrap_instability_labels, bootstrap_instability_probabilities, bootstrap_instability_lines, bootstrap_instability_merged,
     mape_standard_error, pairwise_jackknife_numeric, pairwise_jackknife_labels, pairwise_jackknife_vector, one_class_rejections, redraw_accounting, class_alignment,
-    param_grid, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
+    param_grid, frontier_points_labels, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,
     feature_paths, path_agreement, gram_matrix, linear_instability, linear_instability_hc0, shrinkage_coefficients, linear_frontier, plot_scatter, plot_limits, plot_band, plot_mape_bins,
     feature_paths_preorder, representative_estimator_fit, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall, linear_frontier_two_columns, linear_frontier_embeddings,

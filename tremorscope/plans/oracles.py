@@ -6,6 +6,7 @@ from ..functions.stats import CENTERED_MAD, PAIRWISE
 
 SEED, DRAWS, TEST = 7, 8, 0.3
 PENALTIES, STRENGTHS = (0.0, 1000.0, 10000.0, 100000.0, 1000000.0), (0.0, 50.0, 500.0)
+LABEL_COLUMNS = ("g", "z")
 THRESHOLDS = {"x": (0.0, 2.0, 4.0, 6.0, 8.0), "z": (2.0, 4.0, 6.0, 8.0)}
 BUCKET = "greatest(1, least(2000, (count(*) + 63) // 64))"
 NUMBER = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
@@ -118,6 +119,23 @@ def _points(metric: str = "pairwise", means: bool = False) -> str:
     return ", ".join([NUMERIC, *parts, "points AS (" + " UNION ALL ".join(f"SELECT * FROM {n}_point" for n in names) + ")"])
 
 
+def _label_points() -> str:
+    """Frontier points of label shares by each of LABEL_COLUMNS."""
+    parts, names = [], []
+    for i, column in enumerate(LABEL_COLUMNS):
+        n = f"c{i}"
+        names.append(n)
+        parts.append(f"""{n}_model AS (SELECT draw, {column} AS k, y AS pred FROM weighted GROUP BY draw, {column}, y QUALIFY row_number() OVER (PARTITION BY draw, {column} ORDER BY sum(w) DESC, y) = 1),
+{n} AS (SELECT draw, case_id, held.y, pred FROM held JOIN {n}_model ON k = {column}),
+{n}_moved AS (SELECT p.draw, p.case_id, p.pred, o.pred AS pred0 FROM {n} p JOIN {n} o ON o.draw = 0 AND o.case_id = p.case_id WHERE p.draw > 0),
+{n}_dist AS (SELECT a.draw AS a, b.draw AS b, avg((a.pred <> b.pred)::INT) AS dist FROM {n}_moved a JOIN {n}_moved b ON a.case_id = b.case_id AND a.draw < b.draw GROUP BY ALL),
+{n}_draws AS (SELECT draw, avg((pred <> pred0)::INT) AS m FROM {n}_moved GROUP BY draw),
+{n}_point AS (SELECT *, pairwise AS instability, pairwise_standard_error AS instability_standard_error FROM (SELECT {i} AS config_id, (SELECT avg((pred = y)::INT) FROM {n} WHERE draw = 0) AS score, (SELECT avg(dist) FROM {n}_dist) AS pairwise,
+  (SELECT sqrt((count(*) - 1) * var_pop(m)) FROM (SELECT d.draw, avg(dist) AS m FROM (SELECT DISTINCT draw FROM {n}_moved) d JOIN {n}_dist ON a <> d.draw AND b <> d.draw GROUP BY d.draw)) AS pairwise_standard_error,
+  (SELECT avg(m) FROM {n}_draws) AS mape, (SELECT stddev_samp(m) / sqrt(count(*)) FROM {n}_draws) AS mape_standard_error))""")
+    return ", ".join([LABELS, *parts, "points AS (" + " UNION ALL ".join(f"SELECT * FROM {n}_point" for n in names) + ")"])
+
+
 def _front(metric: str = "instability") -> str:
     return f"front AS (SELECT * FROM points p WHERE NOT EXISTS (SELECT 1 FROM points o WHERE o.score >= p.score AND o.{metric} <= p.{metric} AND (o.score > p.score OR o.{metric} < p.{metric})) QUALIFY row_number() OVER (PARTITION BY round_even(score, 12), round_even({metric}, 12) ORDER BY score DESC, config_id) = 1)"
 
@@ -215,7 +233,8 @@ ORACLES = {
         REGIONS,
         f"SELECT d.attempt::INT AS draw, n_nationkey::BIGINT AS case_id, c.class, round(coalesce(p, 0.0), 6) AS p FROM (SELECT DISTINCT attempt FROM tries) d, nation, (SELECT DISTINCT k AS class FROM small) c LEFT JOIN (SELECT attempt, k AS class, sum(w) / sum(sum(w)) OVER (PARTITION BY attempt) AS p FROM tries JOIN small USING (idx) GROUP BY attempt, k) s ON s.attempt = d.attempt AND s.class = c.class",
     ),
-    "param_grid": "SELECT row_number() OVER (ORDER BY a, p)::INT - 1 AS config_id, a AS alpha, p AS penalty FROM (VALUES (1), (2)) AS t(a), (VALUES (0), (10), (100)) AS u(p)",
+    "param_grid": "SELECT row_number() OVER (ORDER BY r_name, c_mktsegment)::INT - 1 AS config_id, r_name AS region, c_mktsegment AS segment FROM region, (SELECT DISTINCT c_mktsegment FROM customer)",
+    "frontier_points_labels": _with(_label_points(), f"SELECT {_POINT_COLUMNS} FROM points"),
     "frontier_points_ridge": _with(_points(), f"SELECT {_POINT_COLUMNS} FROM points"),
     "pareto_front": _with(f"{_points()}, {_front()}", f"SELECT {_POINT_COLUMNS} FROM front"),
     "pareto_front_mape": _with(f"{_points('mape')}, {_front()}", f"SELECT {_POINT_COLUMNS} FROM front"),
