@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tremorscope.sources.shared import dropped, shared_dir, stored
 
-__all__ = ["ascii_lower", "crc_bucket", "dropped", "free_name", "shared_dir", "stored"]
+__all__ = ["arrow_batches", "ascii_lower", "crc_bucket", "dropped", "free_name", "shared_dir", "stored"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,3 +31,18 @@ def free_name(name: str, *tables) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """Jobs run inside give Python batches of about ``size`` bytes, or one longer row: for tables whose rows are blocks. The session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -7,16 +7,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, stored
+from .common import arrow_batches, dropped, stored
 
 LONGEST, LEAST, KEPT, COVER = 4, 30, 2000, 80
 UNKNOWN = "und"
 #: Bytes of text whose occurrences make a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Groups that a task gathers before it adds up those of several blocks, and sums it holds at most; occurrences that are worth a task, as many as a split of 128 MB has, and a bucket of groups.
+COMBINED_ROWS, MOST_ROWS, TASK_WORDS, BUCKET_WORDS = 1 << 18, 1 << 20, 20_000_000, 2_000_000
 #: A filter of frequent groups has 16 bits a group, but never more than these (16 MB); what it lets through besides is counted and found rare.
 LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -34,9 +37,9 @@ def occurrences(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data.translate(_LOWER), dtype=np.uint8)
     kinds = _KINDS[raw]
     inside = kinds == 0
-    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
-    sizes = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1 - starts
-    piece = np.cumsum(kinds == 2, dtype=np.int32)[starts]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    piece = np.searchsorted(np.flatnonzero(kinds == 2), starts)
     # pieces without words don't matter: a step of one or more between words is one
     at = np.arange(len(starts), dtype=np.int64) + np.cumsum(np.append(0, np.minimum(np.diff(piece), 1))) if len(starts) else np.zeros(0, dtype=np.int64)
     letters = pa.py_buffer(raw[inside].tobytes())
@@ -58,6 +61,7 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, _WORDS.values(), strict=True)], names=list(_WORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed blocks back
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
         total = 0
@@ -158,11 +162,30 @@ def _relations(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield hashes, codes, np.cumsum(gaps, dtype=np.int64), np.frombuffer(batch.column(3)[row].as_py(), dtype=bool) if batch.num_columns > 3 else None
 
 
-def group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
-    """(h0, h1, ..., n): the groups of ``length`` words that occur ``least`` times, counted in each block and then over all."""
-    names = [f"h{i}" for i in range(length)]
+def group_counts(relation: DataFrame, length: int, least: int, words: int) -> DataFrame:
+    """(h0, h1, ..., n): the groups of ``length`` words that occur ``least`` times, counted in each block, over a task's blocks, and over all.
+
+    What a task counted travels in columns, a row for each bucket of groups; a
+    bucket stands for some two million of the relation's ``words``.
+    """
+    names, buckets = [f"h{i}" for i in range(length)], 1 + words // BUCKET_WORDS
+
+    def added(table: pa.Table) -> pa.Table:
+        return table.group_by(names, use_threads=False).aggregate([("c", "sum")]).select([*names, "c_sum"]).rename_columns([*names, "c"])
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        columns = [table.column(n).to_numpy() for n in [*names, "c"]]
+        bucket = (_mixed(columns[:-1]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(heads, len(bucket)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]], names=["bucket", *names, "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        waiting: list[pa.Table] = []
+        size, enough = 0, COMBINED_ROWS
         for batch in batches:
             for hashes, codes, at, live in _relations(batch):
                 start = _extended(codes, at, live)
@@ -174,10 +197,26 @@ def group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
                     key = key << 32 | codes[start + i]
                 _, first, counts = np.unique(key, return_index=True, return_counts=True)
                 columns = [pa.array(hashes[codes[start[first] + i]]) for i in range(length)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64))], names=[*names, "c"])
+                waiting.append(pa.Table.from_arrays([*columns, pa.array(counts.astype(np.int64))], names=[*names, "c"]))
+                size += len(counts)
+                if size < enough:
+                    continue
+                table = added(pa.concat_tables(waiting)) if len(waiting) > 1 else waiting[0]
+                if 2 * table.num_rows <= size and table.num_rows <= MOST_ROWS:  # groups come again: go on adding up
+                    waiting, size, enough = [table], table.num_rows, max(COMBINED_ROWS, 2 * table.num_rows)
+                else:
+                    yield packed(table)
+                    waiting, size, enough = [], 0, COMBINED_ROWS
+        if size:
+            yield packed(added(pa.concat_tables(waiting)))
+
+    def frequent(bucket: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        table = added(pa.Table.from_arrays([pa.concat_arrays([x.flatten() for x in bucket.column(n).chunks]) for n in [*names, "c"]], names=[*names, "c"]))
+        return table.filter(pc.greater_equal(table.column("c"), least)).rename_columns([*names, "n"])
 
-    rows = relation.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "c"]))
-    return rows.groupBy(*names).agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    rows = relation.mapInArrow(run, "bucket long, " + ", ".join(f"{n} array<long>" for n in [*names, "c"]))
+    return rows.groupBy("bucket").applyInArrow(frequent, ", ".join(f"{n} long" for n in [*names, "n"]))
 
 
 def distinct_words(blocks: DataFrame, salt: int) -> DataFrame:
@@ -239,22 +278,30 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, kept: int = KEPT, longest:
     """
     if not 2 <= longest <= len(_ODD):
         raise ValueError(f"longest must be from 2 to {len(_ODD)}")
-    first = stored(word_blocks(docs, block_bytes), "words")
-    salt = 0
-    while True:
-        words = stored(distinct_words(first, salt), "distinct-words")
-        alike = words.groupBy("h0").agg(F.count("*").alias("k"), F.max("n").alias("most")).where(f"k > 1 and most >= {least}")
-        if alike.isEmpty():
-            break
-        dropped(words)
-        salt += 1
-    groups = {1: words.where(F.col("n") >= least)}
-    relation = first.select(F.transform("words", lambda w: word_hash(salt, F.col("lang"), w)).alias("hashes"), "codes", "gaps")
-    for length in range(2, longest + 1):
-        known = groups[length - 1]
-        bits = group_filter(known, known.count(), length - 1)
-        relation = stored(frequent_occurrences(relation, bits, length - 1), f"groups-{length - 1}")
-        groups[length] = stored(group_counts(relation, length, least), f"frequent-{length}")
+    with arrow_batches(docs.sparkSession):
+        first = stored(word_blocks(docs, block_bytes), "words")
+        salt = 0
+        while True:
+            words = stored(distinct_words(first, salt), "distinct-words")
+            alike = words.groupBy("h0").agg(F.count("*").alias("k"), F.max("n").alias("most")).where(f"k > 1 and most >= {least}")
+            if alike.isEmpty():
+                break
+            dropped(words)
+            salt += 1
+        groups = {1: words.where(F.col("n") >= least)}
+        relation = first.select(F.transform("words", lambda w: word_hash(salt, F.col("lang"), w)).alias("hashes"), "codes", "gaps")
+        held = first
+        for length in range(2, longest + 1):
+            known = groups[length - 1]
+            bits = group_filter(known, known.count(), length - 1)
+            before, relation = held, stored(frequent_occurrences(relation, bits, length - 1), f"groups-{length - 1}")
+            dropped(before)
+            held = relation
+            left = relation.agg(F.coalesce(F.sum(F.length("gaps")), F.lit(0))).first()[0]
+            if length > 2:  # what is left may be little, and its groups recur in many blocks: tasks of the usual size add up more of them
+                relation = relation.coalesce(1 + left // TASK_WORDS)
+            groups[length] = stored(group_counts(relation, length, least, left), f"frequent-{length}")
+        dropped(held)
     parts = []
     for length, rows in scored(groups).items():
         for i in range(length):
