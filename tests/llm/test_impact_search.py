@@ -45,3 +45,31 @@ def test_components_too_large_for_scores_raise(spark):
     frame = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large for 64-bit scores"):
         search.digest(frame).collect()
+
+
+def test_index_is_exact_up_to_the_guard():
+    rng = np.random.default_rng(7)
+    for dim in (1, 3, 16):
+        most = math.isqrt(2**60 // dim) - 2
+        vectors = np.vstack([rng.choice([-most, most, most - 1, 0, 5], (150, dim)), rng.integers(-most, most + 1, (150, dim))])
+        ids = np.arange(300)
+        index = search.ImpactIndex(ids, vectors)
+        for own in range(0, 300, 7):
+            query = [int(x) for x in vectors[own]]
+            want = sorted((-sum(a * int(b) for a, b in zip(query, v, strict=True)), i) for i, v in enumerate(vectors) if i != own)[:5]
+            found, scores = index.search(own, vectors[own])
+            assert [(-int(s), int(i)) for i, s in zip(found, scores, strict=True)] == want
+
+
+def test_whole_search_at_the_guard(spark):
+    import pytest
+
+    near = math.isqrt(2**60 // 4) / 256 - 1
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1, 1]) * near * rng.choice([1.0, 0.5, 1.0]) for _ in range(4)]) for i in range(200)]
+    got = search.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    kept = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = {(q, n + 1, i, -s) for q in range(0, 200, 50) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(kept[q], w, strict=True)), i) for i, w in kept.items() if i != q)[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    with pytest.raises(Exception, match="too large for 64-bit scores"):
+        search.digest(spark.createDataFrame([(0, [near + 2] * 4)], "vec_id long, embedding array<double>")).collect()

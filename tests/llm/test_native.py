@@ -6,6 +6,7 @@ import zlib
 
 from tremorscope.llm import compression_lang as cl
 from tremorscope.llm import line_dedup as ld
+from tremorscope.llm import source_mixing as sm
 from tremorscope.llm import url_reputation as ur
 
 LANGS = {"aa": ["tion", "the ", "ing ", "and ", "er", "of "], "bb": ["sch", "ung ", "der ", "keit ", "ein", "ich "], "cc": ["eau", "oux ", "les ", "que ", "aire", "ois "]}
@@ -190,3 +191,14 @@ def test_languages_against_a_fresh_coder_a_piece(spark):
     for r in got:
         lang, margin = judged(texts[r.doc_id])
         assert (r.lang_pred, r.rejected) == (lang, margin < 0.004) and abs(r.score - margin) < 1e-12
+
+
+def test_clashing_names_in_any_case(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a line of words\nb", "s", 0, 0), (2, "a line of words", "s", 0, 0)], "doc_id long, text string, source string, N_Lines int, N_DROPPED int")
+    out = ld.drop_repeated_lines(docs)
+    out.write.parquet(str(tmp_path / "lines"))
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in out.collect()} == {(1, 2, 0), (2, 1, 1)}
+    more = spark.createDataFrame([(i, "t", "s", 5.0, 1, "k") for i in range(20)], "doc_id long, text string, source string, Rate double, Copy int, Shuffle_KEY string")
+    mixed = sm.mix_sources(more)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    assert mixed.where("rate = 5.0").count() == 0 and mixed.count() > 0

@@ -18,8 +18,8 @@ BLOCK, SHIFT, FALL = 32768, 2, 0.4
 def quantised_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, dim, data): floor(256 x) of each component as 64-bit integers; rows that take no part are left out.
 
-    Components so large that an inner product with a like vector might not fit
-    64 bits raise ValueError.
+    Components so large that the bounds of an inner product with a like vector,
+    up to four times the product, might not fit 64 bits raise ValueError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +30,7 @@ def quantised_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "em
                     continue
                 values = np.asarray(x.values).astype(np.float64)
                 if np.isfinite(values).all():
-                    if len(values) and len(values) * (SCALE * np.abs(values).max() + 1) ** 2 >= 2.0**62:
+                    if len(values) and len(values) * (SCALE * np.abs(values).max() + 1) ** 2 >= 2.0**60:
                         raise ValueError(f"vector {i}: components too large for 64-bit scores")
                     out.append((i, len(values), np.floor(SCALE * values).astype("<i8").tobytes()))
             if out:

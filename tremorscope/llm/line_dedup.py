@@ -63,7 +63,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     joined = docs.join(lost, (docs["doc_id"] == lost["d"]) & (F.xxhash64(docs["text"]) == lost["t"]), "left")
     gone = F.coalesce(lost["lost_pos"], F.array().cast("array<int>"))
     cut = F.array_join(without_positions(split, gone), "\n")
-    kept = [F.when(F.size(gone) == 0, F.coalesce(docs["text"], F.lit(""))).otherwise(cut).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [F.when(F.size(gone) == 0, F.coalesce(docs["text"], F.lit(""))).otherwise(cut).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(*kept, F.size(split).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
 
 

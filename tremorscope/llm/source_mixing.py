@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, exp
     that texts first meet them by a join on the source, whose hot sources AQE
     may split.
     """
-    keep = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
+    keep = [c for c in docs.columns if c.lower() not in ("copy", "rate", "shuffle_key")]
     source, draws, sums, times = (free_name(x, docs) for x in ("of", "draws", "sums", "times"))
     rates = target_rates(docs, weights, exponent, total).select(F.col("source").alias(source), "rate", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int").alias(draws))
     table = stored(rates.where("rate > 0").withColumn(sums, poisson_table(F.col("rate") / F.col(draws))), "source-rates")
