@@ -4,7 +4,9 @@ from tremorscope.plans import catalog
 
 def test_registry():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(oracles) <= set(queries) and set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(oracles) <= set(queries)
+    # 63 singular directions are not for SQL; see test_frontier_of_embeddings_as_by_numpy
+    assert set(catalog.QUERIES) - {"linear_frontier_embeddings"} == set(catalog.ORACLES)
 
 
 def test_entry(spark):

@@ -88,3 +88,23 @@ def test_linear_frontier_of_fifty_columns(spark):
         assert r.bias2 == pytest.approx(np.sum((1 - kept) ** 2 * energy) / n) and r.variance == pytest.approx(noise * np.sum(kept**2) / n)
         assert r.s1 == pytest.approx(PAIRWISE * np.sqrt(noise) * np.mean(np.sqrt((u * kept) ** 2 @ np.ones(p))))
     assert [r.mu for r in rows[:-1]] == sorted(r.mu for r in rows[:-1])
+
+
+def test_frontier_of_embeddings_as_by_numpy(spark):
+    """The registered query on its whole table."""
+    from tremorscope.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("embedding").where("embedding is not null").collect()], dtype=float)
+    x = x[np.isfinite(x).all(axis=1)]
+    y, x = x[:, 0], x[:, 1:]
+    u, d, vt = np.linalg.svd(x, full_matrices=False)
+    coef = np.linalg.lstsq(x, y, rcond=None)[0]
+    noise = np.sum((y - x @ coef) ** 2) / (len(x) - x.shape[1])
+    energy = d**2 * max(np.mean((vt @ coef) ** 2 - noise / d**2), 0)
+    rows = catalog.QUERIES["linear_frontier_embeddings"](spark, folder).collect()
+    assert len(rows) == 51
+    for r in rows:
+        kept = energy / (energy + r.mu * noise) if r.mu else (energy > 0).astype(float)
+        assert r.risk == pytest.approx((np.sum((1 - kept) ** 2 * energy) + noise * np.sum(kept**2)) / len(x), abs=2e-8)
+        assert r.s1 == pytest.approx(PAIRWISE * np.sqrt(noise) * np.mean(np.sqrt(np.sum((u * kept) ** 2, axis=1))), abs=2e-8)

@@ -85,7 +85,7 @@ def in_ranges(df: DataFrame, *order: Column, rows: int = RANGE_ROWS, part: str =
     """
     parts = 1 + df.count() // rows
     if parts == 1:
-        return df.withColumn(part, F.lit(0))
+        return df.repartition(1).withColumn(part, F.spark_partition_id())
     return stored(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranges")
 
 
