@@ -305,6 +305,12 @@ def representative_estimator_fit(spark, folder):
     return _round(found.candidate_scores_.withColumn("selected", F.col("draw") == found.selected_index_ + 1), ["score"])
 
 
+def representative_estimator_labels(spark, folder):
+    """The selector on labels: split and draws by class, distance to the commonest label of each held-out row."""
+    found = representative.RepresentativeEstimator(ClassShares("g"), "classification", DRAWS, "disagreement", TEST, seed=SEED).fit(order_cases(spark, folder).select("rid", F.col("label").alias("y"), "g"))
+    return _round(found.candidate_scores_.withColumn("selected", F.col("draw") == found.selected_index_ + 1), ["score"])
+
+
 def frontier_points_holdout(spark, folder):
     """A frontier that holds out its own cases."""
     found = stability_frontier(lambda penalty: Ols("x", penalty), {"penalty": list(PENALTIES)}, order_cases(spark, folder).drop("label"), n_bootstrap=DRAWS, test_size=TEST, seed=SEED)
@@ -422,7 +428,7 @@ _FUNCTIONS = [
     param_grid, frontier_points_labels, frontier_points_ridge, pareto_front_mape, frontier_two_families, constrained_choice, plot_frontier, r2_score, weighted_r2, accuracy_score, weighted_accuracy,
     centroid_numeric, centroid_labels, medoid_distances, representative_index, stump_nodes, tree_nodes, split_features, explanation_instability, root_agreement,
     feature_paths, path_agreement, gram_matrix, linear_instability, linear_instability_hc0, shrinkage_coefficients, linear_frontier, plot_scatter, plot_limits, plot_band, plot_mape_bins,
-    feature_paths_preorder, representative_estimator_fit, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall, linear_frontier_two_columns, linear_frontier_embeddings,
+    feature_paths_preorder, representative_estimator_fit, representative_estimator_labels, frontier_points_holdout, linear_summary, shrinkage_two_columns, plot_mape_overall, linear_frontier_two_columns, linear_frontier_embeddings,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {

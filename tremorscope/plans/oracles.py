@@ -292,6 +292,18 @@ ORACLES = {
         f"{POOL}, scores AS (SELECT draw, sqrt(avg((pred - centre) * (pred - centre))) AS score FROM pool JOIN centres USING (case_id) GROUP BY draw)",
         "SELECT draw, round(score, 6) AS score, draw = (SELECT draw FROM scores ORDER BY score, draw LIMIT 1) AS selected FROM scores",
     ),
+    "representative_estimator_labels": _with(
+        f"""{CASES}, {_split('label')}, held AS (SELECT rid AS case_id, g FROM split WHERE is_test),
+        train AS (SELECT label, g, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}|rows|' || rid), rid) - 1 AS idx FROM split WHERE NOT is_test),
+        buckets AS (SELECT draw::INT AS draw, label, n, m, {NUMBER.format(f"'{SEED}|' || draw || '|' || label || '|' || slot")} % n // m AS bucket, count(*) AS c
+          FROM (SELECT label, count(*) AS n, {BUCKET} AS m FROM train GROUP BY label), unnest(generate_series(1, {DRAWS})) AS d(draw), unnest(generate_series(0, n - 1)) AS s(slot) GROUP BY ALL),
+        drawn AS (SELECT draw, label, bucket * m + {NUMBER.format(f"'{SEED}|' || draw || '|' || label || '|' || bucket || '|' || j")} % least(m, n - bucket * m) AS idx, count(*) AS w FROM buckets, unnest(generate_series(0, c - 1)) AS t(j) GROUP BY ALL),
+        model AS (SELECT draw, g, label AS pred FROM drawn JOIN train USING (label, idx) GROUP BY draw, g, label QUALIFY row_number() OVER (PARTITION BY draw, g ORDER BY sum(w) DESC, label) = 1),
+        pool AS (SELECT draw, case_id, pred FROM held JOIN model USING (g)),
+        centres AS (SELECT case_id, pred AS centre FROM (SELECT case_id, pred, count(*) AS n FROM pool GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pred) = 1),
+        scores AS (SELECT draw, avg((pred <> centre)::INT) AS score FROM pool JOIN centres USING (case_id) GROUP BY draw)""",
+        "SELECT draw, round(score, 6) AS score, draw = (SELECT draw FROM scores ORDER BY score, draw LIMIT 1) AS selected FROM scores",
+    ),
     "frontier_points_holdout": _with(_points(), f"SELECT {_POINT_COLUMNS} FROM points"),
     "linear_summary": _with(
         f"{DESIGN}, v AS (SELECT 4 * (sxx - 2 * x * sx + n * x * x) / det AS v FROM held, g)",
