@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_batches, stored
 from .packing import Encoder, tokenizer_paths
 
 #: Bytes of text whose links share a dictionary of id pairs.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: A pair of ids (a, b) is a * PAIR + b; ids of B stay below it.
 PAIR = 1 << 24
+#: Words whose ids a task remembers at most.
+KNOWN_WORDS = 300_000
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -53,8 +56,11 @@ class Pair:
         if len(self.b_bytes) > PAIR:
             raise ValueError(f"more than {PAIR} pieces")
         self.a_size, self.b_size = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_shown = [f"{i},".encode() for i in range(len(self.a_bytes))] + [f"{i}|".encode() for i in range(len(self.a_bytes))]
-        self.b_shown = [f"{i},".encode() for i in range(len(self.b_bytes))] + [f"{i};".encode() for i in range(len(self.b_bytes))]
+        # ids as text, by tokenizer, with what follows: a comma, or the end of a group's part
+        self.shown = [f"{i}{end}".encode() for tokens, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(tokens))]
+        # no piece goes over a space between words, so words may be coded one by one
+        self.by_word = not any("▁" in t.lstrip("▁") or t.startswith("▁▁") and t.strip("▁") for t in map(self.pieces.id_to_piece, range(self.pieces.get_piece_size())))
+        self.words: dict[str, list[int]] = {}
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -62,6 +68,17 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
+    def piece_ids(self, text: str) -> np.ndarray:
+        """Ids of B. Words between single spaces are coded once each while they are known; texts with other spacing are coded whole."""
+        if not self.by_word or "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
+            return np.array(self.pieces.encode(text, num_threads=1), dtype=np.int64)
+        words = text.split(" ")
+        if len(self.words) > KNOWN_WORDS:
+            self.words.clear()
+        if missing := list(set(words).difference(self.words)):
+            self.words.update(zip(missing, self.pieces.encode(missing, num_threads=1), strict=True))
+        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), dtype=np.int64)
+
     def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A over a space and the text, and of B over the text; None unless both spell just these bytes."""
         if not text:
@@ -71,7 +88,7 @@ class Pair:
         a = self.encoder(spaced)
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want:
             return None
-        b = np.array(self.pieces.encode(text, num_threads=1), dtype=np.int64)
+        b = self.piece_ids(text)
         return (a.astype(np.int64), b) if b"".join(map(self.b_bytes.__getitem__, b.tolist())) == want else None
 
 
@@ -93,10 +110,10 @@ def align(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes, np.ndar
     before_a = np.cumsum(last_a) - last_a
     before_b = np.cumsum(last_b) - last_b
     of_b, of_a = np.append(0, np.flatnonzero(last_b) + 1), np.flatnonzero(last_a) + 1
-    shown = np.empty(len(a) + len(b), dtype=object)
-    shown[np.arange(len(a)) + of_b[before_a]] = list(map(pair.a_shown.__getitem__, (a + len(pair.a_bytes) * last_a).tolist()))
-    shown[np.arange(len(b)) + of_a[before_b]] = list(map(pair.b_shown.__getitem__, (b + len(pair.b_bytes) * last_b).tolist()))
-    return groups, b"".join(shown.tolist())[:-1], links
+    order = np.empty(len(a) + len(b), dtype=np.int64)
+    order[np.arange(len(a)) + of_b[before_a]] = a + len(pair.a_bytes) * last_a
+    order[np.arange(len(b)) + of_a[before_b]] = b + len(pair.b_bytes) * last_b + 2 * len(pair.a_bytes)
+    return groups, b"".join(map(pair.shown.__getitem__, order.tolist()))[:-1], links
 
 
 _TEXT = pa.struct([("key", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("first", pa.int64())])
@@ -199,9 +216,10 @@ def align_tokenizers(docs: DataFrame, paths: tuple[str, str] | None = None, piec
     key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     own = docs.select(F.col("doc_id").cast("long"), "text")
     texts = own.where("text is not null and text != ''").groupBy("text").agg(F.count("*").alias("n")).withColumn("key", key)
-    blocks = stored(aligned_blocks(texts, paths or tokenizer_paths(), piece_path or piece_model_path()), "aligned")
-    counts = stored(pair_counts(blocks), "pair-counts")
-    measured = stored(scored_texts(blocks, counts), "text-measures").withColumnRenamed("key", "of")
+    with arrow_batches(docs.sparkSession):
+        blocks = stored(aligned_blocks(texts, paths or tokenizer_paths(), piece_path or piece_model_path()), "aligned")
+        counts = stored(pair_counts(blocks), "pair-counts")
+        measured = stored(scored_texts(blocks, counts), "text-measures").withColumnRenamed("key", "of")
     joined = own.select("doc_id", key.alias("key")).join(measured, F.col("key") == F.col("of"), "left")
     return joined.select("doc_id", *[F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in MEASURES], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256")), counts
 
