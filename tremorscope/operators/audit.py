@@ -254,7 +254,7 @@ def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task:
 def usable_attempts(rows: DataFrame, n: int, n_bootstrap: int, seed: int) -> list[int]:
     """The first attempts whose draws hold two labels or more; those with one label only are passed over, up to a cap."""
     cap = n_bootstrap + max(100, 10 * n_bootstrap)
-    tried = min(cap, n_bootstrap + 10)
+    tried = n_bootstrap  # mostly all of them will do
     while True:
         drawn = resampled(rows.select("idx", "y"), {None: n}, range(1, tried + 1), seed)
         found = sorted(r.attempt for r in first_usable(drawn, "y", n_bootstrap).collect())  # a row a draw

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def hashed(seed: int | str, *parts) -> Column:
