@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tremorscope.llm import minhash
 from tremorscope.llm import passage_dedup as pd_
 
 
@@ -9,10 +12,14 @@ def test_bands_reach_the_recall():
     assert pd_.tuned_bands(0.9, 0.99, 32)[1] > 1
 
 
-def brute(docs, min_words=51):
-    """{doc_id: ((component, removed positions))} from all pairs of paragraphs."""
-    items = [(d, pos, words) for d, text in docs for pos, _, _, words in pd_.paragraphs(text, min_words)]
-    sets = [set(pd_.shingles(w)) for _, _, w in items]
+def shingle_set(words):
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def brute(docs, min_words=20):
+    """{doc_id: (components, removed positions)} from all pairs of lines."""
+    items = [(d, pos, line.lower().split()) for d, text in docs for pos, line in enumerate((text or "").split("\n")) if len(line.split()) >= min_words]
+    sets = [shingle_set(w) for _, _, w in items]
     root = list(range(len(items)))
 
     def find(x):
@@ -22,7 +29,7 @@ def brute(docs, min_words=51):
 
     for i in range(len(items)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups = {}
@@ -43,7 +50,7 @@ def sample(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
     line = lambda n: [word() for _ in range(n)]
-    bases = [line(70) for _ in range(6)]
+    bases, stock = [line(70) for _ in range(6)], [line(n) for n in (19, 20, 45)]
     docs = []
     for d in range(120):
         lines = [line(rng.choice((3, 25, 50, 60))) for _ in range(rng.randint(0, 3))]
@@ -52,6 +59,8 @@ def sample(seed):
             for _ in range(rng.choice((0, 0, 1, 2, 4))):  # a changed word costs up to five of 66 shingles
                 near[rng.randrange(70)] = word()
             lines.insert(0, near)
+        if rng.random() < 0.5:
+            lines.append(rng.choice(stock))
         docs.append((d * 3, "\n".join(" ".join(x) for x in lines)))
     return docs
 
@@ -91,3 +100,82 @@ def test_jaccard_and_shingles_by_hand():
     changed = [*words[:30], b"x", *words[31:]]
     assert len(pd_.shingles(words)) == 51 and pd_.shingles([b"a"]) == [b"a"]
     assert pd_.jaccard(b" ".join(words).decode(), b" ".join(changed).decode()) == 46 / 56
+
+
+def foreign(rng, n):
+    return [f"{rng.choice('abcdefgh')}{rng.randrange(10**7)}" for _ in range(n)]
+
+
+def edited_docs(seed, edits, size=120, pairs=20):
+    """Pairs (i, 1000 + i) that share a passage of ``size`` words, edited in the second, amid other words on one line; ids from 5000 share stock phrases of 45 words only."""
+    rng = random.Random(seed)
+    docs, stock = [], foreign(rng, 45)
+    for i in range(pairs):
+        base = foreign(rng, size)
+        other = list(base)
+        for k in range(edits, 0, -1):
+            at = k * size // (edits + 1)
+            other[at : at + 1] = ([], [base[at], "new"], ["changed"])[i % 3 if edits == 1 else 2]
+        docs += [(d, " ".join([*foreign(rng, 70 + i), *part, *foreign(rng, 90 - i)])) for d, part in ((i, base), (1000 + i, other))]
+    return docs + [(5000 + i, " ".join([*foreign(rng, 40), *stock, *foreign(rng, 40)])) for i in range(60)]
+
+
+def test_edited_passages_in_foreign_surroundings(spark):
+    """Two words of 120 changed, so that few texts have 51 words on end in common; ids below 5000 come in pairs."""
+    for docs in (edited_docs(11, 2),):
+        texts = dict(docs)
+        rows = {r.doc_id: r for r in pd_.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+        assert {d: r.component_id for d, r in rows.items()} == {d: d - 1000 if 1000 <= d < 2000 else d for d in texts}
+        for d, r in rows.items():
+            for s in r.edited:  # each window is as near as promised to one of the document named
+                part = texts[d][s.start : s.start + s.length].split()
+                other = texts[s.component_id].split()
+                mine = shingle_set(part)
+                best = max((len(mine & x) / len(mine | x) for x in (shingle_set(other[i : i + 60]) for i in range(len(other) - 59))), default=0)
+                assert len(part) == 60 and best >= 0.8
+
+
+def test_recall_of_edited_passages():
+    """Of 160 passages, how many have two windows that share a band and are similar enough."""
+    for edits, size, least in ((2, 120, 0.98), (1, 100, 0.98), (1, 75, 0.8)):
+        found = 0
+        for k in (1, 2):
+            docs = dict(edited_docs(100 * k + size, edits, size, 80))
+            for d in range(80):
+                sides = []
+                for words in (docs[d].encode().lower().split(), docs[1000 + d].encode().lower().split()):
+                    hashed = minhash.word_hashes(words)
+                    sides.append((words, hashed, minhash.window_keys(hashed)))
+                shared = np.intersect1d(sides[0][2], sides[1][2])
+                (a, b), words = [minhash.near_windows(h, shared) for _, h, _ in sides], [w for w, _, _ in sides]
+                meet = [(x, y) for i, x in enumerate(a[0]) for j, y in enumerate(b[0]) if (a[1][i] == b[1][j]).any()]
+                sets = [(shingle_set(words[0][x : x + 60]), shingle_set(words[1][y : y + 60])) for x, y in meet]
+                found += any(5 * len(x & y) >= 4 * len(x | y) for x, y in sets)
+        assert found >= 160 * least
+
+
+def test_short_lines_repeat_but_join_no_documents(spark):
+    rng = random.Random(13)
+    lines = [" ".join(foreign(rng, 45)) for _ in range(20)]
+    docs = [(d + 100 * k, "\n".join([" ".join(foreign(rng, 9)), line])) for d, line in enumerate(lines) for k in (0, 1)]
+    for r in pd_.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.component_id == r.doc_id and r.component_ids == [r.doc_id % 100] and [s.pos for s in r.removed] == [1] * (r.doc_id >= 100)
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    rng = random.Random(14)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(400), rng.choice((5, 9, 20, 40)))
+        for _ in range(4):
+            sets.append(sorted(set(rng.sample(base, len(base) - rng.randrange(1 + len(base) // 6)) + [rng.randrange(400) for _ in range(rng.randrange(3))])))
+    full = spark.createDataFrame([(i, 4, i % 2, s) for i, s in enumerate(sets)], "pid long, kind int, label long, s array<long>")
+    got = {(r.u, r.v) for r in pd_._rare_in_common(full, 0.8).collect()}
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if (i - j) % 2 and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert len(near) > 20 and near <= got | {(v, u) for u, v in got}
+
+
+def test_a_stock_phrase_makes_no_candidates(spark):
+    """A thousand units that share 36 shingles of 56 and 20 of their own each: none meet."""
+    full = spark.range(1000).selectExpr("id as pid", "4 as kind", "id as label", "concat(sequence(1, 36), transform(sequence(1, 20), x -> 100 + 20 * id + x)) as s")
+    assert pd_._rare_in_common(full, 0.8).count() == 0

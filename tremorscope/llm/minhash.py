@@ -10,6 +10,8 @@ import xxhash
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 64
 #: A window is a paragraph of so many words, wherever lines begin and end. Minima in a window's one band: equal windows always agree on them.
 RUN, WINDOW_ROWS = 51, 1
+#: Words of a window that is compared by similarity, and its bands and their minima. At SIMILARITY two windows share 50 shingles of 56, so they hold more than 50 words in common. A passage has several windows, so few bands are enough.
+NEAR, NEAR_BANDS, NEAR_ROWS = 60, 4, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = pow(int(_BASE), -1, 1 << 64)
 
@@ -37,6 +39,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def identity(words: list[bytes]) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit hash of the words."""
+    h = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -105,6 +113,37 @@ def window_keys(hashed: np.ndarray) -> np.ndarray:
     return key
 
 
+def near_windows(hashed: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, band keys) of the windows of NEAR words that begin with, end with or lie around a shingle whose window key is in ``shared``.
+
+    Where such a shingle stands in two texts, edits elsewhere don't move the windows that hang on it.
+    """
+    marks = shingle_hashes(hashed) if len(hashed) >= NEAR else np.empty(0, dtype=np.uint64)
+    alone = _folded(np.full(len(marks), BANDS + 1, dtype=np.uint64), (marks ^ _XOR[0]) * _ODD[0])
+    at = np.flatnonzero(np.isin(alone, shared))
+    starts, keys = [], []
+    for side, shift in enumerate((0, (NEAR - WORDS) // 2, NEAR - WORDS), 1):
+        begin = at - shift
+        fits = (begin >= 0) & (begin + NEAR <= len(hashed))
+        begin, anchor = begin[fits], alone[at[fits]]
+        for i in range(0, len(begin), 4096):  # bounded scratch
+            sets = marks[begin[i : i + 4096, None] + np.arange(NEAR - WORDS + 1)]
+            made = np.empty((len(sets), NEAR_BANDS), dtype=np.uint64)
+            for band in range(NEAR_BANDS):
+                key = _folded(anchor[i : i + 4096], np.full(len(sets), side * 1000 + band, dtype=np.uint64))
+                for j in range(1 + band * NEAR_ROWS, 1 + (band + 1) * NEAR_ROWS):
+                    key = _folded(key, ((sets ^ _XOR[j]) * _ODD[j]).min(axis=1))
+                made[:, band] = key
+            keys.append(made)
+        starts.append(begin)
+    return np.concatenate(starts), np.concatenate(keys) if keys else np.empty((0, NEAR_BANDS), dtype=np.uint64)
+
+
+def window_identity(words: list[bytes]) -> tuple[int, int]:
+    """As ``identity``, but no line has the same."""
+    return identity([b"\n", *words])
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1

@@ -8,17 +8,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, stored
 from .components import components, contracted
-from .minhash import BANDS, RUN, SIMILARITY, band_keys, jaccard, shingles, tuned_bands, words_of
-from .passage_runs import repeated_runs
+from .minhash import BANDS, RUN, SIMILARITY, band_keys, identity, jaccard, shingles, tuned_bands, window_identity, words_of
+from .passage_runs import repeated_runs, run_windows, runs_of
 
-__all__ = ["band_keys", "digest", "jaccard", "paragraphs", "remove_repeats", "repeated_passages", "repeated_runs", "shingles", "tuned_bands"]
-#: Paragraphs of fewer words are left alone: stock phrases, headings, licence lines.
-MIN_WORDS = RUN
+__all__ = ["band_keys", "digest", "identity", "jaccard", "paragraphs", "remove_repeats", "repeated_passages", "repeated_runs", "shingles", "tuned_bands"]
+#: Lines of fewer words are left alone: stock phrases, headings.
+MIN_WORDS = 20
 
 
 def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -41,40 +41,36 @@ def whole(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
     yield 0, 0, len(text or ""), words_of(text)
 
 
-def identity(words: list[bytes]) -> tuple[int, int]:
-    """Two signed 64-bit halves of a 128-bit hash of the words."""
-    h = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
-
-
 #: Words that are banded at once.
 SLICE = 100_000
 
 
 def with_bands(docs: DataFrame, cut: Cut) -> DataFrame:
-    """(doc_id, h1, h2, bands) of every unit."""
+    """(doc_id, h1, h2, start, length, n_words, bands) of every unit."""
+    names = ["doc_id", "start", "length", "n_words", "h1", "h2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(ids: list, lists: list) -> pa.RecordBatch:
+        def made(places: list, lists: list) -> pa.RecordBatch:
             keys = band_keys(lists).view(np.int64)
             both = [identity(w) for w in lists]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), bands], names=["doc_id", "h1", "h2", "bands"])
+            columns = [*zip(*places, strict=True), map(len, lists), *zip(*both, strict=True)]
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], bands], names=names)
 
         for batch in batches:
-            ids, lists, held = [], [], 0
+            places, lists, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for _, _, _, words in cut(text.as_py()):
-                    ids.append(doc_id)
+                for _, start, length, words in cut(text.as_py()):
+                    places.append((doc_id, start, length))
                     lists.append(words)
                     held += len(words) + 1
                     if held >= SLICE:
-                        yield made(ids, lists)
-                        ids, lists, held = [], [], 0
-            if ids:
-                yield made(ids, lists)
+                        yield made(places, lists)
+                        places, lists, held = [], [], 0
+            if places:
+                yield made(places, lists)
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, start long, length long, n_words long, h1 long, h2 long, bands array<long>")
 
 
 #: Words that a batch of located units holds.
@@ -108,6 +104,32 @@ def located(docs: DataFrame, cut: Cut, with_text: bool = False) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, t long, pos long, start long, length long, h1 long, h2 long" + (", words string" if with_text else ""))
 
 
+def fetched(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(pid, words) of the units ``members`` (pid, m1, m2, d, start, length), lines or windows, cut out of the texts of the documents d."""
+    asked = members.groupBy(F.col("d").alias("d_")).agg(F.collect_list(F.struct("pid", "start", "length", "m1", "m2")).alias("asked"))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x.decode() for _, x in rows], pa.string())], names=["pid", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                for x in wanted.as_py():
+                    words = words_of(text[x["start"] : x["start"] + x["length"]])
+                    if (x["m1"], x["m2"]) in (identity(words), window_identity(words)):  # rows may share a doc_id
+                        rows.append((x["pid"], b" ".join(words)))
+                        held += len(words)
+                    if held >= LOCATED_WORDS:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    return docs.join(asked, docs["doc_id"] == asked["d_"]).select("text", "asked").mapInArrow(run, "pid long, words string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those (u, v) whose texts' exact Jaccard similarity is high enough."""
 
@@ -138,16 +160,35 @@ def _labelled(met: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(open_, rows["key"] == open_["key_"]).select("key", "pid", "label", "last")
 
 
-def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float, also: DataFrame | None = None) -> DataFrame:
-    """(node, component) over distinct units (pid, h1, h2, d, bands) of ``docs`` under ``cut`` that link to another; ``also`` holds further pairs (u, v) to check.
+def _rare_in_common(full: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of units (pid, kind, label, s) of one kind and different labels that share one of their rarest shingles, as all do whose similarity is high enough.
+
+    Two sets as similar as t share at least t of the larger, and 2 t / (1 + t)
+    of the smaller. So of any common order of the shingles, here by how many
+    units hold them, the larger's first n - ceil(t n) + 1 and the smaller's
+    first n - ceil(2 t n / (1 + t)) + 1 have one in common. Units that share
+    nothing but a stock passage, however many, don't meet, as their rarest
+    shingles are their own.
+    """
+    parts = full.select("pid", "kind", "label", F.size("s").alias("n"), F.explode("s").alias("part"))
+    common = parts.groupBy(F.col("part").alias("part_")).agg(F.count("*").alias("units")).where("units > 1")
+    rare = parts.join(common, parts["part"] == common["part_"], "left").withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("units", F.lit(1)), "part"))).where("units > 1")
+    least = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    larger = rare.where(F.col("place") <= least(similarity)).select("part", "kind", F.col("pid").alias("u"), F.col("label").alias("x"), F.col("n").alias("n_u"))
+    smaller = rare.where(F.col("place") <= least(2 * similarity / (1 + similarity))).select(F.col("part").alias("part_"), F.col("kind").alias("kind_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("n").alias("n_v"))
+    order = (F.struct("n_v", "v") < F.struct("n_u", "u")) & (F.col("n_v") >= similarity * F.col("n_u") - 1e-9) & (F.col("x") != F.col("y"))
+    return larger.join(smaller, (larger["part"] == smaller["part_"]) & (F.col("kind") == F.col("kind_")) & order).select("u", "v").distinct()
+
+
+def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float, also: DataFrame | None = None, placed: bool = False) -> DataFrame:
+    """(node, component) over distinct units (pid, h1, h2, d, bands) of ``docs`` under ``cut`` that link to another; ``also`` holds further pairs (u, v) to check. If ``placed``, units come with their start and length in a text of d.
 
     A bucket is a band key that several distinct units share. Its members
     are first checked against its smallest, then its largest member, which is
     linear in its size and joins a group of near copies at once. Members of a
-    bucket that are not in one component by then meet in a join on the key
-    whose condition holds their shingles' similarity, so that it puts out links
-    and no candidates. No link is lost: a pair that goes unchecked is in one
-    component already.
+    bucket that are not in one component by then meet over their rarest shingles.
+    No link between members of a bucket is lost: a pair that goes unchecked is
+    in one component already, or not similar enough.
     """
     keys = distinct.select("pid", F.explode("bands").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("other")).where("first < other").select(F.col("key").alias("key_"), "first"), "passage-buckets")
@@ -156,10 +197,15 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     wanted = met.select("pid")
     if also is not None:
         pairs, wanted = pairs.union(also.select("u", "v")), wanted.union(also.select("u")).union(also.select("v"))
-    members = stored(distinct.select("pid", F.col("h1").alias("m1"), F.col("h2").alias("m2"), "d").join(wanted.distinct(), "pid", "left_semi"), "passage-candidates")
-    rows = located(docs, cut, True)
-    same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & rows["doc_id"].eqNullSafe(members["d"])
-    texts = stored(rows.join(members, same).select("pid", "words").dropDuplicates(["pid"]), "passage-texts")
+    members = distinct.select("pid", F.col("h1").alias("m1"), F.col("h2").alias("m2"), "d", *(["start", "length"] if placed else []))
+    members = stored(members.join(wanted.distinct(), "pid", "left_semi"), "passage-candidates")
+    if placed:
+        found = fetched(docs, members)
+    else:
+        rows = located(docs, cut, True)
+        same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & rows["doc_id"].eqNullSafe(members["d"])
+        found = rows.join(members, same).select("pid", "words")
+    texts = stored(found.dropDuplicates(["pid"]), "passage-texts")
     edges = stored(_verified(pairs.distinct(), texts, similarity), "passage-edges")
     rest = stored(_labelled(met, contracted(edges, "passage-stars")), "passage-rest")
     if rest.isEmpty():
@@ -169,16 +215,37 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     found = components(edges, "passage-components")
     rest = stored(_labelled(met, found), "passage-rest")
     if not rest.isEmpty():
-        full = rest.join(_shingled(texts), "pid")
-        a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
-        sizes = F.size("s") + F.size("t")
-        alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
-        pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
+        kinds = distinct.select("pid", F.size("bands").alias("kind"))  # lines and windows have other numbers of bands
+        full = stored(rest.select("pid", "label").distinct().join(kinds, "pid").join(_shingled(texts), "pid"), "passage-shingles")
+        pairs = _rare_in_common(full, similarity)
         edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
         found = components(edges, "passage-components")
     return found
 
 
+def _units(docs: DataFrame, min_words: int, similarity: float, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where repeated lines stand, and repeated windows among ``windows`` (doc_id, tag, g1, g2, start, end, bands); near copies of both are found in one pass, lines by lines and windows by windows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    cut = partial(paragraphs, min_words=min_words)
+    place = lambda units: units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start", "length")).alias("p"), F.max("doc_id").alias("d_last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
+    merged = place(with_bands(rows, cut))
+    if windows is not None:
+        merged = merged.union(place(windows.select("doc_id", F.col("g1").alias("h1"), F.col("g2").alias("h2"), "start", (F.col("end") - F.col("start")).alias("length"), F.lit(RUN).cast("long").alias("n_words"), "bands")))
+    distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "h1", "h2", F.col("p.doc_id").alias("d"), F.col("p.start").alias("start"), F.col("p.length").alias("length"), "d_last", "n_words", "bands"), "passages")
+    found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "start", "length", "bands"), rows, cut, similarity, placed=True)
+    long = F.col("n_words") >= RUN
+    labelled = distinct.select("pid", "h1", "h2", "d", "d_last", long.alias("long")).join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", "d_last", "long", F.coalesce("component", "pid").alias("label"))
+    labelled = stored(labelled, "passage-labels")
+    classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_"), F.min(F.when(F.col("long"), F.col("d"))).alias("long_id")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id", "long_id")
+    repeated = stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id", F.when(F.col("long"), F.col("long_id")).alias("long_id")), "passage-classes")
+    # equal on one half of the hash, checked on the other: AQE may split a line that a third of all rows hold
+    lines = located(rows, cut)
+    lines = lines.join(repeated, (lines["h1"] == repeated["r1"]) & (lines["h2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "t", "pos", "start", "length", "component_id", "long_id")
+    if windows is None:
+        return lines, None
+    return lines, windows.join(repeated, (windows["g1"] == repeated["r1"]) & (windows["g2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, t, pos, start, length, component_id) of each line that stands, alike or nearly so, in two documents or more.
 
@@ -194,18 +261,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     Copies of a line are merged by a 128-bit hash before anything else, so
     a line that a third of all documents hold is one row from there on.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    cut = partial(paragraphs, min_words=min_words)
-    merged = with_bands(rows, cut).groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("d_last"), F.first("bands").alias("bands"))
-    distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "*"), "passages")
-    found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "bands"), rows, cut, similarity)
-    labelled = distinct.select("pid", "h1", "h2", "d", "d_last").join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", "d_last", F.coalesce("component", "pid").alias("label"))
-    labelled = stored(labelled, "passage-labels")
-    classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id")
-    repeated = stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id"), "passage-classes")
-    places = located(rows, cut)
-    # equal on one half of the hash, checked on the other: AQE may split a line that a third of all rows hold
-    return places.join(repeated, (places["h1"] == repeated["r1"]) & (places["h2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "t", "pos", "start", "length", "component_id")
+    return _units(docs, min_words, similarity)[0].drop("long_id")
 
 
 def _cut(docs: DataFrame, gone: DataFrame, kept: Callable[[str, list], str]) -> DataFrame:
@@ -261,26 +317,35 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """A row per document: its class, its passages' class ids, how many of its lines repeat, and the spans that go.
+    """A row per document: its class, its lines' class ids, how many of its lines repeat, and the spans that stand elsewhere.
 
     A document's component_id is the smallest doc_id that it reaches over
-    documents that share a passage: a line of RUN words or more, alike or nearly
-    so, or RUN words on end anywhere. One that shares none has its own doc_id; a
-    null doc_id has null. component_ids are the smallest doc_ids of the
-    components of its lines; ``removed`` are those lines whose component reaches
-    a smaller doc_id. ``passages`` are the runs of RUN words or more, inside a
-    line or over several, that stand in documents with smaller doc_ids.
+    documents that share a passage of over 50 words: a line of RUN words or more
+    alike or nearly so, RUN words on end anywhere, or NEAR words anywhere whose
+    shingles have a Jaccard similarity of SIMILARITY. One that shares none has
+    its own doc_id; a null doc_id has null. component_ids are the smallest
+    doc_ids of the components of its lines, those of MIN_WORDS words and more
+    counted in, which alone don't join documents; ``removed`` are those lines
+    whose component reaches a smaller doc_id. ``passages`` are the runs of RUN
+    words or more, inside a line or over several, that stand in documents with
+    smaller doc_ids. ``edited`` are the windows of NEAR words, beside a shingle
+    that such runs would be looked up by, whose component reaches a smaller
+    doc_id; a copy of another text has none, but ``passages`` hold it whole.
     """
-    lines = stored(repeated_passages(docs), "passage-lines")
-    runs = stored(repeated_runs(docs), "passage-runs")
-    edge = lambda rows: rows.where("doc_id > component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    classes = components(edge(lines).union(edge(runs)), "passage-documents").withColumnsRenamed({"node": "n_", "component": "class_"})
+    marks, made = run_windows(docs, True)
+    lines, near = _units(docs, MIN_WORDS, SIMILARITY, made.where("bands is not null"))
+    lines, near = stored(lines, "passage-lines"), stored(near, "passage-near")
+    runs = stored(runs_of(marks, made), "passage-runs")
+    edge = lambda rows, to: rows.where(f"doc_id > {to}").select(F.col("doc_id").alias("u"), F.col(to).alias("v"))
+    edges = edge(lines, "long_id").union(edge(runs, "component_id")).union(edge(near, "component_id"))
+    classes = components(edges, "passage-documents").withColumnsRenamed({"node": "n_", "component": "class_"})
     by_doc = lines.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(F.struct("pos", "start", "length", "component_id"))).alias("all_"))
-    by_run = runs.groupBy(F.col("doc_id").alias("r_")).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias("runs_"))
+    spans = lambda rows, key, name: rows.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias(name))
+    by_run, by_near = spans(runs, "r_", "runs_"), spans(near.where("doc_id > component_id"), "e_", "near_")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left").join(by_run, ids["doc_id"] == by_run["r_"], "left").join(classes, ids["doc_id"] == classes["n_"], "left")
-    passages = F.coalesce("runs_", F.array().cast("array<struct<start:bigint,length:bigint,component_id:bigint>>"))
+    joined = ids.join(by_doc, ids["doc_id"] == by_doc["d_"], "left").join(by_run, ids["doc_id"] == by_run["r_"], "left").join(by_near, ids["doc_id"] == by_near["e_"], "left").join(classes, ids["doc_id"] == classes["n_"], "left")
+    none = F.array().cast("array<struct<start:bigint,length:bigint,component_id:bigint>>")
     all_ = F.coalesce("all_", F.array().cast("array<struct<pos:bigint,start:bigint,length:bigint,component_id:bigint>>"))
     removed = F.filter(all_, lambda s: s["component_id"] < F.col("doc_id"))
     kinds = F.array_sort(F.array_distinct(F.transform(all_, lambda s: s["component_id"])))
-    return joined.select("doc_id", F.coalesce("class_", "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), passages.alias("passages"))
+    return joined.select("doc_id", F.coalesce("class_", "doc_id").alias("component_id"), kinds.alias("component_ids"), F.size(all_).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("runs_", none).alias("passages"), F.coalesce("near_", none).alias("edited"))
