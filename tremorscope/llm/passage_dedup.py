@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import free_name, stored
 from .components import components, contracted
 from .minhash import BANDS, RUN, SIMILARITY, band_keys, identity, jaccard, shingles, tuned_bands, window_identity, words_of
-from .passage_runs import repeated_runs, run_windows, runs_of
+from .passage_runs import near_units, repeated_runs, run_windows, runs_of
 
 __all__ = ["band_keys", "digest", "identity", "jaccard", "paragraphs", "remove_repeats", "repeated_passages", "repeated_runs", "shingles", "tuned_bands"]
 #: Lines of fewer words are left alone: stock phrases, headings.
@@ -223,27 +223,48 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     return found
 
 
-def _units(docs: DataFrame, min_words: int, similarity: float, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Where repeated lines stand, and repeated windows among ``windows`` (doc_id, tag, g1, g2, start, end, bands); near copies of both are found in one pass, lines by lines and windows by windows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    cut = partial(paragraphs, min_words=min_words)
-    place = lambda units: units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start", "length")).alias("p"), F.max("doc_id").alias("d_last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
-    merged = place(with_bands(rows, cut))
-    if windows is not None:
-        merged = merged.union(place(windows.select("doc_id", F.col("g1").alias("h1"), F.col("g2").alias("h2"), "start", (F.col("end") - F.col("start")).alias("length"), F.lit(RUN).cast("long").alias("n_words"), "bands")))
+def _classed(units: DataFrame, rows: DataFrame, cut: Cut, similarity: float) -> DataFrame:
+    """(r1, r2, component_id, long_id) of the units (doc_id, h1, h2, start, length, n_words, bands) of components that several documents hold; long_id is the smallest doc_id that holds one of RUN words or more, null for shorter ones."""
+    merged = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start", "length")).alias("p"), F.max("doc_id").alias("d_last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     distinct = stored(merged.select(F.monotonically_increasing_id().alias("pid"), "h1", "h2", F.col("p.doc_id").alias("d"), F.col("p.start").alias("start"), F.col("p.length").alias("length"), "d_last", "n_words", "bands"), "passages")
     found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "start", "length", "bands"), rows, cut, similarity, placed=True)
     long = F.col("n_words") >= RUN
     labelled = distinct.select("pid", "h1", "h2", "d", "d_last", long.alias("long")).join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", "d_last", "long", F.coalesce("component", "pid").alias("label"))
     labelled = stored(labelled, "passage-labels")
     classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_"), F.min(F.when(F.col("long"), F.col("d"))).alias("long_id")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id", "long_id")
-    repeated = stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id", F.when(F.col("long"), F.col("long_id")).alias("long_id")), "passage-classes")
+    return stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id", F.when(F.col("long"), F.col("long_id")).alias("long_id")), "passage-classes")
+
+
+def _placed(places: DataFrame, repeated: DataFrame) -> DataFrame:
     # equal on one half of the hash, checked on the other: AQE may split a line that a third of all rows hold
-    lines = located(rows, cut)
-    lines = lines.join(repeated, (lines["h1"] == repeated["r1"]) & (lines["h2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "t", "pos", "start", "length", "component_id", "long_id")
-    if windows is None:
-        return lines, None
-    return lines, windows.join(repeated, (windows["g1"] == repeated["r1"]) & (windows["g2"].bitwiseXOR(repeated["r2"]) == 0)).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
+    return places.join(repeated, (places["h1"] == repeated["r1"]) & (places["h2"].bitwiseXOR(repeated["r2"]) == 0))
+
+
+def _repeated_lines(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    cut = partial(paragraphs, min_words=min_words)
+    return _placed(located(rows, cut), _classed(with_bands(rows, cut), rows, cut, similarity)).select("doc_id", "t", "pos", "start", "length", "component_id", "long_id")
+
+
+def edited_windows(docs: DataFrame, marks: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, start, length, component_id) of windows of NEAR words that are near copies of windows in documents of another class.
+
+    ``marks`` are the keys by text of ``run_windows``, ``classes`` (node,
+    component) the classes of documents that are known already; others are their
+    own. A window hangs on a shingle whose key documents of several classes
+    share; it is banded by that key and further minima, candidates are checked
+    by exact Jaccard similarity and clustered. Documents of one class need no
+    further link, so their windows aren't compared.
+    """
+    keys = marks.where("not copy").select("d_", "t_", F.explode("shared").alias("key"))
+    keys = keys.join(classes, keys["d_"] == classes["node"], "left").select("d_", "t_", "key", F.coalesce("component", "d_").alias("class"))
+    open_ = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"))
+    asked = stored(keys.join(open_, keys["key"] == open_["key_"]).groupBy("d_", "t_").agg(F.collect_set("key").alias("shared")), "near-keys")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").where("doc_id is not null and text is not null")
+    texts = rows.join(asked, (rows["doc_id"] == asked["d_"]) & (rows["t"] == asked["t_"])).select("doc_id", "text", "shared")
+    units = stored(near_units(texts), "near-windows")
+    repeated = _classed(units, rows.select("doc_id", "text"), whole, similarity)
+    return _placed(units, repeated).select("doc_id", "start", "length", "component_id")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -261,7 +282,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     Copies of a line are merged by a 128-bit hash before anything else, so
     a line that a third of all documents hold is one row from there on.
     """
-    return _units(docs, min_words, similarity)[0].drop("long_id")
+    return _repeated_lines(docs, min_words, similarity).drop("long_id")
 
 
 def _cut(docs: DataFrame, gone: DataFrame, kept: Callable[[str, list], str]) -> DataFrame:
@@ -328,16 +349,15 @@ def digest(docs: DataFrame) -> DataFrame:
     counted in, which alone don't join documents; ``removed`` are those lines
     whose component reaches a smaller doc_id. ``passages`` are the runs of RUN
     words or more, inside a line or over several, that stand in documents with
-    smaller doc_ids. ``edited`` are the windows of NEAR words, beside a shingle
-    that such runs would be looked up by, whose component reaches a smaller
-    doc_id; a copy of another text has none, but ``passages`` hold it whole.
+    smaller doc_ids. ``edited`` are windows of NEAR words whose component reaches a
+    smaller doc_id, where they lead to documents that lines and runs don't join.
     """
-    marks, made = run_windows(docs, True)
-    lines, near = _units(docs, MIN_WORDS, SIMILARITY, made.where("bands is not null"))
-    lines, near = stored(lines, "passage-lines"), stored(near, "passage-near")
-    runs = stored(runs_of(marks, made), "passage-runs")
+    marks, made = run_windows(docs)
+    lines, runs = stored(_repeated_lines(docs, MIN_WORDS, SIMILARITY), "passage-lines"), stored(runs_of(marks, made), "passage-runs")
     edge = lambda rows, to: rows.where(f"doc_id > {to}").select(F.col("doc_id").alias("u"), F.col(to).alias("v"))
-    edges = edge(lines, "long_id").union(edge(runs, "component_id")).union(edge(near, "component_id"))
+    known = components(edge(lines, "long_id").union(edge(runs, "component_id")), "passage-documents")
+    near = stored(edited_windows(docs, marks, known), "passage-near")
+    edges = known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edge(near, "component_id"))
     classes = components(edges, "passage-documents").withColumnsRenamed({"node": "n_", "component": "class_"})
     by_doc = lines.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(F.struct("pos", "start", "length", "component_id"))).alias("all_"))
     spans = lambda rows, key, name: rows.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias(name))

@@ -37,18 +37,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 SLICE = 1 << 16
 
 
-def _windows(rows: DataFrame, near: bool) -> DataFrame:
-    """(doc_id, tag, g1, g2, pos, start, end, bands) of the windows whose key is among the row's ``shared`` ones; a copy of another text gives one row, its whole span, with g1 null.
+def _windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, g1, g2, pos, start, end) of the windows whose key is among the row's ``shared`` ones; a copy of another text gives one row, its whole span, with g1 null.
 
-    g1 hashes all words, g2 is a short piece of the key: 80 bits tell windows
-    apart. If ``near`` is asked for, windows of NEAR words beside shared shingles
-    follow, with 128 bits and their bands, which other rows lack.
+    g1 hashes all words, g2 is a short piece of the key: 80 bits tell windows apart.
     """
-    names = ["doc_id", "tag", "g1", "g2", "pos", "start", "end", "bands"]
-
-    def made(doc_id: int, tag: int, columns: list, bands: pa.Array | None = None) -> pa.RecordBatch:
-        n = len(columns[1])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, tag), pa.int64()), *[pa.array(x, pa.int64()) for x in columns], pa.nulls(n, pa.list_(pa.int64())) if bands is None else bands], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,26 +49,42 @@ def _windows(rows: DataFrame, near: bool) -> DataFrame:
                 text = text.as_py()
                 spans = word_spans(text)
                 if copy:
-                    yield made(doc_id, tag, [pa.nulls(1, pa.int64()), [0], [0], [spans[0, 0]], [spans[-1, 1]]])
-                    continue
-                words = words_of(text)
-                hashed, wanted = word_hashes(words), shared.values.to_numpy()
-                keys = window_keys(hashed)
-                pos = np.flatnonzero(np.isin(keys.view(np.int64), wanted))
-                found = [window_hashes(hashed)[pos].view(np.int64), keys[pos].view(np.int64) >> 48, pos, spans[pos, 0], spans[pos + RUN - 1, 1]]
-                for i in range(0, len(pos), SLICE):
-                    yield made(doc_id, tag, [x[i : i + SLICE] for x in found])
-                starts, bands = near_windows(hashed, wanted.view(np.uint64)) if near else ([], [])
+                    found = [np.array([x]) for x in (0, 0, 0, spans[0, 0], spans[-1, 1])]
+                else:
+                    hashed = word_hashes(words_of(text))
+                    keys = window_keys(hashed)
+                    pos = np.flatnonzero(np.isin(keys.view(np.int64), shared.values.to_numpy()))
+                    found = [window_hashes(hashed)[pos].view(np.int64), keys[pos].view(np.int64) >> 48, pos, spans[pos, 0], spans[pos + RUN - 1, 1]]
+                for i in range(0, len(found[0]), SLICE):
+                    part = [x[i : i + SLICE] for x in found]
+                    n = len(part[0])
+                    g1 = pa.nulls(n, pa.int64()) if copy else pa.array(part[0], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, tag), pa.int64()), g1, *[pa.array(x, pa.int64()) for x in part[1:]]], names=["doc_id", "tag", "g1", "g2", "pos", "start", "end"])
+
+    return rows.mapInArrow(run, "doc_id long, tag long, g1 long, g2 long, pos long, start long, end long")
+
+
+def near_units(rows: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, start, length, n_words, bands) of the windows of NEAR words beside the shingles that ``shared`` names, for rows (doc_id, text, shared)."""
+    names = ["doc_id", "h1", "h2", "start", "length", "n_words", "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                spans, words = word_spans(text), words_of(text)
+                starts, bands = near_windows(word_hashes(words), shared.values.to_numpy().view(np.uint64))
                 for i in range(0, len(starts), SLICE):
                     at, flat = starts[i : i + SLICE], bands[i : i + SLICE].view(np.int64).reshape(-1)
-                    both = [window_identity(words[x : x + NEAR]) for x in at]
+                    n, both = len(at), [window_identity(words[x : x + NEAR]) for x in at]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, NEAR_BANDS, dtype=np.int32)), pa.array(flat))
-                    yield made(doc_id, tag, [[x for x, _ in both], [x for _, x in both], at, spans[at, 0], spans[at + NEAR - 1, 1]], lists)
+                    columns = [np.full(n, doc_id), *zip(*both, strict=True), spans[at, 0], spans[at + NEAR - 1, 1] - spans[at, 0], np.full(n, NEAR)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], lists], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, tag long, g1 long, g2 long, pos long, start long, end long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, start long, length long, n_words long, bands array<long>")
 
 
-def run_windows(docs: DataFrame, near: bool) -> tuple[DataFrame, DataFrame]:
+def run_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts that hold shared keys, with those keys, and their windows, both stored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("doc_id is not null and text is not null")
     marked = stored(_keyed(rows), "run-keys")
@@ -89,12 +98,12 @@ def run_windows(docs: DataFrame, near: bool) -> tuple[DataFrame, DataFrame]:
     marks = marks.join(several, marks["doc_id"] == several["s_"], "left").select(F.col("doc_id").alias("d_"), F.col("t").alias("t_"), F.when(F.col("s_").isNull(), F.lit(0).cast("long")).otherwise(F.col("t")).alias("tag"), "rep", "copy", F.when(F.col("copy"), F.array().cast("array<long>")).otherwise(F.col("shared")).alias("shared"))
     marks = stored(marks, "run-marks")
     asked = rows.join(marks, (rows["doc_id"] == marks["d_"]) & (rows["t"] == marks["t_"])).select("doc_id", "tag", "text", "copy", "shared")
-    return marks, stored(_windows(asked, near), "run-windows")
+    return marks, stored(_windows(asked), "run-windows")
 
 
 def runs_of(marks: DataFrame, made: DataFrame) -> DataFrame:
     """What ``repeated_runs`` returns, from what ``run_windows`` stored."""
-    near = made.where("g1 is not null and bands is null")
+    near = made.where("g1 is not null")
     first = stored(near.groupBy("g1", "g2").agg(F.min("doc_id").alias("first_d"), F.max("doc_id").alias("hi")).where("first_d < hi").select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first_d"), "run-firsts")
     held = near.join(first, (near["g1"] == first["f1"]) & (near["g2"].bitwiseXOR(first["f2"]) == 0)).where("doc_id > first_d").select("doc_id", "tag", "pos", "start", "end", "first_d")
     island = F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "tag").orderBy("pos"))
@@ -123,4 +132,4 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     compared, by a hash of all their words beside the key, again by counting.
     Equal texts count as one from there on. No pairs are formed.
     """
-    return runs_of(*run_windows(docs, False))
+    return runs_of(*run_windows(docs))
