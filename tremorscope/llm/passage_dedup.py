@@ -186,7 +186,8 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     A bucket is a band key that several distinct units share. Its members
     are first checked against its smallest, then its largest member, which is
     linear in its size and joins a group of near copies at once. Members of a
-    bucket that are not in one component by then meet over their rarest shingles.
+    bucket that are not in one component by then meet over their rarest shingles
+    if ``placed``, else in a join on the key that puts out links only.
     No link between members of a bucket is lost: a pair that goes unchecked is
     in one component already, or not similar enough.
     """
@@ -215,9 +216,15 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     found = components(edges, "passage-components")
     rest = stored(_labelled(met, found), "passage-rest")
     if not rest.isEmpty():
-        kinds = distinct.select("pid", F.size("bands").alias("kind"))  # lines and windows have other numbers of bands
-        full = stored(rest.select("pid", "label").distinct().join(kinds, "pid").join(_shingled(texts), "pid"), "passage-shingles")
-        pairs = _rare_in_common(full, similarity)
+        if placed:
+            full = stored(rest.select("pid", "label").distinct().select("*", F.lit(0).alias("kind")).join(_shingled(texts), "pid"), "passage-shingles")
+            pairs = _rare_in_common(full, similarity)
+        else:
+            full = rest.join(_shingled(texts), "pid")
+            a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
+            sizes = F.size("s") + F.size("t")
+            alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
+            pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
         edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
         found = components(edges, "passage-components")
     return found
