@@ -289,3 +289,12 @@ def test_resamples_are_exact_and_drawn_beside_the_rows(spark):
     by_stratum = {(r.draw, r.stratum, r.idx): r.w for r in sampling.stratified_weights(spark, sizes, 2, 3).collect()}
     assert {(r.draw, r.y, r.idx): r.w for r in sampling.resampled(strata, sizes, range(1, 3), 3, "y").collect()} == by_stratum
     assert {(d, s): sum(w for (e, t, _), w in by_stratum.items() if (d, s) == (e, t)) for d in (1, 2) for s in sizes} == {(d, s): 1000 for d in (1, 2) for s in sizes}
+
+
+def test_slots_are_dealt_in_tasks_of_bounded_size(spark):
+    n, draws = 160_000, 8
+    tables = sampling.bootstrap_weights(spark, n, draws, 5), sampling.stratified_weights(spark, {"a": n // 4, "b": n - n // 4}, draws, 5)
+    for weights in tables:
+        slots = [r.n for r in weights.groupBy(F.spark_partition_id()).agg(F.sum("w").alias("n")).collect()]
+        assert sum(slots) == n * draws and len(slots) > 1
+        assert max(slots) < 1.5 * sampling.TASK_SLOTS

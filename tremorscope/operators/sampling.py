@@ -88,12 +88,18 @@ def _bucket_counts(spark: SparkSession, sizes: dict[str | None, int], attempts:
     return placed.groupBy("draw", "attempt", "stratum", bucket.alias("bucket"), F.least("m", F.col("n") - bucket * F.col("m")).alias("size"), "m").agg(F.count("*").alias("c"))
 
 
-def _weights(counts: DataFrame, seed: int | str, stratified: bool) -> DataFrame:
-    """(draw, stratum, idx, w): a bucket's slots are dealt over its rows where the bucket is."""
-    slots = counts.repartition("stratum", "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("c").cast("int") - 1)).alias("j"))
-    parts = ["attempt", "stratum", "bucket", "j"] if stratified else ["attempt", "bucket", "j"]
+#: Slots that a task deals over rows; counts of slots are so small that Spark alone would put all buckets into one task.
+TASK_SLOTS = 1 << 19
+
+
+def _weights(counts: DataFrame, seed: int | str, slots: int, stratified: bool) -> DataFrame:
+    """(draw, stratum, idx, w): a bucket's slots are dealt over its rows where the bucket is, in tasks of about TASK_SLOTS of all ``slots``."""
+    keys = [*(["stratum"] if stratified else []), "bucket", "draw"]
+    dealt = counts.repartition(1 + slots // TASK_SLOTS, *keys).select("*", F.explode(F.sequence(F.lit(0), F.col("c").cast("int") - 1)).alias("j"))
+    parts = ["attempt", *keys[:-1], "j"]
     idx = F.col("bucket") * F.col("m") + F.pmod(hash_number(seed, *parts), F.col("size"))
-    return slots.groupBy("stratum", "bucket", "draw", idx.alias("idx")).agg(F.count("*").alias("w")).select("draw", "stratum", "idx", "w")
+    stratum = F.col("stratum") if stratified else F.lit(None).cast("string").alias("stratum")
+    return dealt.groupBy(*keys, idx.alias("idx")).agg(F.count("*").alias("w")).select("draw", stratum, "idx", "w")
 
 
 def bootstrap_weights(spark: SparkSession, n: int, n_draws: int, seed: int | str) -> DataFrame:
@@ -102,12 +108,12 @@ def bootstrap_weights(spark: SparkSession, n: int, n_draws: int, seed: int | str
     A draw's n slots fall on buckets of rows on end, and a bucket's slots on its
     rows, each by a hash: an exact n of n.
     """
-    return _weights(_bucket_counts(spark, {None: n}, range(1, n_draws + 1), seed), seed, False).select("draw", "idx", "w")
+    return _weights(_bucket_counts(spark, {None: n}, range(1, n_draws + 1), seed), seed, n * n_draws, False).select("draw", "idx", "w")
 
 
 def stratified_weights(spark: SparkSession, sizes: dict[str, int], n_draws: int, seed: int | str) -> DataFrame:
     """(draw, stratum, idx, w): each stratum redrawn to its own size; idx numbers rows within the stratum."""
-    return _weights(_bucket_counts(spark, sizes, range(1, n_draws + 1), seed), seed, True)
+    return _weights(_bucket_counts(spark, sizes, range(1, n_draws + 1), seed), seed, sum(sizes.values()) * n_draws, True)
 
 
 def resampled(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str, strata: str | None = None) -> DataFrame:
