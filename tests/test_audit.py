@@ -298,3 +298,33 @@ def test_slots_are_dealt_in_tasks_of_bounded_size(spark):
         slots = [r.n for r in weights.groupBy(F.spark_partition_id()).agg(F.sum("w").alias("n")).collect()]
         assert sum(slots) == n * draws and len(slots) > 1
         assert max(slots) < 1.5 * sampling.TASK_SLOTS
+
+
+def test_rows_are_read_once_and_numbers_move_by_case(spark):
+    train, cases = table(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = train.mapInArrow(watched, train.schema)
+    assert sorted(r.idx for r in sampling.numbered(rows, "rid", 1).collect()) == list(range(40)) and seen.value == 40
+    split = sampling.holdout_split(rows, "rid", 0.3, 1)
+    assert split.where("is_test").count() == 12 and split.count() == 40 and seen.value == 80
+    audit = ts.bootstrap_predictions(train, cases, Ols("x"), n_bootstrap=4)
+    assert sorted((r.case_id, len(r.cells)) for r in audit.cells.collect()) == [(i, 5) for i in range(40, 60)]
+    by_rows = au.case_stats(au.case_rows(audit.kept, "numeric"))
+    np.testing.assert_allclose(sorted(map(tuple, audit.case_stats.collect())), sorted(map(tuple, by_rows.collect())), rtol=1e-9)
+    audit.release()
+    prepared = au.prepare(train, cases, n_bootstrap=4, columns=["x"])
+    assert sorted(prepared.weighted.columns) == ["draw", "idx", "w", "x", "y"]
+
+
+def test_null_predictions_leave_the_variance_of_the_others(spark):
+    rows = [(0, 1, 1.0), (1, 1, 2.0), (2, 1, 4.0), (3, 1, None), (0, 2, None), (1, 2, 1.0), (2, 2, 3.0), (0, 3, 1.0), (1, 3, 5.0)]
+    got = {r.case_id: r for r in au.case_rows(spark.createDataFrame(rows, "draw int, case_id long, pred double"), "numeric").collect()}
+    assert [got[i].per_point for i in (1, 2, 3)] == [2.0, 2.0, None]
+    assert [got[i].mape for i in (1, 2, 3)] == [None, None, 4.0]
+    assert sorted((e.draw, e.move) for e in got[1].each if e.move is not None) == [(1, 1.0), (2, 3.0)]

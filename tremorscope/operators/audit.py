@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.stats import NAN, exact_quantile
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_numeric, require_scalar
-from .sampling import first_usable, numbered, resampled, with_original
+from .sampling import dealt, drawn_rows, first_usable, numbered
 
 ONE_STEP_CASES = 1_000_000
 TASKS, METHODS = ("continuous", "categorical"), ("predict", "predict_proba")
@@ -30,14 +33,46 @@ def _over(array, part):
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + part(x))
 
 
-def _numeric_cases(full: DataFrame, keys: list[str]) -> DataFrame:
-    refit = F.when(F.col("draw") > 0, F.col("pred"))
-    cells = F.collect_list(F.when(F.col("draw") > 0, F.struct("draw", "pred")))
-    row = full.groupBy(*keys).agg(F.count(refit).alias("b"), F.avg(refit).alias("mean"), F.var_samp(refit).alias("per_point"), F.max(F.when(F.col("draw") == 0, F.col("pred"))).alias("pred0"), cells.alias("cells"))
-    row = row.withColumn("s2", _over("cells", lambda x: F.pow(x["pred"] - F.col("mean"), F.lit(2)))).withColumn("s1", _over("cells", lambda x: x["pred"] - F.col("mean")))
-    z = lambda x: x["pred"] - F.col("mean")
-    each = F.transform("cells", lambda x: F.struct(x["draw"].alias("draw"), F.abs(x["pred"] - F.col("pred0")).alias("move"), (F.col("b") * z(x) * z(x) + F.col("s2") - 2 * z(x) * F.col("s1")).alias("d")))
-    return row.withColumn("each", each).select(*keys, "per_point", (2 * F.col("per_point")).alias("pairwise"), (_over("each", lambda x: x["move"]) / F.col("b")).alias("mape"), F.lit(0.0).alias("move0"), F.lit(0.0).alias("d0"), "each")
+def gathered(full: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cells): a row a case, with its (draw, pred) in one array."""
+    return full.groupBy(*keys).agg(F.collect_list(F.struct("draw", F.col("pred").cast("double").alias("pred"))).alias("cells"))
+
+
+def _numeric_batch(batch: pa.RecordBatch, n_keys: int) -> pa.RecordBatch:
+    lists, n = batch.column(n_keys), batch.num_rows
+    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+    case, draw, pred = np.repeat(np.arange(n), sizes), flat.field(0).to_numpy(), flat.field(1)
+    lost, pred = pred.is_null().to_numpy(zero_copy_only=False), pred.to_numpy(zero_copy_only=False)
+    first = np.zeros(n)
+    gone = np.ones(n, dtype=bool)
+    at = (draw == 0) & ~lost
+    first[case[at]], gone[case[at]] = pred[at], False
+    at = draw > 0
+    case, draw, pred, lost = case[at], draw[at], pred[at], lost[at]
+    total = lambda x: np.bincount(case, x, minlength=n)
+    some, b = total(lost.astype(float)) > 0, total((~lost).astype(float))
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        mean = total(np.where(lost, 0.0, pred)) / b
+        z = pred - mean[case]
+        s2, s1 = total(np.where(lost, 0.0, z * z)), total(np.where(lost, 0.0, z))
+        move, d = np.abs(pred - first[case]), b[case] * z * z + s2[case] - 2 * z * s1[case]
+        per_point, mape = s2 / (b - 1), total(move) / b
+    known = lambda x, unknown: pa.array(x, pa.float64(), mask=unknown)
+    cells = pa.StructArray.from_arrays([pa.array(draw, pa.int32()), known(move, lost | gone[case]), known(d, some[case])], names=["draw", "move", "d"])
+    each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(case, minlength=n))), pa.int32()), cells)
+    numbers = [known(per_point, b < 2), known(2 * per_point, b < 2), known(mape, some | gone | (b == 0)), pa.array(np.zeros(n)), pa.array(np.zeros(n)), each]
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_keys)], *numbers], names=[*batch.schema.names[:n_keys], "per_point", "pairwise", "mape", "move0", "d0", "each"])
+
+
+def _numeric_cases(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Case rows from ``gathered`` ones, where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _numeric_batch(batch, len(keys))
+
+    more = T._parse_datatype_string("per_point double, pairwise double, mape double, move0 double, d0 double, each array<struct<draw:int,move:double,d:double>>")
+    return cells.select(*keys, "cells").mapInArrow(run, T.StructType([*[cells.schema[k] for k in keys], *more.fields]))
 
 
 def _label_cases(full: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,7 +116,7 @@ def case_rows(full: DataFrame, kind: str, by: Sequence[str] = (), n_draws: int |
     """
     keys = [*by, "case_id"]
     if kind == "numeric":
-        return _numeric_cases(full, keys)
+        return _numeric_cases(gathered(full, keys), keys)
     if kind == "label":
         return _label_cases(full, keys)
     if n_draws is None:
@@ -167,7 +202,8 @@ def require_classes(probabilities: DataFrame, classes: DataFrame, by: Sequence[s
 class Audit:
     """What ``bootstrap_predictions`` found. Statistics are lazy; the prediction table, with draw 0 for the original fit, and what it was made from are in the shared folder until ``release``.
 
-    Of probabilities the kept table holds the classes that a draw knows, and
+    Of numbers it is stored as a row a case, ``cells``, and moves as that. Of
+    probabilities the kept table holds the classes that a draw knows, and
     under draw -1 a zero for each case; ``predictions`` and ``original`` fill in
     zeros for the other classes.
     """
@@ -185,6 +221,7 @@ class Audit:
     n_resample_attempts: int
     by: tuple[str, ...] = ()
     tables: list[DataFrame] = field(default_factory=list)
+    cells: DataFrame | None = None
 
     @property
     def n_rejected_resamples(self) -> int:
@@ -212,6 +249,10 @@ class Audit:
 
     @property
     def case_rows(self) -> DataFrame:
+        if self.cells is not None:
+            keys = [*self.by, "case_id"]
+            # rows that share a case_id are one case
+            return _numeric_cases(self.cells.repartition(*keys).groupBy(*keys).agg(F.flatten(F.collect_list("cells")).alias("cells")), keys)
         return case_rows(self.kept, self.kind, self.by, self.n_bootstrap, self.n_classes)
 
     @property
@@ -251,15 +292,16 @@ def _validated(train: DataFrame, cases: DataFrame, key: str, target: str, task:
         require_numeric(train, target)
 
 
-def usable_attempts(rows: DataFrame, n: int, n_bootstrap: int, seed: int) -> list[int]:
-    """The first attempts whose draws hold two labels or more; those with one label only are passed over, up to a cap."""
+def usable_draws(rows: DataFrame, n: int, n_bootstrap: int, seed: int) -> tuple[list[int], DataFrame, DataFrame]:
+    """The first attempts whose draws hold two labels or more, the rows dealt to them, and the table behind that; attempts with one label only are passed over, up to a cap."""
     cap = n_bootstrap + max(100, 10 * n_bootstrap)
     tried = n_bootstrap  # mostly all of them will do
     while True:
-        drawn = resampled(rows.select("idx", "y"), {None: n}, range(1, tried + 1), seed)
-        found = sorted(r.attempt for r in first_usable(drawn, "y", n_bootstrap).collect())  # a row a draw
+        table = stored(dealt(rows, {None: n}, range(1, tried + 1), seed), "audit-draws")
+        found = sorted(r.attempt for r in first_usable(drawn_rows(table), "y", n_bootstrap).collect())  # a row a draw
         if len(found) == n_bootstrap:
-            return found
+            return found, table.withColumn("times_", F.array(*[F.get("times_", F.lit(a - 1)) for a in found])) if found[-1] > n_bootstrap else table, table
+        dropped(table)
         if tried == cap:
             raise ValueError(f"only {len(found)} of {n_bootstrap} resamples held two classes in {cap} attempts")
         tried = min(cap, 2 * tried)
@@ -279,7 +321,7 @@ def bootstrap_predictions(train: DataFrame, cases: DataFrame, procedure, *, key:
     """
     if prediction_method == "predict_proba":
         require_probabilities(procedure)
-    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=getattr(procedure, "finite", ()))
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=getattr(procedure, "finite", ()), columns=columns_of([procedure]))
     return audited(prepared, procedure, prediction_method)
 
 
@@ -297,20 +339,31 @@ class Prepared:
     tables: list[DataFrame]
 
 
-def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0, finite: Sequence[str] = ()) -> Prepared:
+def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0, finite: Sequence[str] = (), columns: Sequence[str] | None = None) -> Prepared:
+    """``columns`` are all that the procedures look at beside y; None keeps every column."""
     _validated(train, cases, key, target, task, n_bootstrap, prediction_method)
     require_numeric(train, *finite)
     require_numeric(cases, *finite)
     if task == "categorical" and train.schema[target].dataType.typeName() in ("float", "double"):
         train = train.withColumn(target, F.nanvl(target, F.lit(None)))
     rows = train.withColumn("y", F.col(target).cast("double" if task == "continuous" else "string"))
-    rows, cases = stored(numbered(rows, key, f"{seed}|rows"), "audit-rows"), stored(cases, "audit-cases")
+    rows, cases = numbered(rows, key, f"{seed}|rows"), stored(cases, "audit-cases")
     n = checked(rows, "training rows", [*(["y"] if task == "continuous" else []), *finite], [key, "y"])
     n_cases = checked(cases, "cases", finite, ["case_id"])
-    attempts = usable_attempts(rows, n, n_bootstrap, seed) if task == "categorical" else range(1, n_bootstrap + 1)
-    drawn = resampled(rows, {None: n}, attempts, seed)
+    kept = rows if columns is None else rows.select(*dict.fromkeys(["idx", "y", *columns]))
+    attempts = range(1, n_bootstrap + 1)
+    if task == "categorical":
+        attempts, drawn, table = usable_draws(kept, n, n_bootstrap, seed)
+    else:
+        drawn = table = stored(dealt(kept, {None: n}, attempts, seed), "audit-draws")
     classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
-    return Prepared(with_original(drawn, rows), cases, classes, task, n_bootstrap, n_cases, attempts[-1], [rows, cases])
+    return Prepared(drawn_rows(drawn, True), cases, classes, task, n_bootstrap, n_cases, attempts[-1], [rows, table, cases])
+
+
+def columns_of(procedures: Sequence[object]) -> list[str] | None:
+    """All columns that the procedures say they look at; None if one doesn't say."""
+    named = [getattr(p, "columns", None) for p in procedures]
+    return None if any(x is None for x in named) else sorted({c for x in named for c in x})
 
 
 def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -> Audit:
@@ -335,6 +388,9 @@ def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_me
             first = model.where("draw = 0") if isinstance(model, DataFrame) else {0: model[0]}
             labelled.append(mark(procedure.predict(first, cases).select("case_id", F.col("pred").alias("pred0")), config_id))
             parts.append(mark(procedure.predict_proba(model, cases).select("draw", "case_id", "class", "p"), config_id))
+        elif task == "continuous":
+            one = procedure.cells(model, cases) if hasattr(procedure, "cells") else gathered(procedure.predict(model, cases), ["case_id"])
+            parts.append(mark(one.select("case_id", "cells"), config_id))
         else:
             parts.append(mark(procedure.predict(model, cases).select("draw", "case_id", "pred"), config_id))
     if prediction_method == "predict_proba":
@@ -345,13 +401,16 @@ def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_me
         parts += [mark(cases.select(F.lit(-1).alias("draw"), "case_id", F.lit(least).alias("class"), F.lit(0.0).alias("p")), i) for i in procedures]
     full = stored(reduce(DataFrame.unionByName, parts), "audit-predictions")
     tables.append(full)
+    cells = None
+    if prediction_method == "predict" and task == "continuous":
+        cells, full = full, full.select("case_id", *by, F.explode("cells").alias("cell")).select("cell.draw", "case_id", "cell.pred", *by)
     if prediction_method == "predict_proba":
         require_classes(full, classes, by)
         labels, kind = reduce(DataFrame.unionByName, labelled), "vector"
     else:
         labels = full.where("draw = 0").select(*by, "case_id", F.col("pred").alias("pred0"))
         kind, n_classes = "numeric" if task == "continuous" else "label", None
-    return Audit(task, prediction_method, kind, labels, full, cases, classes, n_classes, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts, by, tables)
+    return Audit(task, prediction_method, kind, labels, full, cases, classes, n_classes, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts, by, tables, cells)
 
 
 def require_probabilities(procedure, model=None) -> None:
@@ -370,6 +429,14 @@ def bootstrap_instability(train: DataFrame, cases: DataFrame, procedure, **optio
     return out
 
 
+def _stored_quantile(rows: DataFrame, column: str, q: float) -> float:
+    """The exact quantile of one column, which is made once for all passes."""
+    one = stored(rows.select(column), "audit-column")
+    found = exact_quantile(one, column, q)
+    dropped(one)
+    return found
+
+
 def summarised(audit: Audit) -> DataFrame:
     """A row (a configuration): mean, 90th percentile and maximum of per_point, mean mape and pairwise with their errors, counters. With configurations there is no percentile."""
     by, rows = audit.by, audit.case_rows
@@ -377,7 +444,7 @@ def summarised(audit: Audit) -> DataFrame:
     draws = draw_rows(rows, by, exact)
     taken = {k: F.max(k) for k in ("instability_mean", "instability_max", "mape", "pairwise_mean")}
     if not by:
-        taken["instability_p90"] = F.max("instability_p90") if exact else F.first(F.lit(exact_quantile(case_stats(rows), "per_point", 0.9)))
+        taken["instability_p90"] = F.max("instability_p90") if exact else F.first(F.lit(_stored_quantile(rows, "per_point", 0.9)))
     one = draws.groupBy(*by).agg(*[v.alias(k) for k, v in taken.items()], _spread("m").alias("mape_standard_error"), _jackknife().alias("pairwise_standard_error"))
     counters = {"n_fit_attempts": audit.n_fit_attempts, "n_resample_attempts": audit.n_resample_attempts, "n_rejected_resamples": audit.n_rejected_resamples}
     numbers = [c for c in ("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error") if c in one.columns]

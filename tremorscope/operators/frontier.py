@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import RANGE_ROWS, in_ranges, score_by
-from ..sources.shared import dropped, stored
+from ..sources.shared import dropped
 from ..sources.tables import require_columns, require_scalar
-from .audit import TASKS, audited_all, demand, prepare, require_probabilities, summarised
+from .audit import TASKS, audited_all, columns_of, demand, prepare, require_probabilities, summarised
 from .sampling import holdout_split, param_grid
 
 
@@ -111,7 +111,7 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
     began, source = time.perf_counter(), SUPPLIED
     train = data
     if cases is None:
-        split = stored(holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None), "frontier-split")
+        split = holdout_split(data, key, test_size, f"{seed}|split", target if task == "categorical" else None)
         train, cases, source = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id"), HELD_OUT
     else:
         require_columns(cases, "case_id", target)
@@ -123,8 +123,7 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
         for p in procedures.values():
             require_probabilities(p)
     finite = sorted({c for p in procedures.values() for c in getattr(p, "finite", ())})
-    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite)
-    weighted = prepared.weighted = prepared.weighted.persist()  # every configuration is fitted to it
+    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite, columns=columns_of(list(procedures.values())))
     audit = audited_all(prepared, procedures, prediction_method)
     found = summarised(audit)
     scores = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task)
@@ -133,7 +132,6 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
         instability, error = (r.pairwise_mean, r.pairwise_standard_error) if instability_metric == "pairwise" else (r.mape, r.mape_standard_error)
         rows.append((r.config_id, {k: str(v) for k, v in configs[r.config_id].items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
     audit.release()
-    weighted.unpersist()
     if source != SUPPLIED:
         dropped(split)
     points = data.sparkSession.createDataFrame(rows, POINTS)

@@ -2,10 +2,13 @@
 
 A procedure has ``fit(weighted)``, from rows (draw, w, y, features) to a table
 with a row or a few a draw, and ``predict(model, cases)``, to (draw, case_id,
-pred). Those for labels may have ``predict_proba``, to (draw, case_id, class,
+pred); ``cells``, if there is one, to the same as (case_id, array of (draw, pred)),
+which spares audits an exchange. Those for labels may have ``predict_proba``, to (draw, case_id, class,
 p). Fits are weighted aggregates by draw: a repeated row is a weight, never a
 copy, and what is fitted is far smaller than the data. ``finite``, if there is
 one, names the columns that must hold finite numbers; audits check them.
+``columns``, if there is one, names all that fits look at beside y, so that
+audits leave other columns behind.
 """
 
 from __future__ import annotations
@@ -31,9 +34,18 @@ def each_draw(cases: DataFrame, model: DataFrame) -> DataFrame:
     return cases.crossJoin(F.broadcast(model))
 
 
+def each_cell(cases: DataFrame, model: DataFrame, pred: Callable) -> DataFrame:
+    """(case_id, cells) of each case: (draw, pred) of all draws in one array; ``pred`` makes a value of a draw's model row."""
+    models = model.agg(F.collect_list(F.struct(*model.columns)).alias("models_"))
+    cell = lambda m: F.struct(m["draw"].alias("draw"), pred(m).cast("double").alias("pred"))
+    return each_draw(cases, models).select("case_id", F.transform("models_", cell).alias("cells"))
+
+
 class Constant:
     """Predicts one value, whatever the data."""
 
+    columns = ()
+
     def __init__(self, value=0.0):
         self.value = value
 
@@ -43,6 +55,9 @@ class Constant:
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", F.lit(self.value).alias("pred"))
 
+    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
+        return each_cell(cases, model, lambda m: F.lit(self.value))
+
 
 def known_weight():
     """A row's weight, if its y is known."""
@@ -52,18 +67,24 @@ def known_weight():
 class Mean:
     """The weighted mean of y; rows without y don't count."""
 
+    columns = ()
+
     def fit(self, weighted: DataFrame) -> DataFrame:
         return weighted.groupBy("draw").agg((F.sum(F.col("w") * F.col("y")) / F.sum(known_weight())).alias("pred"))
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", "pred")
 
+    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
+        return each_cell(cases, model, lambda m: m["pred"])
+
 
 class GroupMean:
     """The weighted mean of y in the case's group, drawn to the draw's mean by ``strength`` pseudo-rows; unseen groups get that mean. Rows without y don't count."""
 
     def __init__(self, column: str, strength: float = 0.0):
         self.column, self.strength = column, strength
+        self.columns = [column]
 
     def fit(self, weighted: DataFrame) -> DataFrame:
         sums = (F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
@@ -182,7 +203,7 @@ class Ols:
 
     def __init__(self, feature: str | Sequence[str] = "x", penalty: float = 0.0):
         self.features, self.penalty = [feature] if isinstance(feature, str) else list(feature), penalty
-        self.finite = self.features
+        self.finite = self.columns = self.features
         if not self.features or not 0 <= penalty < float("inf"):
             raise ValueError("least squares takes a feature at least and a finite penalty from 0")
 
@@ -198,8 +219,14 @@ class Ols:
         return merged(rows.where(reduce(lambda a, b: a & b, known)), self.features, Triangles(), solved, "level double, centre array<double>, slope array<double>")
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        steps = [(F.col(c).cast("double") - F.get("centre", F.lit(i))) * F.get("slope", F.lit(i)) for i, c in enumerate(self.features)]
-        return each_draw(cases, model).select("draw", "case_id", reduce(lambda a, b: a + b, steps, F.col("level")).alias("pred"))
+        return each_draw(cases, model).select("draw", "case_id", self._value(F.col).alias("pred"))
+
+    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
+        return each_cell(cases, model, lambda m: self._value(lambda name: m[name]))
+
+    def _value(self, of: Callable):
+        steps = [(F.col(c).cast("double") - F.get(of("centre"), F.lit(i))) * F.get(of("slope"), F.lit(i)) for i, c in enumerate(self.features)]
+        return reduce(lambda a, b: a + b, steps, of("level"))
 
 
 class ClassShares:
@@ -207,6 +234,7 @@ class ClassShares:
 
     def __init__(self, column: str | None = None):
         self.column = column
+        self.columns = [column] if column else []
 
     def fit(self, weighted: DataFrame) -> DataFrame:
         group = F.col(self.column) if self.column else F.lit("")
@@ -321,6 +349,7 @@ class Merging(_Objects):
 
     def __init__(self, protocol, features: list[str], finite: Sequence[str] = ()):
         self.protocol, self.features, self.finite = protocol, list(features), list(finite)
+        self.columns = self.features
         if lacking := [n for n in ("start", "update", "merge", "finish") if not callable(getattr(protocol, n, None))]:
             raise ValueError(f"the protocol lacks {', '.join(lacking)}")
 
@@ -372,6 +401,7 @@ class Fitted(_Objects):
 
     def __init__(self, factory: Callable[[], object], features: list[str], seed: int = 0):
         self.factory, self.features, self.seed = factory, features, seed
+        self.columns = features
 
     def fit(self, weighted: DataFrame) -> DataFrame:
         factory, features, seed = self.factory, self.features, self.seed
@@ -408,6 +438,7 @@ class SparkMl:
 
     def __init__(self, estimator, features: list[str], seed: int = 0, most_labels: int = 10_000):
         self.estimator, self.features, self.seed, self.most_labels, self.labels = estimator, features, seed, most_labels, None
+        self.columns = features
 
     def fit(self, weighted: DataFrame) -> dict[int, object]:
         from pyspark.ml.feature import VectorAssembler

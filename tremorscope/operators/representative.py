@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import score_by
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_scalar
-from .audit import aligned, demand
+from .audit import aligned, columns_of, demand
 from .procedures import SparkMl
 from .sampling import holdout_split, numbered, resampled
 
@@ -114,7 +114,7 @@ class RepresentativeEstimator:
 
     def fit(self, data: DataFrame, key: str = "rid", target: str = "y") -> RepresentativeEstimator:
         self._check()
-        self.procedure_ = self.procedure
+        self.procedure_, self._rows = self.procedure, None
         require_columns(data, key, target)
         require_scalar(data, target)
         labels = self.task == "classification"
@@ -126,7 +126,7 @@ class RepresentativeEstimator:
             self.classes_ = sorted(r.y for r in data.select("y").distinct().limit(10_001).collect())
             if not 2 <= len(self.classes_) <= 10_000:
                 raise ValueError("a classification target needs 2 to 10000 classes")
-        split = self._split = stored(holdout_split(data, key, self.validation_fraction, f"{self.seed}|split", "y" if labels else None), "selector-split")
+        split = self._split = holdout_split(data, key, self.validation_fraction, f"{self.seed}|split", "y" if labels else None)
         train, cases = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed(key, "case_id")
         weighted = self._weighted(train, key, labels)
         if self.procedure is None:
@@ -155,7 +155,9 @@ class RepresentativeEstimator:
         spark, draws = train.sparkSession, spark_draws(train.sparkSession, self.n_candidates)
         if not self.bootstrap_candidates:
             return train.crossJoin(F.broadcast(draws)).withColumn("w", F.lit(1).cast("long"))
-        rows = numbered(train, key, f"{self.seed}|rows", "y" if labels else None)
+        rows = self._rows = numbered(train, key, f"{self.seed}|rows", "y" if labels else None)
+        if columns := columns_of([self.procedure]):
+            rows = rows.select(*dict.fromkeys(["idx", "y", *columns]))
         draws = range(1, self.n_candidates + 1)
         if not labels:
             return resampled(rows, {None: rows.count()}, draws, self.seed)
@@ -181,7 +183,7 @@ class RepresentativeEstimator:
     def release(self) -> None:
         if isinstance(self.model_, DataFrame):
             self.model_.unpersist()
-        for table in (self._split, self.validation_predictions_, self.validation_probabilities_):
+        for table in (self._split, self._rows, self.validation_predictions_, self.validation_probabilities_):
             if table is not None:
                 dropped(table)
 

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+
 BUCKET_DIGITS = 3
+#: Strata up to which the offsets of all buckets are broadcast.
+FEW_STRATA = 100
 
 
 def hashed(seed: int | str, *parts) -> Column:
@@ -30,34 +34,49 @@ def hash_number(seed: int | str, *parts) -> Column:
     return F.conv(F.substring(hashed(seed, *parts), 1, 13), 16, 10).cast("long")
 
 
+def _placed(rows: DataFrame, key: str, seed: int | str, by: str | None, name: str) -> DataFrame:
+    """``rows`` with ``name`` as in ``numbered``, and total_, the number of rows (within ``by``)."""
+    keys = [by] if by else []
+    tagged = rows.withColumn("h_", hashed(seed, key)).withColumn("p_", F.substring("h_", 1, BUCKET_DIGITS))
+    local = F.row_number().over(Window.partitionBy(*keys, "p_").orderBy("h_", key)) - 1
+    kept = stored(tagged.withColumn("local_", local).drop("h_"), "numbered")
+    counts, whole = kept.groupBy(*keys, "p_").agg(F.count("*").alias("n_")), Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("n_").over(whole.orderBy("p_")) - F.col("n_")
+    offsets = counts.select(*[F.col(k).alias("s_") for k in keys], F.col("p_").alias("q_"), before.alias("before_"), F.sum("n_").over(whole).alias("total_"))
+    same = F.col("p_") == F.col("q_")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("s_"))
+    if not by or kept.select(by).distinct().limit(FEW_STRATA + 1).count() <= FEW_STRATA:
+        offsets = F.broadcast(offsets)  # a row a bucket (and stratum)
+    out = kept.join(offsets, same).select(*rows.columns, (F.col("before_") + F.col("local_")).alias(name), "total_")
+    out.stored_at = kept.stored_at
+    return out
+
+
+def _shown(placed: DataFrame, *columns) -> DataFrame:
+    out = placed.select(*columns)
+    out.stored_at = placed.stored_at
+    return out
+
+
 def numbered(rows: DataFrame, key: str, seed: int | str, by: str | None = None, name: str = "idx") -> DataFrame:
     """Adds ``name``: 0, 1, ... (within ``by``) in the order of (hash of key, key).
 
     Hashes spread evenly, so rows are numbered inside buckets of the first
     digits, and buckets are offset by the counts of those before: two small
-    windows in place of one over everything.
+    windows in place of one over everything. Rows are read once and written to
+    the shared folder with their place in the bucket; ``dropped`` on the result
+    deletes them.
     """
-    tagged = rows.withColumn("h_", hashed(seed, key)).withColumn("p_", F.substring("h_", 1, BUCKET_DIGITS))
-    keys = [by] if by else []
-    counts = tagged.groupBy(*keys, "p_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("p_")) - F.col("n_")
-    offsets = counts.select(*[F.col(k).alias("s_") for k in keys], F.col("p_").alias("q_"), before.alias("before_"))
-    local = F.row_number().over(Window.partitionBy(*keys, "p_").orderBy("h_", key)) - 1
-    same = F.col("p_") == F.col("q_")
-    if by:
-        same = same & F.col(by).eqNullSafe(F.col("s_"))
-    return tagged.withColumn("local_", local).join(offsets, same).select(*rows.columns, (F.col("before_") + F.col("local_")).alias(name))
+    return _shown(_placed(rows, key, seed, by, name), *rows.columns, name)
 
 
 def holdout_split(rows: DataFrame, key: str, test_size: float, seed: int | str, strata: str | None = None) -> DataFrame:
-    """Adds boolean ``is_test``: the ceil(test_size n) rows (of each stratum) with the smallest hashes."""
+    """Adds boolean ``is_test``: the ceil(test_size n) rows (of each stratum) with the smallest hashes. Stored as by ``numbered``."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be strictly between 0 and 1")
-    placed = numbered(rows, key, seed, strata, "place_")
-    if strata is None:
-        return placed.select(*rows.columns, (F.col("place_") < F.lit(-int(-rows.count() * test_size // 1))).alias("is_test"))
-    sizes = rows.groupBy(F.col(strata).alias("s_")).agg(F.ceil(F.count("*") * F.lit(test_size)).alias("size_"))
-    return placed.join(sizes, placed[strata].eqNullSafe(sizes["s_"])).select(*rows.columns, (F.col("place_") < F.col("size_")).alias("is_test"))
+    size = F.ceil(F.col("total_") * F.lit(float(test_size)))
+    return _shown(_placed(rows, key, seed, strata, "place_"), *rows.columns, (F.col("place_") < size).alias("is_test"))
 
 
 #: Rows of a bucket at most; a table has 64 buckets or more, if it has so many rows.
@@ -116,15 +135,16 @@ def stratified_weights(spark: SparkSession, sizes: dict[str, int], n_draws: int,
     return _weights(_bucket_counts(spark, sizes, range(1, n_draws + 1), seed), seed, sum(sizes.values()) * n_draws, True)
 
 
-def resampled(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str, strata: str | None = None) -> DataFrame:
-    """(draw, w, columns of rows): the drawn rows of each of ``attempts``, which become draws 1, 2, ..., with their multiplicity, as by ``bootstrap_weights``.
+def dealt(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str, strata: str | None = None) -> DataFrame:
+    """``rows`` with array<int> ``times_``: how often each of ``attempts`` draws the row, as by ``bootstrap_weights``.
 
     ``rows`` carry ``idx`` (within ``strata``). A bucket's rows meet the
     bucket's counts, a number a draw, and are drawn there: no slot and no row
     number is shuffled, and rows move once for all draws. A task holds a bucket
-    of some thousand rows and its draws at a time.
+    of some thousand rows and its draws at a time. Python gives each row back
+    once, whatever the number of draws.
     """
-    stratified = strata is not None
+    stratified, n_draws = strata is not None, len(attempts)
     m = {s: bucket_rows(n) for s, n in sizes.items()}
     if stratified:
         per = F.element_at(F.map_from_arrays(F.array(*[F.lit(s) for s in m]), F.array(*[F.lit(x) for x in m.values()])), F.col(strata))
@@ -135,26 +155,33 @@ def resampled(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[
     names, text = rows.columns, str(seed)
 
     def drawn(table: pa.Table, counts: pa.Table) -> pa.Table:
-        place = np.argsort(table.column("idx").to_numpy()) if table.num_rows else np.zeros(0, dtype=np.int64)
-        at, draws, weights = [], [], []
-        for c in counts.to_pylist():
-            head = "|".join([text, str(c["attempt"]), *([c["stratum"]] if stratified else []), str(c["bucket"]), ""])
-            hits = [int(hashlib.md5(f"{head}{j}".encode()).hexdigest()[:13], 16) % c["size"] for j in range(c["c"])]
-            found, times = np.unique(hits, return_counts=True)
-            at.append(place[found])
-            draws.append(np.full(len(found), c["draw"]))
-            weights.append(times)
-        at, draws, weights = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (at, draws, weights))
-        taken = table.select(names).take(pa.array(at.astype(np.int64)))
-        return pa.Table.from_arrays([pa.array(draws, pa.int32()), pa.array(weights, pa.int64()), *taken.columns], names=["draw", "w", *names])
-
-    schema = T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("w", T.LongType()), *rows.schema.fields])
+        n = table.num_rows
+        times = np.zeros((n, n_draws), dtype=np.int32)
+        place = np.argsort(table.column("idx").to_numpy()) if n else np.zeros(0, dtype=np.int64)
+        ends = [str(j).encode() for j in range(max(counts.column("c").to_pylist(), default=0))]
+        for c in counts.to_pylist() if n else ():
+            head = "|".join([text, str(c["attempt"]), *([c["stratum"]] if stratified else []), str(c["bucket"]), ""]).encode()
+            hashes = b"".join([hashlib.md5(head + end).digest() for end in ends[: c["c"]]])
+            hits = (np.frombuffer(hashes, dtype=">u8")[::2] >> np.uint64(12)) % np.uint64(c["size"])  # the first 52 bits
+            times[place, c["draw"] - 1] = np.bincount(hits.astype(np.int64), minlength=n)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_draws + 1, n_draws, dtype=np.int32)), pa.array(times.reshape(-1)))
+        return pa.Table.from_arrays([*table.select(names).columns, lists], names=[*names, "times_"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("times_", T.ArrayType(T.IntegerType()))])
     return placed.groupBy("stratum_", "bucket_").cogroup(counts.groupBy("stratum", "bucket")).applyInArrow(drawn, schema)
 
 
-def with_original(drawn: DataFrame, rows: DataFrame) -> DataFrame:
-    """(draw, w, columns of rows): every draw's rows with their multiplicity; draw 0 is each row once."""
-    return rows.select(F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"), *rows.columns).unionByName(drawn)
+def drawn_rows(rows: DataFrame, original: bool = False) -> DataFrame:
+    """(draw, w, other columns) of what ``dealt`` gives: the rows that each draw holds, with their multiplicity. With ``original`` draw 0 is each row once."""
+    times = F.concat(F.array(F.lit(1)), "times_") if original else F.col("times_")
+    names = [c for c in rows.columns if c != "times_"]
+    each = rows.select(*names, F.posexplode(times).alias("at_", "w")).where("w > 0")
+    return each.select((F.col("at_") + (0 if original else 1)).cast("int").alias("draw"), F.col("w").cast("long").alias("w"), *names)
+
+
+def resampled(rows: DataFrame, sizes: dict[str | None, int], attempts: Sequence[int], seed: int | str, strata: str | None = None) -> DataFrame:
+    """(draw, w, columns of rows): the drawn rows of each of ``attempts``, which become draws 1, 2, ..., with their multiplicity, as dealt by ``dealt``."""
+    return drawn_rows(dealt(rows, sizes, attempts, seed, strata))
 
 
 def classes_per_draw(weighted: DataFrame, target: str = "y") -> DataFrame:
@@ -173,8 +200,8 @@ def usable_draws(weights: DataFrame, train: DataFrame, target: str, n_draws: int
 
 def first_usable(drawn: DataFrame, target: str, n_draws: int) -> DataFrame:
     """The same from drawn rows (draw, target)."""
-    held = drawn.groupBy("draw").agg(F.count_distinct(target).alias("n_classes"))
-    good = held.where("n_classes > 1").select(F.col("draw").alias("attempt"))
+    held = drawn.groupBy("draw").agg((F.min(target) < F.max(target)).alias("several"))
+    good = held.where("several").select(F.col("draw").alias("attempt"))
     return good.select(F.row_number().over(Window.orderBy("attempt")).alias("draw"), "attempt").where(F.col("draw") <= n_draws)
 
 

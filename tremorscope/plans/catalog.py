@@ -26,7 +26,7 @@ def _round(df: DataFrame, names, places: int = 6) -> DataFrame:
 
 def _sides(spark: SparkSession, folder: str, target: str = "y", source: Callable = order_cases) -> tuple[DataFrame, DataFrame]:
     """Training rows and held-out cases of the orders, with ``y`` the price or the status."""
-    split = stored(sampling.holdout_split(source(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None), "split")
+    split = sampling.holdout_split(source(spark, folder), "rid", TEST, f"{SEED}|split", "label" if target == "label" else None)
     if target == "label":
         split = split.drop("y").withColumnRenamed("label", "y")
     return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test").withColumnRenamed("rid", "case_id")
@@ -51,8 +51,8 @@ def _labels(spark, folder, method="predict"):
 
 def _weighted(spark, folder, target="y"):
     train, _ = _sides(spark, folder, target)
-    rows = stored(sampling.numbered(train, "rid", f"{SEED}|rows"), "rows")
-    return sampling.with_original(sampling.resampled(rows, {None: rows.count()}, range(1, DRAWS + 1), SEED), rows)
+    rows = sampling.numbered(train, "rid", f"{SEED}|rows").drop("rid")
+    return sampling.drawn_rows(stored(sampling.dealt(rows, {None: rows.count()}, range(1, DRAWS + 1), SEED), "rows"), True)
 
 
 def _summary(audit, places=6):
