@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import accuracy_by, r2_by
 from ..operators import linear, plotdata, representative, sampling, trees
 from ..operators.audit import aligned, bootstrap_predictions, summarised
-from ..operators.frontier import most_stable, pareto_front, stability_frontier, within_of_best
+from ..operators.frontier import most_stable, stability_frontier, within_of_best
 from ..operators.procedures import ClassShares, Constant, GroupMean, Merging, Ols, StepMeans
 from ..sources.shared import stored
 from ..sources.tables import line_cases, order_cases, table
@@ -180,10 +180,9 @@ def frontier_points_labels(spark, folder):
     return _shown(found.points)
 
 
-def _frontier(spark, folder, metric="pairwise", family="ridge"):
+def _frontier(spark, folder, metric="pairwise"):
     train, cases = _sides(spark, folder)
-    factory, grid = (lambda penalty: Ols("x", penalty), {"penalty": list(PENALTIES)}) if family == "ridge" else (lambda strength: GroupMean("g", strength), {"strength": list(STRENGTHS)})
-    return stability_frontier(factory, grid, train, cases=cases, n_bootstrap=DRAWS, seed=SEED, instability_metric=metric)
+    return stability_frontier(lambda penalty: Ols("x", penalty), {"penalty": list(PENALTIES)}, train, cases=cases, n_bootstrap=DRAWS, seed=SEED, instability_metric=metric)
 
 
 def _shown(points: DataFrame) -> DataFrame:
@@ -203,8 +202,10 @@ def pareto_front_mape(spark, folder):
 
 
 def frontier_two_families(spark, folder):
-    more = _frontier(spark, folder, family="means").points.withColumn("config_id", F.col("config_id") + len(PENALTIES))
-    return _shown(pareto_front(_frontier(spark, folder).points.unionByName(more)))
+    """Both families in one frontier: they share split, resamples and predictions."""
+    train, cases = _sides(spark, folder)
+    factory = lambda **p: Ols("x", p["penalty"]) if "penalty" in p else GroupMean("g", p["strength"])
+    return _shown(stability_frontier(factory, [{"penalty": list(PENALTIES)}, {"strength": list(STRENGTHS)}], train, cases=cases, n_bootstrap=DRAWS, seed=SEED).frontier)
 
 
 def constrained_choice(spark, folder):
