@@ -16,9 +16,12 @@ from pyspark.sql.window import Window
 from ..functions.stats import NAN, exact_quantile
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_numeric, require_scalar
+from . import batches
 from .sampling import dealt, drawn_rows, first_usable, numbered
 
 ONE_STEP_CASES = 1_000_000
+#: Cases from which an audit looks whether their ids are their own, as it then needs no exchange of predictions.
+MANY_CASES = 200_000
 TASKS, METHODS = ("continuous", "categorical"), ("predict", "predict_proba")
 
 
@@ -39,36 +42,19 @@ def gathered(full: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _numeric_batch(batch: pa.RecordBatch, n_keys: int) -> pa.RecordBatch:
-    lists, n = batch.column(n_keys), batch.num_rows
-    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
-    case, draw, pred = np.repeat(np.arange(n), sizes), flat.field(0).to_numpy(), flat.field(1)
-    lost, pred = pred.is_null().to_numpy(zero_copy_only=False), pred.to_numpy(zero_copy_only=False)
-    first = np.zeros(n)
-    gone = np.ones(n, dtype=bool)
-    at = (draw == 0) & ~lost
-    first[case[at]], gone[case[at]] = pred[at], False
-    at = draw > 0
-    case, draw, pred, lost = case[at], draw[at], pred[at], lost[at]
-    total = lambda x: np.bincount(case, x, minlength=n)
-    some, b = total(lost.astype(float)) > 0, total((~lost).astype(float))
-    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        mean = total(np.where(lost, 0.0, pred)) / b
-        z = pred - mean[case]
-        s2, s1 = total(np.where(lost, 0.0, z * z)), total(np.where(lost, 0.0, z))
-        move, d = np.abs(pred - first[case]), b[case] * z * z + s2[case] - 2 * z * s1[case]
-        per_point, mape = s2 / (b - 1), total(move) / b
-    known = lambda x, unknown: pa.array(x, pa.float64(), mask=unknown)
-    cells = pa.StructArray.from_arrays([pa.array(draw, pa.int32()), known(move, lost | gone[case]), known(d, some[case])], names=["draw", "move", "d"])
-    each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(case, minlength=n))), pa.int32()), cells)
-    numbers = [known(per_point, b < 2), known(2 * per_point, b < 2), known(mape, some | gone | (b == 0)), pa.array(np.zeros(n)), pa.array(np.zeros(n)), each]
+    n, x = batch.num_rows, batches.numeric(batch.column(n_keys))
+    known = lambda values, unknown: pa.array(values, pa.float64(), mask=unknown)
+    cells = pa.StructArray.from_arrays([pa.array(x.draw, pa.int32()), known(x.move, x.no_move), known(x.d, x.no_d)], names=["draw", "move", "d"])
+    each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(x.case, minlength=n))), pa.int32()), cells)
+    numbers = [known(x.per_point, x.no_point), known(x.pairwise, x.no_point), known(x.mape, x.no_mape), pa.array(x.move0), pa.array(x.d0), each]
     return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_keys)], *numbers], names=[*batch.schema.names[:n_keys], "per_point", "pairwise", "mape", "move0", "d0", "each"])
 
 
 def _numeric_cases(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Case rows from ``gathered`` ones, where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
             yield _numeric_batch(batch, len(keys))
 
     more = T._parse_datatype_string("per_point double, pairwise double, mape double, move0 double, d0 double, each array<struct<draw:int,move:double,d:double>>")
@@ -149,6 +135,18 @@ def draw_rows(rows: DataFrame, by: Sequence[str] = (), percentile: bool = False)
     return sums.select(*by, "draw", m.alias("m"), r.alias("r"), *[base(k).alias(k) for k in overall]).where("draw > 0")
 
 
+def added_up(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What ``draw_rows`` gives, from the tasks' ``batches.sums``, with score_error and score_spread on each row beside."""
+    whole = {"n": "n", "move": "move", "d": "d", "point": "per_point", "points": "n_point", "pairs": "pairwise", "mapes": "mape", "n_mape": "n_mape", "error": "error", "spread": "spread"}
+    rows = sums.where("draw is not null").groupBy(*by, "draw").agg(*[F.sum(c).alias(k) for k, c in whole.items()], F.max("max_point").alias("most"))
+    table = Window.partitionBy(*(by or [F.lit(0)]))  # a row a draw
+    base = lambda name: F.max(F.when(F.col("draw") == 0, F.col(name))).over(table)
+    m, r = (base("move") + F.col("move")) / base("n"), (base("d") + F.col("d")) / base("n")
+    mean = lambda total, count: F.try_divide(base(total), base(count))
+    overall = {"instability_mean": mean("point", "points"), "instability_max": base("most"), "mape": mean("mapes", "n_mape"), "pairwise_mean": mean("pairs", "points"), "score_error": base("error"), "score_spread": base("spread")}
+    return rows.select(*by, "draw", m.alias("m"), r.alias("r"), *[v.alias(k) for k, v in overall.items()]).where("draw > 0")
+
+
 def standard_error(samples: DataFrame, column: str = "m", by: Sequence[str] = ()) -> DataFrame:
     """One row: standard deviation over the root of the count; NaN under two rows."""
     return samples.groupBy(*by).agg(_spread(column).alias("standard_error"))
@@ -202,7 +200,10 @@ def require_classes(probabilities: DataFrame, classes: DataFrame, by: Sequence[s
 class Audit:
     """What ``bootstrap_predictions`` found. Statistics are lazy; the prediction table, with draw 0 for the original fit, and what it was made from are in the shared folder until ``release``.
 
-    Of numbers it is stored as a row a case, ``cells``, and moves as that. Of
+    Of numbers it is stored as a row a case, ``cells``, and moves as that. If
+    ``own_ids``, no two cases share an id, ``cells`` are complete where they
+    are, of labels and probabilities too, and nothing moves but sums by draw;
+    procedures that are cheap to ask are then asked again and not written. Of
     probabilities the kept table holds the classes that a draw knows, and
     under draw -1 a zero for each case; ``predictions`` and ``original`` fill in
     zeros for the other classes.
@@ -222,6 +223,7 @@ class Audit:
     by: tuple[str, ...] = ()
     tables: list[DataFrame] = field(default_factory=list)
     cells: DataFrame | None = None
+    own_ids: bool = False
 
     @property
     def n_rejected_resamples(self) -> int:
@@ -249,8 +251,10 @@ class Audit:
 
     @property
     def case_rows(self) -> DataFrame:
-        if self.cells is not None:
+        if self.kind == "numeric" and self.cells is not None:
             keys = [*self.by, "case_id"]
+            if self.own_ids:
+                return _numeric_cases(self.cells, keys)
             # rows that share a case_id are one case
             return _numeric_cases(self.cells.repartition(*keys).groupBy(*keys).agg(F.flatten(F.collect_list("cells")).alias("cells")), keys)
         return case_rows(self.kept, self.kind, self.by, self.n_bootstrap, self.n_classes)
@@ -259,11 +263,19 @@ class Audit:
     def case_stats(self) -> DataFrame:
         return case_stats(self.case_rows, self.by)
 
+    def sums(self, **options) -> DataFrame:
+        """What tasks add up of ``cells``, if ids are the cases' own."""
+        return batches.sums(self.cells, self.kind, self.by, self.n_bootstrap, self.n_classes, **options)
+
+    @property
+    def draw_rows(self) -> DataFrame:
+        return added_up(self.sums(), self.by) if self.own_ids else draw_rows(self.case_rows, self.by)
+
     def mape_standard_error(self) -> DataFrame:
-        return standard_error(draw_rows(self.case_rows, self.by), by=self.by)
+        return standard_error(self.draw_rows, by=self.by)
 
     def pairwise_standard_error(self) -> DataFrame:
-        return draw_rows(self.case_rows, self.by).groupBy(*self.by).agg(_jackknife().alias("standard_error"))
+        return self.draw_rows.groupBy(*self.by).agg(_jackknife().alias("standard_error"))
 
     def release(self) -> None:
         """Delete every table that the audit wrote."""
@@ -337,6 +349,8 @@ class Prepared:
     n_cases: int
     n_resample_attempts: int
     tables: list[DataFrame]
+    rows: DataFrame | None = None
+    own_ids: bool = False
 
 
 def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str = "y", task: str = "continuous", n_bootstrap: int = 20, prediction_method: str = "predict", seed: int = 0, finite: Sequence[str] = (), columns: Sequence[str] | None = None) -> Prepared:
@@ -357,7 +371,12 @@ def prepare(train: DataFrame, cases: DataFrame, *, key: str = "rid", target: str
     else:
         drawn = table = stored(dealt(kept, {None: n}, attempts, seed), "audit-draws")
     classes = rows.select(F.col("y").alias("class")).distinct() if task == "categorical" else None
-    return Prepared(drawn_rows(drawn, True), cases, classes, task, n_bootstrap, n_cases, attempts[-1], [rows, table, cases])
+    return Prepared(drawn_rows(drawn, True), cases, classes, task, n_bootstrap, n_cases, attempts[-1], [rows, table, cases], drawn, n_cases >= MANY_CASES and no_shared_ids(cases))
+
+
+def no_shared_ids(cases: DataFrame) -> bool:
+    """Whether no two cases share an id. Hashes of ids are what moves; where two different ids share one, the answer is no."""
+    return cases.groupBy(F.xxhash64("case_id").alias("h")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def columns_of(procedures: Sequence[object]) -> list[str] | None:
@@ -373,44 +392,72 @@ def audited(prepared: Prepared, procedure, prediction_method: str = "predict") -
 CONFIG = ("config_id",)
 
 
-def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_method: str = "predict", by: tuple[str, ...] = CONFIG) -> Audit:
-    """An audit whose tables hold ``config_id``, if ``by`` has it: all procedures in one prediction table."""
+def audited_all(prepared: Prepared, procedures: dict[int, object], prediction_method: str = "predict", by: tuple[str, ...] = CONFIG, also: Sequence[str] = ()) -> Audit:
+    """An audit whose tables hold ``config_id``, if ``by`` has it: all procedures in one prediction table. Where ids are the cases' own, ``cells`` carry the columns ``also`` of the cases."""
     task, cases, classes, tables = prepared.task, prepared.cases, prepared.classes, list(prepared.tables)
-    parts, labelled = [], []
+    kind = "vector" if prediction_method == "predict_proba" else "numeric" if task == "continuous" else "label"
+    asked = {"numeric": "cells", "label": "label_cells", "vector": "share_cells"}[kind]
+    own = prepared.own_ids and all(hasattr(p, asked) for p in procedures.values())
+    keep = not (own and all(getattr(p, "cheap", False) for p in procedures.values()))
+    also = [c for c in also if own]
+    parts, labelled, states = [], [], {}
     mark = lambda df, i: df.withColumn("config_id", F.lit(i)) if by else df
     for config_id, procedure in procedures.items():
-        model = procedure.fit(prepared.weighted)
+        model = fitted(procedure, prepared, states, tables)
         if isinstance(model, DataFrame):
             model = stored(model, "audit-models")  # a few rows a draw, which several joins read
             tables.append(model)
-        if prediction_method == "predict_proba":
+        if kind == "vector":
             require_probabilities(procedure, model)
             first = model.where("draw = 0") if isinstance(model, DataFrame) else {0: model[0]}
             labelled.append(mark(procedure.predict(first, cases).select("case_id", F.col("pred").alias("pred0")), config_id))
+        if own:
+            parts.append(mark(getattr(procedure, asked)(model, cases, also) if also else getattr(procedure, asked)(model, cases), config_id))
+        elif kind == "vector":
             parts.append(mark(procedure.predict_proba(model, cases).select("draw", "case_id", "class", "p"), config_id))
-        elif task == "continuous":
+        elif kind == "numeric":
             one = procedure.cells(model, cases) if hasattr(procedure, "cells") else gathered(procedure.predict(model, cases), ["case_id"])
             parts.append(mark(one.select("case_id", "cells"), config_id))
         else:
             parts.append(mark(procedure.predict(model, cases).select("draw", "case_id", "pred"), config_id))
-    if prediction_method == "predict_proba":
+    n_classes = None
+    if kind == "vector":
         classes = stored(classes, "audit-classes")
         tables.append(classes)
         n_classes, least = classes.agg(F.count("*"), F.min("class")).first()
-        # a case of which no fit knows any class is a case all the same
-        parts += [mark(cases.select(F.lit(-1).alias("draw"), "case_id", F.lit(least).alias("class"), F.lit(0.0).alias("p")), i) for i in procedures]
-    full = stored(reduce(DataFrame.unionByName, parts), "audit-predictions")
-    tables.append(full)
-    cells = None
-    if prediction_method == "predict" and task == "continuous":
-        cells, full = full, full.select("case_id", *by, F.explode("cells").alias("cell")).select("cell.draw", "case_id", "cell.pred", *by)
-    if prediction_method == "predict_proba":
-        require_classes(full, classes, by)
-        labels, kind = reduce(DataFrame.unionByName, labelled), "vector"
+        if not own:
+            # a case of which no fit knows any class is a case all the same
+            parts += [mark(cases.select(F.lit(-1).alias("draw"), "case_id", F.lit(least).alias("class"), F.lit(0.0).alias("p")), i) for i in procedures]
+    full, cells = reduce(DataFrame.unionByName, parts), None
+    if keep:
+        full = stored(full, "audit-predictions")
+        tables.append(full)
+    if own or kind == "numeric":
+        value = ["cell.class", "cell.p"] if kind == "vector" else ["cell.pred"]
+        each = F.col("cells")
+        if kind == "vector":
+            each = F.concat(F.array(F.struct(F.lit(-1).alias("draw"), F.lit(least).alias("class"), F.lit(0.0).alias("p"))), each)
+        cells, full = full, full.select("case_id", *by, F.explode(each).alias("cell")).select("cell.draw", "case_id", *value, *by)
+    if kind == "vector":
+        if keep:  # what is cheap gives classes of training rows, once each
+            require_classes(full, classes, by)
+        labels = reduce(DataFrame.unionByName, labelled)
     else:
         labels = full.where("draw = 0").select(*by, "case_id", F.col("pred").alias("pred0"))
-        kind, n_classes = "numeric" if task == "continuous" else "label", None
-    return Audit(task, prediction_method, kind, labels, full, cases, classes, n_classes, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts, by, tables, cells)
+    return Audit(task, prediction_method, kind, labels, full, cases, classes, n_classes, prepared.n_bootstrap, prepared.n_cases, prepared.n_resample_attempts, by, tables, cells, own)
+
+
+def fitted(procedure, prepared: Prepared, states: dict, tables: list[DataFrame]):
+    """The procedure's model. What procedures of one state_key add up is added up once; ``states`` and ``tables`` get to know it."""
+    if prepared.rows is None or not hasattr(procedure, "states"):
+        return procedure.fit(prepared.weighted)
+    key = getattr(procedure, "state_key", None)
+    if key is None:
+        return procedure.solved(procedure.states(prepared.rows))
+    if key not in states:
+        states[key] = stored(procedure.states(prepared.rows), "audit-states")
+        tables.append(states[key])
+    return procedure.solved(states[key])
 
 
 def require_probabilities(procedure, model=None) -> None:
@@ -437,15 +484,25 @@ def _stored_quantile(rows: DataFrame, column: str, q: float) -> float:
     return found
 
 
-def summarised(audit: Audit) -> DataFrame:
-    """A row (a configuration): mean, 90th percentile and maximum of per_point, mean mape and pairwise with their errors, counters. With configurations there is no percentile."""
-    by, rows = audit.by, audit.case_rows
-    exact = not by and audit.n_cases <= ONE_STEP_CASES
-    draws = draw_rows(rows, by, exact)
+def summarised(audit: Audit, scored: dict | None = None) -> DataFrame:
+    """A row (a configuration): mean, 90th percentile and maximum of per_point, mean mape and pairwise with their errors, counters. With configurations there is no percentile. ``scored`` are options of ``batches.sums`` that tell the truth; then score_error and score_spread too, where ids are the cases' own."""
+    by, exact = audit.by, not audit.by and audit.n_cases <= ONE_STEP_CASES
+    if audit.own_ids:
+        exact = False
+        sums = audit.sums(values=not by, **(scored or {}))
+        if not by:
+            sums = stored(sums, "audit-sums")
+            audit.tables.append(sums)
+        draws = added_up(sums, by)
+    else:
+        rows = audit.case_rows
+        draws = draw_rows(rows, by, exact)
     taken = {k: F.max(k) for k in ("instability_mean", "instability_max", "mape", "pairwise_mean")}
+    if scored:
+        taken |= {k: F.max(k) for k in ("score_error", "score_spread")}
     if not by:
-        taken["instability_p90"] = F.max("instability_p90") if exact else F.first(F.lit(_stored_quantile(rows, "per_point", 0.9)))
+        taken["instability_p90"] = F.max("instability_p90") if exact else F.first(F.lit(exact_quantile(sums.where("draw is null"), "per_point", 0.9) if audit.own_ids else _stored_quantile(rows, "per_point", 0.9)))
     one = draws.groupBy(*by).agg(*[v.alias(k) for k, v in taken.items()], _spread("m").alias("mape_standard_error"), _jackknife().alias("pairwise_standard_error"))
     counters = {"n_fit_attempts": audit.n_fit_attempts, "n_resample_attempts": audit.n_resample_attempts, "n_rejected_resamples": audit.n_rejected_resamples}
-    numbers = [c for c in ("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error") if c in one.columns]
+    numbers = [c for c in ("instability_mean", "instability_p90", "instability_max", "mape", "mape_standard_error", "pairwise_mean", "pairwise_standard_error", "score_error", "score_spread") if c in one.columns]
     return one.select(*by, *numbers, *[F.lit(v).cast("long").alias(k) for k, v in counters.items()])

@@ -123,12 +123,19 @@ def stability_frontier(procedure_factory: Callable, grid, data: DataFrame, task:
         for p in procedures.values():
             require_probabilities(p)
     finite = sorted({c for p in procedures.values() for c in getattr(p, "finite", ())})
-    prepared = prepare(train, cases, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite, columns=columns_of(list(procedures.values())))
-    audit = audited_all(prepared, procedures, prediction_method)
-    found = summarised(audit)
-    scores = score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task)
+    told = cases.withColumn("truth_", F.col(target).cast("double" if task == "continuous" else "string"))
+    prepared = prepare(train, told, key=key, target=target, task=task, n_bootstrap=n_bootstrap, prediction_method=prediction_method, seed=seed, finite=finite, columns=columns_of(list(procedures.values())))
+    audit = audited_all(prepared, procedures, prediction_method, also=["truth_"] if prediction_method == "predict" else [])
+    if audit.own_ids and audit.kind != "vector":
+        # each case has its truth beside its predictions: scores come with the sums
+        mean = prepared.cases.agg(F.sum("truth_") / F.count("*")).first()[0] if audit.kind == "numeric" else None
+        error, spread = F.col("score_error"), F.col("score_spread")
+        r2 = F.when(spread == 0, F.when(error == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(error, spread))
+        scored = summarised(audit, {"truth": "truth_", "mean": mean}).withColumn("score", r2 if audit.kind == "numeric" else F.try_divide(error, spread))
+    else:
+        scored = summarised(audit).join(score_by(audit.original_labels.withColumnRenamed("pred0", "pred").join(truth, "case_id"), ["config_id"], task), "config_id")
     rows = []
-    for r in found.join(scores, "config_id").orderBy("config_id").collect():  # a row a configuration
+    for r in scored.orderBy("config_id").collect():  # a row a configuration
         instability, error = (r.pairwise_mean, r.pairwise_standard_error) if instability_metric == "pairwise" else (r.mape, r.mape_standard_error)
         rows.append((r.config_id, {k: str(v) for k, v in configs[r.config_id].items()}, r.score, instability, error, r.pairwise_mean, r.pairwise_standard_error, r.mape, r.mape_standard_error, r.n_resample_attempts, r.n_rejected_resamples))
     audit.release()

@@ -2,8 +2,12 @@
 
 A procedure has ``fit(weighted)``, from rows (draw, w, y, features) to a table
 with a row or a few a draw, and ``predict(model, cases)``, to (draw, case_id,
-pred); ``cells``, if there is one, to the same as (case_id, array of (draw, pred)),
-which spares audits an exchange. Those for labels may have ``predict_proba``, to (draw, case_id, class,
+pred); ``cells(model, cases, also)``, if there is one, to the same as (case_id, ``also``,
+array of (draw, pred)), a row a case, which spares audits an exchange; ``label_cells`` and
+``share_cells``, of (draw, class, p), do so for labels. If it says that these are ``cheap``,
+audits of many cases make them anew in place of writing them. ``states``, from the same rows or
+from rows with array ``times_`` by draw, and ``solved`` are a fit in two steps, of which procedures with one ``state_key``
+share the first. Those for labels may have ``predict_proba``, to (draw, case_id, class,
 p). Fits are weighted aggregates by draw: a repeated row is a weight, never a
 copy, and what is fitted is far smaller than the data. ``finite``, if there is
 one, names the columns that must hold finite numbers; audits check them.
@@ -28,23 +32,25 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .sampling import drawn_rows
+
 
 def each_draw(cases: DataFrame, model: DataFrame) -> DataFrame:
     """Cases with each draw's model row; the model side has one row a draw, which bounds the broadcast."""
     return cases.crossJoin(F.broadcast(model))
 
 
-def each_cell(cases: DataFrame, model: DataFrame, pred: Callable) -> DataFrame:
-    """(case_id, cells) of each case: (draw, pred) of all draws in one array; ``pred`` makes a value of a draw's model row."""
+def each_cell(cases: DataFrame, model: DataFrame, pred: Callable, also: Sequence[str] = ()) -> DataFrame:
+    """(case_id, also, cells) of each case: (draw, pred) of all draws in one array; ``pred`` makes a value of a draw's model row."""
     models = model.agg(F.collect_list(F.struct(*model.columns)).alias("models_"))
     cell = lambda m: F.struct(m["draw"].alias("draw"), pred(m).cast("double").alias("pred"))
-    return each_draw(cases, models).select("case_id", F.transform("models_", cell).alias("cells"))
+    return each_draw(cases, models).select("case_id", *also, F.transform("models_", cell).alias("cells"))
 
 
 class Constant:
     """Predicts one value, whatever the data."""
 
-    columns = ()
+    columns, cheap = (), True
 
     def __init__(self, value=0.0):
         self.value = value
@@ -55,8 +61,8 @@ class Constant:
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", F.lit(self.value).alias("pred"))
 
-    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        return each_cell(cases, model, lambda m: F.lit(self.value))
+    def cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        return each_cell(cases, model, lambda m: F.lit(self.value), also)
 
 
 def known_weight():
@@ -67,7 +73,7 @@ def known_weight():
 class Mean:
     """The weighted mean of y; rows without y don't count."""
 
-    columns = ()
+    columns, cheap = (), True
 
     def fit(self, weighted: DataFrame) -> DataFrame:
         return weighted.groupBy("draw").agg((F.sum(F.col("w") * F.col("y")) / F.sum(known_weight())).alias("pred"))
@@ -75,20 +81,27 @@ class Mean:
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", "pred")
 
-    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        return each_cell(cases, model, lambda m: m["pred"])
+    def cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        return each_cell(cases, model, lambda m: m["pred"], also)
 
 
 class GroupMean:
     """The weighted mean of y in the case's group, drawn to the draw's mean by ``strength`` pseudo-rows; unseen groups get that mean. Rows without y don't count."""
 
+    cheap = True
+
     def __init__(self, column: str, strength: float = 0.0):
         self.column, self.strength = column, strength
-        self.columns = [column]
+        self.columns, self.state_key = [column], ("group sums", column)
 
     def fit(self, weighted: DataFrame) -> DataFrame:
+        return self.solved(self.states(weighted))
+
+    def states(self, weighted: DataFrame) -> DataFrame:
         sums = (F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
-        groups = weighted.where("y is not null").groupBy("draw", F.col(self.column).alias("group")).agg(*sums)
+        return by_draw(weighted).where("y is not null").groupBy("draw", F.col(self.column).alias("group")).agg(*sums)
+
+    def solved(self, groups: DataFrame) -> DataFrame:
         over = Window.partitionBy("draw")
         overall = F.sum("s").over(over) / F.sum("n").over(over)
         return groups.select("draw", "group", ((F.col("s") + self.strength * overall) / (F.col("n") + self.strength)).alias("value"), overall.alias("overall"))
@@ -99,9 +112,21 @@ class GroupMean:
         groups = model.select(F.col("draw").alias("d_"), "group", "value")
         return spread.join(groups, (F.col("draw") == F.col("d_")) & (F.col("own") == F.col("group")), "left").select("draw", "case_id", F.coalesce("value", "overall").alias("pred"))
 
+    def cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        overall = model.groupBy("draw").agg(F.first("overall").alias("overall")).agg(F.collect_list(F.struct("draw", "overall")).alias("overalls_"))
+        groups = model.where("group is not null").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("draw", "value"))).alias("values_"))
+        joined = each_draw(cases.select("case_id", *also, F.col(self.column).alias("own")), overall).join(groups, F.col("own") == F.col("group"), "left")
+        cell = lambda o: F.struct(o["draw"].alias("draw"), F.coalesce(F.try_element_at("values_", o["draw"]), o["overall"]).cast("double").alias("pred"))
+        return joined.select("case_id", *also, F.transform("overalls_", cell).alias("cells"))
+
+
+#: Rows of draws that a task gathers before it adds them to states, and groups in which a draw's states meet first.
+GATHERED, MEETINGS = 1 << 19, 32
 
-#: Rows that a task gathers before it adds them to states, and groups in which a draw's states meet first.
-GATHERED, MEETINGS = 1 << 16, 32
+
+def by_draw(rows: DataFrame) -> DataFrame:
+    """Rows (draw, w, ...) of what may come as rows with ``times_``."""
+    return drawn_rows(rows, True) if "times_" in rows.columns else rows
 
 
 def merged(weighted: DataFrame, columns: Sequence[str], protocol, finish: Callable[[object], dict], schema: str) -> DataFrame:
@@ -111,9 +136,11 @@ def merged(weighted: DataFrame, columns: Sequence[str], protocol, finish: Callab
     merge(state, other) to the next one; X is a pandas frame of the columns, w
     the weights. A task keeps a state a draw, whatever its rows; states of a
     draw meet in groups, then in one row, so nothing but states moves, and no
-    task holds a resample.
+    task holds a resample. Rows that come with ``times_``, how often each of draws 1, 2, ...
+    holds them, aren't copied for each draw, and reach Python once; draw 0 is each row once.
     """
     columns = list(columns)
+    together_ = "times_" in weighted.columns
     states = "draw int, at int, state binary"
 
     def table(rows: list[tuple]) -> pa.Table:
@@ -122,10 +149,22 @@ def merged(weighted: DataFrame, columns: Sequence[str], protocol, finish: Callab
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, waiting, size = {}, [], 0
         for batch in chain(batches, [None]):
-            if batch is not None:
+            if batch is not None and batch.num_rows:
                 waiting.append(batch)
-                size += batch.num_rows
-            if waiting and (batch is None or size >= GATHERED):
+                size += len(batch.column(0).flatten()) + batch.num_rows if together_ else batch.num_rows
+            if waiting and (batch is None or size >= GATHERED) and together_:
+                table_ = pa.Table.from_batches(waiting)
+                times = table_.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table_.num_rows, -1)
+                rows = table_.select(range(1, table_.num_columns)).to_pandas()
+                for draw in range(times.shape[1] + 1):
+                    w = times[:, draw - 1] if draw else np.ones(len(rows), dtype=np.int64)
+                    at = np.flatnonzero(w)
+                    if len(at):
+                        part = rows.iloc[at] if draw else rows
+                        state = found[draw] if draw in found else protocol.start()
+                        found[draw] = protocol.update(state, part[columns], part["y"], w[at].astype(np.int64))
+                waiting, size = [], 0
+            elif waiting and (batch is None or size >= GATHERED):
                 rows = pa.Table.from_batches(waiting).to_pandas().sort_values("draw", kind="stable")
                 draws = rows["draw"].to_numpy()
                 cuts = np.flatnonzero(np.append(True, draws[1:] != draws[:-1])).tolist()
@@ -148,7 +187,7 @@ def merged(weighted: DataFrame, columns: Sequence[str], protocol, finish: Callab
 
     out = T._parse_datatype_string(f"draw int, {schema}")
     arrow = to_arrow_schema(out)
-    rows = weighted.select("draw", "w", "y", *columns).mapInArrow(local, states)
+    rows = weighted.select(*(["times_"] if together_ else ["draw", "w"]), "y", *columns).mapInArrow(local, states)
     return rows.groupBy("draw", "at").applyInArrow(together, states).groupBy("draw").applyInArrow(finished, out)
 
 
@@ -201,28 +240,46 @@ class Ols:
     centre, the centre and the slopes.
     """
 
+    cheap = True
+
     def __init__(self, feature: str | Sequence[str] = "x", penalty: float = 0.0):
         self.features, self.penalty = [feature] if isinstance(feature, str) else list(feature), penalty
         self.finite = self.columns = self.features
+        self.state_key = ("triangles", *self.features)
         if not self.features or not 0 <= penalty < float("inf"):
             raise ValueError("least squares takes a feature at least and a finite penalty from 0")
 
     def fit(self, weighted: DataFrame) -> DataFrame:
-        penalty = self.penalty
+        return self.solved(self.states(weighted))
+
+    def states(self, weighted: DataFrame) -> DataFrame:
+        """(draw, r): the R factor of each draw's rows, row by row."""
+        held = ["times_"] if "times_" in weighted.columns else ["draw", "w"]
+        rows = weighted.select(*held, *[F.col(c).cast("double").alias(c) for c in [*self.features, "y"]])
+        known = [F.col(c).isNotNull() & ~F.isnan(c) for c in [*self.features, "y"]]
+        return merged(rows.where(reduce(lambda a, b: a & b, known)), self.features, Triangles(), lambda r: {"r": r.reshape(-1).tolist()}, "r array<double>")
 
-        def solved(r: np.ndarray) -> dict:
+    def solved(self, states: DataFrame) -> DataFrame:
+        penalty, size = self.penalty, len(self.features) + 2
+
+        def one(draw: int, flat: list[float]) -> dict:
+            r = np.array(flat).reshape(size, size)
             mean = r[0, 1:] / r[0, 0]
-            return {"level": float(mean[-1]), "centre": mean[:-1].tolist(), "slope": shrunk_slopes(r, penalty).tolist()}
+            return {"draw": draw, "level": float(mean[-1]), "centre": mean[:-1].tolist(), "slope": shrunk_slopes(r, penalty).tolist()}
 
-        rows = weighted.select("draw", "w", *[F.col(c).cast("double").alias(c) for c in [*self.features, "y"]])
-        known = [F.col(c).isNotNull() & ~F.isnan(c) for c in [*self.features, "y"]]
-        return merged(rows.where(reduce(lambda a, b: a & b, known)), self.features, Triangles(), solved, "level double, centre array<double>, slope array<double>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pylist([one(*x) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)], schema=arrow)
+
+        out = T._parse_datatype_string("draw int, level double, centre array<double>, slope array<double>")
+        arrow = to_arrow_schema(out)
+        return states.select("draw", "r").mapInArrow(run, out)
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         return each_draw(cases, model).select("draw", "case_id", self._value(F.col).alias("pred"))
 
-    def cells(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        return each_cell(cases, model, lambda m: self._value(lambda name: m[name]))
+    def cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        return each_cell(cases, model, lambda m: self._value(lambda name: m[name]), also)
 
     def _value(self, of: Callable):
         steps = [(F.col(c).cast("double") - F.get(of("centre"), F.lit(i))) * F.get(of("slope"), F.lit(i)) for i, c in enumerate(self.features)]
@@ -232,6 +289,8 @@ class Ols:
 class ClassShares:
     """Label shares in the case's group (or overall, without ``column``); the label is the largest, ties to the smallest label."""
 
+    cheap = True
+
     def __init__(self, column: str | None = None):
         self.column = column
         self.columns = [column] if column else []
@@ -242,11 +301,25 @@ class ClassShares:
         shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("draw", "group")))
         return shares.select("draw", "group", "class", "p")
 
-    def _own(self, cases: DataFrame) -> DataFrame:
-        return cases.select("case_id", (F.col(self.column) if self.column else F.lit("")).alias("own"))
+    def _own(self, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        return cases.select("case_id", *also, (F.col(self.column) if self.column else F.lit("")).alias("own"))
+
+    def _best(self, model: DataFrame) -> DataFrame:
+        return model.groupBy("draw", "group").agg(F.min_by("class", F.struct(-F.col("p"), "class")).alias("pred"))
+
+    def label_cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        """(case_id, also, cells) of cases that some draw has a label for."""
+        groups = self._best(model).groupBy("group").agg(F.collect_list(F.struct("draw", "pred")).alias("cells"))
+        return self._own(cases, also).join(groups, F.col("own") == F.col("group")).select("case_id", *also, "cells")
+
+    def share_cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        """(case_id, also, cells) of all cases; one that no draw knows has no cells."""
+        groups = model.groupBy("group").agg(F.collect_list(F.struct("draw", "class", "p")).alias("known_"))
+        none = F.array().cast("array<struct<draw:int,class:string,p:double>>")
+        return self._own(cases, also).join(groups, F.col("own") == F.col("group"), "left").select("case_id", *also, F.coalesce("known_", none).alias("cells"))
 
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
-        best = model.groupBy("draw", "group").agg(F.min_by("class", F.struct(-F.col("p"), "class")).alias("pred"))
+        best = self._best(model)
         return self._own(cases).join(best, F.col("own") == F.col("group")).select("draw", "case_id", "pred")
 
     def predict_proba(self, model: DataFrame, cases: DataFrame) -> DataFrame:
@@ -319,6 +392,31 @@ class _Objects:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def cells(self, model: DataFrame, cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        """(case_id, also, cells) of numbers: a case's predictions by all objects in one array, made where the case is. Objects that don't fit in one go are gathered."""
+        sizes = dict(tuple(r) for r in model.select("draw", F.length("object")).collect())
+        if sum(sizes.values()) > OBJECT_BYTES:
+            rows = self.predict(model, cases).groupBy("case_id").agg(F.collect_list(F.struct("draw", F.col("pred").cast("double").alias("pred"))).alias("cells"))
+            return rows.join(cases.select("case_id", *also), "case_id") if also else rows
+        features, names, draws = self.features, ["case_id", *also, "cells"], sorted(sizes)
+        held = cases.sparkSession.sparkContext.broadcast({r.draw: bytes(r.object) for r in model.select("draw", "object").collect()})
+        schema = T.StructType([*[cases.schema[c] for c in ("case_id", *also)], T.StructField("cells", T._parse_datatype_string("array<struct<draw:int,pred:double>>"))])
+        ready = cases.select("case_id", *also, F.struct(*features).alias("x_"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fitted = [cloudpickle.loads(held.value[d]) for d in draws]
+            for batch in batches:
+                n = batch.num_rows
+                if n:
+                    x = pa.RecordBatch.from_arrays(batch.column(n_also).flatten(), names=features).to_pandas()
+                    preds = np.column_stack([np.asarray(one.predict(x), dtype=float) for one in fitted]).reshape(-1)
+                    flat = pa.StructArray.from_arrays([pa.array(np.tile(draws, n), pa.int32()), pa.array(preds, pa.float64(), from_pandas=True)], names=["draw", "pred"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(draws), pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n_also], lists], names=names)
+
+        n_also = 1 + len(also)
+        return ready.mapInArrow(run, schema)
+
     def predict(self, model: DataFrame, cases: DataFrame) -> DataFrame:
         text = self.kind == "string"
 
@@ -349,7 +447,7 @@ class Merging(_Objects):
 
     def __init__(self, protocol, features: list[str], finite: Sequence[str] = ()):
         self.protocol, self.features, self.finite = protocol, list(features), list(finite)
-        self.columns = self.features
+        self.columns, self.state_key = self.features, None
         if lacking := [n for n in ("start", "update", "merge", "finish") if not callable(getattr(protocol, n, None))]:
             raise ValueError(f"the protocol lacks {', '.join(lacking)}")
 
@@ -358,6 +456,12 @@ class Merging(_Objects):
         self._told(weighted)
         return merged(weighted, self.features, protocol, lambda state: as_row(protocol.finish(state)), OBJECTS)
 
+    def states(self, weighted: DataFrame) -> DataFrame:
+        return self.fit(weighted)
+
+    def solved(self, states: DataFrame) -> DataFrame:
+        return states
+
 
 class StepMeans:
     """A model for ``Merging``: the mean of y in each step of ``width`` of one feature, and the mean of all in steps without rows. The state is a dict of (weight, sum) by step."""
