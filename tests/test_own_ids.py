@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import tremorscope as ts
 from tremorscope.operators import audit as au
+from tremorscope.operators import representative, sampling
 from tremorscope.operators.procedures import ClassShares, GroupMean, Merging, Ols, StepMeans
 
 
@@ -74,3 +75,21 @@ def test_fits_take_rows_with_all_their_draws(spark):
         one, other = (sorted(procedure.predict(procedure.fit(rows), cases.where("case_id < 205")).select("draw", "case_id", "pred").collect()) for rows in (prepared.weighted, prepared.rows))
         np.testing.assert_allclose(one, other, rtol=1e-9)
         assert len(one) == 25
+
+
+def test_probability_distances_follow_from_sums(spark, monkeypatch):
+    train, cases = tables(spark)
+    monkeypatch.setattr(au, "MANY_CASES", 1)
+    audit = ts.bootstrap_predictions(train, cases, ClassShares("g"), task="categorical", target="label", n_bootstrap=5, prediction_method="predict_proba")
+    one, other = (dict(map(tuple, x.collect())) for x in (representative.audit_scores(audit, "probability_mse"), representative.proximity_scores(audit.predictions, "probability_mse")))
+    assert one == pytest.approx(other)
+
+
+def test_a_split_orders_its_last_bucket_only(spark):
+    rows = spark.range(20000).select(F.col("id").alias("rid"), (F.col("id") % 7).alias("v"))
+    found = sampling.holdout_split(rows, "rid", 0.3, "s")
+    assert len(found.stored_at) == 2 and spark.read.parquet(found.stored_at[1]).count() < 50
+    order = [r.rid for r in rows.orderBy(sampling.hashed("s", "rid"), "rid").collect()]
+    assert {r.rid for r in found.where("is_test").collect()} == set(order[:6000]) and found.count() == 20000
+    again = sampling.holdout_split(rows.withColumn("rid", F.lit(5)), "rid", 0.3, "s")
+    assert again.where("is_test").count() == 6000 and again.count() == 20000

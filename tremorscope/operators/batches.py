@@ -117,7 +117,8 @@ class _Adder:
         self.own = dict.fromkeys(("n", "move", "d", "per_point", "n_point", "pairwise", "mape", "n_mape", "error", "spread"), 0.0)
         self.most, self.draws = -np.inf, np.zeros((5, 1))
 
-    def add(self, x: Numbers, truth: pa.Array | None, mean: float | None) -> None:
+    def add(self, x: Numbers, truth: pa.Array | None, mean: float | None, least: int = 0) -> None:
+        """``least`` draws count, even if no case has a cell of theirs."""
         points, mapes = x.per_point[~x.no_point], x.mape[~x.no_mape]
         for k, v in (("n", len(x.per_point)), ("move", x.move0.sum()), ("d", x.d0.sum()), ("per_point", points.sum()), ("n_point", len(points)), ("pairwise", x.pairwise[~x.no_point].sum()), ("mape", mapes.sum()), ("n_mape", len(mapes))):
             self.own[k] += v
@@ -131,8 +132,8 @@ class _Adder:
             else:
                 self.own["error"] += ((y - x.first)[known & there] ** 2).sum()
                 self.own["spread"] += ((y[there] - mean) ** 2).sum()
-        if len(x.draw):
-            size = max(self.draws.shape[1], int(x.draw.max()) + 1)
+        if len(x.draw) or least:
+            size = max(self.draws.shape[1], int(x.draw.max(initial=0)) + 1, least + 1)
             grown = np.zeros((5, size))
             grown[:, : self.draws.shape[1]] = self.draws
             for i, (values, unknown) in enumerate(((x.move, x.no_move), (x.d, x.no_d))):
@@ -140,6 +141,7 @@ class _Adder:
                 grown[i] += np.bincount(at, values[~unknown], minlength=size)
                 grown[2 + i] += np.bincount(at, minlength=size)
             grown[4] += np.bincount(x.draw, minlength=size)
+            grown[2:, 1 : least + 1] += 1
             self.draws = grown
 
     def rows(self) -> list[dict]:
@@ -171,7 +173,7 @@ def sums(cells: DataFrame, kind: str, by: Sequence[str] = (), n_draws: int | Non
         for batch in batches:
             for key, part in _split(batch, many):
                 x = numbers(part.column(many))
-                adders.setdefault(key, _Adder()).add(x, part.column(many + 1) if truth else None, mean)
+                adders.setdefault(key, _Adder()).add(x, part.column(many + 1) if truth else None, mean, n_draws if kind == "vector" else 0)
                 if values:
                     held = {"draw": pa.nulls(len(x.per_point), pa.int32()), "per_point": pa.array(x.per_point, pa.float64(), mask=x.no_point)} | {b: pa.array([k] * len(x.per_point), arrow.field(b).type) for b, k in zip(by, key, strict=True)}
                     yield pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(len(x.per_point), arrow.field(c).type) for c in names], schema=arrow)

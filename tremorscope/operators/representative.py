@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import score_by
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_scalar
-from .audit import aligned, columns_of, demand
+from .audit import Audit, aligned, columns_of, demand
 from .procedures import SparkMl
 from .sampling import holdout_split, numbered, resampled
 
@@ -60,6 +60,21 @@ def proximity_scores(table: DataFrame, metric: str, centre: DataFrame | None = N
     return joined.groupBy("draw").agg(score.alias("score"))
 
 
+def audit_scores(audit: Audit, metric: str) -> DataFrame:
+    """``proximity_scores`` of an audit's draws.
+
+    A draw's summed squared distance to all draws is their number times that
+    to the centroid, and the squares about the centroid besides. So where case
+    ids are the cases' own, probability_mse follows from the audit's sums: no
+    grid of classes is made and no prediction moves.
+    """
+    if metric != "probability_mse" or audit.kind != "vector" or not audit.own_ids:
+        return proximity_scores(audit.predictions, metric)
+    b = audit.n_bootstrap
+    score = (F.col("r") - (b - 1) * F.col("instability_mean")) / (b * audit.n_classes)
+    return audit.draw_rows.select("draw", F.greatest(F.lit(0.0), score).alias("score"))
+
+
 def nearest(scores: DataFrame) -> DataFrame:
     """One row: the candidate of least score, the first among equals."""
     return scores.agg(F.min_by("draw", F.struct("score", "draw")).alias("draw"), F.min("score").alias("score"))

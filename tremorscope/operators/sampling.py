@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from itertools import product
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +73,29 @@ def numbered(rows: DataFrame, key: str, seed: int | str, by: str | None = None,
 
 
 def holdout_split(rows: DataFrame, key: str, test_size: float, seed: int | str, strata: str | None = None) -> DataFrame:
-    """Adds boolean ``is_test``: the ceil(test_size n) rows (of each stratum) with the smallest hashes. Stored as by ``numbered``."""
+    """Adds boolean ``is_test``: the ceil(test_size n) rows (of each stratum) with the smallest hashes.
+
+    Rows are read once and written to the shared folder; ``dropped`` on the
+    result deletes them. Without strata only the bucket of hashes in which the
+    test rows end is put in order: no other row moves.
+    """
     if not 0 < test_size < 1:
         raise ValueError("test_size must be strictly between 0 and 1")
-    size = F.ceil(F.col("total_") * F.lit(float(test_size)))
-    return _shown(_placed(rows, key, seed, strata, "place_"), *rows.columns, (F.col("place_") < size).alias("is_test"))
+    if strata:
+        size = F.ceil(F.col("total_") * F.lit(float(test_size)))
+        return _shown(_placed(rows, key, seed, strata, "place_"), *rows.columns, (F.col("place_") < size).alias("is_test"))
+    kept = stored(rows.withColumn("p_", F.substring(hashed(seed, key), 1, BUCKET_DIGITS)), "split")
+    counts = sorted(tuple(r) for r in kept.groupBy("p_").count().collect())  # a row a bucket
+    left, last = ceil(sum(n for _, n in counts) * float(test_size)), ""
+    for last, n in counts:
+        if left <= n:
+            break
+        left -= n
+    place = F.row_number().over(Window.partitionBy("p_").orderBy(hashed(seed, key), key))
+    ends = stored(kept.where(F.col("p_") == last).select(*rows.columns, (place <= left).alias("is_test")), "split-end")
+    out = kept.where(F.col("p_") != last).select(*rows.columns, (F.col("p_") < last).alias("is_test")).unionByName(ends)
+    out.stored_at = [kept.stored_at, ends.stored_at]
+    return out
 
 
 #: Rows of a bucket at most; a table has 64 buckets or more, if it has so many rows.

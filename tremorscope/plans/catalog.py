@@ -246,7 +246,7 @@ def centroid_labels(spark, folder):
 
 
 def _proximity(make: Callable, metric: str, places: int = 6) -> Callable:
-    return lambda spark, folder: _round(representative.proximity_scores(make(spark, folder).predictions, metric), ["score"], places)
+    return lambda spark, folder: _round(representative.audit_scores(make(spark, folder), metric), ["score"], places)
 
 
 def medoid_distances(spark, folder):

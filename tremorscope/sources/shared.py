@@ -42,7 +42,8 @@ def _place(spark: SparkSession, path: str):
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the table that ``stored`` made; nothing may read it from then on. Other DataFrames are left alone."""
-    if path := getattr(df, "stored_at", None):
+    """Delete the table, or tables, that ``stored`` made; nothing may read them from then on. Other DataFrames are left alone."""
+    paths = getattr(df, "stored_at", None) or []
+    for path in [paths] if isinstance(paths, str) else paths:
         where, system = _place(df.sparkSession, path)
         system.delete(where, True)
