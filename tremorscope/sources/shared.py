@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting under which a query's shuffle files go when it ends, not when its plan is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where that is unset, on one machine, a temporary folder is made and set. A cluster without it raises RuntimeError."""
@@ -24,11 +27,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage so that a lost executor costs a reread, not a recompute,
     and lets several later jobs reuse the rows. The table goes when the
-    application ends.
+    application ends, the shuffle files of its job as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremorscope-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     where, system = _place(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
