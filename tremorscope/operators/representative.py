@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import score_by
 from ..sources.shared import dropped, stored
 from ..sources.tables import checked, require_columns, require_scalar
-from .audit import Audit, aligned, columns_of, demand
+from . import audit as audits
+from .audit import Audit, aligned, columns_of, demand, no_shared_ids
 from .procedures import SparkMl
 from .sampling import holdout_split, numbered, resampled
 
@@ -75,6 +76,19 @@ def audit_scores(audit: Audit, metric: str) -> DataFrame:
     return audit.draw_rows.select("draw", F.greatest(F.lit(0.0), score).alias("score"))
 
 
+def label_centre(cells: str):
+    """The most frequent label of an array of (draw, pred), ties to the smallest."""
+    names = F.transform(cells, lambda x: x["pred"])
+    counted = F.transform(F.array_distinct(names), lambda p: F.struct((-F.size(F.filter(names, lambda q: q == p))).alias("n"), p.alias("pred")))
+    return F.array_min(counted)["pred"]
+
+
+def cell_disagreement(cells: DataFrame) -> DataFrame:
+    """``proximity_scores`` of labels from (case_id, cells), a row a case: tasks send sums by draw only."""
+    each = cells.select(label_centre("cells").alias("centre"), "cells").select("centre", F.explode("cells").alias("e"))
+    return each.groupBy(F.col("e.draw").alias("draw")).agg(F.avg(F.when(F.col("e.pred") != F.col("centre"), 1.0).otherwise(0.0)).alias("score"))
+
+
 def nearest(scores: DataFrame) -> DataFrame:
     """One row: the candidate of least score, the first among equals."""
     return scores.agg(F.min_by("draw", F.struct("score", "draw")).alias("draw"), F.min("score").alias("score"))
@@ -100,9 +114,12 @@ class RepresentativeEstimator:
     n_validation_samples_, classes_, and the fitted table of all candidates in
     model_. Tables are DataFrames by draw, which counts candidates from 1.
     Without a procedure the candidates are pyspark.ml decision trees on all
-    columns but key and target. The split and the
-    candidates' validation tables are written once; ``release`` drops them and
-    what fit keeps in memory.
+    columns but key and target. The split, the candidates' scores and the
+    validation tables that give them are written once; ``release`` drops them and
+    what fit keeps in memory. Probabilities that the metric doesn't ask for are
+    made when they are read. Of MANY_CASES held-out rows and more whose ids are their
+    own, labels of procedures with ``label_cells`` stay by row, are scored where
+    they are, and predictions too are made when they are read.
     """
 
     def __init__(self, procedure=None, task: str = "classification", n_candidates: int = 20, proximity_metric: str = "auto", validation_fraction: float = 0.2, bootstrap_candidates: bool = True, seed: int = 0):
@@ -149,20 +166,28 @@ class RepresentativeEstimator:
         self.model_ = self.procedure_.fit(weighted)
         self.model_ = self.model_.where("draw > 0").persist() if isinstance(self.model_, DataFrame) else {k: v for k, v in self.model_.items() if k}
         truth = cases.select("case_id", "y")
-        self.validation_predictions_ = stored(self.procedure_.predict(self.model_, cases), "selector-predictions")
         self.n_validation_samples_ = cases.count()
         has = labels and self._gives_probabilities()
         self.proximity_metric_ = self._metric(has)
+        own = self.proximity_metric_ == "disagreement" and hasattr(self.procedure_, "label_cells") and self.n_validation_samples_ >= audits.MANY_CASES and no_shared_ids(cases)
+        predictions = self.procedure_.predict(self.model_, cases)
+        self.validation_predictions_ = predictions if own else stored(predictions, "selector-predictions")
         spark = data.sparkSession
         self.validation_probabilities_ = None
         if has:
             draws = spark.range(1, self.n_candidates + 1).select(F.col("id").cast("int").alias("draw"))
             classes = spark.createDataFrame([(c,) for c in self.classes_], "class string")
-            self.validation_probabilities_ = stored(aligned(self.procedure_.predict_proba(self.model_, cases), draws, cases, classes), "selector-probabilities")
+            table = aligned(self.procedure_.predict_proba(self.model_, cases), draws, cases, classes)
+            self.validation_probabilities_ = stored(table, "selector-probabilities") if self.proximity_metric_ == "probability_mse" else table
         table = self.validation_probabilities_ if self.proximity_metric_ == "probability_mse" else self.validation_predictions_
         self.candidate_performance_scores_ = score_by(self.validation_predictions_.join(truth, "case_id"), ["draw"], "categorical" if labels else "continuous")
-        self.ensemble_predictions_ = centroid(table, self.proximity_metric_)
-        self.candidate_scores_ = proximity_scores(table, self.proximity_metric_, self.ensemble_predictions_)
+        if own:
+            cells = self.procedure_.label_cells(self.model_, cases)
+            self.ensemble_predictions_, scores = cells.select("case_id", label_centre("cells").alias("centre")), cell_disagreement(cells)
+        else:
+            self.ensemble_predictions_ = centroid(table, self.proximity_metric_)
+            scores = proximity_scores(table, self.proximity_metric_, self.ensemble_predictions_)
+        self.candidate_scores_ = stored(scores, "selector-scores")
         self.selected_index_ = int(nearest(self.candidate_scores_).first().draw) - 1
         return self
 
@@ -198,7 +223,7 @@ class RepresentativeEstimator:
     def release(self) -> None:
         if isinstance(self.model_, DataFrame):
             self.model_.unpersist()
-        for table in (self._split, self._rows, self.validation_predictions_, self.validation_probabilities_):
+        for table in (self._split, self._rows, self.validation_predictions_, self.validation_probabilities_, self.candidate_scores_):
             if table is not None:
                 dropped(table)
 

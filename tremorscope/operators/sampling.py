@@ -76,15 +76,14 @@ def holdout_split(rows: DataFrame, key: str, test_size: float, seed: int | str,
     """Adds boolean ``is_test``: the ceil(test_size n) rows (of each stratum) with the smallest hashes.
 
     Rows are read once and written to the shared folder; ``dropped`` on the
-    result deletes them. Without strata only the bucket of hashes in which the
-    test rows end is put in order: no other row moves.
+    result deletes them. Only the bucket of hashes in which the test rows (of a
+    stratum) end is put in order: no other row moves.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must be strictly between 0 and 1")
-    if strata:
-        size = F.ceil(F.col("total_") * F.lit(float(test_size)))
-        return _shown(_placed(rows, key, seed, strata, "place_"), *rows.columns, (F.col("place_") < size).alias("is_test"))
     kept = stored(rows.withColumn("p_", F.substring(hashed(seed, key), 1, BUCKET_DIGITS)), "split")
+    if strata:
+        return _stratified_split(kept, rows.columns, key, test_size, seed, strata)
     counts = sorted(tuple(r) for r in kept.groupBy("p_").count().collect())  # a row a bucket
     left, last = ceil(sum(n for _, n in counts) * float(test_size)), ""
     for last, n in counts:
@@ -98,6 +97,19 @@ def holdout_split(rows: DataFrame, key: str, test_size: float, seed: int | str,
     return out
 
 
+def _stratified_split(kept: DataFrame, names: list[str], key: str, test_size: float, seed: int | str, strata: str) -> DataFrame:
+    counts, stratum = kept.groupBy(F.col(strata).alias("s_"), F.col("p_").alias("last_")).agg(F.count("*").alias("n_")), Window.partitionBy("s_")  # a row a bucket and stratum
+    left = F.ceil(F.sum("n_").over(stratum) * F.lit(float(test_size))) - (F.sum("n_").over(stratum.orderBy("last_")) - F.col("n_"))
+    edges = stored(counts.withColumn("left_", left).where("left_ > 0 and left_ <= n_").drop("n_"), "split-edges")  # a row a stratum
+    near = F.broadcast(edges) if edges.limit(FEW_STRATA + 1).count() <= FEW_STRATA else edges
+    met = kept.join(near, F.col(strata).eqNullSafe(F.col("s_")))
+    place = F.row_number().over(Window.partitionBy("s_").orderBy(hashed(seed, key), key))
+    ends = stored(met.where("p_ = last_").select(*names, (place <= F.col("left_")).alias("is_test")), "split-end")
+    out = met.where("p_ != last_").select(*names, (F.col("p_") < F.col("last_")).alias("is_test")).unionByName(ends)
+    out.stored_at = [kept.stored_at, edges.stored_at, ends.stored_at]
+    return out
+
+
 #: Rows of a bucket at most; a table has 64 buckets or more, if it has so many rows.
 BUCKET_ROWS, LEAST_BUCKETS = 2000, 64
 
