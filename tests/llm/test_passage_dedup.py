@@ -1,8 +1,9 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
-from tremorscope.llm import minhash
+from tremorscope.llm import components, minhash, passage_runs
 from tremorscope.llm import passage_dedup as pd_
 
 
@@ -179,3 +180,30 @@ def test_a_stock_phrase_makes_no_candidates(spark):
     """A thousand units that share 36 shingles of 56 and 20 of their own each: none meet."""
     full = spark.range(1000).selectExpr("id as pid", "4 as kind", "id as label", "concat(sequence(1, 36), transform(sequence(1, 20), x -> 100 + 20 * id + x)) as s")
     assert pd_._rare_in_common(full, 0.8).count() == 0
+
+
+def test_windows_that_overlap_by_half_make_no_candidates(spark):
+    """Of 40 texts, windows of 56 shingles, each beginning 28 on: neighbours share half of their shingles; a near copy of each shares 52 of 60."""
+    sets = [(100 * t + k, [10**6 * t + 7919 * x for x in range(28 * k, 28 * k + 56)]) for t in range(40) for k in range(8)]
+    sets += [(100 * t + 50 + k, [10**6 * t + 7919 * x for x in range(28 * k + 4, 28 * k + 60)]) for t in range(40) for k in range(8)]
+    full = spark.createDataFrame([(i, 4, i, s) for i, s in sets], "pid long, kind int, label long, s array<long>")
+    got = {(min(r), max(r)) for r in pd_._rare_in_common(full, 0.8).collect()}
+    assert {(i, i + 50) for i, _ in sets if i % 100 < 50} <= got and len(got) < 1.2 * 320
+
+
+def test_a_run_deletes_its_spent_tables(spark, monkeypatch):
+    """What is left on disk is what the result is read from, not every step's table."""
+    made, keep = [], pd_.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        made.append(out.stored_at)
+        return out
+
+    for module in (pd_, passage_runs, components):
+        monkeypatch.setattr(module, "stored", stored)
+    docs = edited_docs(11, 2) + [(9000 + i, d) for i, (_, d) in enumerate(edited_docs(11, 2)[:5])]
+    found = pd_.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    left = sorted(Path(x.removeprefix("file://")).name.rsplit("-", 1)[0] for x in made if Path(x.removeprefix("file://")).exists())
+    assert left == ["tremorscope-passage-documents", "tremorscope-passage-lines", "tremorscope-passage-near", "tremorscope-passage-runs"] and len(made) > 20
+    assert found.count() == len(docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 
+def _nodes(stars: DataFrame) -> DataFrame:
+    """(node, component) of edges that are stars; ``dropped`` deletes the table beneath."""
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.stored_at = stars.stored_at
+    return out
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other, which hangs on none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def contracted(edges: DataFrame, name: str, rounds: int = 1) -> DataFrame:
     """(node, component) after a few rounds: nodes with equal components are connected, but connected nodes may still differ."""
     current = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for _ in range(rounds):
         current = stored(_small_star(_large_star(current)), name)
     up = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return up.union(current.select(F.col("v").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("component")))
+    out = up.union(current.select(F.col("v").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("component")))
+    out.stored_at = current.stored_at
+    return out
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -36,16 +51,16 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     Alternating large-star and small-star rounds: each node's neighbours are
     hung on the smallest one, until the edges are stars. A round is a fixed
     number of shuffles over at most as many edges as before; its result is
-    written to the shared folder, so a lost executor costs one round at most.
-    Only a count and a checksum reach the driver. Loops and repeated edges
-    don't matter; nulls are dropped; no edges give no rows.
+    written to the shared folder, so a lost executor costs one round at most,
+    and the table before it is deleted. Only whether the edges are stars reaches
+    the driver. Loops and repeated edges don't matter; nulls are dropped; no
+    edges give no rows.
     """
     start = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    current, before = stored(start.distinct(), name), None
+    current = stored(start.distinct(), name)
     for _ in range(most_rounds):
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
-        current = stored(_small_star(_large_star(current)), name)
+        if _are_stars(current):
+            return _nodes(current)
+        before, current = current, stored(_small_star(_large_star(current)), name)
+        dropped(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import chain
 from math import ceil, log
 
 import numpy as np
@@ -80,11 +81,22 @@ def _folded(key: np.ndarray, low: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
+def _marks_of(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes of all units, one after the other, and where each unit's begin."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    if len(lists) and sizes.min() >= WORDS:
+        # all words at once, without the shingles that reach into the next unit
+        marks, kept = shingle_hashes(word_hashes(list(chain.from_iterable(lists)))), np.ones(sizes.sum() - WORDS + 1, dtype=bool)
+        for k in range(1, WORDS):
+            kept[np.cumsum(sizes)[:-1] - k] = False
+        return marks[kept], np.cumsum(sizes - WORDS + 1) - (sizes - WORDS + 1)
+    marks = [shingle_hashes(word_hashes(w)) for w in lists]
+    return np.concatenate(marks), np.cumsum([0, *map(len, marks)])[:-1]
+
+
 def band_keys(lists: list[list[bytes]]) -> np.ndarray:
     """One row a unit of BANDS keys, each of ROWS minima over its shingles."""
-    marks = [shingle_hashes(word_hashes(w)) for w in lists]
-    starts = np.cumsum([0, *map(len, marks)])[:-1]
-    flat = np.concatenate(marks)
+    flat, starts = _marks_of(lists)
     keys = np.empty((len(lists), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         key = np.full(len(lists), band + 1, dtype=np.uint64)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import dropped, free_name, stored
 from .components import components, contracted
 from .minhash import BANDS, RUN, SIMILARITY, band_keys, identity, jaccard, shingles, tuned_bands, window_identity, words_of
 from .passage_runs import near_units, repeated_runs, run_windows, runs_of
@@ -153,11 +153,30 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.select("pid", "words").mapInArrow(run, "pid long, s array<long>")
 
 
+def _kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """``df``, stored; the tables that ``df`` and only it still needed go."""
+    out = stored(df, name)
+    for x in (df, *spent):
+        dropped(x)
+    return out
+
+
 def _labelled(met: DataFrame, found: DataFrame) -> DataFrame:
     """Bucket members (key, pid) with their component in ``found``, of buckets that hold several, and the bucket's last member."""
     rows = met.join(found, met["pid"] == found["node"], "left").select("key", "pid", F.coalesce("component", "pid").alias("label"))
     open_ = stored(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("pid").alias("last")).where("lo < hi").select(F.col("key").alias("key_"), "last"), "passage-open")
-    return rows.join(open_, rows["key"] == open_["key_"]).select("key", "pid", "label", "last")
+    out = rows.join(open_, rows["key"] == open_["key_"]).select("key", "pid", "label", "last")
+    out.stored_at = open_.stored_at
+    return out
+
+
+#: 64-bit words of a sketch.
+SKETCH = 4
+
+
+def _sketch(s: str) -> list:
+    """k0 to k3: the bits of the classes of hashes of which ``s`` holds an odd number."""
+    return [F.expr(f"aggregate({s}, 0L, (bits, x) -> bits ^ if(shiftrightunsigned(x, 6) & {SKETCH - 1} = {i}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"k{i}") for i in range(SKETCH)]
 
 
 def _rare_in_common(full: DataFrame, similarity: float) -> DataFrame:
@@ -169,15 +188,26 @@ def _rare_in_common(full: DataFrame, similarity: float) -> DataFrame:
     first n - ceil(2 t n / (1 + t)) + 1 have one in common. Units that share
     nothing but a stock passage, however many, don't meet, as their rarest
     shingles are their own.
+
+    Windows that overlap by half share rare shingles too. A unit's sketch has a
+    bit for each class of hashes, set if an odd number of its shingles are in the
+    class, so two sketches differ in no more bits than there are shingles of
+    one unit alone. Pairs whose sketches differ in more than similar sets can
+    are left out before any text is fetched for them.
     """
     parts = full.select("pid", "kind", "label", F.size("s").alias("n"), F.explode("s").alias("part"))
     common = parts.groupBy(F.col("part").alias("part_")).agg(F.count("*").alias("units")).where("units > 1")
-    rare = parts.join(common, parts["part"] == common["part_"], "left").withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("units", F.lit(1)), "part"))).where("units > 1")
     least = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
-    larger = rare.where(F.col("place") <= least(similarity)).select("part", "kind", F.col("pid").alias("u"), F.col("label").alias("x"), F.col("n").alias("n_u"))
-    smaller = rare.where(F.col("place") <= least(2 * similarity / (1 + similarity))).select(F.col("part").alias("part_"), F.col("kind").alias("kind_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("n").alias("n_v"))
+    rare = parts.join(common, parts["part"] == common["part_"], "left").withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("units", F.lit(1)), "part"))).where("units > 1")
+    rare = stored(rare.where(F.col("place") <= least(similarity)).join(full.select("pid", *_sketch("s")), "pid"), "passage-rare")
+    larger = rare.select("part", "kind", F.col("pid").alias("u"), F.col("label").alias("x"), F.col("n").alias("n_u"), *[f"k{i}" for i in range(SKETCH)])
+    smaller = rare.where(F.col("place") <= least(2 * similarity / (1 + similarity))).select(F.col("part").alias("part_"), F.col("kind").alias("kind_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("n").alias("n_v"), *[F.col(f"k{i}").alias(f"l{i}") for i in range(SKETCH)])
+    apart = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(SKETCH)), F.lit(0))
+    alike = apart * (1 + similarity) <= (F.col("n_u") + F.col("n_v")) * (1 - similarity) + 1e-9
     order = (F.struct("n_v", "v") < F.struct("n_u", "u")) & (F.col("n_v") >= similarity * F.col("n_u") - 1e-9) & (F.col("x") != F.col("y"))
-    return larger.join(smaller, (larger["part"] == smaller["part_"]) & (F.col("kind") == F.col("kind_")) & order).select("u", "v").distinct()
+    out = larger.join(smaller, (larger["part"] == smaller["part_"]) & (F.col("kind") == F.col("kind_")) & order & alike).select("u", "v").distinct()
+    out.stored_at = rare.stored_at
+    return out
 
 
 def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity: float, also: DataFrame | None = None, placed: bool = False) -> DataFrame:
@@ -193,7 +223,7 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
     """
     keys = distinct.select("pid", F.explode("bands").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("other")).where("first < other").select(F.col("key").alias("key_"), "first"), "passage-buckets")
-    met = stored(keys.join(shared, keys["key"] == shared["key_"]).select("key", "pid", "first"), "passage-members")
+    met = _kept(keys.join(shared, keys["key"] == shared["key_"]).select("key", "pid", "first"), "passage-members", shared)
     pairs = met.where("pid != first").select(F.col("first").alias("u"), F.col("pid").alias("v"))
     wanted = met.select("pid")
     if also is not None:
@@ -206,30 +236,41 @@ def near_paragraphs(distinct: DataFrame, docs: DataFrame, cut: Cut, similarity:
         rows = located(docs, cut, True)
         same = (rows["h1"] == members["m1"]) & (rows["h2"] == members["m2"]) & rows["doc_id"].eqNullSafe(members["d"])
         found = rows.join(members, same).select("pid", "words")
-    texts = stored(found.dropDuplicates(["pid"]), "passage-texts")
+    texts = _kept(found.dropDuplicates(["pid"]), "passage-texts", members)
     edges = stored(_verified(pairs.distinct(), texts, similarity), "passage-edges")
-    rest = stored(_labelled(met, contracted(edges, "passage-stars")), "passage-rest")
-    if rest.isEmpty():
-        return components(edges, "passage-components")
-    pairs = rest.where("pid != last").select(F.col("pid").alias("u"), F.col("last").alias("v")).distinct()
-    edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
-    found = components(edges, "passage-components")
-    rest = stored(_labelled(met, found), "passage-rest")
+    # what is known stands as stars from here on, so each step adds its own links only
+    found = contracted(edges, "passage-stars")
+    rest = _kept(_labelled(met, found), "passage-rest")
     if not rest.isEmpty():
-        if placed:
-            full = stored(rest.select("pid", "label").distinct().select("*", F.lit(0).alias("kind")).join(_shingled(texts), "pid"), "passage-shingles")
-            pairs = _rare_in_common(full, similarity)
-        else:
-            full = rest.join(_shingled(texts), "pid")
-            a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
-            sizes = F.size("s") + F.size("t")
-            alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
-            pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
-        edges = stored(edges.union(_verified(pairs, texts, similarity)), "passage-edges")
-        found = components(edges, "passage-components")
+        pairs = rest.where("pid != last").select(F.col("pid").alias("u"), F.col("last").alias("v")).distinct()
+        found, spent = components(_joined(found, _verified(pairs, texts, similarity)), "passage-components"), [found, rest]
+        rest = _kept(_labelled(met, found), "passage-rest", *spent)
+        if not rest.isEmpty():
+            if placed:
+                full = stored(rest.select("pid", "label").distinct().select("*", F.lit(0).alias("kind")).join(_shingled(texts), "pid"), "passage-shingles")
+                pairs = _rare_in_common(full, similarity)
+            else:
+                full = rest.join(_shingled(texts), "pid")
+                a, b = full.select("key", F.col("pid").alias("u"), F.col("label").alias("x"), "s"), full.select(F.col("key").alias("key_"), F.col("pid").alias("v"), F.col("label").alias("y"), F.col("s").alias("t"))
+                sizes = F.size("s") + F.size("t")
+                alike = (F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9) & (F.size(F.array_intersect("s", "t")) * (1 + similarity) >= similarity * sizes - 1e-9)
+                pairs = a.join(b, (F.col("key") == F.col("key_")) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & alike).select("u", "v").distinct()
+            found, spent = components(_joined(found, _verified(pairs, texts, similarity)), "passage-components"), [found, full, pairs]
+            for x in spent:
+                dropped(x)
+    else:
+        found, spent = components(edges, "passage-components"), [found]
+        dropped(spent[0])
+    for x in (met, texts, edges, rest):
+        dropped(x)
     return found
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of the components ``found`` (node, component) and of ``links`` (u, v)."""
+    return found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
+
+
 def _classed(units: DataFrame, rows: DataFrame, cut: Cut, similarity: float) -> DataFrame:
     """(r1, r2, component_id, long_id) of the units (doc_id, h1, h2, start, length, n_words, bands) of components that several documents hold; long_id is the smallest doc_id that holds one of RUN words or more, null for shorter ones."""
     merged = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start", "length")).alias("p"), F.max("doc_id").alias("d_last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
@@ -237,9 +278,9 @@ def _classed(units: DataFrame, rows: DataFrame, cut: Cut, similarity: float) ->
     found = near_paragraphs(distinct.select("pid", "h1", "h2", "d", "start", "length", "bands"), rows, cut, similarity, placed=True)
     long = F.col("n_words") >= RUN
     labelled = distinct.select("pid", "h1", "h2", "d", "d_last", long.alias("long")).join(found, distinct["pid"] == found["node"], "left").select("h1", "h2", "d", "d_last", "long", F.coalesce("component", "pid").alias("label"))
-    labelled = stored(labelled, "passage-labels")
+    labelled = _kept(labelled, "passage-labels", distinct, found)
     classes = labelled.groupBy("label").agg(F.min("d").alias("component_id"), F.max("d_last").alias("to_"), F.min(F.when(F.col("long"), F.col("d"))).alias("long_id")).where("component_id < to_").select(F.col("label").alias("label_"), "component_id", "long_id")
-    return stored(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id", F.when(F.col("long"), F.col("long_id")).alias("long_id")), "passage-classes")
+    return _kept(labelled.join(classes, labelled["label"] == classes["label_"]).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "component_id", F.when(F.col("long"), F.col("long_id")).alias("long_id")), "passage-classes", labelled)
 
 
 def _placed(places: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -250,7 +291,10 @@ def _placed(places: DataFrame, repeated: DataFrame) -> DataFrame:
 def _repeated_lines(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     cut = partial(paragraphs, min_words=min_words)
-    return _placed(located(rows, cut), _classed(with_bands(rows, cut), rows, cut, similarity)).select("doc_id", "t", "pos", "start", "length", "component_id", "long_id")
+    classes = _classed(with_bands(rows, cut), rows, cut, similarity)
+    out = _placed(located(rows, cut), classes).select("doc_id", "t", "pos", "start", "length", "component_id", "long_id")
+    out.stored_at = classes.stored_at
+    return out
 
 
 def edited_windows(docs: DataFrame, marks: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -269,9 +313,11 @@ def edited_windows(docs: DataFrame, marks: DataFrame, classes: DataFrame, simila
     asked = stored(keys.join(open_, keys["key"] == open_["key_"]).groupBy("d_", "t_").agg(F.collect_set("key").alias("shared")), "near-keys")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").where("doc_id is not null and text is not null")
     texts = rows.join(asked, (rows["doc_id"] == asked["d_"]) & (rows["t"] == asked["t_"])).select("doc_id", "text", "shared")
-    units = stored(near_units(texts), "near-windows")
+    units = _kept(near_units(texts), "near-windows", asked)
     repeated = _classed(units, rows.select("doc_id", "text"), whole, similarity)
-    return _placed(units, repeated).select("doc_id", "start", "length", "component_id")
+    out = _placed(units, repeated).select("doc_id", "start", "length", "component_id")
+    out.stored_at = [units.stored_at, repeated.stored_at]
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -360,12 +406,14 @@ def digest(docs: DataFrame) -> DataFrame:
     smaller doc_id, where they lead to documents that lines and runs don't join.
     """
     marks, made = run_windows(docs)
-    lines, runs = stored(_repeated_lines(docs, MIN_WORDS, SIMILARITY), "passage-lines"), stored(runs_of(marks, made), "passage-runs")
+    runs = _kept(runs_of(marks, made), "passage-runs", made)
+    lines = _kept(_repeated_lines(docs, MIN_WORDS, SIMILARITY), "passage-lines")
     edge = lambda rows, to: rows.where(f"doc_id > {to}").select(F.col("doc_id").alias("u"), F.col(to).alias("v"))
     known = components(edge(lines, "long_id").union(edge(runs, "component_id")), "passage-documents")
-    near = stored(edited_windows(docs, marks, known), "passage-near")
+    near = _kept(edited_windows(docs, marks, known), "passage-near", marks)
     edges = known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edge(near, "component_id"))
     classes = components(edges, "passage-documents").withColumnsRenamed({"node": "n_", "component": "class_"})
+    dropped(known)
     by_doc = lines.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set(F.struct("pos", "start", "length", "component_id"))).alias("all_"))
     spans = lambda rows, key, name: rows.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "length", "component_id"))).alias(name))
     by_run, by_near = spans(runs, "r_", "runs_"), spans(near.where("doc_id > component_id"), "e_", "near_")

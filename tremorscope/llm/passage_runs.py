@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .minhash import NEAR, NEAR_BANDS, RUN, near_windows, window_hashes, window_identity, window_keys, word_hashes, words_of
 
 
@@ -90,6 +90,7 @@ def run_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = stored(_keyed(rows), "run-keys")
     shared = marked.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"))
     by_doc = stored(marked.join(shared, marked["key"] == shared["key_"]).groupBy("doc_id", "t", "t2").agg(F.collect_set("key").alias("shared")), "run-documents")
+    dropped(marked)
     texts = by_doc.groupBy("t", "t2").agg(F.min("doc_id").alias("rep")).select(F.col("t").alias("rt"), F.col("t2").alias("rt2"), "rep")
     # equal on one hash, checked on the other: AQE may split a text that a third of all rows share
     marks = by_doc.join(texts, (by_doc["t"] == texts["rt"]) & (by_doc["t2"].bitwiseXOR(texts["rt2"]) == 0)).select("doc_id", "t", "rep", (F.col("doc_id") > F.col("rep")).alias("copy"), "shared")
@@ -97,6 +98,7 @@ def run_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # texts are told apart by a tag, which is 0, and so takes no room, unless a doc_id has several
     marks = marks.join(several, marks["doc_id"] == several["s_"], "left").select(F.col("doc_id").alias("d_"), F.col("t").alias("t_"), F.when(F.col("s_").isNull(), F.lit(0).cast("long")).otherwise(F.col("t")).alias("tag"), "rep", "copy", F.when(F.col("copy"), F.array().cast("array<long>")).otherwise(F.col("shared")).alias("shared"))
     marks = stored(marks, "run-marks")
+    dropped(by_doc)
     asked = rows.join(marks, (rows["doc_id"] == marks["d_"]) & (rows["t"] == marks["t_"])).select("doc_id", "tag", "text", "copy", "shared")
     return marks, stored(_windows(asked), "run-windows")
 
@@ -110,7 +112,9 @@ def runs_of(marks: DataFrame, made: DataFrame) -> DataFrame:
     runs = held.withColumn("island", island).groupBy("doc_id", "tag", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_d").alias("first"))
     copies = made.where("g1 is null").select("doc_id", "tag", F.lit(0).cast("long").alias("island"), "start", "end", F.lit(None).cast("long").alias("first")).distinct()
     spans = runs.union(copies).join(marks.select("d_", "t_", F.col("tag").alias("g_"), "rep"), (F.col("doc_id") == F.col("d_")) & (F.col("tag") == F.col("g_"))).select("doc_id", F.col("t_").alias("t"), "start", "end", F.coalesce("first", "rep").alias("component_id"))
-    return spans.select("doc_id", "t", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
+    out = spans.select("doc_id", "t", "start", (F.col("end") - F.col("start")).alias("length"), "component_id")
+    out.stored_at = first.stored_at
+    return out
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
