@@ -5,9 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from tremorscope.llm import phrase_mining
+from tremorscope.llm import common, phrase_mining
+from tremorscope.llm.common import block_writes, dropped, stored
 
 
 def ascii_lower(text):
@@ -74,3 +76,37 @@ def test_words_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
 def test_no_words(spark):
     for rows in ([], [("en", None), (None, "")], [("en", "one word apart, two")]):
         assert phrase_mining.digest(spark.createDataFrame(rows, "lang string, text string")).count() == 0
+
+
+def test_a_task_adds_up_a_part_of_its_groups_at_a_time(monkeypatch):
+    """Room beside the counts themselves is for one part of them, and no batch for the JVM is large."""
+    monkeypatch.setattr(phrase_mining, "COMBINED_ROWS", 1 << 10)
+    monkeypatch.setattr(phrase_mining, "MOST_ROWS", 1 << 13)
+    monkeypatch.setattr(phrase_mining, "BATCH_BYTES", 1 << 14)
+    own, asked = phrase_mining._added, []
+    monkeypatch.setattr(phrase_mining, "_added", lambda table: asked.append(table.num_rows) or own(table))
+    draw, sums, wanted, found, batches = np.random.default_rng(5), phrase_mining.GroupSums(2, 1000), Counter(), Counter(), []
+    for _ in range(60):
+        groups = np.unique(draw.integers(-3000, 3000, (1000, 2)) // [1, 3000], axis=0)
+        counts = draw.integers(1, 9, len(groups))
+        wanted.update({tuple(g): int(c) for g, c in zip(groups.tolist(), counts, strict=True)})
+        batches += sums.put([np.ascontiguousarray(groups[:, 0]), np.ascontiguousarray(groups[:, 1])], counts)
+    batches += sums.flushed()
+    for batch in batches:
+        for row in batch.to_pylist():
+            for h0, h1, c in zip(row["h0"], row["h1"], row["c"], strict=True):
+                found[h0, h1] += c
+    assert found == wanted
+    assert max(asked) * 8 < len(wanted)
+    assert max(len(b) and sum(len(x) for x in b.column(1).to_pylist()) for b in batches) * 24 < 2 << 14
+
+
+def test_blocks_close_row_groups_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(common, "GROUP_BYTES", 1 << 20)
+    rows = spark.range(0, 24, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 8192), x -> sha2(cast(x * 1000 + id as string), 256)), '') as block")
+    with block_writes(spark):
+        out = stored(rows, "blocks")
+    groups = pq.ParquetFile(out.inputFiles()[0].removeprefix("file://")).metadata
+    assert groups.num_rows == 24
+    assert groups.num_row_groups >= 4
+    dropped(out)

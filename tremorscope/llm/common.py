@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorscope.sources.shared import dropped, shared_dir, stored
 
-__all__ = ["arrow_batches", "ascii_lower", "crc_bucket", "dropped", "free_name", "shared_dir", "stored"]
+__all__ = ["arrow_batches", "ascii_lower", "block_reads", "block_writes", "crc_bucket", "dropped", "free_name", "shared_dir", "stored"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,15 +34,35 @@ def free_name(name: str, *tables) -> str:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
-    """Jobs run inside give Python batches of about ``size`` bytes, or one longer row: for tables whose rows are blocks. The session's own setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Jobs run inside have these settings; the session's own come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def arrow_batches(spark: SparkSession, size: int = 16 << 20):
+    """Jobs run inside give Python batches of about ``size`` bytes, or one longer row: for tables whose rows are blocks."""
+    return _set(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
+#: Bytes of blocks that an Arrow batch and a row group hold, and rows that the Parquet reader decodes at once.
+BATCH_BYTES, GROUP_BYTES, READ_ROWS = 4 << 20, 32 << 20, 2
+
+
+def block_writes(spark: SparkSession):
+    """For jobs that write tables whose rows are blocks of megabytes: small Arrow batches, and row groups that are closed by their bytes, not by a hundred rows at least."""
+    return _set(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1"})
+
+
+def block_reads(spark: SparkSession):
+    """For jobs that read nothing but such tables: a few rows are decoded at once, where Parquet's reader takes 4096."""
+    return _set(spark, {"spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)})

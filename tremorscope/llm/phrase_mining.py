@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, dropped, stored
+from .common import BATCH_BYTES, block_reads, block_writes, dropped, stored
 
 LONGEST, LEAST, KEPT, COVER = 4, 30, 2000, 80
 UNKNOWN = "und"
 #: Bytes of text whose occurrences make a block.
 BLOCK_BYTES = 4 << 20
 #: Groups that a task gathers before it adds up those of several blocks, and sums it holds at most; occurrences that are worth a task, as many as a split of 128 MB has, and a bucket of groups.
-COMBINED_ROWS, MOST_ROWS, TASK_WORDS, BUCKET_WORDS = 1 << 18, 1 << 20, 20_000_000, 2_000_000
+COMBINED_ROWS, MOST_ROWS, TASK_WORDS, BUCKET_WORDS = 1 << 18, 1 << 20, 20_000_000, 1_000_000
+#: Parts in which a task adds up its groups, one after the other.
+PARTS = 16
 #: A filter of frequent groups has 16 bits a group, but never more than these (16 MB); what it lets through besides is counted and found rare.
 LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -133,6 +135,7 @@ def frequent_occurrences(blocks: DataFrame, words: np.ndarray, length: int) -> D
     spark_words = blocks.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             for hashes, codes, at, live in _relations(batch):
                 if length == 1:
@@ -162,30 +165,79 @@ def _relations(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield hashes, codes, np.cumsum(gaps, dtype=np.int64), np.frombuffer(batch.column(3)[row].as_py(), dtype=bool) if batch.num_columns > 3 else None
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The groups of all columns but the last, once each, with the sum of the last, c."""
+    names = table.column_names[:-1]
+    return table.group_by(names, use_threads=False).aggregate([("c", "sum")]).select([*names, "c_sum"]).rename_columns([*names, "c"])
+
+
+class GroupSums:
+    """Counts of groups that a task gathers: by part of the buckets, so that adding up and packing take room beside the counts for one part only."""
+
+    def __init__(self, length: int, buckets: int):
+        self.names, self.buckets = [*[f"h{i}" for i in range(length)], "c"], buckets
+        self.waiting: list[list[pa.Table]] = [[] for _ in range(min(PARTS, buckets))]
+        self.size, self.enough = 0, COMBINED_ROWS
+
+    def put(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take distinct groups with their counts; gives packed sums, if groups don't come again or are too many to hold."""
+        part = (self._bucket(columns) * len(self.waiting)) // self.buckets
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(np.bincount(part, minlength=len(self.waiting)))
+        columns = [*columns, counts.astype(np.int64)]
+        for tables, low, high in zip(self.waiting, np.append(0, ends[:-1]), ends, strict=True):
+            if low < high:
+                tables.append(pa.Table.from_arrays([pa.array(c[order[low:high]]) for c in columns], names=self.names))
+        self.size += len(counts)
+        if self.size < self.enough:
+            return
+        before = self.size
+        self._add()
+        if 2 * self.size <= before and self.size <= MOST_ROWS:  # groups come again: go on adding up
+            self.enough = max(COMBINED_ROWS, 2 * self.size)
+        else:
+            yield from self.flushed()
+
+    def flushed(self) -> Iterator[pa.RecordBatch]:
+        self._add()
+        for tables in self.waiting:
+            if tables:
+                yield from self._packed(tables.pop())
+        self.size, self.enough = 0, COMBINED_ROWS
+
+    def _bucket(self, columns: list[np.ndarray]) -> np.ndarray:
+        return (_mixed(columns) % np.uint64(self.buckets)).astype(np.int64)
+
+    def _add(self) -> None:
+        for tables in self.waiting:
+            if len(tables) > 1:
+                tables[:] = [_added(pa.concat_tables(tables))]
+        self.size = sum(t.num_rows for tables in self.waiting for t in tables)
+
+    def _packed(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [table.column(n).to_numpy() for n in self.names]
+        bucket = self._bucket(columns[:-1])
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(heads, len(bucket)).astype(np.int32))
+        made = pa.RecordBatch.from_arrays([pa.array(bucket[heads]), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]], names=["bucket", *self.names])
+        step = max(1, len(heads) * BATCH_BYTES // made.nbytes)  # the JVM holds a batch outside its heap
+        for i in range(0, len(heads), step):
+            yield made.slice(i, step)
+
+
 def group_counts(relation: DataFrame, length: int, least: int, words: int) -> DataFrame:
     """(h0, h1, ..., n): the groups of ``length`` words that occur ``least`` times, counted in each block, over a task's blocks, and over all.
 
     What a task counted travels in columns, a row for each bucket of groups; a
-    bucket stands for some two million of the relation's ``words``.
+    bucket stands for some million of the relation's ``words``.
     """
     names, buckets = [f"h{i}" for i in range(length)], 1 + words // BUCKET_WORDS
 
-    def added(table: pa.Table) -> pa.Table:
-        return table.group_by(names, use_threads=False).aggregate([("c", "sum")]).select([*names, "c_sum"]).rename_columns([*names, "c"])
-
-    def packed(table: pa.Table) -> pa.RecordBatch:
-        columns = [table.column(n).to_numpy() for n in [*names, "c"]]
-        bucket = (_mixed(columns[:-1]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = pa.array(np.append(heads, len(bucket)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]], names=["bucket", *names, "c"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        waiting: list[pa.Table] = []
-        size, enough = 0, COMBINED_ROWS
+        sums = GroupSums(length, buckets)
         for batch in batches:
             for hashes, codes, at, live in _relations(batch):
                 start = _extended(codes, at, live)
@@ -196,23 +248,12 @@ def group_counts(relation: DataFrame, length: int, least: int, words: int) -> Da
                         key = np.unique(key, return_inverse=True)[1].reshape(-1)
                     key = key << 32 | codes[start + i]
                 _, first, counts = np.unique(key, return_index=True, return_counts=True)
-                columns = [pa.array(hashes[codes[start[first] + i]]) for i in range(length)]
-                waiting.append(pa.Table.from_arrays([*columns, pa.array(counts.astype(np.int64))], names=[*names, "c"]))
-                size += len(counts)
-                if size < enough:
-                    continue
-                table = added(pa.concat_tables(waiting)) if len(waiting) > 1 else waiting[0]
-                if 2 * table.num_rows <= size and table.num_rows <= MOST_ROWS:  # groups come again: go on adding up
-                    waiting, size, enough = [table], table.num_rows, max(COMBINED_ROWS, 2 * table.num_rows)
-                else:
-                    yield packed(table)
-                    waiting, size, enough = [], 0, COMBINED_ROWS
-        if size:
-            yield packed(added(pa.concat_tables(waiting)))
+                yield from sums.put([hashes[codes[start[first] + i]] for i in range(length)], counts)
+        yield from sums.flushed()
 
     def frequent(bucket: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
-        table = added(pa.Table.from_arrays([pa.concat_arrays([x.flatten() for x in bucket.column(n).chunks]) for n in [*names, "c"]], names=[*names, "c"]))
+        table = _added(pa.Table.from_arrays([pa.concat_arrays([x.flatten() for x in bucket.column(n).chunks]) for n in [*names, "c"]], names=[*names, "c"]))
         return table.filter(pc.greater_equal(table.column("c"), least)).rename_columns([*names, "n"])
 
     rows = relation.mapInArrow(run, "bucket long, " + ", ".join(f"{n} array<long>" for n in [*names, "c"]))
@@ -278,11 +319,13 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, kept: int = KEPT, longest:
     """
     if not 2 <= longest <= len(_ODD):
         raise ValueError(f"longest must be from 2 to {len(_ODD)}")
-    with arrow_batches(docs.sparkSession):
+    spark = docs.sparkSession
+    with block_writes(spark):
         first = stored(word_blocks(docs, block_bytes), "words")
         salt = 0
         while True:
-            words = stored(distinct_words(first, salt), "distinct-words")
+            with block_reads(spark):
+                words = stored(distinct_words(first, salt), "distinct-words")
             alike = words.groupBy("h0").agg(F.count("*").alias("k"), F.max("n").alias("most")).where(f"k > 1 and most >= {least}")
             if alike.isEmpty():
                 break
@@ -294,13 +337,14 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, kept: int = KEPT, longest:
         for length in range(2, longest + 1):
             known = groups[length - 1]
             bits = group_filter(known, known.count(), length - 1)
-            before, relation = held, stored(frequent_occurrences(relation, bits, length - 1), f"groups-{length - 1}")
-            dropped(before)
-            held = relation
-            left = relation.agg(F.coalesce(F.sum(F.length("gaps")), F.lit(0))).first()[0]
-            if length > 2:  # what is left may be little, and its groups recur in many blocks: tasks of the usual size add up more of them
-                relation = relation.coalesce(1 + left // TASK_WORDS)
-            groups[length] = stored(group_counts(relation, length, least, left), f"frequent-{length}")
+            with block_reads(spark):
+                before, relation = held, stored(frequent_occurrences(relation, bits, length - 1), f"groups-{length - 1}")
+                dropped(before)
+                held = relation
+                left = relation.agg(F.coalesce(F.sum(F.length("gaps")), F.lit(0))).first()[0]
+                if length > 2:  # what is left may be little, and its groups recur in many blocks: tasks of the usual size add up more of them
+                    relation = relation.coalesce(1 + left // TASK_WORDS)
+                groups[length] = stored(group_counts(relation, length, least, left), f"frequent-{length}")
         dropped(held)
     parts = []
     for length, rows in scored(groups).items():
