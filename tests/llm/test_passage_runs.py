@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from tremorscope.llm import minhash, passage_runs
 from tremorscope.llm import passage_dedup as pd_
 
 SCHEMA = "doc_id long, text string"
@@ -94,3 +98,39 @@ def test_no_size_changes_the_window_rule(spark):
         docs = [(i, "\n".join([f"a{i} " * i, " ".join(base[: i + 3]), *base[i + 3 :], f"b{i}"])) for i in range(6)]
         got = pd_.digest(spark.createDataFrame(docs, SCHEMA)).collect()
         assert {r.component_id for r in got} == ({0} if n == 51 else set(range(6)))
+
+
+class Taken:
+    """Takes the place of a table: keeps the function that ``mapInArrow`` would run in tasks."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_windows_of_many_texts_are_made_together():
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice("abcdefgh") * draw.randrange(1, 4) for _ in range(draw.randrange(40, 140))) for _ in range(300)]
+    keys = [np.unique(minhash.window_keys(minhash.word_hashes(minhash.words_of(x)))).view(np.int64) for x in texts]
+    asked = [k[[draw.random() < 0.7 for _ in k]] for k in keys]
+    lists = pa.array(asked, pa.list_(pa.int64()))
+    near, runs = Taken(), Taken()
+    passage_runs.near_units(near)
+    passage_runs._windows(runs)
+    found = list(near.run(iter([pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts), lists], names=["doc_id", "text", "shared"])])))
+    assert len(found) == 1
+    wanted = []
+    for i, (text, shared) in enumerate(zip(texts, asked, strict=True)):
+        words, spans = minhash.words_of(text), passage_runs.word_spans(text)
+        for x, bands in zip(*minhash.near_windows(minhash.word_hashes(words), shared.view(np.uint64)), strict=True):
+            h1, h2 = minhash.window_identity(words[x : x + minhash.NEAR])
+            wanted.append({"doc_id": i, "h1": h1, "h2": h2, "start": spans[x, 0], "length": spans[x + minhash.NEAR - 1, 1] - spans[x, 0], "n_words": minhash.NEAR, "bands": bands.view(np.int64).tolist()})
+    assert wanted and found[0].to_pylist() == wanted
+    copies = [i % 2 == 0 for i in range(300)]
+    windows = list(runs.run(iter([pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([7] * 300), pa.array(texts), pa.array(copies), lists], names=["doc_id", "tag", "text", "copy", "shared"])])))
+    assert len(windows) == 1
+    rows = windows[0].to_pylist()
+    assert [(r["doc_id"], r["start"], r["end"]) for r in rows if r["g1"] is None] == [(i, 0, len(texts[i])) for i in range(0, 300, 2)]
+    for i in range(1, 300, 2):
+        own = minhash.window_keys(minhash.word_hashes(minhash.words_of(texts[i]))).view(np.int64)
+        assert [r["pos"] for r in rows if r["doc_id"] == i] == np.flatnonzero(np.isin(own, asked[i])).tolist()

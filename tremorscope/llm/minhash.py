@@ -125,30 +125,40 @@ def window_keys(hashed: np.ndarray) -> np.ndarray:
     return key
 
 
-def near_windows(hashed: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, band keys) of the windows of NEAR words that begin with, end with or lie around a shingle whose window key is in ``shared``.
+def near_places(hashed: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles' hashes, starts, anchors, sides) of the windows of NEAR words that begin with, end with or lie around a shingle whose window key is in ``shared``.
 
     Where such a shingle stands in two texts, edits elsewhere don't move the windows that hang on it.
     """
     marks = shingle_hashes(hashed) if len(hashed) >= NEAR else np.empty(0, dtype=np.uint64)
     alone = _folded(np.full(len(marks), BANDS + 1, dtype=np.uint64), (marks ^ _XOR[0]) * _ODD[0])
     at = np.flatnonzero(np.isin(alone, shared))
-    starts, keys = [], []
-    for side, shift in enumerate((0, (NEAR - WORDS) // 2, NEAR - WORDS), 1):
-        begin = at - shift
-        fits = (begin >= 0) & (begin + NEAR <= len(hashed))
-        begin, anchor = begin[fits], alone[at[fits]]
-        for i in range(0, len(begin), 4096):  # bounded scratch
-            sets = marks[begin[i : i + 4096, None] + np.arange(NEAR - WORDS + 1)]
-            made = np.empty((len(sets), NEAR_BANDS), dtype=np.uint64)
-            for band in range(NEAR_BANDS):
-                key = _folded(anchor[i : i + 4096], np.full(len(sets), side * 1000 + band, dtype=np.uint64))
-                for j in range(1 + band * NEAR_ROWS, 1 + (band + 1) * NEAR_ROWS):
-                    key = _folded(key, ((sets ^ _XOR[j]) * _ODD[j]).min(axis=1))
-                made[:, band] = key
-            keys.append(made)
-        starts.append(begin)
-    return np.concatenate(starts), np.concatenate(keys) if keys else np.empty((0, NEAR_BANDS), dtype=np.uint64)
+    begin = np.concatenate([at - shift for shift in (0, (NEAR - WORDS) // 2, NEAR - WORDS)])
+    fits = (begin >= 0) & (begin + NEAR <= len(hashed))
+    return marks, begin[fits], np.tile(alone[at], 3)[fits], np.repeat(np.arange(1, 4, dtype=np.uint64), len(at))[fits]
+
+
+def near_bands(marks: np.ndarray, begin: np.ndarray, anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The band keys of the windows that ``near_places`` names, of one text or of several, whose marks stand one after the other. A window's minima are taken once, however many shingles it hangs on."""
+    places, back = np.unique(begin, return_inverse=True)
+    least = np.empty((NEAR_BANDS * NEAR_ROWS, len(places)), dtype=np.uint64)
+    for i in range(0, len(places), 1024):  # bounded scratch
+        sets = marks[places[i : i + 1024] + np.arange(NEAR - WORDS + 1)[:, None]]
+        for j in range(len(least)):
+            least[j, i : i + 1024] = ((sets ^ _XOR[j + 1]) * _ODD[j + 1]).min(axis=0)
+    made = np.empty((len(begin), NEAR_BANDS), dtype=np.uint64)
+    for band in range(NEAR_BANDS):
+        key = _folded(anchor, side * np.uint64(1000) + np.uint64(band))
+        for j in range(band * NEAR_ROWS, (band + 1) * NEAR_ROWS):
+            key = _folded(key, least[j][back])
+        made[:, band] = key
+    return made
+
+
+def near_windows(hashed: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, band keys) of the windows that ``near_places`` names in one text."""
+    marks, begin, anchor, side = near_places(hashed, shared)
+    return begin, near_bands(marks, begin, anchor, side)
 
 
 def window_identity(words: list[bytes]) -> tuple[int, int]:
@@ -156,6 +166,13 @@ def window_identity(words: list[bytes]) -> tuple[int, int]:
     return identity([b"\n", *words])
 
 
+def window_identities(words: list[bytes], starts: list[int]) -> bytes:
+    """The ``window_identity`` of the NEAR words from each start on, as bytes one after the other; the words are joined once."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1).tolist()
+    return b"".join([xxhash.xxh3_128_digest(b"\n " + joined[ends[x - 1] if x else 0 : ends[x + NEAR - 1] - 1]) for x in starts])
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1

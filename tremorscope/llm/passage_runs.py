@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, stored
-from .minhash import NEAR, NEAR_BANDS, RUN, near_windows, window_hashes, window_identity, window_keys, word_hashes, words_of
+from .minhash import NEAR, NEAR_BANDS, RUN, near_bands, near_places, window_hashes, window_identities, window_keys, word_hashes, words_of
 
 
 def word_spans(text: str) -> np.ndarray:
@@ -33,7 +33,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, t long, t2 long, key long")
 
 
-#: Windows that a batch of ``_windows`` holds.
+#: Windows that a batch holds, of as many texts.
 SLICE = 1 << 16
 
 
@@ -43,23 +43,37 @@ def _windows(rows: DataFrame) -> DataFrame:
     g1 hashes all words, g2 is a short piece of the key: 80 bits tell windows apart.
     """
 
+    names = ["doc_id", "tag", "g1", "g2", "pos", "start", "end"]
+
+    def made(texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x[3]) for x in texts]
+        columns = [np.repeat(np.array([x[i] for x in texts], dtype=np.int64), sizes) for i in (0, 1)]
+        copy = np.repeat(np.array([x[2] for x in texts], dtype=bool), sizes)
+        columns += [np.concatenate(x) for x in zip(*[x[3:] for x in texts], strict=True)]
+        for i in range(0, len(copy), SLICE):
+            part = [x[i : i + SLICE] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64(), mask=copy[i : i + SLICE] if k == 2 else None) for k, x in enumerate(part)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, held = [], 0
         for batch in batches:
             for doc_id, tag, text, copy, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 text = text.as_py()
                 spans = word_spans(text)
                 if copy:
-                    found = [np.array([x]) for x in (0, 0, 0, spans[0, 0], spans[-1, 1])]
+                    found = [np.array([x], dtype=np.int64) for x in (0, 0, 0, spans[0, 0], spans[-1, 1])]
                 else:
                     hashed = word_hashes(words_of(text))
                     keys = window_keys(hashed)
                     pos = np.flatnonzero(np.isin(keys.view(np.int64), shared.values.to_numpy()))
                     found = [window_hashes(hashed)[pos].view(np.int64), keys[pos].view(np.int64) >> 48, pos, spans[pos, 0], spans[pos + RUN - 1, 1]]
-                for i in range(0, len(found[0]), SLICE):
-                    part = [x[i : i + SLICE] for x in found]
-                    n = len(part[0])
-                    g1 = pa.nulls(n, pa.int64()) if copy else pa.array(part[0], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, tag), pa.int64()), g1, *[pa.array(x, pa.int64()) for x in part[1:]]], names=["doc_id", "tag", "g1", "g2", "pos", "start", "end"])
+                texts.append((doc_id, tag, copy, *found))
+                held += len(found[0])
+                if held >= SLICE:
+                    yield from made(texts)
+                    texts, held = [], 0
+        if texts:
+            yield from made(texts)
 
     return rows.mapInArrow(run, "doc_id long, tag long, g1 long, g2 long, pos long, start long, end long")
 
@@ -68,18 +82,38 @@ def near_units(rows: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, start, length, n_words, bands) of the windows of NEAR words beside the shingles that ``shared`` names, for rows (doc_id, text, shared)."""
     names = ["doc_id", "h1", "h2", "start", "length", "n_words", "bands"]
 
+    def made(texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # several texts at once: a text alone has few windows, and most of the time would go into calls
+        base = np.cumsum([0, *(len(x[0]) for x in texts)])
+        bands = near_bands(np.concatenate([x[0] for x in texts]), *[np.concatenate(x) for x in zip(*[(begin + low, anchor, side) for (_, begin, anchor, side, *_), low in zip(texts, base)])])
+        places = np.concatenate([x[4] for x in texts])
+        halves = np.frombuffer(b"".join([x[5] for x in texts]), dtype="<i8").reshape(-1, 2)
+        for i in range(0, len(places), SLICE):
+            flat = bands[i : i + SLICE].view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, NEAR_BANDS, dtype=np.int32)), pa.array(flat))
+            part = places[i : i + SLICE]
+            columns = [part[:, 0], halves[i : i + SLICE, 0], halves[i : i + SLICE, 1], part[:, 1], part[:, 2], np.full(len(part), NEAR)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], lists], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, held = [], 0
         for batch in batches:
             for doc_id, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
-                spans, words = word_spans(text), words_of(text)
-                starts, bands = near_windows(word_hashes(words), shared.values.to_numpy().view(np.uint64))
-                for i in range(0, len(starts), SLICE):
-                    at, flat = starts[i : i + SLICE], bands[i : i + SLICE].view(np.int64).reshape(-1)
-                    n, both = len(at), [window_identity(words[x : x + NEAR]) for x in at]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, NEAR_BANDS, dtype=np.int32)), pa.array(flat))
-                    columns = [np.full(n, doc_id), *zip(*both, strict=True), spans[at, 0], spans[at + NEAR - 1, 1] - spans[at, 0], np.full(n, NEAR)]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], lists], names=names)
+                words = words_of(text)
+                marks, begin, anchor, side = near_places(word_hashes(words), shared.values.to_numpy().view(np.uint64))
+                if len(begin):
+                    spans = word_spans(text)
+                    ids, again = np.unique(begin, return_inverse=True)
+                    both = np.frombuffer(window_identities(words, ids.tolist()), dtype="<i8").reshape(-1, 2)[again].tobytes()
+                    start = spans[begin, 0]
+                    texts.append((marks, begin, anchor, side, np.column_stack([np.full(len(begin), doc_id), start, spans[begin + NEAR - 1, 1] - start]), both))
+                    held += len(marks) + len(begin)
+                    if held >= SLICE:
+                        yield from made(texts)
+                        texts, held = [], 0
+        if texts:
+            yield from made(texts)
 
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, start long, length long, n_words long, bands array<long>")
 
